@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["simhash", "decontamination", "substring_dedup"]
+MODULES = ["telephony", "simhash", "decontamination", "substring_dedup"]
 
 
 def _gather(name: str) -> dict:
