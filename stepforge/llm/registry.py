@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["telephony", "packing", "simhash", "decontamination", "substring_dedup"]
+MODULES = ["telephony", "packing", "simhash", "decontamination", "secrets", "substring_dedup"]
 
 
 def _gather(name: str) -> dict:
