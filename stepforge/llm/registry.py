@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["telephony", "packing", "chat", "simhash", "decontamination", "language_id", "secrets", "pii", "substring_dedup"]
+MODULES = ["telephony", "packing", "chat", "simhash", "decontamination", "ppm", "language_id", "secrets", "pii", "substring_dedup"]
 
 
 def _gather(name: str) -> dict:
