@@ -29,6 +29,8 @@ HIDDEN = 8
 PER_LANGUAGE = 250
 EXCERPT = 256
 EPOCHS = 8
+#: Bytes that step through the network together: their states stay within a core's cache.
+STEP_BYTES = 1 << 19
 UND = "und"
 
 
@@ -71,7 +73,7 @@ def _forward(table: np.ndarray, u: np.ndarray, x: np.ndarray, live: np.ndarray,
     h = np.zeros((h_size, b), np.float32)
     full = live.all(axis=1)
     for t in order:
-        gate = table[:, x[t]]
+        gate = np.take(table, x[t], axis=1)
         carried = u @ h
         zr = _sigmoid(gate[: 2 * h_size] + carried[: 2 * h_size])
         z, r = zr[:h_size], zr[h_size:]
@@ -210,50 +212,63 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     return fit([t.encode() for _, _, t in rows], [lang for lang, _, _ in rows], **options)
 
 
+def _predictions(net: Network | None, column: pa.Array, letters: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, share of positions labelled so, bytes) of each text of a batch."""
+    offsets, data = C.text_buffers(column)
+    n = len(offsets) - 1
+    names, score, share, size = np.full(n, UND, object), np.zeros(n), np.zeros(n), np.diff(offsets)
+    at = 0
+    while net is not None and at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
+        if to == at + 1:  # a text longer than a chunk is labelled in pieces of whole windows
+            pooled = votes = np.zeros((1, len(net.languages)))
+            for a in range(int(offsets[at]), int(offsets[to]), STEP_BYTES):
+                part = data[a : min(a + STEP_BYTES, offsets[to])]
+                p, v = label(net, part, np.array([0, len(part)]), window)
+                pooled, votes = pooled + p, votes + v
+        else:
+            pooled, votes = label(net, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], window)
+        best = np.round(pooled, 3).argmax(axis=1)
+        rows, length = np.arange(to - at), np.maximum(size[at:to], 1)
+        ok = letters[at:to]
+        names[at:to][ok] = np.array(net.languages, object)[best[ok]]
+        score[at:to][ok] = np.clip(np.round(pooled[rows, best] / length, 4), 0, 1)[ok]
+        share[at:to][ok] = np.round(votes[rows, best] / length, 4)[ok]
+        at = to
+    return names, score, share, size
+
+
 def _predict(net: Network | None, window: int):
-    shape = ["doc_id", "held_out", "lang_pred", "score", "share", "n_bytes"]
+    """Each batch with its text and letters columns replaced by the predictions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = C.text_buffers(batch.column("text"))
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            at, n = 0, len(offsets) - 1
-            while at < n:
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + C.CHUNK_BYTES, "right")) - 1)
-                own = offsets[at : to + 1] - offsets[at]
-                size = np.maximum(np.diff(own), 1)
-                names, score, share = np.full(to - at, UND, object), np.zeros(to - at), np.zeros(to - at)
-                if net is not None:
-                    # a text longer than a chunk is labelled in pieces of whole windows
-                    pooled, votes = 0.0, 0.0
-                    if to == at + 1:
-                        for a in range(0, int(own[-1]), C.CHUNK_BYTES):
-                            part = data[offsets[at] + a : min(offsets[at] + a + C.CHUNK_BYTES, offsets[to])]
-                            p, v = label(net, part, np.array([0, len(part)]), window)
-                            pooled, votes = pooled + p, votes + v
-                        pooled, votes = np.zeros((1, len(net.languages))) + pooled, np.zeros((1, len(net.languages))) + votes
-                    else:
-                        pooled, votes = label(net, data[offsets[at] : offsets[to]], own, window)
-                    best = np.round(pooled, 3).argmax(axis=1)
-                    ok = letters[at:to]
-                    names[ok] = np.array(net.languages, object)[best[ok]]
-                    rows = np.arange(to - at)
-                    score[ok] = np.clip(np.round(pooled[rows, best] / size, 4), 0, 1)[ok]
-                    share[ok] = np.round(votes[rows, best] / size, 4)[ok]
-                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), batch.column("held_out").slice(at, to - at), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(np.diff(own))], shape)
-                at = to
+            names, score, share, size = _predictions(net, batch.column("__text"), batch.column("__letters").to_numpy(zero_copy_only=False), window)
+            kept = [c for c in batch.schema.names if c not in ("__text", "__letters")]
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(size)], [*kept, "__lang", "__score", "__share", "__bytes"])
 
     return run
 
 
+def _labelled(rows: DataFrame, text_col: str, net: Network | None, window: int) -> DataFrame:
+    """``rows`` with __lang, __score, __share and __bytes; one pass, no shuffle."""
+    letters = F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False))
+    given = rows.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"), letters.alias("__letters"))
+    shape = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "__lang string, __score double, __share double, __bytes long"])
+    return given.mapInArrow(_predict(net, window), shape)
+
+
+def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``; a null language is filled in."""
+    found = _labelled(docs, text_col, net, window).where((F.col("__lang") != UND) & (F.col("__score") >= least))
+    return found.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__lang"))).select(*docs.columns)
+
+
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, held_out, lang_pred, score (mean probability), share (of positions labelled so) and n_bytes of every row."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False)).alias("held_out"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)).alias("letters"),
-    )
-    id_type = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_predict(net, window), f"doc_id {id_type}, held_out boolean, lang_pred string, score double, share double, n_bytes long")
+    held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    return _labelled(rows, "text", net, window).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__share").alias("share"), F.col("__bytes").alias("n_bytes"))
 
 
 def op7_language_id(spark, sf_dir):

@@ -47,6 +47,7 @@ def test_held_out_accuracy_and_edges(spark):
     held = L.fold("doc_id", 5) == 0
     net = L.train(docs.where(~held), epochs=4)
     out = L.identify(docs, net, held_out=held).collect()
+    assert {r.doc_id for r in L.keep_known(docs, net, least=0.4).collect()} == {r.doc_id for r in out if r.lang_pred != "und"}
     assert len(out) == len(rows)
     truth = {r[0]: r[2] for r in rows if r[2]}
     tested = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 500]
