@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import common, decontamination, language_id, packing, secrets, simhash
 
-#: Least mean probability of a document's language; text in none of the learned languages stays below.
-LEAST_SCORE = 0.4
+#: Least mean probability of the best language: a text that no learned language holds a quarter of goes.
+LEAST_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
