@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import combine, order, step, summary
 from .registry import Tables
 
-GROUPS = ["q_steps", "q_tables"]
+GROUPS = ["q_steps", "q_tables", "q_functions", "q_quality"]
 
 
 def _gather(what: str) -> dict:
