@@ -78,7 +78,7 @@ def crosstab(df: DataFrame, row: str, col: str, values: list | None = None) -> D
 def tabulate(df: DataFrame, by: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """variable, level, group, text: "median (q1, q3)" of numbers and "n (p%)" of levels."""
     parts = []
-    num = lambda c: F.format_string("%.1f", c)
+    num = lambda c: F.format_string("%.1f", F.round(c, 1))
     for v in numeric:
         q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         text = F.concat(num(q[1]), F.lit(" ("), num(q[0]), F.lit(", "), num(q[2]), F.lit(")"))

@@ -211,7 +211,7 @@ def _(t):
     return A.crosstab(t.lineitem, "l_returnflag", "l_linestatus", ["F", "O"])
 
 
-@q("a10_tabulate", "SELECT 'o_orderstatus' AS variable, o_orderstatus AS level, o_orderpriority AS \"group\", count(*) || ' (' || printf('%.1f', 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority)) || '%)' AS text FROM orders GROUP BY 2, 3 UNION ALL SELECT 'o_custkey', NULL, o_orderpriority, printf('%.1f (%.1f, %.1f)', quantile_cont(o_custkey, 0.5), quantile_cont(o_custkey, 0.25), quantile_cont(o_custkey, 0.75)) FROM orders GROUP BY 3")
+@q("a10_tabulate", "SELECT 'o_orderstatus' AS variable, o_orderstatus AS level, o_orderpriority AS \"group\", count(*) || ' (' || printf('%.1f', round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 1)) || '%)' AS text FROM orders GROUP BY 2, 3 UNION ALL SELECT 'o_custkey', NULL, o_orderpriority, printf('%.1f (%.1f, %.1f)', round(quantile_cont(o_custkey, 0.5), 1), round(quantile_cont(o_custkey, 0.25), 1), round(quantile_cont(o_custkey, 0.75), 1)) FROM orders GROUP BY 3")
 def _(t):
     return A.tabulate(t.orders, "o_orderpriority", ["o_custkey"], ["o_orderstatus"])
 
