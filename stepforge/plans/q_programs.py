@@ -226,7 +226,11 @@ def _(t):
     return K.upload_decisions(_edges(t)).select("id", "dataset", "upload")
 
 
-@q("k10_dependency_depth")
+_STEPS = f"""s AS ({_S}), b AS (SELECT id, unnest(regexp_extract_all(upper(text), '(?s)\\bDATA\\s+[A-Z_][\\w.]*\\s*;.*?\\bRUN\\s*;')) AS step FROM s),
+st AS (SELECT DISTINCT id, lower(unnest(regexp_extract_all(step, '\\b(?:SET|MERGE|UPDATE|MODIFY)\\s+([A-Z_][\\w.]*)', 1))) AS src, lower(regexp_extract(step, '\\bDATA\\s+([A-Z_][\\w.]*)', 1)) AS dst FROM b)"""
+
+
+@q("k10_dependency_depth", f"WITH RECURSIVE {_STEPS}, n AS (SELECT id, src AS dataset FROM st UNION SELECT id, dst FROM st), r AS (SELECT id, dataset, 0 AS depth FROM n UNION SELECT r.id, st.dst, r.depth + 1 FROM r JOIN st ON r.id = st.id AND r.dataset = st.src AND st.src <> st.dst) SELECT id, dataset, CAST(max(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2")
 def _(t):
     return K.dependency_depth(K.step_edges(_scripts(t)))
 

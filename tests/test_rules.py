@@ -176,3 +176,38 @@ def test_streamed_step(spark, tmp_path):
     s = streaming.stream_tables(spark, f"{tmp_path}/in", df)
     streaming.run_step(s, lambda d: step.Step(d).assign(y=F.col("x") + 1).subset("y > 10").frame(), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 15
+
+
+def _ibm(x):
+    """A double as an 8-byte IBM float."""
+    if x is None:
+        return b"." + b"\0" * 7
+    if not x:
+        return b"\0" * 8
+    sign, x, e = (128 if x < 0 else 0), abs(x), 0
+    while x >= 1:
+        x, e = x / 16, e + 1
+    while x < 1 / 16:
+        x, e = x * 16, e - 1
+    return bytes([sign | 64 + e]) + int(x * 2**56).to_bytes(7, "big")
+
+
+def _xpt(rows):
+    """A transport file with variables ID (numeric) and NAME (character, 8)."""
+    import struct
+
+    pad = lambda b, n=80, c=b" ": b + c * (-len(b) % n)
+    head = lambda kind, tail: pad(f"HEADER RECORD*******{kind:<8}HEADER RECORD!!!!!!!{tail}".encode())
+    when, zero = b"01JAN24:00:00:00", "0" * 30
+    out = head("LIBRARY", zero) + pad(b"SAS     SAS     SASLIB  9.1     bsd4.2  " + b" " * 24 + when) + pad(when)
+    out += head("MEMBER", "000000000000000001600000000140") + head("DSCRPTR", zero) + pad(b"SAS     T       SASDATA 9.1     bsd4.2  " + b" " * 24 + when) + pad(when)
+    names = b"".join(struct.pack(">hhhh8s40s8shhh2s8shhl52s", kind, 0, 8, i + 1, name, b" " * 40, b" " * 8, 0, 0, 0, b"\0\0", b" " * 8, 0, 0, 8 * i, b"\0" * 52) for i, (kind, name) in enumerate([(1, b"ID      "), (2, b"NAME    ")]))
+    data = b"".join(_ibm(i) + s.ljust(8).encode() for i, s in rows)
+    return out + head("NAMESTR", "000000000200000000000000000000") + pad(names) + head("OBS", zero) + pad(data)
+
+
+def test_transport_files(spark, tmp_path):
+    (tmp_path / "a.xpt").write_bytes(_xpt([(1.0, "one"), (None, "none")]))
+    (tmp_path / "b.xpt").write_bytes(_xpt([(-2.5, "two")]))
+    got = readers.read_xpt(spark, f"{tmp_path}/*.xpt", "id double, name string").collect()
+    assert sorted((r.name, None if r.id is None or math.isnan(r.id) else r.id) for r in got) == [("none", None), ("one", 1.0), ("two", -2.5)]
