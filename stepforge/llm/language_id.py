@@ -28,6 +28,8 @@ WINDOW = 128
 HIDDEN = 8
 PER_LANGUAGE = 250
 EXCERPT = 256
+#: Languages that can be learned: the most frequent ones, should there be more.
+LANGUAGES = 1000
 EPOCHS = 8
 #: Bytes that step through the network together: their states stay within a core's cache.
 STEP_BYTES = 1 << 19
@@ -203,11 +205,14 @@ def label(net: Network, raw: np.ndarray, offsets: np.ndarray, window: int = WIND
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, **options) -> Network | None:
     """A network fitted on about ``per_language`` excerpts of each language of ``docs``."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
-    share = known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], r["n"])])
     h = F.xxhash64(F.lit(7), F.col(text_col))
     begin = F.pmod(F.shiftright(h, 20), F.greatest(F.length(text_col) - excerpt + 1, F.lit(1))) + 1
     drawn = known.select(F.col(lang_col).alias("l"), h.alias("h"), F.substring(F.col(text_col), begin.cast("int"), F.lit(excerpt)).alias("t"))
-    drawn = drawn.join(share, "l").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20))
+    drawn = drawn.where(F.pmod("h", F.lit(1 << 20)) * F.try_element_at(share, F.col("l")) < F.lit(per_language << 20))  # before any shuffle
     rows = sorted((r["l"], r["h"], r["t"]) for r in drawn.select("l", "h", "t").distinct().collect())  # bounded: per_language for each language
     return fit([t.encode() for _, _, t in rows], [lang for lang, _, _ in rows], **options)
 
@@ -238,13 +243,13 @@ def _predictions(net: Network | None, column: pa.Array, letters: np.ndarray, win
     return names, score, share, size
 
 
-def _predict(net: Network | None, window: int):
-    """Each batch with its text and letters columns replaced by the predictions."""
+def _predict(net: Network | None, text_col: str, window: int):
+    """Each batch with its letters column replaced by the predictions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, share, size = _predictions(net, batch.column("__text"), batch.column("__letters").to_numpy(zero_copy_only=False), window)
-            kept = [c for c in batch.schema.names if c not in ("__text", "__letters")]
+            names, score, share, size = _predictions(net, batch.column(text_col), batch.column("__letters").to_numpy(zero_copy_only=False), window)
+            kept = [c for c in batch.schema.names if c != "__letters"]
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(size)], [*kept, "__lang", "__score", "__share", "__bytes"])
 
     return run
@@ -253,9 +258,9 @@ def _predict(net: Network | None, window: int):
 def _labelled(rows: DataFrame, text_col: str, net: Network | None, window: int) -> DataFrame:
     """``rows`` with __lang, __score, __share and __bytes; one pass, no shuffle."""
     letters = F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False))
-    given = rows.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"), letters.alias("__letters"))
+    given = rows.select("*", letters.alias("__letters"))
     shape = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "__lang string, __score double, __share double, __bytes long"])
-    return given.mapInArrow(_predict(net, window), shape)
+    return given.mapInArrow(_predict(net, text_col, window), shape)
 
 
 def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, window: int = WINDOW) -> DataFrame:
