@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import staged
 
 EXAMPLES = 60
 PRECISION = 0.98
@@ -169,6 +170,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     return grouped.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(base, 256).alias("base_sha256"), text(F.col("found")).alias("spans"), "found")
 
 
+def redact(docs: DataFrame, text_col: str = "text", model: tuple[boosting.Model, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` with every span of their text replaced by its kind in brackets; overlapping spans by the first one's.
+
+    A null text stays null. Rows are numbered and written once, so that spans meet their texts again.
+    """
+    numbered = staged(docs.select("*", F.monotonically_increasing_id().alias("__row")), "numbered")
+    found = find(numbered.where(F.col(text_col).isNotNull()), "__row", text_col, model).where(F.size("found") > 0)
+    spans = found.select(F.col("doc_id").alias("__row"), F.array_sort(F.transform("found", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("__spans"))
+    joined = numbered.join(spans, "__row", "left")
+    names, text = F.array(*map(F.lit, KINDS)), F.col(text_col)
+    reached = lambda i: F.coalesce(F.array_max(F.transform(F.slice("__spans", F.lit(1), i), lambda s: s["end"])), F.lit(0))
+    piece = lambda s, i: F.when(s["start"] >= reached(i), F.concat(F.substring(text, reached(i) + 1, s["start"] - reached(i)), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))).otherwise("")
+    last = reached(F.size("__spans"))
+    changed = F.concat(F.array_join(F.transform("__spans", piece), ""), F.substring(text, last + 1, F.length(text)))
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(changed)).select(*docs.columns)
+
+
 def op9_pii(spark, sf_dir):
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 

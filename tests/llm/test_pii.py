@@ -76,3 +76,12 @@ def test_native_and_empty(spark, model):
     out = pii.find(spark.createDataFrame([], SCHEMA), model=model)
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and out.count() == 0
+
+
+def test_redaction(spark, model):
+    texts = ["é a@b.co, 1.2.3.4!", "clean", None, "", "+1 (988) 555-2485 and call 415-555-0133", "card 4041894974608795"]
+    docs = spark.createDataFrame([(i, t, "r", "k", "s") for i, t in enumerate(texts)], SCHEMA)
+    out = pii.redact(docs, model=model)
+    plan = out._jdf.queryExecution().toString()
+    assert out.columns == docs.columns and "Python" not in plan and "Arrow" not in plan
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["é [email], [ip]!", "clean", None, "", "[phone] and call [digits]", "card [card]"]
