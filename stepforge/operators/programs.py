@@ -242,12 +242,11 @@ def upload_priority(missing: DataFrame) -> DataFrame:
 
 def domain(scripts: DataFrame) -> DataFrame:
     """id, domain, confidence by keyword hits; two are needed, demonstrations are general; ties go to the earlier domain."""
-    t = F.lower("text")
-    words = lambda s: r"\b(?:" + "|".join(s.split()) + r")\b"
-    hits = {d: F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(words(s)), F.lit(0)))) for d, s in DOMAINS.items()}
+    split = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"))
+    listed = lambda s: F.array(*map(F.lit, s.split()))
+    words = scripts.select("id", split(F.col("text")).alias("words"), split(F.left(F.col("text"), F.lit(200))).alias("start"))
     best = F.array_max(F.array(*[F.struct(F.col(d).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DOMAINS)]))
-    demo = F.rlike(F.left(t, F.lit(200)), F.lit(words(DEMO)))
-    out = scripts.select("id", *[h.alias(d) for d, h in hits.items()], demo.alias("demo"))
+    out = words.select("id", *[F.size(F.array_intersect("words", listed(s))).alias(d) for d, s in DOMAINS.items()], F.arrays_overlap("start", listed(DEMO)).alias("demo"))
     general = F.when(F.col("demo") & (F.col("clinical") < 3), 0.6).when(best["n"] == 0, 0.5).when(best["n"] < 2, 0.4)
     return out.select("id", F.when(general.isNotNull(), "general").otherwise(best["d"]).alias("domain"), F.coalesce(general, F.least(best["n"] / 5, F.lit(1.0))).alias("confidence"))
 
