@@ -79,6 +79,12 @@ def _emit_anchors(window: int, k: int, with_edges: bool):
     return run
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as Python values, a few at a time."""
+    for at in range(0, batch.num_rows, 128):
+        yield from batch.slice(at, 128).to_pylist()
+
+
 def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of ``starts``."""
     step = np.zeros(n + 1, np.int64)
@@ -129,7 +135,7 @@ def _decide(window: int, k: int, keep_text: bool):
         with np.errstate(over="ignore"):
             for batch in batches:
                 out, held = [], 0
-                for r in batch.to_pylist():
+                for r in _rows(batch):
                     marks = sorted({(m["pos"], m["back"], m["onward"]) for m in r["marks"] or ()})
                     pos = np.array([m[0] for m in marks], np.int64)
                     w, sure, rest, hashes = one(r["text"], pos, *(np.array([m[j] for m in marks], bool) for j in (1, 2)))
@@ -158,7 +164,7 @@ def _close(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 raw = np.frombuffer(r["text"].encode(), np.uint8)
                 w = C.Words(raw, np.array([0, len(raw)]))
                 starts = np.array(sorted({*(r["sure"] or ()), *(r["found"] or ())}), np.int64)
@@ -182,7 +188,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "anchors",
     )
     places = rows.mapInArrow(_emit_anchors(window, k, False), "kmer long, id long, text_hash long, pos int")
-    marks = places.join(repeated, "kmer").groupBy("id", "text_hash").agg(F.collect_list(F.struct("pos", "back", "onward")).alias("marks"))
+    marks = places.join(repeated, "kmer").groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "back", "onward")).alias("marks"))
     joined = rows.alias("d").join(marks.alias("m"), F.expr("d.id <=> m.id and d.text_hash = m.text_hash"), "left").select("d.id", "d.text", F.expr("uuid()").alias("row"), "m.marks")
     decided = C.staged(
         joined.mapInArrow(
