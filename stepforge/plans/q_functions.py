@@ -20,7 +20,7 @@ def _(t):
     return t.part.select("p_partkey", S.upcase("p_name").alias("up"), S.lowcase("p_brand").alias("low"))
 
 
-@q("f2_propcase")
+@q("f2_propcase", "SELECT p_partkey, array_to_string([CASE WHEN i = 1 OR substr(s, i - 1, 1) IN (' ', '-', '/', '(') THEN upper(substr(s, i, 1)) ELSE lower(substr(s, i, 1)) END for i in range(1, length(s) + 1)], '') AS name FROM (SELECT p_partkey, p_type || '-' || p_name AS s FROM part)")
 def _(t):
     return t.part.select("p_partkey", S.propcase(F.concat_ws("-", "p_type", "p_name")).alias("name"))
 
@@ -120,7 +120,7 @@ def _(t):
     return _xy(t).select("l_orderkey", "l_linenumber", N.coalesce("y", "x", F.lit(-1)).alias("c"), F.round(N.divide("x", "y"), 6).alias("r"))
 
 
-@q("f26_today")
+@q("f26_today", "SELECT current_date >= CAST(max(o_orderdate) AS DATE) AS past FROM orders")
 def _(t):
     return t.orders.agg(F.max("o_orderdate").alias("last")).select((D.today() >= F.to_date("last")).alias("past"))
 

@@ -29,7 +29,15 @@ def _(t):
     return M.reg(t.lineitem, "l_extendedprice", "l_quantity").coefficients().select("term", F.round("estimate", 3).alias("estimate"))
 
 
-@q("m2_reg_inference")
+_FIT = "SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_avgx(l_extendedprice, l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, (regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2) AS mse FROM lineitem"
+
+
+@q("m2_reg_inference", f"WITH f AS ({_FIT}) SELECT 'intercept' AS term, round(sqrt(mse * (1 / n + mx * mx / sxx)), 4) AS se, round(a / sqrt(mse * (1 / n + mx * mx / sxx)), 4) AS t FROM f UNION ALL SELECT 'l_quantity', round(sqrt(mse / sxx), 4), round(b / sqrt(mse / sxx), 4) FROM f")
+def _(t):
+    return M.reg(t.lineitem, "l_extendedprice", "l_quantity").coefficients().select("term", F.round("se", 4).alias("se"), F.round("t", 4).alias("t"))
+
+
+@q("m2_reg_multiple")
 def _(t):
     return M.reg(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).coefficients()
 
@@ -46,9 +54,10 @@ def _(t):
     return M.anova(t.lineitem, "l_extendedprice", ["l_returnflag", "l_linestatus", "l_returnflag*l_linestatus"])
 
 
-@q("m4_tukey")
+@q("m4_tukey", """WITH g AS (SELECT o_orderpriority AS k, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1), e AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS mse FROM g)
+SELECT x.k AS a, y.k AS b, round(y.m - x.m, 4) AS diff, round(abs(y.m - x.m) / sqrt(mse / 2 * (1 / x.n + 1 / y.n)), 6) AS q FROM g x JOIN g y ON x.k < y.k, e""")
 def _(t):
-    return M.tukey(t.orders, "o_totalprice", "o_orderpriority")
+    return M.tukey(t.orders, "o_totalprice", "o_orderpriority").select("a", "b", F.round("diff", 4).alias("diff"), F.round("q", 6).alias("q"))
 
 
 @q("m5_logistic")
@@ -89,12 +98,15 @@ def _(t):
     return out.withColumns({"survival": F.round("survival", 6), "se": F.round("se", 6)})
 
 
-@q("m14_logrank_table", f"""WITH s AS ({_SURV}), e AS (SELECT time, sum(event) AS d FROM s GROUP BY 1 HAVING sum(event) > 0), x AS (SELECT e.time, e.d, seg, count(*) AS k, sum(count(*)) OVER (PARTITION BY e.time) AS r FROM e JOIN s ON s.time >= e.time GROUP BY 1, 2, 3)
-SELECT seg, (SELECT CAST(count(*) AS BIGINT) FROM s WHERE s.seg = x.seg) AS n, (SELECT CAST(sum(event) AS BIGINT) FROM s WHERE s.seg = x.seg) AS observed, round(sum(d * k / r), 5) AS expected FROM x GROUP BY 1""")
+_LOGRANK = f"""WITH s AS ({_SURV}), e AS (SELECT time, sum(event) AS d FROM s GROUP BY 1 HAVING sum(event) > 0), x AS (SELECT e.time, e.d, seg, count(*) AS k, sum(count(*)) OVER (PARTITION BY e.time) AS r FROM e JOIN s ON s.time >= e.time GROUP BY 1, 2, 3)
+SELECT seg, (SELECT CAST(count(*) AS BIGINT) FROM s WHERE s.seg = x.seg) AS n, (SELECT CAST(sum(event) AS BIGINT) FROM s WHERE s.seg = x.seg) AS observed, round(sum(d * k / r), 5) AS expected FROM x GROUP BY 1"""
+
+
+@q("m14_logrank_table", _LOGRANK)
 def _(t):
     return M.logrank_table(_surv(t), "time", "event", "seg").withColumn("expected", F.round("expected", 5))
 
 
-@q("m14_logrank")
+@q("m14_logrank", f"SELECT round(sum(pow(observed - expected, 2) / expected), 4) AS chi2, CAST(count(*) - 1 AS BIGINT) AS df FROM ({_LOGRANK.replace('round(sum(d * k / r), 5)', 'sum(d * k / r)')})")
 def _(t):
-    return M.logrank(_surv(t), "time", "event", "seg")
+    return M.logrank(_surv(t), "time", "event", "seg").select(F.round("chi2", 4).alias("chi2"), "df")

@@ -178,7 +178,47 @@ def _(t):
     return K.complexity(_scripts(t))
 
 
-@q("k4_seven_dimensions")
+def _any(*words):
+    return "(" + " OR ".join(f"contains(u, '{w}')" for w in words) + ")"
+
+
+def _pt(cond, points):
+    return f"CASE WHEN {cond} THEN {points} ELSE 0 END"
+
+
+def _hit(p):
+    return f"regexp_matches(u, '{p}')"
+
+
+def _c(p):
+    return f"len(regexp_extract_all(u, '{p}'))"
+
+
+def _uq(p):
+    return f"len(list_distinct(regexp_extract_all(u, '{p}')))"
+
+
+def _proc(*names):
+    return "(" + " OR ".join(f"list_contains(procs, '{n.upper()}')" for n in names) + ")"
+
+
+_IN, _OUTP, _STEP, _MAC = _c(r"\b(?:SET|MERGE|FROM|JOIN)\s+[\w.]+"), _c(r"\bDATA\s+[\w.]+"), _c(r"\bDATA\s+\w+"), _c(r"%MACRO\b")
+_SEVEN = {
+    "constructs": (25, [f"2 * {_STEP}", _pt(f"{_STEP} > 10", 5), _pt(_any("RETAIN"), 1), _pt(_any("ARRAY"), 3), _pt(_any("DO"), 2), _pt(_hit(r"(?s)\bDO\b.*\bDO\b"), 4), _pt(_any("IF") + " AND " + _any("ELSE"), 1), _pt(_hit(r"(?s)\bIF\b.*\bIF\b"), 2), _pt(_any("MERGE"), 3), _pt(_any("UPDATE"), 3), _pt(_any("MODIFY"), 4), _pt(_any("DECLARE") + " AND " + _any("HASH"), 5), f"least(20, {_weights(K.PROC_POINTS_SEVEN, 2).replace('upper(text)', 'u')})"]),
+    "clinical": (20, [_pt(_any("SDTM", "USUBJID", "VISITNUM", "PARAMCD", "DOMAIN"), 4), _pt(_any("ADAM", "AVAL", "BASE", "CHG", "ANL01FL", "ADSL"), 4), _pt(_any("PROC REPORT", "PROC TABULATE"), 4), _pt(_any("PROC REPORT"), 2), _pt(_any("PROC COMPARE"), 2), _pt(_any("QC.", "QC_", "COMPARE"), 2), _pt(_any("STUDYID", "USUBJID"), 2)]),
+    "execution": (20, [_pt(f"{_IN} > 5", 2), _pt(f"{_OUTP} > 6", 4), _pt(f"{_OUTP} > 3", 2), _pt(_c(r"\bJOIN\b") + " > 1", 3), _pt(_hit(r"\(\s*SELECT\b"), 2), _pt(_any("CASE") + " AND " + _any("WHEN"), 2), _pt(_c(r"\bIF\b") + " > 3", 3), _pt(f"{_IN} + {_OUTP} > 5", 2)]),
+    "data": (15, [f"least(5, {_IN})", _pt(_hit(r"\bBY\b"), 2), _pt(_uq(r"\b\w+\.\w+\b") + " > 1", 2), _pt(_any("LOOKUP", "REF", "MAP", "CODE"), 2), _pt(_any("FORMAT ", "PROC FORMAT"), 2), _pt(_any("INFORMAT"), 2)]),
+    "macro": (10, [_pt(f"{_MAC} > 0", 3), f"least(3, {_c('%' + chr(92) + 'w+')} - {_MAC})", _pt(_hit(r"(?s)%MACRO.*%MACRO\b"), 3), _pt(f"{_MAC} > 2", 5), _pt(_any("CALL EXECUTE"), 5), f"least(3, {_uq('&' + chr(92) + 'w+')})"]),
+    "statistical": (5, [_pt(_proc("means", "summary", "freq", "univariate"), 1), _pt(_proc("reg", "glm", "logistic", "genmod"), 2), _pt(_proc("lifetest", "phreg"), 3), _pt(_proc("mixed", "glimmix"), 3), _pt(_any("BAYES", "MCMC"), 4)]),
+    "reporting": (5, [_pt(_proc("report"), 2), _pt(_proc("template"), 2), _pt(_any("ODS"), 1), _pt(_any("PDF", "RTF", "EXCEL", "XLSX"), 1)]),
+    "bonus": (5, [_pt(_any("CALL EXECUTE"), 2), _pt(_any("CALL SYMPUT"), 2), _pt(_any("DICTIONARY.COLUMNS", "DICTIONARY.TABLES"), 1), _pt(_any("PROC FORMAT"), 2)]),
+}
+_K4 = f"""WITH s AS ({_S}), v AS (SELECT id, upper(text) AS u, list_distinct(regexp_extract_all(upper(text), '\\bPROC\\s+(\\w+)', 1)) AS procs FROM s),
+d AS (SELECT id, {', '.join(f"CAST(least({cap}, {' + '.join(parts)}) AS INTEGER) AS {k}" for k, (cap, parts) in _SEVEN.items())}, {_pt(f'{_STEP} = 1', 3)} + {_pt('len(procs) = 0', 5)} + {_pt("NOT contains(u, '%')", 2)} + {_pt(f'{_IN} = 1', 2)} AS p FROM v),
+e AS (SELECT * EXCLUDE (p), p + CASE WHEN clinical = 0 THEN 3 ELSE 0 END AS penalty FROM d) SELECT *, greatest(0, least(100, {' + '.join(_SEVEN)} - penalty)) AS total FROM e"""
+
+
+@q("k4_seven_dimensions", _K4)
 def _(t):
     return K.seven_dimensions(_scripts(t))
 

@@ -174,7 +174,7 @@ def _(t):
     return a.unionByName(b)
 
 
-@q("p23_metadata")
+@q("p23_metadata", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(t):
     df = P.set_meta(t.orders, {"o_totalprice": {"label": "Total price", "format": "8.2"}})
     assert df.schema["o_totalprice"].metadata["label"] == "Total price"
