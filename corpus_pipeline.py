@@ -23,19 +23,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, once."""
-    groups = common.staged(simhash.near_duplicates(docs), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    same = docs.join(first, "doc_id", "left_semi")
-    repeated = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("h")).where("n > 1")
-    return _one_of_each(docs, same, common.staged(repeated, "repeated"))
-
-
-def _one_of_each(docs: DataFrame, same: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``same`` with rows that share a doc_id reduced to one, and the rows without a doc_id."""
-    alone = same.join(repeated, "doc_id", "left_anti")
-    once = same.join(repeated, "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"])
-    return alone.unionByName(once.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates: the one with the smallest doc_id, once; rows without a doc_id stay."""
+    groups = simhash.near_duplicates(docs)
+    ids = common.staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).where("doc_id = c"), "kept")
+    # the kept ids grow with the documents: a shuffle join at every size, never a broadcast of them
+    alone = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    shared = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    once = shared.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("r")).select("r.*")
+    return alone.unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

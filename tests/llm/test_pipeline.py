@@ -44,3 +44,14 @@ def test_stages_and_run(spark, tmp_path):
     for r in packed:
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.n_tokens
     assert sizes == {i: len(r.text.split()) + 1 for i, r in after.items()}
+
+
+def test_stages_on_empty_and_null_rows(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, None), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in ([], [(None, None, None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "words " * 9, None, None, None)]):
+        docs = spark.createDataFrame(rows, shape)
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            kept = {"language_id": 0, "simhash_near_dedup": 3 if rows else 0}.get(name, len(rows))
+            assert out.count() == kept, name
