@@ -6,13 +6,14 @@ documents. Escape is method C: a context with total T and d distinct bytes gives
 byte seen n times and d / (T + d) to the escape, after which the next shorter context predicts
 without the bytes already excluded. What follows a context also follows its suffix, so the
 exclusions of a level are exactly the bytes of the level above, and each context's reduced total
-is a constant: scoring looks up one fingerprint of a byte string per level that it visits.
+is a constant: the probability of a byte is a function of it and the ``order`` bytes before it.
 
-Counts are Spark aggregates over all training documents. Entries of contexts of two or more bytes
-are kept where they make up at least 1 / ``SHARE`` of all positions, so at most ``SHARE`` entries
-per length reach the executors, however large the corpus; the rest falls to the escape. Likewise
-the words that make up at least 1 / ``SHARE`` of all tokens are broadcast for the base score, and
-all other words meet their counts in a join.
+Counts are Spark aggregates over all training documents, and every counted entry is kept, with
+totals over all of a context's entries, in tables that never leave Spark. Only the ``TABLE`` most
+frequent byte strings are broadcast, with their probabilities; each text lists its other byte
+strings, and their distinct values meet the tables in joins, as do the contexts to which unseen
+ones escape. Likewise the words that make up at least 1 / ``SHARE`` of all tokens are broadcast
+for the base score, and all other words meet their counts in a join.
 
 Defined results: a null or blank text is its end mark alone; a null doc_id is folded as the empty
 text, hence trains; rows are kept one for one; other columns are ignored; without training
@@ -32,6 +33,8 @@ from . import common as C
 
 ORDER = 5
 SHARE = 1 << 22
+#: Byte strings whose probabilities are broadcast; all others are joined.
+TABLE = 1 << 19
 END = np.uint64(10)  # no word holds a line feed, so it can mark a text's end
 END_TOKEN = np.uint64(1)
 WORD, GRAM = 0, 1
@@ -144,72 +147,59 @@ class Lookup:
         return out
 
 
-class Trie:
-    """Kept entries by context length, with what scoring needs of each context."""
-
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
-        """entries[j]: sorted keys (context of j bytes, next byte) and their counts; each level's suffixes are in the one below."""
-        self.entries, self.contexts = [], []
-        self.counts, self.first, self.out, self.reduced, self.again = [], [], [], [], []
-        below = None
-        for keys, n in entries:
-            context, start = np.unique(keys >> np.uint64(8), return_index=True)
-            size = np.diff(np.append(start, len(keys)))
-            total = np.add.reduceat(n, start) if len(keys) else n[:0]
-            own = np.repeat(np.arange(len(context)), size)
-            entry = Lookup(keys)
-            self.entries.append(entry)
-            self.contexts.append(Lookup(context))
-            self.counts.append(np.log10(n))
-            self.first.append((np.log10(n) - np.log10(total + size)[own]).astype(np.float32))
-            self.out.append(np.log10(size / (total + size)))
-            if below is None:
-                self.reduced.append(None)
-                self.again.append(None)
-            else:
-                j = len(self.entries) - 1
-                cut = np.uint64((1 << 8 * j) - 1)
-                seen = below["n"][below["find"].find(keys & cut)]
-                suffix = below["contexts"].find(context & (cut >> np.uint64(8)))
-                left = below["total"][suffix] - (np.add.reduceat(seen, start) if len(keys) else seen)
-                fresh = np.maximum(below["size"][suffix] - size, 1)
-                self.reduced.append(np.log10(left + fresh))
-                self.again.append(np.log10(fresh / (left + fresh)))
-            below = {"n": n, "find": entry, "contexts": self.contexts[-1], "total": total, "size": size}
-        self.last = -np.log10(max(1, 256 - (len(entries[0][0]) if entries else 0)))
-        self.none = -np.log10(256)
-
-    def score(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte, from the number of it and the bytes before it."""
-        out = np.zeros(len(key))
-        todo, came = np.arange(len(key)), np.full(len(key), -1, np.int64)  # came: the context above that escaped
-        for j in range(len(self.entries) - 1, -1, -1):
-            if not len(todo):
-                return out
-            now = key[todo] & np.uint64((1 << 8 * (j + 1)) - 1)
-            row = self.entries[j].find(now)
-            hit, fresh = row >= 0, came < 0
-            a = hit & fresh
-            out[todo[a]] += self.first[j][row[a]]
-            b = hit & ~fresh
-            out[todo[b]] += self.counts[j][row[b]] - self.reduced[j + 1][came[b]] if b.any() else 0
-            miss = ~hit
-            todo, now, came = todo[miss], now[miss], came[miss]
-            if not len(todo):
-                return out
-            context = self.contexts[j].find(now >> np.uint64(8)).astype(np.int64)
-            opened = (context >= 0) & (came < 0)
-            out[todo[opened]] += self.out[j][context[opened]]
-            passed = (context >= 0) & (came >= 0)
-            if passed.any():
-                out[todo[passed]] += self.again[j + 1][came[passed]]
-            came = context
-        out[todo] += np.where(came >= 0, self.last, self.none)
-        return out
+def _mask(size: Column) -> Column:
+    """The lowest ``size`` bytes (none where negative)."""
+    return F.pow(F.lit(256.0), F.greatest(size, F.lit(0))).cast("long") - 1
+
+
+def _entries(grams: DataFrame, order: int) -> DataFrame:
+    """j, key, n: how often each byte follows each context of j bytes; a key is the context and the byte."""
+    levels = F.array(*[F.struct(F.lit(j).alias("j"), F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")) for j in range(order + 1)])
+    return grams.select(F.explode(levels).alias("e"), "n").groupBy("e.j", "e.key").agg(F.sum("n").alias("n"))
+
+
+def _contexts(entries: DataFrame) -> DataFrame:
+    """j, context, total, size of every context; room and fresh: total and escape of its suffix without the bytes seen in it."""
+    own = entries.select("j", F.shiftright("key", 8).alias("context"), "n", (F.col("j") - 1).alias("i"), F.col("key").bitwiseAND(_mask(F.col("j"))).alias("suffix"))
+    shorter = entries.select(F.col("j").alias("i"), F.col("key").alias("suffix"), F.col("n").alias("seen"))
+    found = own.join(shorter, ["i", "suffix"], "left").groupBy("j", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"), F.sum("seen").alias("seen"))
+    found = C.staged(found, "totals")
+    below = found.select(F.col("j").alias("i"), F.col("context").alias("suffix"), F.col("total").alias("below"), F.col("size").alias("wide"))
+    longer = found.withColumns({"i": F.col("j") - 1, "suffix": F.col("context").bitwiseAND(_mask(F.col("j") - 1))}).join(below, ["i", "suffix"], "left")
+    fresh = F.greatest(F.col("wide") - F.col("size"), F.lit(1))
+    return longer.select("j", "context", "total", "size", (F.col("below") - F.col("seen") + fresh).alias("room"), fresh.alias("fresh"))
+
+
+def _escaped(keys: DataFrame, model: dict) -> DataFrame:
+    """key, v: log10 probability of byte strings that the longest contexts do not hold, by their shorter contexts."""
+    order = model["order"]
+    levels = F.array(*[F.struct(F.lit(j).alias("j"), F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("sub")) for j in range(order + 1)])
+    asked = keys.select("key", F.explode(levels).alias("e")).select("key", "e.j", "e.sub", F.shiftright("e.sub", 8).alias("context"))
+    entries = model["entries"].select("j", F.col("key").alias("sub"), "n")
 
+    def met(some: Column, hint: str) -> DataFrame:
+        return asked.where(some).join(entries.where(some).hint(hint), ["j", "sub"], "left").join(model["contexts"].where(some).hint(hint), ["j", "context"], "left")
 
-def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: int = SHARE) -> dict:
-    """What scoring needs, learnt from all rows of ``docs``: the trie, frequent words, and a table of the other words' counts."""
+    # contexts of one byte or none are met by all: at most 65,792 entries, so they go to the rows
+    both = met(F.col("j") > 1, "merge").unionByName(met(F.col("j") <= 1, "broadcast"))
+    names = ("n", "total", "size", "room", "fresh")
+    wide = both.groupBy("key").agg(*[F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(order + 1) for c in names])
+    v = F.when(F.col("total0").isNull(), -F.log10(F.lit(256.0))).otherwise(-F.log10(F.greatest(F.lit(256) - F.col("size0"), F.lit(1))))
+    for j in range(order + 1):
+        room, out = F.col(f"total{j}") + F.col(f"size{j}"), F.col(f"size{j}")
+        if j < order:  # the longer context escaped, where it is known
+            above = F.col(f"total{j + 1}").isNotNull()
+            room, out = F.when(above, F.col(f"room{j + 1}")).otherwise(room), F.when(above, F.col(f"fresh{j + 1}")).otherwise(out)
+        v = F.when(F.col(f"n{j}").isNotNull(), F.log10(f"n{j}") - F.log10(room)).otherwise(F.coalesce(F.log10(out) - F.log10(room), F.lit(0.0)) + v)
+    return wide.select("key", v.alias("v"))
+
+
+def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: int | None = None, table: int = TABLE) -> dict:
+    """What scoring needs, learnt from all rows of ``docs``: tables of entries and contexts, what is broadcast, and the other words' counts.
+
+    ``share`` asks for a pruned model: entries of contexts of two or more bytes that make up less than 1 / ``share`` of all positions
+    are left out. By default none is.
+    """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = C.staged(texts.mapInArrow(_count(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total = {r["kind"]: (r["n"], r["v"]) for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
@@ -217,53 +207,73 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: in
     positions = total.get(GRAM, (0, 0))[0]
 
     def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        table = df.toArrow()  # at most ``share`` rows, by the filter on n (orders 0 and 1: at most 65,536)
-        keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        at = np.argsort(keys)
-        return keys[at], n[at]
-
-    entries = []
-    for j in range(order + 1):
-        level = counted.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        entries.append(arrays(level.where(F.col("n") * share >= positions) if j > 1 else level))
+        found = df.toArrow()  # at most ``table`` byte strings or ``SHARE`` words, by the filter on n
+        keys, values = (found.column(c).to_numpy() for c in df.columns)
+        at = np.argsort(keys.view(np.uint64))
+        return keys.view(np.uint64)[at], values[at]
+
+    entries = _entries(counted.where(F.col("kind") == GRAM), order)
+    if share is not None:
+        entries = entries.where((F.col("j") <= 1) | (F.col("n") * share >= positions))
+    entries = C.staged(entries, "entries")
+    contexts = C.staged(_contexts(entries), "contexts")
+    longest = entries.where(F.col("j") == order).withColumn("context", F.shiftright("key", 8)).join(contexts.where(F.col("j") == order).select("context", "total", "size"), "context")
+    seen = C.staged(longest.select("key", (F.log10("n") - F.log10(F.col("total") + F.col("size"))).alias("v"), F.floor(F.log2("n") * 8).alias("band")), "seen")
+    least, room = 1 << 20, table
+    for r in seen.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect():  # at most 504 bands
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["band"]
+    grams = arrays(seen.where(F.col("band") >= least).select("key", "v"))
     words = counted.where(F.col("kind") == WORD).select("key", "n")
     ends = words.where(F.col("key") == int(END_TOKEN)).agg(F.sum("n")).first()[0] or 0
-    frequent = arrays(words.where(F.col("n") * share >= tokens))
-    return {"trie": Trie([e for e in entries if len(e[0])]), "order": order, "tokens": int(tokens or 0), "vocabulary": int(vocabulary or 0), "ends": int(ends), "frequent": (Lookup(frequent[0]), frequent[1]), "others": words.where(F.col("n") * share < tokens)}
+    frequent = arrays(words.where(F.col("n") * (share or SHARE) >= tokens))
+    return {
+        "order": order, "tokens": int(tokens or 0), "vocabulary": int(vocabulary or 0), "ends": int(ends), "frequent": (Lookup(frequent[0]), frequent[1]),
+        "others": words.where(F.col("n") * (share or SHARE) < tokens), "grams": (Lookup(grams[0]), grams[1]), "seen": seen.where(F.col("band") < least).select("key", "v"),
+        "entries": entries, "contexts": contexts,
+    }
+
+
+def _listed(owner: np.ndarray, keys: np.ndarray, docs: int) -> pa.Array:
+    """For each text the distinct ones of its keys and how often it holds each."""
+    at = np.lexsort((keys, owner))
+    owner, keys = owner[at], keys[at]
+    new = np.ones(len(keys), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys)))
+    rows = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(docs + 1)).astype(np.int32)), rows)
 
 
 def _score(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        trie, (find, counts), total = model["trie"], model["frequent"], model["tokens"] + model["vocabulary"] + 1
-        logs = np.append(np.log10((counts + 1) / total), 0.0)
+        (find_gram, values), (find, counts), total = model["grams"], model["frequent"], model["tokens"] + model["vocabulary"] + 1
+        values, logs = np.append(values, 0.0), np.append(np.log10((counts + 1) / total), 0.0)
         end_log, end_known = np.log10((model["ends"] + 1) / total), int(model["ends"] > 0)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at, to, w in C.word_chunks(batch.column("text"), lower=True):
                     docs = to - at
                     text, begin = normal_form(w)
-                    score = np.add.reduceat(trie.score(grams(text, begin, order)), begin[:-1])
+                    key = grams(text, begin, order)
+                    gram = find_gram.find(key)
+                    score = np.add.reduceat(values[gram], begin[:-1])
+                    far = np.flatnonzero(gram < 0)
                     h, owner = w.hashes(), w.doc_of_word()
                     row = find.find(h)
                     known = np.bincount(owner[row >= 0], minlength=docs) + end_known
                     base = np.bincount(owner, logs[row], docs) + end_log
                     rest = row < 0
-                    pairs = np.stack([owner[rest].astype(np.uint64), h[rest]], 1)
-                    order_at = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                    pairs = pairs[order_at]
-                    new = np.ones(len(pairs), bool)
-                    new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-                    first = np.flatnonzero(new)
-                    times = np.diff(np.append(first, len(pairs)))
-                    listed = pa.StructArray.from_arrays([pa.array(pairs[first, 1].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
-                    cuts = np.searchsorted(pairs[first, 0].astype(np.int64), np.arange(docs + 1)).astype(np.int32)
                     yield pa.record_batch(
                         [
                             *(batch.column(c).slice(at, docs) for c in ("doc_id", "row", "held_out")), pa.array(np.diff(w.first) + 1), pa.array(known.astype(np.int64)),
-                            pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), listed),
+                            pa.array(base), pa.array(score), _listed(owner[rest], h[rest], docs), _listed(np.searchsorted(begin, far, "right") - 1, key[far], docs),
                         ],
-                        ["doc_id", "row", "held_out", "n_tokens", "known", "base", "score", "others"],
+                        ["doc_id", "row", "held_out", "n_tokens", "known", "base", "score", "others", "grams"],
                     )
 
     return run
@@ -274,17 +284,22 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast({k: model[k] for k in ("trie", "frequent", "tokens", "vocabulary", "ends")})
-    shape = f"doc_id {dict(rows.dtypes)['doc_id']}, row long, held_out boolean, n_tokens long, known long, base double, score double, others array<struct<key:long,times:int>>"
+    shared = spark.sparkContext.broadcast({k: model[k] for k in ("grams", "frequent", "tokens", "vocabulary", "ends")})
+    shape = f"doc_id {dict(rows.dtypes)['doc_id']}, row long, held_out boolean, n_tokens long, known long, base double, score double, others array<struct<key:long,times:int>>, grams array<struct<key:long,times:int>>"
     scored = C.staged(rows.mapInArrow(_score(shared, model["order"]), shape), "scored")
     total = model["tokens"] + model["vocabulary"] + 1
     rare = scored.select("row", F.inline("others")).join(C.staged(model["others"], "others"), "key", "left")
     n = F.coalesce("n", F.lit(0))
-    sums = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(total)))).alias("b"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"))
-    out = scored.drop("others").join(sums, "row", "left")
+    rare = rare.select("row", (F.col("times") * F.log10((n + 1) / F.lit(float(total)))).alias("b"), F.when(n > 0, F.col("times")).otherwise(0).alias("k"), F.lit(0.0).alias("g"))
+    listed = scored.select("row", F.inline("grams"))
+    unseen = C.staged(listed.select("key").distinct().join(model["seen"].hint("merge"), "key", "left_anti"), "unseen")
+    priced = model["seen"].unionByName(C.staged(_escaped(unseen, model), "escaped"))
+    far = listed.join(priced.hint("merge"), "key").select("row", F.lit(0.0).alias("b"), F.lit(0).alias("k"), (F.col("times") * F.col("v")).alias("g"))
+    sums = rare.unionByName(far).groupBy("row").agg(F.sum("b").alias("b"), F.sum("k").alias("k"), F.sum("g").alias("g"))
+    out = scored.drop("others", "grams").join(sums, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        F.round(F.col("base") + F.coalesce("b", F.lit(0.0)), 6).alias("base_score"), F.round("score", 6).alias("score"),
+        F.round(F.col("base") + F.coalesce("b", F.lit(0.0)), 6).alias("base_score"), F.round(F.col("score") + F.coalesce("g", F.lit(0.0)), 6).alias("score"),
     )
 
 

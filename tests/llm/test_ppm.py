@@ -96,3 +96,23 @@ def test_lookup():
     find = ppm.Lookup(keys)
     assert find.find(keys).tolist() == list(range(len(keys)))
     assert set(find.find(keys + np.uint64(1)).tolist()) <= {-1}
+
+
+def test_a_rare_entry_stays_in_a_large_corpus(spark):
+    # over 2**22 positions: entries seen once were dropped, so their text was scored by escapes
+    docs = spark.createDataFrame([(1, "a " * 2_200_000), (2, "qzj kxw")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score_documents(docs, ppm.learn(docs)).collect()}
+    assert abs(got[2] - (math.log10(1 / 4) + 7 * math.log10(1 / 2))) < 1e-5
+
+
+@pytest.mark.parametrize(("table", "share"), [(0, None), (25, None), (25, 60)])
+def test_what_is_not_broadcast_is_joined(spark, table, share):
+    rng = random.Random(table)
+    texts = TEXTS + [" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(30))) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    train = docs.where("doc_id % 3 > 0")
+    model = ppm.learn(train, share=share, table=table)
+    assert len(model["grams"][1]) <= table
+    slow = Slow([t for i, t in enumerate(texts) if i % 3], ppm.ORDER, share or math.inf)
+    got = {r.doc_id: r.score for r in ppm.score_documents(docs, model).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(texts))], [slow.score(t) for t in texts], atol=2e-5, rtol=1e-6)
