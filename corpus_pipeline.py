@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm import common, decontamination, language_id, packing, secrets, simhash
+from stepforge.llm import common, decontamination, language_id, near_copies, packing, secrets, simhash
 
 #: Least mean probability of the best language: a text that no learned language holds a quarter of goes.
 LEAST_SCORE = 0.25
@@ -23,8 +23,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, once; rows without a doc_id stay."""
-    groups = simhash.near_duplicates(docs)
+    """One document of each group of near-duplicates: the one with the smallest doc_id, once; rows without a doc_id stay.
+
+    Near-duplicates: fingerprints within two bits, or sets of five-word shingles that agree to 0.8 or more.
+    """
+    groups = simhash.near_duplicates(docs, more=near_copies.links(docs))
     ids = common.staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).where("doc_id = c"), "kept")
     # the kept ids grow with the documents: a shuffle join at every size, never a broadcast of them
     alone = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")

@@ -97,12 +97,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return middle.join(star, "middle").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, and over ``more`` (a, b) edges of doc_ids."""
     marked = C.staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     # distinct fingerprints stand for all their copies from here on
     fps = C.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    joined = C.staged(components(links(fps.where("node is not null"), radius)), "components")
+    edges = links(fps.where("node is not null"), radius)
+    if more is not None:
+        name = C.staged(marked.where("doc_id is not null").join(fps, "fp").select("doc_id", "node").distinct(), "nodes")
+        edges = edges.unionByName(more.join(name.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    joined = C.staged(components(edges), "components")
     named = C.staged(fps.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
     out = marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out
