@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from stepforge.llm.decontamination import contaminated, tile, without_contaminated
 
@@ -25,6 +28,13 @@ def brute(doc, item, seed):
             md[d + j] = mi[i + j] = True
 
 
+def shared(doc, item, seed):
+    """The places of each seed that both hold."""
+    of = lambda words, s: np.array([at for at in range(len(words) - seed + 1) if words[at : at + seed] == s])
+    seeds = sorted({tuple(item[i : i + seed]) for i in range(len(item) - seed + 1)})
+    return [(of(doc, list(s)), of(item, list(s))) for s in seeds if len(of(doc, list(s)))]
+
+
 def test_tile_against_rescanning():
     rng = random.Random(4)
     for _ in range(60):
@@ -32,9 +42,7 @@ def test_tile_against_rescanning():
         doc = [rng.choice("abcd") for _ in range(rng.randrange(40))]
         at = rng.randrange(len(doc) + 1)
         doc[at:at] = item[len(item) // 2 :] + ["z"] * rng.randrange(2) + item[: len(item) // 2]
-        seeds = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if doc[d : d + 3] == item[i : i + 3]]
-        assert sum(n for *_, n in tile(seeds, 3)) == sum(n for *_, n in brute(doc, item, 3))
-        assert sorted(n for *_, n in tile(seeds, 3)) == sorted(n for *_, n in brute(doc, item, 3))
+        assert tile(shared(doc, item, 3), 3) == brute(doc, item, 3)
 
 
 def test_documents(spark):
@@ -63,3 +71,38 @@ def test_removal_keeps_clean_rows_and_columns(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, "clean"), (2, "x"), (2, "x")]
     assert without_contaminated(docs.limit(0), items).count() == 0
     assert without_contaminated(docs, items.limit(0)).count() == 6
+
+
+def test_repeated_words_copies_and_common_lines(spark):
+    rng = random.Random(9)
+    began = time.monotonic()
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    line = text(12)
+    items = ["na " * 400, text(60), *[f"{line} {text(24)}" for _ in range(40)]]
+    docs = [(0, "na " * 20_000), (1, "na " * 200)]
+    docs += [(10 + i, items[1]) for i in range(20_000)]
+    docs += [(30_000 + i, f"{line} {text(30)}") for i in range(500)] + [(40_000, items[7]), (40_001, text(30) + " " + items[8])]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.coverage for r in got.collect()}
+    assert found == {(0, 0): 1.0, **{(10 + i, 1): 1.0 for i in range(20_000)}, (40_000, 7): 1.0, (40_001, 8): 1.0}
+    assert time.monotonic() - began < 60
+
+
+def test_random_texts_of_few_words_against_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda n: [rng.choice("abcde") for _ in range(n)]
+    items = [text(rng.randrange(5, 30)) for _ in range(12)]
+    docs = [text(rng.randrange(60)) for _ in range(60)]
+    for d in docs[::3]:
+        whole = rng.choice(items)
+        at = rng.randrange(len(d) + 1)
+        d[at:at] = whole[rng.randrange(3) : rng.randrange(8, 30)]
+    got = contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): (r.n_tiles, r.longest_tile, r.covered_words) for r in got.collect()}
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            sizes = [n for *_, n in brute(doc, item, 5)]
+            if sizes and sum(sizes) >= 0.6 * len(item):
+                want[d, i] = (len(sizes), max(sizes), sum(sizes))
+    assert found == want and len(want) > 10
