@@ -1,92 +1,144 @@
 """Links between near copies: texts whose sets of five-word shingles agree to 0.8 or more.
 
 Equal texts (by their words, A-Z lower-cased) stand together from the start. Every distinct text
-has ``BANDS`` keys, each from the least values of ``ROWS`` hash functions over its shingles. Two
-texts of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8. In each
-bucket all texts meet the smallest one and are verified by their whole shingle sets; those that do
-not resemble it meet the smallest among themselves, until none is left: no list of all pairs, no
-limit on a bucket's size and no false link.
+has a sketch, the ``SKETCH`` least fingerprints of its shingles; the least of two texts' union are
+a random sample of it, so texts that agree to 0.8 share ``needed`` members or more, but for one
+pair in a million. Members in one text only cannot be shared, so a text with too many of them has
+no partner and is done; nearly all texts are. The others are filed under the rarest members of
+their sketches, as many as leave fewer than ``needed`` out (what all texts have in common files
+nobody).
+
+In each file all texts meet a few pivots, the most central ones, whose sketches are compared first
+and whole shingle sets after that. A text leaves a file with the first pivot that it resembles;
+those unlike all meet new pivots, more of them as fewer texts are left, until none is left: no list
+of all pairs, no limit on a file's size and no false link. What it does not find: a link between a
+text that resembles a pivot and one that resembles no pivot it meets, where nothing else joins
+their groups. Finding these too (by the differences of each member from its pivot) was tried and
+did not end in time on large groups of copies that agree to about 0.7 with one another.
 
 Defined results: a text of fewer than five words is one shingle; null and blank texts are equal;
-rows without a doc_id are not linked; other columns are ignored.
+ids must tell rows apart, and rows without one are not linked; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
-_MIXERS = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = 64
+#: Standard deviations below the mean of a sample's shared members that still count as candidates.
+SLACK = 4.9
 
 
-def _shingles(w: C.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints of all texts' shingles, where each text's begin and the end, fingerprint of each whole text)."""
+def _shingles(w: C.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints of all texts' distinct shingles, least first in each text, where each text's begin and the end, two fingerprints of each whole text)."""
     h = w.hashes()
     n = np.diff(w.first)
     many = np.maximum(n - size + 1, 1)
     begin = np.concatenate([[0], np.cumsum(many)])
     start = np.repeat(w.first[:-1] - begin[:-1], many) + np.arange(begin[-1])
     end = np.minimum(start + size, np.repeat(w.first[1:], many))
-    return C.spans_hash(h, start, end), begin, C.spans_hash(h, w.first[:-1], w.first[1:], 1)
+    owner = np.repeat(np.arange(len(n)), many)
+    g = C.spans_hash(h, start, end)
+    order = np.lexsort((g, owner))
+    g = g[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.searchsorted(owner[new], np.arange(len(n) + 1))
+    return g[new], begin, C.spans_hash(h, w.first[:-1], w.first[1:], 1), C.spans_hash(w.hashes(1), w.first[:-1], w.first[1:])
 
 
-def _bands(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for at, to, w in C.word_chunks(batch.column("text"), lower=True):
-                    g, begin, whole = _shingles(w, size)
-                    keys = np.zeros((to - at, BANDS), np.uint64)
-                    for i in range(BANDS * ROWS):
-                        least = np.minimum.reduceat((g ^ _MIXERS[0, i]) * _MIXERS[1, i], begin[:-1])
-                        keys[:, i // ROWS] = C.mix(keys[:, i // ROWS] + least)
-                    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (to - at) * BANDS + 1, BANDS, np.int32)), pa.array(keys.ravel().view(np.int64)))
-                    yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(whole.view(np.int64)), listed], ["doc_id", "h", "bands"])
+def _listed(values: np.ndarray, begin: np.ndarray, most: int | None) -> pa.ListArray:
+    """The values of each text, the first ``most`` of them where given."""
+    rank = np.arange(len(values)) - np.repeat(begin[:-1], np.diff(begin))
+    kept = values if most is None else values[rank < most]
+    sizes = np.diff(begin) if most is None else np.minimum(np.diff(begin), most)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(kept.view(np.int64)))
 
-    return run
 
+def _members(shingle: int, most: int | None):
+    """id, two fingerprints of the words, the number of distinct shingles, and the least of them (all where ``most`` is None)."""
 
-def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for _, _, w in C.word_chunks(batch.column("text"), lower=True):
-                    g, begin, whole = _shingles(w, size)
-                    sets = [np.unique(g[a:b]).view(np.int64) for a, b in zip(begin[:-1], begin[1:])]
-                    yield pa.record_batch([pa.array(whole.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["h", "set"])
+                for at, to, w in C.word_chunks(batch.column("text"), lower=True):
+                    g, begin, one, two = _shingles(w, shingle)
+                    columns = [batch.column("id").slice(at, to - at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(begin).astype(np.int32)), _listed(g, begin, most)]
+                    yield pa.record_batch(columns, ["id", "one", "two", "n", "members"])
 
     return run
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of doc_ids whose texts' shingle sets agree to ``similarity`` or more; equal texts are named by their smallest doc_id."""
-    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    banded = given.mapInArrow(_bands(shingle), "doc_id long, h long, bands array<long>")
-    texts = C.staged(banded.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
-    filed = texts.select("h", F.posexplode("bands").alias("band", "key"))
-    shared = C.staged(filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key"), "shared")
-    rows = C.staged(filed.join(shared, ["band", "key"]), "rows")
-    asked = texts.join(rows.select("h").distinct(), "h", "left_semi").select(F.col("node").alias("doc_id")).distinct()
-    sets = C.staged(given.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle), "h long, set array<long>").dropDuplicates(["h"]), "sets")
-    out = None
-    while True:
-        least = C.staged(rows.groupBy("band", "key").agg(F.min("h").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "rep"), "least")
-        met = C.staged(rows.join(least, ["band", "key"]).where("h <> rep"), "met")
-        pairs = met.select("h", "rep").distinct().join(sets.select(F.col("h").alias("rep"), F.col("set").alias("other")), "rep").join(sets, "h")
-        both = F.size(F.array_intersect("set", "other"))
-        alike = C.staged(pairs.where(both >= similarity * (F.size("set") + F.size("other") - both)).select("h", "rep"), "alike")
-        out = alike if out is None else out.unionByName(alike)
-        rows = C.staged(met.join(alike, ["h", "rep"], "left_anti").select("band", "key", "h"), "rows")
-        if rows.isEmpty():
-            break
-    name = texts.select("h", "node")
-    return out.distinct().join(name.select("h", F.col("node").alias("a")), "h").join(name.select(F.col("h").alias("rep"), F.col("node").alias("b")), "rep").select("a", "b")
+def needed(similarity: float, size: int) -> int:
+    """Members that the full sketches of two texts of this similarity share, but for about one pair in a million."""
+    return max(1, math.floor(size * similarity - SLACK * math.sqrt(size * similarity * (1 - similarity))))
+
+
+def _least_shared(n: Column, similarity: float, size: int) -> Column:
+    """Members that a text of ``n`` distinct shingles shares with any partner; exact for small sets."""
+    return F.least(F.lit(needed(similarity, size)), F.ceil(F.least(n, F.lit(size)) * F.lit(similarity) - F.lit(1e-9))).cast("int")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The (a, b) ``pairs`` that agree to ``similarity`` or more: by sketches first, then by whole sets."""
+
+    def met(some: DataFrame, members: DataFrame) -> DataFrame:
+        left, right = members.select(F.col("node").alias("a"), F.col("members").alias("x")), members.select(F.col("node").alias("b"), F.col("members").alias("y"))
+        return some.join(left, "a").join(right, "b")
+
+    close = met(C.staged(pairs, "pairs"), sketches).where(F.size(F.array_intersect("x", "y")) >= _least_shared(F.greatest(F.size("x"), F.size("y")), similarity, size)).select("a", "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return C.staged(met(C.staged(close, "close"), sets).where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "alike")
+
+
+def resembling(filed: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
+    """Edges (a, b) from nodes to pivots of a file they share.
+
+    Rows (g, node, w) of ``filed``: a file's key, a node in it and its weight, the heaviest being the first pivots; sketches and sets: node,
+    members.
+    """
+    out, rows = [], filed
+    work = left = rows.count()
+    while left:
+        parts = max(1 << len(out), work // left)  # a file of texts that all differ ends after rounds as many as its size has digits
+        heaviest = F.max(F.struct("w", F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))).alias("p")
+        pivots = C.staged(rows.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(heaviest).select("g", "p.pivot"), "pivots")
+        met = rows.join(pivots, "g").where("node <> pivot").select("g", "w", F.col("node").alias("a"), F.col("pivot").alias("b"))
+        alike = _alike(met.select("a", "b").distinct(), sketches, sets, similarity, size)
+        out.append(alike)
+        unlike = met.join(alike.withColumn("yes", F.lit(1)), ["a", "b"], "left").groupBy("g", F.col("a").alias("node"), "w").agg(F.max("yes").alias("yes")).where("yes is null").drop("yes")
+        rows = C.staged(unlike.join(pivots.withColumnRenamed("pivot", "node"), ["g", "node"], "left_anti"), "rows")
+        left = rows.count()
+    return reduce(DataFrame.unionByName, out).distinct() if out else filed.sparkSession.createDataFrame([], "a long, b long")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
+    """Edges (a, b) of ids whose texts' shingle sets agree to ``similarity`` or more; equal texts are named by their smallest id."""
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shape = "id long, one long, two long, n int, members array<long>"
+    sketched = given.mapInArrow(_members(shingle, size), shape)
+    texts = C.staged(sketched.groupBy("one", "two").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("members").alias("members")).select("node", "n", "members"), "texts")
+    members = texts.select("node", "n", F.explode("members").alias("g"))
+    often = C.staged(members.groupBy("g").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    known = members.join(often, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("known"))
+    least = _least_shared(F.col("n"), similarity, size)
+    weight = F.aggregate("known", F.lit(0).cast("long"), lambda t, k: t + k["often"]) / F.least(F.col("n"), F.lit(size))
+    rare = known.where(F.size("known") >= least).select("node", weight.alias("w"), F.explode(F.slice("known", F.lit(1), F.size("known") - least + 1)).alias("k"))
+    filed = C.staged(rare.select(F.col("k.g").alias("g"), "node", "w"), "filed")
+    asked = filed.select("node").distinct()
+    short = F.transform("members", lambda g: F.shiftright(g, 32).cast("int"))  # enough to tell members of two sketches apart
+    sketches = C.staged(texts.join(asked, "node", "left_semi").select("node", short.alias("members")), "sketches")
+    whole = given.join(asked.withColumnRenamed("node", "id"), "id", "left_semi").mapInArrow(_members(shingle, None), shape)
+    sets = C.staged(whole.select(F.col("id").alias("node"), "members"), "sets")
+    return resembling(filed, sketches, sets, similarity, size)

@@ -12,7 +12,10 @@ limit on a bucket's size and no false link.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; rows
 with a repeated or null doc_id keep a row each (a null id never names a component: where all ids
-of a fingerprint are null, so is its component, and it is not linked); other columns are ignored.
+of a component are null, so is its name); other columns are ignored.
+
+Scale: a table's key keeps 36 or 37 bits, so up to some 10**10 distinct fingerprints most keys are
+held once and write nothing; beyond, each fingerprint writes up to 200 values half way.
 """
 
 from __future__ import annotations
@@ -100,14 +103,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, and over ``more`` (a, b) edges of doc_ids."""
     marked = C.staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    # distinct fingerprints stand for all their copies from here on
-    fps = C.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    edges = links(fps.where("node is not null"), radius)
+    # distinct fingerprints stand for all their copies from here on, and are the nodes of the graph
+    fps = C.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    edges = links(fps.select(F.col("fp").alias("node"), "fp"), radius)
     if more is not None:
-        name = C.staged(marked.where("doc_id is not null").join(fps, "fp").select("doc_id", "node").distinct(), "nodes")
-        edges = edges.unionByName(more.join(name.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    joined = C.staged(components(edges), "components")
-    named = C.staged(fps.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
+        name = marked.where("doc_id is not null").distinct()
+        edges = edges.unionByName(more.join(name.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    joined = components(edges).withColumnRenamed("node", "fp")
+    held = C.staged(fps.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    named = C.staged(held.select("fp", "component").join(held.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), "named")
     out = marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out
 

@@ -35,10 +35,63 @@ def test_the_stage_drops_near_copies_beyond_two_bits(spark, tmp_path):
     assert set(rows) - kept == {200 + i for i in range(15)} | {302}
 
 
-def test_a_bucket_of_several_groups(spark, monkeypatch):
-    # all texts in one bucket: those unlike the smallest still find one another
-    monkeypatch.setattr(near_copies, "_bands", lambda size, made=near_copies._bands: lambda batches: (b.set_column(2, "bands", near_copies.pa.array([[1]] * len(b), near_copies.pa.list_(near_copies.pa.int64()))) for b in made(size)(batches)))
-    groups = [" ".join(f"{g}{i}" for i in range(60)) for g in "abcd"]
-    docs = spark.createDataFrame([(10 * i + k, t + " x" * k) for i, t in enumerate(groups) for k in range(3)], "doc_id long, text string")
-    pairs = {(a // 10, b // 10) for a, b in near_copies.links(docs).collect()}
-    assert pairs == {(i, i) for i in range(4)}
+def test_a_file_of_several_groups(spark):
+    # all texts in one file: those unlike the pivots still find one another
+    sets = [(10 * g + k, list(range(100 * g, 100 * g + 40)) + [100 * g + 50 + k]) for g in range(12) for k in range(5)]
+    members = spark.createDataFrame(sets, "node long, members array<long>")
+    filed = spark.createDataFrame([(1, node, 1.0) for node, _ in sets], "g long, node long, w double")
+    pairs = near_copies.resembling(filed, members, members).collect()
+    assert all(a // 10 == b // 10 for a, b in pairs)
+    groups = {node: node for node, _ in sets}
+    for _ in range(6):
+        for a, b in pairs:
+            groups[a] = groups[b] = min(groups[a], groups[b])
+    assert set(groups.values()) == {10 * g for g in range(12)}
+
+
+def test_long_texts_common_passages_and_empty_tables(spark):
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    passage, rows = words(80), {}
+    for i in range(60):
+        rows[i] = passage + words(40)
+    for i in range(20):  # one word in 50 changed, or one in 12
+        base = words(rng.randrange(300, 700))
+        rows[100 + i], copy = base, list(base)
+        for at in range(7, len(base), 50 if i < 10 else 12):
+            copy[at] = "changed"
+        rows[200 + i] = copy
+    rows[300], rows[301], rows[302] = rows[100], [], None
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t), "x", "y") for i, t in rows.items()] + [(None, "a b", "x", "y")], "doc_id long, text string, node string, members string")
+    near = {(max(a, b), min(a, b)) for a, b in near_copies.links(docs).collect()}
+    assert near == {(200 + i, 100 + i) for i in range(10)}
+    assert near_copies.links(docs.limit(0)).count() == 0
+
+
+def test_nearly_all_links_of_random_groups_are_joined(spark):
+    rng = random.Random(8)
+    rows = {}
+    for g in range(25):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(30, 260))]
+        for k in range(rng.randrange(2, 9)):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(0, max(2, len(base) // 30))):
+                copy[at] = f"c{rng.randrange(999)}"
+            rows[100 * g + k] = " ".join(copy)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+
+    def joined(pairs):
+        label = {i: i for i in rows}
+        for _ in range(len(rows)):
+            before = dict(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    same = [(a, b) for a in rows for b in rows if a > b and rows[a] == rows[b]]
+    every = [(a, b) for a in rows for b in rows if a > b and a // 100 == b // 100 and similarity(rows[a], rows[b]) >= 0.8]
+    found = [tuple(r) for r in near_copies.links(docs).collect()]
+    assert all(similarity(rows[a], rows[b]) >= 0.8 for a, b in found)
+    label = joined(found + same)
+    assert sum(label[a] == label[b] for a, b in every) >= 0.98 * len(every)
