@@ -23,17 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, once; rows without a doc_id stay.
+    """One row of each group of near-duplicates: that with the smallest doc_id (null last), of these the first row.
 
     Near-duplicates: fingerprints within two bits, or sets of five-word shingles that agree to 0.8 or more.
+    Rows are told apart by a number of their own, so those that share a doc_id, or have none, are linked by their texts alone.
     """
-    groups = simhash.near_duplicates(docs, more=near_copies.links(docs))
-    ids = common.staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).where("doc_id = c"), "kept")
-    # the kept ids grow with the documents: a shuffle join at every size, never a broadcast of them
-    alone = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    shared = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi")
-    once = shared.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("r")).select("r.*")
-    return alone.unionByName(once).unionByName(docs.where("doc_id is null"))
+    row = common.new_name(docs, "row")
+    numbered = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(numbered, id_col=row, more=near_copies.links(numbered, id_col=row))
+    member = groups.join(numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id").select("component_id", F.struct(F.isnull("id"), "id", F.col("doc_id").alias("row")).alias("m"))
+    member = common.staged(member, "members")
+    first = member.groupBy("component_id").agg(F.min("m").alias("first"))
+    dropped = common.staged(member.join(first, "component_id").where("m > first").select(F.col("m.row").alias(row)), "dropped")
+    return numbered.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
