@@ -112,8 +112,9 @@ def with_loss_mask(formatted: DataFrame) -> DataFrame:
 def op3_chat_formatting(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     says = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
-    done = format_conversations(rows.unionByName(says))
-    under = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    done = with_loss_mask(format_conversations(rows.unionByName(says)))
+    masked = F.array_join(F.transform("loss", lambda s: F.substring("formatted", s["start"] + 1, s["end"] - s["start"])), "")
+    under = F.when(F.col("escaped"), unescape(masked)).otherwise(masked)
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"), F.length(under).cast("long").alias("loss_chars"),

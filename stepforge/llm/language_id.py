@@ -28,8 +28,6 @@ WINDOW = 128
 HIDDEN = 8
 PER_LANGUAGE = 250
 EXCERPT = 256
-#: Languages that can be learned: the most frequent ones, should there be more.
-LANGUAGES = 1000
 EPOCHS = 8
 #: Bytes that step through the network together: their states stay within a core's cache.
 STEP_BYTES = 1 << 19
@@ -203,13 +201,14 @@ def label(net: Network, raw: np.ndarray, offsets: np.ndarray, window: int = WIND
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, **options) -> Network | None:
-    """A network fitted on about ``per_language`` excerpts of each language of ``docs``."""
+    """A network fitted on about ``per_language`` excerpts of each language of ``docs``; a language with fewer texts gives all."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
-    counts = known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    h = F.xxhash64(F.lit(7), F.col(text_col))
+    # copies share a hash and are drawn together, so the rate goes by texts; one row a language
+    counts = known.groupBy(F.col(lang_col).alias("l")).agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], r["n"])])
-    h = F.xxhash64(F.lit(7), F.col(text_col))
     begin = F.pmod(F.shiftright(h, 20), F.greatest(F.length(text_col) - excerpt + 1, F.lit(1))) + 1
     drawn = known.select(F.col(lang_col).alias("l"), h.alias("h"), F.substring(F.col(text_col), begin.cast("int"), F.lit(excerpt)).alias("t"))
     drawn = drawn.where(F.pmod("h", F.lit(1 << 20)) * F.try_element_at(share, F.col("l")) < F.lit(per_language << 20))  # before any shuffle

@@ -154,7 +154,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     scored = scored.withColumn("rank", F.when(F.col("base"), 0).when(F.col("score") >= least, F.col("kind")))
     scored = scored.withColumn("key", F.coalesce("start", F.lit(0)))
     before = Window.partitionBy("row").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("row").orderBy("key", "kind").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("row").orderBy(F.desc("key"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     hit = F.lit(False)
     for rank in (0, *range(len(BASE), len(KINDS) - 1)):  # a span gives way to those of a lower rank
         mine = F.when(F.col("rank") == rank, True)

@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,11 +65,12 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         if re.fullmatch(r"[A-Z0-9]{16,32}", s):
             out.append((m.start(), 3, m.end()))
-        elif any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s) and 20 <= len(s) <= 128 and entropy(s) >= 3.7:
+        elif any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s) and len(s) >= 20 and entropy(s) >= 3.7:
             out.append((m.start(), 4, m.end()))
     if "://" in text or ".com" in text:
         out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    return sorted(x for x in out if not any(b[0] < x[2] and x[0] < b[2] for b in base))
+    starts, reached = [b[0] for b in base], [-1, *accumulate((b[2] for b in base), max)]
+    return sorted(x for x in out if reached[bisect_left(starts, x[2])] <= x[0])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -133,33 +136,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), "found")
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            pieces, at = [], 0
-            for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                if s["end"] <= at:
-                    continue
-                if s["start"] >= at:
-                    pieces += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
-                at = s["end"]
-            out.append("".join(pieces) + text[at:] if pieces else text)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string()), *(batch.column(c) for c in batch.schema.names if c not in ("doc_id", "text", "spans"))], ["doc_id", "text", *(c for c in batch.schema.names if c not in ("doc_id", "text", "spans"))])
+def _redact(spans_col: str):
+    """Each batch without its spans and with its text redacted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_col).to_pylist()):
+                pieces, at = [], 0
+                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+                    if s["end"] <= at:
+                        continue
+                    if s["start"] >= at:
+                        pieces += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
+                    at = s["end"]
+                out.append("".join(pieces) + text[at:] if pieces else text)
+            names = [c for c in batch.schema.names if c != spans_col]
+            yield pa.record_batch([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    return run
 
 
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The rows of a documents table (doc_id, text, n_chars and others) with every span replaced by its kind in brackets.
+    """The rows of a documents table (doc_id, text, n_chars and any others) with every span replaced by its kind in brackets.
 
     A null text stays null. The weak candidates' join needs rows by number, so the rows are written once.
     """
-    columns = docs.columns
-    numbered = C.staged(docs.select(*columns, F.monotonically_increasing_id().alias("_row")), "numbered")
-    found = C.staged(scan(numbered.where("text is not null"), "_row", "text", reach).where(F.size("found") > 0).select(F.col("doc_id").alias("_row"), F.col("found").alias("spans")), "found")
-    joined = numbered.join(found, "_row", "left")
-    clean = joined.where("spans is null").select(*columns)
-    shape = ", ".join(["doc_id bigint", "text string", *(f"`{c}` {t}" for c, t in docs.dtypes if c not in ("doc_id", "text"))])
-    dirty = joined.where("spans is not null").select("doc_id", "text", "spans", *[c for c in columns if c not in ("doc_id", "text")]).mapInArrow(_redact, shape)
+    columns, row, spans = docs.columns, C.new_name(docs, "row"), C.new_name(docs, "spans")
+    numbered = C.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = scan(numbered.where("text is not null"), row, "text", reach).where(F.size("found") > 0).select(F.col("doc_id").alias(row), F.col("found").alias(spans))
+    joined = numbered.join(C.staged(found, "found"), row, "left")
+    clean = joined.where(F.isnull(spans)).select(*columns)
+    shape = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    dirty = joined.where(F.isnotnull(spans)).select(*columns, spans).mapInArrow(_redact(spans), shape)
     if "n_chars" in columns:
         dirty = dirty.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return clean.unionByName(dirty.select(*columns))

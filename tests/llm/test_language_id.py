@@ -64,3 +64,39 @@ def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     net = L.train(docs)
     assert net is None and L.identify(docs, net).collect()[0].lang_pred == "und" and L.identify(docs.limit(0), net).count() == 0
+
+
+def test_pooled_probabilities_against_a_network_stepped_byte_by_byte():
+    rng = np.random.default_rng(3)
+    net = L.new_network(["aa", "bb", "cc"], hidden=3, seed=5)
+    net.bias[:] = rng.standard_normal((3, 1))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(side, part):
+        table, u, h, out = net.tables[side].astype(float), net.recurrent[side].astype(float), np.zeros(3), []
+        for byte in part:
+            gate, carried = table[:, byte], u @ h
+            z, r = sigmoid(gate[:3] + carried[:3]), sigmoid(gate[3:6] + carried[3:6])
+            h = z * h + (1 - z) * np.tanh(gate[6:] + r * carried[6:])
+            out.append(h)
+        return out
+
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 7, 8, 9, 30)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    pooled, votes = L.label(net, np.frombuffer(b"".join(texts), np.uint8), offsets, 8)
+    for i, text in enumerate(texts):
+        mass, own = np.zeros(3), np.zeros(3)
+        for at in range(0, len(text), 8):
+            part = text[at : at + 8]
+            for ahead, back in zip(states(0, part), states(1, part[::-1])[::-1]):
+                a = net.out @ np.concatenate([ahead, back]) + net.bias[:, 0]
+                p = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+                mass += p
+                own[p.argmax()] += 1
+        assert np.allclose(pooled[i], mass, atol=1e-4) and (votes[i] == own).all()
+
+
+def test_a_language_of_copies_and_one_of_few_texts_are_learned(spark):
+    rows = [(i, "ka to mi ne su ra " * 9, "aa") for i in range(900)] + [(1000 + i, f"sch ung ein ich ver tz {i} " * 9, "bb") for i in range(3)]
+    net = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50, epochs=1)
+    assert net.languages == ["aa", "bb"]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -85,3 +86,10 @@ def test_redaction(spark, model):
     plan = out._jdf.queryExecution().toString()
     assert out.columns == docs.columns and "Python" not in plan and "Arrow" not in plan
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["é [email], [ip]!", "clean", None, "", "[phone] and call [digits]", "card [card]"]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "10.0.0.1 and 010-222-3333, " * 20_000
+    began = time.monotonic()
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_ip").first()
+    assert got.n_ip == 20_000 and time.monotonic() - began < 60

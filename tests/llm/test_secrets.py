@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from stepforge.llm import secrets as S
 
@@ -53,3 +54,21 @@ def test_redaction(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in out.collect())
     assert got == [(0, "[assign] x", 10), (1, "é [access] [random] end", 23), (2, "clean", 5), (2, "clean", 5), (3, None, None)]
     assert S.redact(docs.limit(0)).count() == 0 and S.scan(docs.limit(0)).count() == 0
+
+
+def test_weak_candidates_of_a_long_dump_and_their_overlaps():
+    base = [(10 * i, i % 3, 10 * i + 7) for i in range(30_000)] + [(5, 1, 400)]
+    text = " ".join(f"{i:05d}aB3dE5gH7jK9mN1pQ" for i in range(12_000))
+    began = time.monotonic()
+    some = S.weak_spans(text, sorted(base))
+    assert time.monotonic() - began < 20
+    near = sorted(base)[:500]
+    part = text[:9000]
+    assert S.weak_spans(part, near) == [x for x in S.weak_spans(part, []) if not any(b[0] < x[2] and x[0] < b[2] for b in near)]
+    assert all(x in S.weak_spans(text, []) for x in some[:5])
+
+
+def test_redact_keeps_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, 'token = "abcdef123456"', "r", "s", "f", 2), (2, None, "r", "s", "f", 0)], "doc_id long, text string, row string, spans string, found string, _row int")
+    got = sorted(S.redact(docs).collect())
+    assert [tuple(r) for r in got] == [(1, '[assign]"', "r", "s", "f", 2), (2, None, "r", "s", "f", 0)]
