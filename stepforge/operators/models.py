@@ -363,7 +363,7 @@ def logrank_table(df: DataFrame, time: str, event: str, group: str) -> DataFrame
     sizes = df.na.drop(subset=[time, event]).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("observed"))
     # a group's risk set at a time: its rows not yet gone, taken from its next own time on
     grid = total.crossJoin(F.broadcast(sizes.select(group))).select(group, "time", "d", "r", F.lit(None).cast("long").alias("at_risk")).unionByName(own.select(group, "time", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("r"), "at_risk"))
-    w = Window.partitionBy(group).orderBy(F.col("time")).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    w = Window.partitionBy(group).orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     at = grid.withColumn("k", F.coalesce(F.max("at_risk").over(w), F.lit(0))).where("d is not null")
     expected = at.groupBy(group).agg(F.sum(F.col("d") * F.col("k") / F.col("r")).alias("expected"))
     return sizes.join(expected, group)

@@ -29,9 +29,10 @@ def carry_forward(df: DataFrame, x: str, by, order_by, name: str) -> DataFrame:
 
 
 def carry_backward(df: DataFrame, x: str, by, order_by, name: str) -> DataFrame:
-    """The next value that is not null."""
-    w = _over(by, order_by).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(name, F.first(x, ignorenulls=True).over(w))
+    """The next value that is not null: the last one seen from the end, so that each row is visited once."""
+    back = Window.partitionBy(*as_list(by)).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = df.withColumn("__at", F.row_number().over(_over(by, order_by)))
+    return numbered.withColumn(name, F.last(x, ignorenulls=True).over(back)).drop("__at")
 
 
 def running(df: DataFrame, x: str, by, order_by, low: str = "low", high: str = "high") -> DataFrame:
@@ -77,10 +78,10 @@ def row_n(df: DataFrame, order_by, name: str = "_n_") -> DataFrame:
 def interpolate(df: DataFrame, x: str, at: str, by, name: str) -> DataFrame:
     """Linear interpolation between the neighbours along numeric ``at`` that have a value."""
     up = _upto(by, at)
-    down = _over(by, at).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    down = Window.partitionBy(*as_list(by)).orderBy(F.col(at).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col(x).isNotNull(), F.col(at))
-    x0, x1 = F.last(x, ignorenulls=True).over(up), F.first(x, ignorenulls=True).over(down)
-    t0, t1 = F.last(known, ignorenulls=True).over(up), F.first(known, ignorenulls=True).over(down)
+    x0, x1 = F.last(x, ignorenulls=True).over(up), F.last(x, ignorenulls=True).over(down)
+    t0, t1 = F.last(known, ignorenulls=True).over(up), F.last(known, ignorenulls=True).over(down)
     return df.withColumn(name, F.coalesce(F.col(x), x0 + (x1 - x0) * (F.col(at) - t0) / (t1 - t0)))
 
 

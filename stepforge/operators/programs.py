@@ -195,18 +195,22 @@ def step_edges(scripts: DataFrame) -> DataFrame:
     return steps.select("id", F.explode(F.transform(F.regexp_extract_all("step", F.lit(r"\b(?:SET|MERGE|UPDATE|MODIFY)\s+([A-Z_][\w.]*)"), F.lit(1)), F.lower)).alias("src"), dst.alias("dst")).distinct()
 
 
-def dependency_depth(steps: DataFrame, max_depth: int = 20) -> DataFrame:
-    """id, dataset, depth: the longest chain of steps before a dataset, cut at ``max_depth`` where programs are cyclic."""
-    nodes = steps.select("id", F.col("src").alias("dataset")).union(steps.select("id", "dst")).distinct().withColumn("depth", F.lit(0))
-    real = steps.where("src <> dst")
-    for _ in range(max_depth):
-        reach = nodes.join(real, (nodes["id"] == real["id"]) & (nodes["dataset"] == real["src"])).select(nodes["id"].alias("id"), F.col("dst").alias("dataset"), (F.col("depth") + 1).alias("d"))
-        grown = nodes.join(reach.groupBy("id", "dataset").agg(F.max("d").alias("d")), ["id", "dataset"], "left").select("id", "dataset", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.col("d") > F.col("depth")).alias("g"))
+def dependency_depth(steps: DataFrame) -> DataFrame:
+    """id, dataset, depth: the longest chain of steps before a dataset; null where a cycle of two or more datasets is among them.
+
+    Depths grow until none does. A chain has no more steps than its program has datasets, so what still grows then comes after a cycle.
+    """
+    nodes = steps.select("id", F.col("src").alias("dataset")).union(steps.select("id", "dst")).distinct()
+    sizes = nodes.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    nodes = staged(nodes.join(sizes, "id").select("id", "dataset", "size", F.lit(0).alias("depth")), "depth")
+    real = staged(steps.where("src <> dst").select("id", F.col("src").alias("dataset"), "dst"), "steps")
+    growing = True
+    while growing:
+        reach = nodes.where("depth < size").join(real, ["id", "dataset"]).groupBy("id", F.col("dst").alias("dataset")).agg((F.max("depth") + 1).alias("d"))
+        grown = nodes.join(reach, ["id", "dataset"], "left").select("id", "dataset", "size", F.greatest("depth", "d").alias("depth"), F.coalesce(F.col("d") > F.col("depth"), F.lit(False)).alias("grew"))
         grown = staged(grown, "depth")
-        nodes = grown.drop("g")
-        if not grown.where("g").limit(1).count():
-            break
-    return nodes
+        nodes, growing = grown.drop("grew"), not grown.where("grew").isEmpty()
+    return nodes.select("id", "dataset", F.when(F.col("depth") < F.col("size"), F.col("depth")).alias("depth"))
 
 
 def self_cycles(steps: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,18 @@ def test_transport_files(spark, tmp_path):
     (tmp_path / "b.xpt").write_bytes(_xpt([(-2.5, "two")]))
     got = readers.read_xpt(spark, f"{tmp_path}/*.xpt", "id double, name string").collect()
     assert sorted((r.name, None if r.id is None or math.isnan(r.id) else r.id) for r in got) == [("none", None), ("one", 1.0), ("two", -2.5)]
+
+
+def test_fills_from_the_end_in_one_long_group(spark):
+    df = spark.range(100_000).select("id", F.lit("a").alias("g"), F.when(F.col("id") % 50_000 == 49_999, F.col("id")).alias("x"))
+    began = time.monotonic()
+    assert order.carry_backward(df, "x", "g", "id", "next").where("next = id + (49999 - id % 50000)").count() == 100_000
+    filled = order.interpolate(df.withColumn("x", F.col("x").cast("double")), "x", "id", "g", "v")
+    assert filled.where("v = id").count() == 50_001 and time.monotonic() - began < 60
+
+
+def test_depth_of_a_long_chain_and_of_a_cycle(spark):
+    chain = [(1, f"d{i}", f"d{i + 1}") for i in range(24)]
+    cycle = [(2, "a", "b"), (2, "b", "c"), (2, "c", "b"), (2, "c", "d"), (2, "a", "a")]
+    got = {(r.id, r.dataset): r.depth for r in programs.dependency_depth(spark.createDataFrame(chain + cycle, "id long, src string, dst string")).collect()}
+    assert got == {**{(1, f"d{i}"): i for i in range(25)}, (2, "a"): 0, (2, "b"): None, (2, "c"): None, (2, "d"): None}
