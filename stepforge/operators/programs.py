@@ -34,14 +34,31 @@ FEATURES = [
 PAIRED = [((r"\bINPUT\b", r"\b(DATALINES|CARDS)\b"), 1), ((r"\bSELECT\s*\(", r"\bWHEN\s*\("), 2), ((r"\bREPEATED\b", r"\bSUBJECT\s*="), 6), ((r"\bESTIMATE\b", r"\bCL\b"), 4)]
 TIERS = [(30, 5), (18, 4), (9, 3), (4, 2)]
 DOMAINS = {
-    "clinical": "patient heartrate temperature blood pressure dose treatment subject visit adverse event protocol sdtm adam usubjid subjid fever diagnosis symptom clinical hospital drug placebo endpoint baseline efficacy safety randomize cohort pharmacokinetics pharmacodynamics",
-    "financial": "revenue profit sales cost expense income budget forecast quarterly annual margin roi investment portfolio price stock equity asset liability balance ledger transaction fiscal",
-    "retail": "product category store region sales customer order quantity inventory sku promotion discount shelf brand supplier shipment",
-    "hr": "employee salary department hire position grade performance headcount turnover manager payroll benefits leave attendance appraisal",
-    "survey": "response question rating score survey likert respondent agree disagree strongly neutral questionnaire interview",
-    "manufacturing": "batch yield defect quality process machine unit production inspection tolerance spec",
-}
-DEMO = "demo test example sample function"
+    "clinical": [
+        "patient", "heartrate", "temperature", "blood", "pressure", "dose", "treatment", "subject", "visit", "adverse", "event", "protocol", "sdtm", "adam",
+        "usubjid", "subjid", "fever", "diagnosis", "symptom", "clinical", "hospital", "drug", "placebo", "endpoint", "baseline", "efficacy", "safety",
+        "randomize", "cohort", "pharmacokinetics", "pharmacodynamics",
+    ],
+    "financial": [
+        "revenue", "profit", "sales", "cost", "expense", "income", "budget", "forecast", "quarterly", "annual", "margin", "roi", "investment", "portfolio",
+        "price", "stock", "equity", "asset", "liability", "balance", "ledger", "transaction", "fiscal",
+    ],
+    "retail": [
+        "product", "category", "store", "region", "sales", "customer", "order", "quantity", "inventory", "sku", "promotion", "discount", "shelf", "brand",
+        "supplier", "shipment",
+    ],
+    "hr": [
+        "employee", "salary", "department", "hire", "position", "grade", "performance", "headcount", "turnover", "manager", "payroll", "benefits", "leave",
+        "attendance", "appraisal",
+    ],
+    "survey": [
+        "response", "question", "rating", "score", "survey", "likert", "respondent", "agree", "disagree", "strongly", "neutral", "questionnaire", "interview",
+    ],
+    "manufacturing": [
+        "batch", "yield", "defect", "quality", "process", "machine", "unit", "production", "inspection", "tolerance", "spec",
+    ],
+}
+DEMO = ["demo", "test", "example", "sample", "function"]
 GOALS = {
     "dataset_creation": r"\bdata\s+\w+\s*;.*?\b(input|datalines|cards)\b", "data_transformation": r"\bdata\s+\w+\s*;.*?\b(set|merge)\b|\bif\b.+?\bthen\b|\bretain\b|\barray\b",
     "statistical_analysis": r"\bproc\s+(means|freq|corr|univariate)\b", "regression_modeling": r"\bproc\s+(reg|glm|logistic|mixed)\b", "survival_analysis": r"\bproc\s+(phreg|lifetest)\b",
@@ -247,7 +264,7 @@ def upload_priority(missing: DataFrame) -> DataFrame:
 def domain(scripts: DataFrame) -> DataFrame:
     """id, domain, confidence by keyword hits; two are needed, demonstrations are general; ties go to the earlier domain."""
     split = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"))
-    listed = lambda s: F.array(*map(F.lit, s.split()))
+    listed = lambda words: F.array(*map(F.lit, words))
     words = scripts.select("id", split(F.col("text")).alias("words"), split(F.left(F.col("text"), F.lit(200))).alias("start"))
     best = F.array_max(F.array(*[F.struct(F.col(d).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DOMAINS)]))
     out = words.select("id", *[F.size(F.array_intersect("words", listed(s))).alias(d) for d, s in DOMAINS.items()], F.arrays_overlap("start", listed(DEMO)).alias("demo"))

@@ -300,10 +300,10 @@ def _(t):
 
 
 def _hits(words):
-    return f"len(list_distinct(regexp_extract_all(t, '\\b(?:{'|'.join(words.split())})\\b')))"
+    return f"len(list_distinct(regexp_extract_all(t, '\\b(?:{'|'.join(words)})\\b')))"
 
 
-@q("k15_domain", "WITH d AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents), h AS (SELECT id, " + ", ".join(f"{_hits(w)} AS {d}" for d, w in K.DOMAINS.items()) + f", regexp_matches(left(t, 200), '\\b(?:{'|'.join(K.DEMO.split())})\\b') AS demo FROM d), b AS (SELECT *, greatest({', '.join(K.DOMAINS)}) AS n FROM h) SELECT id, CASE WHEN (demo AND clinical < 3) OR n < 2 THEN 'general' " + " ".join(f"WHEN {d} = n THEN '{d}'" for d in K.DOMAINS) + " END AS domain, CASE WHEN demo AND clinical < 3 THEN 0.6 WHEN n = 0 THEN 0.5 WHEN n < 2 THEN 0.4 ELSE least(n / 5, 1.0) END AS confidence FROM b")
+@q("k15_domain", "WITH d AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents), h AS (SELECT id, " + ", ".join(f"{_hits(w)} AS {d}" for d, w in K.DOMAINS.items()) + f", regexp_matches(left(t, 200), '\\b(?:{'|'.join(K.DEMO)})\\b') AS demo FROM d), b AS (SELECT *, greatest({', '.join(K.DOMAINS)}) AS n FROM h) SELECT id, CASE WHEN (demo AND clinical < 3) OR n < 2 THEN 'general' " + " ".join(f"WHEN {d} = n THEN '{d}'" for d in K.DOMAINS) + " END AS domain, CASE WHEN demo AND clinical < 3 THEN 0.6 WHEN n = 0 THEN 0.5 WHEN n < 2 THEN 0.4 ELSE least(n / 5, 1.0) END AS confidence FROM b")
 def _(t):
     return K.domain(t.documents.select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text")))
 
