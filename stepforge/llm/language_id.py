@@ -6,9 +6,12 @@ learned languages from both directions, and a document's probabilities are the m
 positions. Training is backpropagation through time in numpy with Adam, on excerpts of a bounded
 sample: about ``PER_LANGUAGE`` documents of each language, those with the smallest hash of their
 text among documents with a language, so neither doc_id nor source plays a part in a prediction.
+Where asked, noise made of the same excerpts (their bytes in random order, or random bytes) is learned
+as one more label, ``und``; ``keep_known`` drops texts whose mean probability of noise exceeds a limit,
+which ``noise_limit`` reads off labelled documents that the network has not seen.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text
-where no document teaches a language; a null doc_id counts as the empty text in the fold; rows are
+where no document teaches a language; a lang that is itself ``und`` teaches nothing; a null doc_id counts as the empty text in the fold; rows are
 kept one for one; equal texts get equal values; other columns are ignored.
 """
 
@@ -200,9 +203,28 @@ def label(net: Network, raw: np.ndarray, offsets: np.ndarray, window: int = WIND
     return pooled, votes
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, **options) -> Network | None:
-    """A network fitted on about ``per_language`` excerpts of each language of ``docs``; a language with fewer texts gives all."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
+def noise(texts: list[bytes], many: int, seed: int = 1) -> list[bytes]:
+    """``many`` strings as long as texts drawn at random: by turns their bytes in random order, and random bytes."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(many if texts else 0):
+        raw = np.frombuffer(texts[int(rng.integers(len(texts)))], np.uint8)
+        some = rng.permutation(raw) if i % 2 else rng.integers(33, 256, len(raw)).astype(np.uint8)
+        out.append(some.tobytes())
+    return out
+
+
+def _beginnings(texts: list[bytes], labels: list[str], seed: int = 2) -> tuple[list[bytes], list[str]]:
+    """A few bytes from the beginning of every text, with its label: short texts are to be told from noise too."""
+    cut = np.random.default_rng(seed).integers(3, 48, len(texts))
+    return [t[:n] for t, n in zip(texts, cut.tolist())], labels
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, with_noise: bool = False, **options) -> Network | None:
+    """A network fitted on about ``per_language`` excerpts of each language of ``docs``; a language with fewer texts gives all.
+
+    ``with_noise``: and on as many strings of noise as one language gives excerpts, labelled ``und``.
+    """
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col) != UND) & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
     h = F.xxhash64(F.lit(7), F.col(text_col))
     # copies share a hash and are drawn together, so the rate goes by texts; one row a language
     counts = known.groupBy(F.col(lang_col).alias("l")).agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()
@@ -213,14 +235,21 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     drawn = known.select(F.col(lang_col).alias("l"), h.alias("h"), F.substring(F.col(text_col), begin.cast("int"), F.lit(excerpt)).alias("t"))
     drawn = drawn.where(F.pmod("h", F.lit(1 << 20)) * F.try_element_at(share, F.col("l")) < F.lit(per_language << 20))  # before any shuffle
     rows = sorted((r["l"], r["h"], r["t"]) for r in drawn.select("l", "h", "t").distinct().collect())  # bounded: per_language for each language
-    return fit([t.encode() for _, _, t in rows], [lang for lang, _, _ in rows], **options)
+    texts, labels = [t.encode() for _, _, t in rows], [lang for lang, _, _ in rows]
+    if with_noise and texts:
+        unlike = noise(texts, len(texts) // len(set(labels)))
+        texts, labels = texts + unlike, labels + [UND] * len(unlike)
+        begun = _beginnings(texts, labels)
+        texts, labels = texts + begun[0], labels + begun[1]
+    return fit(texts, labels, **options)
 
 
-def _predictions(net: Network | None, column: pa.Array, letters: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(language, score, share of positions labelled so, bytes) of each text of a batch."""
+def _predictions(net: Network | None, column: pa.Array, letters: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, share of positions labelled so, bytes, mean probability of noise) of each text of a batch."""
     offsets, data = C.text_buffers(column)
     n = len(offsets) - 1
-    names, score, share, size = np.full(n, UND, object), np.zeros(n), np.zeros(n), np.diff(offsets)
+    names, score, share, size, unlike = np.full(n, UND, object), np.zeros(n), np.zeros(n), np.diff(offsets), np.zeros(n)
+    spoken = [i for i, name in enumerate(net.languages) if name != UND] if net is not None else []
     at = 0
     while net is not None and at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
@@ -232,14 +261,16 @@ def _predictions(net: Network | None, column: pa.Array, letters: np.ndarray, win
                 pooled, votes = pooled + p, votes + v
         else:
             pooled, votes = label(net, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], window)
-        best = np.round(pooled, 3).argmax(axis=1)
+        best = np.array(spoken)[np.round(pooled[:, spoken], 3).argmax(axis=1)]
         rows, length = np.arange(to - at), np.maximum(size[at:to], 1)
         ok = letters[at:to]
         names[at:to][ok] = np.array(net.languages, object)[best[ok]]
         score[at:to][ok] = np.clip(np.round(pooled[rows, best] / length, 4), 0, 1)[ok]
         share[at:to][ok] = np.round(votes[rows, best] / length, 4)[ok]
+        if UND in net.languages:
+            unlike[at:to][ok] = np.clip(np.round(pooled[:, net.languages.index(UND)] / length, 4), 0, 1)[ok]
         at = to
-    return names, score, share, size
+    return names, score, share, size, unlike
 
 
 def _predict(net: Network | None, text_col: str, window: int):
@@ -247,24 +278,31 @@ def _predict(net: Network | None, text_col: str, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, share, size = _predictions(net, batch.column(text_col), batch.column("__letters").to_numpy(zero_copy_only=False), window)
+            names, score, share, size, unlike = _predictions(net, batch.column(text_col), batch.column("__letters").to_numpy(zero_copy_only=False), window)
             kept = [c for c in batch.schema.names if c != "__letters"]
-            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(size)], [*kept, "__lang", "__score", "__share", "__bytes"])
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(size), pa.array(unlike)], [*kept, "__lang", "__score", "__share", "__bytes", "__noise"])
 
     return run
 
 
 def _labelled(rows: DataFrame, text_col: str, net: Network | None, window: int) -> DataFrame:
-    """``rows`` with __lang, __score, __share and __bytes; one pass, no shuffle."""
+    """``rows`` with __lang, __score, __share, __bytes and __noise; one pass, no shuffle."""
     letters = F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False))
     given = rows.select("*", letters.alias("__letters"))
-    shape = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "__lang string, __score double, __share double, __bytes long"])
+    shape = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "__lang string, __score double, __share double, __bytes long, __noise double"])
     return given.mapInArrow(_predict(net, text_col, window), shape)
 
 
-def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``; a null language is filled in."""
-    found = _labelled(docs, text_col, net, window).where((F.col("__lang") != UND) & (F.col("__score") >= least))
+def noise_limit(docs: DataFrame, net: Network | None, text_col: str = "text", loss: float = 0.001, window: int = WINDOW) -> float:
+    """Half way from the mean probability of noise that a share of ``loss`` of these documents exceeds to certainty; 1.0 where there are none."""
+    found = _labelled(docs.select(text_col), text_col, net, window).where(F.col("__lang") != UND)
+    limit = found.agg(F.percentile_approx("__noise", 1 - loss, 10000)).first()[0]
+    return 1.0 if limit is None else (1 + limit) / 2
+
+
+def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, window: int = WINDOW, most_noise: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with a score of at least ``least`` and noise of at most ``most_noise``; a null language is filled in."""
+    found = _labelled(docs, text_col, net, window).where((F.col("__lang") != UND) & (F.col("__score") >= least) & (F.col("__noise") <= most_noise))
     return found.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__lang"))).select(*docs.columns)
 
 

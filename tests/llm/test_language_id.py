@@ -100,3 +100,22 @@ def test_a_language_of_copies_and_one_of_few_texts_are_learned(spark):
     rows = [(i, "ka to mi ne su ra " * 9, "aa") for i in range(900)] + [(1000 + i, f"sch ung ein ich ver tz {i} " * 9, "bb") for i in range(3)]
     net = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50, epochs=1)
     assert net.languages == ["aa", "bb"]
+
+
+def test_noise_is_told_from_languages_at_a_limit_read_off_unseen_texts(spark):
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, lang, rng.choice([4, 9, 40])), lang) for i in range(600) for lang in SYLLABLES]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = L.fold("doc_id", 5) == 0
+    net = L.train(docs.where(~held), with_noise=True)
+    assert net.languages == ["aa", "bb", "cc", "und"]
+    limit = L.noise_limit(docs.where(held), net)
+    assert 0.5 < limit < 1
+    mash = ["".join(rng.choice("qwxzjkvpfhg ") for _ in range(120)) for _ in range(20)]
+    junk = mash + ["привет как дела сегодня хорошо", "今日は天気がいいですね", "QWRTPSDFG!! ZXCVBNM!! XWQZ!!", "12 34", None]
+    told = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = L.keep_known(docs.where(held).unionByName(told), net, most_noise=limit).collect()
+    assert not [r for r in kept if r.doc_id < 0]
+    assert len(kept) >= docs.where(held).count() * 0.995
+    assert {r.lang_pred for r in L.identify(told, net).collect()} <= {"aa", "bb", "cc", "und"}
+    assert L.noise([], 5) == [] and L.noise_limit(docs.limit(0), net) == 1.0
