@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import common, decontamination, language_id, near_copies, packing, secrets, simhash
 
-#: Least mean probability of the best language: a text that no learned language holds a quarter of goes.
-LEAST_SCORE = 0.25
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language; the predicted language takes the place of a missing one."""
-    net = language_id.train(docs.where(language_id.fold("doc_id", 5) != 0))
-    return language_id.keep_known(docs, net, least=LEAST_SCORE)
+    """Documents in a learned language; the predicted language takes the place of a missing one.
+
+    Texts without a letter go, and those that look like noise: more so than the labelled documents kept out of the training do.
+    """
+    taught = language_id.fold("doc_id", 5) != 0
+    net = language_id.train(docs.where(taught), with_noise=True)
+    limit = language_id.noise_limit(docs.where(~taught & F.col("lang").isNotNull()), net)
+    return language_id.keep_known(docs, net, most_noise=limit)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
