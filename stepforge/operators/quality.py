@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import carry_backward, carry_forward, interpolate
+from .quantile import add_order_stats
 from .rules import as_list, need_order, type_class
 
 # Name patterns of roles, dataset classes and importance, in the order in which they are tried.
@@ -128,8 +129,10 @@ def handling_advice(variables: DataFrame) -> DataFrame:
 
 def impute(df: DataFrame, how: dict[str, str], by=None) -> DataFrame:
     """Fill nulls by the mean, median or mode of the column, or of its BY group."""
-    fn = {"mean": lambda c: F.avg(c), "median": lambda c: F.median(c), "mode": lambda c: F.mode(c, True)}
-    values = df.groupBy(*as_list(by)).agg(*[fn[s](c).alias(f"__{c}") for c, s in how.items()])
+    mean = [F.avg(c).alias(f"__{c}") for c, s in how.items() if s == "mean"]
+    values = df.groupBy(*as_list(by)).agg(*mean or [F.count(F.lit(1)).alias("__rows")])
+    values = add_order_stats(values, df, as_list(by), {f"__{c}": (c, {"median": 0.5, "mode": "mode"}[s]) for c, s in how.items() if s != "mean"})
+    values = values.select(*as_list(by), *[f"__{c}" for c in how])
     out = df.join(values, as_list(by), "left") if by else df.crossJoin(F.broadcast(values))
     return out.withColumns({c: F.coalesce(c, f"__{c}") for c in how}).drop(*[f"__{c}" for c in how])
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantile import add_order_stats
 from .rules import as_list, numeric_cols
 
 STATS = {
@@ -15,29 +16,31 @@ STATS = {
     "std": lambda c: F.stddev_samp(c),
     "min": lambda c: F.min(c),
     "max": lambda c: F.max(c),
-    "median": lambda c: F.median(c),
     "var": lambda c: F.var_samp(c),
     "sum": lambda c: F.sum(c),
     "nmiss": lambda c: F.count_if(c.isNull()),
-    "q1": lambda c: F.percentile(c, F.lit(0.25)),
-    "q3": lambda c: F.percentile(c, F.lit(0.75)),
     "stderr": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
     "cv": lambda c: F.try_divide(100 * F.stddev_samp(c), F.avg(c)),
-    "mode": lambda c: F.mode(c, True),
     "range": lambda c: F.max(c) - F.min(c),
 }
+#: Statistics that need the values in order.
+ORDERED = {"median": 0.5, "q1": 0.25, "q3": 0.75, "mode": "mode"}
 DEFAULT = ["n", "mean", "std", "min", "max"]
 
 
 def means(df: DataFrame, vars=None, stats: list[str] | None = None, class_=None, missing: bool = False) -> DataFrame:
     """MEANS: one column ``{stat}_{var}`` for each pair, by CLASS levels; null levels only with ``missing``.
 
-    All statistics are one aggregate that combines before its shuffle.
+    Moments and extremes are one aggregate that combines before its shuffle; quantiles and modes are found by counted values.
     """
     class_, vars = as_list(class_), as_list(vars) or [c for c in numeric_cols(df) if c not in as_list(class_)]
     if class_ and not missing:
         df = df.na.drop(subset=class_)
-    return df.groupBy(*class_).agg(*[STATS[s](F.col(v)).alias(f"{s}_{v}") for v in vars for s in stats or DEFAULT])
+    wanted = [(s, v) for v in vars for s in stats or DEFAULT]
+    plain = [STATS[s](F.col(v)).alias(f"{s}_{v}") for s, v in wanted if s not in ORDERED]
+    ordered = {f"{s}_{v}": (v, ORDERED[s]) for s, v in wanted if s in ORDERED}
+    out = df.groupBy(*class_).agg(*plain or [F.count(F.lit(1)).alias("__rows")])
+    return add_order_stats(out, df, class_, ordered).select(*class_, *[f"{s}_{v}" for s, v in wanted])
 
 
 summary = means
@@ -46,8 +49,9 @@ summary = means
 def means_long(df: DataFrame, vars=None, stats: list[str] | None = None) -> DataFrame:
     """One row per variable; variables without a value are left out."""
     vars, stats = as_list(vars) or numeric_cols(df), stats or DEFAULT
-    wide = df.agg(*[F.struct(F.lit(v).alias("variable"), *[STATS[s](F.col(v)).cast("double").alias(s) for s in stats], F.count(v).alias("__n")).alias(f"__{v}") for v in vars])
-    return wide.select(F.inline(F.array(*[f"__{v}" for v in vars]))).where("__n > 0").drop("__n")
+    wide = means(df, vars, list(dict.fromkeys([*stats, "n"])))
+    rows = [F.struct(F.lit(v).alias("variable"), *[F.col(f"{s}_{v}").cast("double").alias(s) for s in stats], F.col(f"n_{v}").alias("__n")) for v in vars]
+    return wide.select(F.inline(F.array(*rows))).where("__n > 0").drop("__n")
 
 
 def freq(df: DataFrame, tables, missing: bool = False, cumulative: bool = True) -> DataFrame:
@@ -80,9 +84,9 @@ def tabulate(df: DataFrame, by: str, numeric: list[str], categorical: list[str])
     parts = []
     num = lambda c: F.format_string("%.1f", F.round(c, 1))
     for v in numeric:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        text = F.concat(num(q[1]), F.lit(" ("), num(q[0]), F.lit(", "), num(q[2]), F.lit(")"))
-        parts.append(df.groupBy(F.col(by).alias("group")).agg(text.alias("text")).select(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("level"), "group", "text"))
+        median, q1, q3 = (num(F.col(f"{s}_{v}")) for s in ("median", "q1", "q3"))
+        text = F.concat(median, F.lit(" ("), q1, F.lit(", "), q3, F.lit(")"))
+        parts.append(means(df, v, ["median", "q1", "q3"], by, True).select(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("level"), F.col(by).alias("group"), text.alias("text")))
     for v in categorical:
         n = df.groupBy(F.col(by).alias("group"), F.col(v).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
         share = 100 * F.col("n") / F.sum("n").over(Window.partitionBy("group"))
@@ -97,16 +101,12 @@ def report(df: DataFrame, columns: list[str], where=None) -> DataFrame:
 def univariate(df: DataFrame, vars=None) -> DataFrame:
     """One row per variable: min, q1, median, mean, q3, max, nmiss, skewness, kurtosis (population; a normal has 3)."""
     vars = as_list(vars) or numeric_cols(df)
-    parts = []
-    for v in vars:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(
-            F.struct(
-                F.lit(v).alias("variable"), F.min(v).cast("double").alias("min"), q[0].alias("q1"), q[1].alias("median"), F.avg(v).alias("mean"), q[2].alias("q3"),
-                F.max(v).cast("double").alias("max"), F.count_if(F.col(v).isNull()).alias("nmiss"), F.skewness(v).alias("skewness"), (F.kurtosis(v) + 3).alias("kurtosis"),
-            ).alias(f"__{v}")
-        )
-    return df.agg(*parts).select(F.inline(F.array(*[f"__{v}" for v in vars])))
+    shape = {"skewness": F.skewness, "kurtosis": lambda c: F.kurtosis(c) + 3}
+    out = df.agg(*[STATS[s](F.col(v)).alias(f"{s}_{v}") for v in vars for s in ("min", "mean", "max", "nmiss")], *[fn(v).alias(f"{s}_{v}") for v in vars for s, fn in shape.items()])
+    out = add_order_stats(out, df, [], {f"{s}_{v}": (v, ORDERED[s]) for v in vars for s in ("q1", "median", "q3")})
+    names = ["min", "q1", "median", "mean", "q3", "max", "nmiss", "skewness", "kurtosis"]
+    whole = lambda s, v: F.col(f"{s}_{v}") if s == "nmiss" else F.col(f"{s}_{v}").cast("double")
+    return out.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), *[whole(s, v).alias(s) for s in names]) for v in vars])))
 
 
 def normality(df: DataFrame, x: str) -> DataFrame:
