@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dealt, running_sums
 from .rules import as_list
 from .storage import staged
 
@@ -302,8 +303,7 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
     xs, strata = as_list(xs), as_list(strata)
     p = len(xs)
     keep = [F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(xs)]
-    data = staged(df.na.drop(subset=[time, event, *xs]).select(*strata, F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"), *keep), "cox")
-    w = Window.partitionBy(*strata).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    data = dealt(df.na.drop(subset=[time, event, *xs]).select(*strata, F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"), *keep), [*strata, "time"])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     beta, last = np.zeros(p), -math.inf
     for rounds in range(1, max_iter + 1):
@@ -313,19 +313,19 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
         sums = {"s0": F.col("w")} | {f"s1_{j}": F.col("w") * F.col(f"v{j}") for j in range(p)} | {f"s2_{i}_{j}": F.col("w") * F.col(f"v{i}") * F.col(f"v{j}") for i, j in pairs}
         aggs = [F.sum(v).alias(k) for k, v in sums.items()] + [F.coalesce(F.sum(F.when(hit, v)), F.lit(0.0)).alias("e" + k[1:]) for k, v in sums.items()]
         aggs += [F.sum("event").alias("d"), F.coalesce(F.sum(F.when(hit, F.log("w"))), F.lit(0.0)).alias("lw")] + [F.coalesce(F.sum(F.when(hit, F.col(f"v{j}"))), F.lit(0.0)).alias(f"x{j}") for j in range(p)]
-        by_time = base.groupBy(*strata, "time").agg(*aggs)
-        at_risk = by_time.select("*", *[F.sum(k).over(w).alias("r" + k[1:]) for k in sums]).where("d > 0")
+        by_time = base.groupBy(*strata, "time", "__part").agg(*aggs)
+        at_risk = running_sums(by_time, strata, "time", {"r" + k[1:]: k for k in sums}, descending=True).where("d > 0")
         part = at_risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
         share = F.col("l") / F.col("d") if ties == "efron" else F.lit(0.0)
         r = lambda k: F.col("r" + k) - share * F.col("e" + k)
         cells = [F.sum(F.log(r("0"))).alias("ld")] + [F.sum(r(f"1_{j}") / r("0")).alias(f"g{j}") for j in range(p)]
         cells += [F.sum(r(f"2_{i}_{j}") / r("0") - r(f"1_{i}") * r(f"1_{j}") / r("0") / r("0")).alias(f"h{i}_{j}") for i, j in pairs]
-        a = part.agg(*cells).first()
-        b = at_risk.agg(F.sum("lw").alias("lw"), *[F.sum(f"x{j}").alias(f"x{j}") for j in range(p)]).first()
+        once = lambda c: F.sum(F.when(F.col("l") == 0, F.col(c))).alias(c)
+        a = part.agg(*cells, once("lw"), *[once(f"x{j}") for j in range(p)]).first()
         if a["ld"] is None:
             raise ValueError("no events")
-        loglik = b["lw"] - a["ld"]
-        grad = np.array([b[f"x{j}"] - a[f"g{j}"] for j in range(p)])
+        loglik = a["lw"] - a["ld"]
+        grad = np.array([a[f"x{j}"] - a[f"g{j}"] for j in range(p)])
         info = np.zeros((p, p))
         for i, j in pairs:
             info[i, j] = info[j, i] = a[f"h{i}_{j}"]
@@ -339,33 +339,35 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
 
 
 def _risk_table(df: DataFrame, time: str, event: str, strata: list[str]) -> DataFrame:
-    """strata, time, events, censored, at_risk: one row per time, sizes summed from the latest time back."""
-    w = Window.partitionBy(*strata).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.na.drop(subset=[time, event]).groupBy(*strata, F.col(time).alias("time")).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count(F.lit(1)).alias("n"))
-    return rows.select(*strata, "time", "events", (F.col("n") - F.col("events")).alias("censored"), F.sum("n").over(w).alias("at_risk"))
+    """strata, the time under its own name, events, censored, __part, at_risk: one row per time, sizes summed from the latest time back."""
+    rows = df.na.drop(subset=[time, event]).groupBy(*strata, time).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count(F.lit(1)).alias("__n"))
+    table = running_sums(dealt(rows, [*strata, time]), strata, time, {"at_risk": "__n"}, descending=True)
+    return table.select(*strata, time, "events", (F.col("__n") - F.col("events")).alias("censored"), "__part", "at_risk")
 
 
 def km(df: DataFrame, time: str, event: str, strata=None) -> DataFrame:
     """LIFETEST: strata, time, at_risk, events, censored, survival and its Greenwood standard error."""
     strata = as_list(strata)
-    w = Window.partitionBy(*strata).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d, n = F.col("events"), F.col("at_risk")
-    table = _risk_table(df, time, event, strata)
-    survival = F.product(1 - d / n).over(w)
-    out = table.withColumn("survival", survival).withColumn("g", F.sum(F.try_divide(d, n * (n - d))).over(w))
-    return out.withColumn("se", F.col("survival") * F.sqrt("g")).drop("g")
+    # a product of factors 1 - d / n: the logarithms of those above zero, and how many are zero
+    table = _risk_table(df, time, event, strata).withColumns({"__log": F.when(d < n, F.log(1 - d / n)).otherwise(0.0), "__zero": (d == n).cast("int"), "__g": F.coalesce(F.try_divide(d, n * (n - d)), F.lit(0.0))})
+    sums = running_sums(table, strata, time, {"__logs": "__log", "__zeros": "__zero", "__gs": "__g"})
+    out = sums.withColumn("survival", F.when(F.col("__zeros") > 0, 0.0).otherwise(F.exp("__logs"))).withColumn("se", F.col("survival") * F.sqrt("__gs"))
+    return out.select(*strata, F.col(time).alias("time"), "events", "censored", "at_risk", "survival", "se")
 
 
 def logrank_table(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """group, n, observed, expected of the log-rank test."""
-    own = _risk_table(df, time, event, [group])
-    total = _risk_table(df, time, event, []).where("events > 0").select("time", F.col("events").alias("d"), F.col("at_risk").alias("r"))
-    sizes = df.na.drop(subset=[time, event]).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("observed"))
-    # a group's risk set at a time: its rows not yet gone, taken from its next own time on
-    grid = total.crossJoin(F.broadcast(sizes.select(group))).select(group, "time", "d", "r", F.lit(None).cast("long").alias("at_risk")).unionByName(own.select(group, "time", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("r"), "at_risk"))
-    w = Window.partitionBy(group).orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at = grid.withColumn("k", F.coalesce(F.max("at_risk").over(w), F.lit(0))).where("d is not null")
-    expected = at.groupBy(group).agg(F.sum(F.col("d") * F.col("k") / F.col("r")).alias("expected"))
+    total = _risk_table(df, time, event, []).where("events > 0").select(F.col(time).alias("time"), F.col("events").alias("d"), F.col("at_risk").alias("r"))
+    known = df.na.drop(subset=[time, event])
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("observed"))
+    # a group's risk set at a time: its rows of that time and later
+    own = known.groupBy(group, F.col(time).alias("time")).agg(F.count(F.lit(1)).alias("k"))
+    none = F.lit(None).cast("long")
+    grid = total.crossJoin(sizes.select(group)).select(group, "time", "d", "r", F.lit(0).cast("long").alias("k")).unionByName(own.select(group, "time", none.alias("d"), none.alias("r"), "k"))
+    times = grid.groupBy(group, "time").agg(F.max("d").alias("d"), F.max("r").alias("r"), F.sum("k").alias("k"))
+    at = running_sums(dealt(times, [group, "time"]), group, "time", {"at_risk": "k"}, descending=True).where("d is not null")
+    expected = at.groupBy(group).agg(F.sum(F.col("d") * F.col("at_risk") / F.col("r")).alias("expected"))
     return sizes.join(expected, group)
 
 

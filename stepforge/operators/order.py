@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,25 @@ def _upto(by, order_by) -> Window:
     return _over(by, order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def dealt(df: DataFrame, keys) -> DataFrame:
+    """``df`` in ranges of ``keys``, written once, with the number of each row's range in ``__part``."""
+    return staged(df.repartitionByRange(*as_list(keys)).withColumn("__part", F.spark_partition_id()), "dealt")
+
+
+def running_sums(df: DataFrame, by, at: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``df`` (from ``dealt`` by ``by`` and ``at``, which tell its rows apart) with running sums, name → column, along ``at`` in each BY group.
+
+    Each range is summed by itself; the ranges before it count by one row a range, so no task holds a group. Null levels are a group.
+    """
+    by, turn = as_list(by), F.desc if descending else F.asc
+    inside = Window.partitionBy("__part", *by).orderBy(turn(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*by).orderBy(turn("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("__part", *by).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    before = sizes.select(F.col("__part").alias("__p"), *[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__a_{n}") for n in sums])
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"__b{i}")) for i, b in enumerate(by)], F.col("__part") == F.col("__p"))
+    return df.join(before, same).select(*df.columns, *[(F.col(f"__a_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()])
+
+
 def retain_sum(df: DataFrame, x, by, order_by, init: float = 0, name: str = "total") -> DataFrame:
     """Running total from ``init``; nulls add nothing."""
     x = F.col(x) if isinstance(x, str) else x

@@ -51,7 +51,7 @@ def check_schema(catalog: DataFrame, required: DataFrame) -> DataFrame:
     """table, name, status: required names that are found or missing, and extra ones, in lower case."""
     have = catalog.select("table", F.lower("name").alias("name")).distinct().withColumn("h", F.lit(1))
     tables = have.select("table").distinct()
-    want = (required if "table" in required.columns else tables.crossJoin(F.broadcast(required))).select("table", F.lower("name").alias("name")).distinct().withColumn("w", F.lit(1))
+    want = (required if "table" in required.columns else tables.crossJoin(required)).select("table", F.lower("name").alias("name")).distinct().withColumn("w", F.lit(1))
     both = have.join(want, ["table", "name"], "full")
     return both.select("table", "name", F.when(F.col("h").isNull(), "missing").when(F.col("w").isNull(), "extra").otherwise("found").alias("status"))
 
@@ -170,7 +170,7 @@ def map_variables(found: DataFrame, required: DataFrame, least: float = 0.7) ->
     Both are tables of names; ties go to the earlier ``position``.
     """
     want = required.join(found.select("name"), "name", "left_anti").select(F.col("name").alias("required"))
-    pairs = found.crossJoin(F.broadcast(want)).withColumn("score", similarity(F.col("required"), F.col("name"))).where(F.col("score") > least)
+    pairs = found.crossJoin(want).withColumn("score", similarity(F.col("required"), F.col("name"))).where(F.col("score") > least)
     best = F.max_by(F.struct("name", "score"), F.struct("score", -F.col("position")))
     return pairs.groupBy("required").agg(best.alias("b")).select("required", F.col("b.name").alias("best"), F.col("b.score").alias("score"))
 
@@ -178,7 +178,7 @@ def map_variables(found: DataFrame, required: DataFrame, least: float = 0.7) ->
 def map_first(found: DataFrame, required: DataFrame, least: float = 0.7) -> DataFrame:
     """required, match, score: the first found name by position that is similar enough."""
     want = required.select(F.col("name").alias("required"))
-    pairs = found.crossJoin(F.broadcast(want)).withColumn("score", similarity(F.col("required"), F.col("name"), "first")).where(F.col("score") > least)
+    pairs = found.crossJoin(want).withColumn("score", similarity(F.col("required"), F.col("name"), "first")).where(F.col("score") > least)
     return pairs.groupBy("required").agg(F.min_by(F.struct("name", "score"), "position").alias("b")).select("required", F.col("b.name").alias("match"), F.col("b.score").alias("score"))
 
 
@@ -189,7 +189,7 @@ def map_three_pass(found: DataFrame, required: DataFrame) -> DataFrame:
     """
     left_f, left_r, parts = found, required.select(F.col("name").alias("required")), []
     for how in ("exact", "fuzzy", "role"):
-        pairs = left_f.crossJoin(F.broadcast(left_r))
+        pairs = left_f.crossJoin(left_r)
         a, b = F.lower("required"), F.lower("name")
         if how == "exact":
             pairs = pairs.where(a == b).withColumn("score", F.lit(1.0))
@@ -311,7 +311,7 @@ def match_datasets(expected: DataFrame, catalog: DataFrame, least: float = 0.6)
         F.when(F.contains(b, a) | F.contains(a, b), 0.3).otherwise(0.0) + F.when(F.col("i"), 0.2).otherwise(0.0)
         + F.when(F.col("d"), F.when(F.col("role") == "demographics", 0.2).otherwise(0.1)).otherwise(0.0) + F.when(F.col("k") > 5, 0.2).otherwise(0.0)
     )
-    return facts.crossJoin(F.broadcast(expected)).withColumn("confidence", F.round(F.least(score, F.lit(1.0)), 6)).where(F.col("confidence") > least).select("expected", "table", "confidence")
+    return facts.crossJoin(expected).withColumn("confidence", F.round(F.least(score, F.lit(1.0)), 6)).where(F.col("confidence") > least).select("expected", "table", "confidence")
 
 
 def missing_required(usage: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def variable_usage(scripts: DataFrame, names: DataFrame) -> DataFrame:
     t = F.upper("text")
     has = lambda *parts: F.contains(t, F.concat(*parts))
     name = F.upper("name")
-    return scripts.crossJoin(F.broadcast(names)).select(
+    return scripts.crossJoin(names).select(
         "id", "name", (has(F.lit("BY "), name) | has(F.lit("MERGE ON"))).alias("join_key"), (has(F.lit("CLASS "), name) | has(F.lit("VAR "), name) | has(F.lit("PROC MEANS"))).alias("statistical"),
         has(F.lit("CLASS")).alias("grouping"), has(F.lit("PROC REPORT")).alias("reporting"),
     )

@@ -47,3 +47,17 @@ def test_no_group_is_held_by_one_task(spark):
     df = spark.createDataFrame(rows(50), SHAPE)
     plan = A.means(df, "x", ["median"], "g")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan and "median(" not in plan
+
+
+def test_running_sums_over_ranges_against_a_loop(spark):
+    from stepforge.operators.order import dealt, running_sums
+
+    rng = random.Random(3)
+    data = [(rng.choice(["hot", "hot", "b", None]), float(t), rng.randrange(5)) for t in range(500)]
+    df = dealt(spark.createDataFrame(data, "g string, t double, n int"), ["g", "t"])
+    up = {(r.g, r.t): r.total for r in running_sums(df, "g", "t", {"total": "n"}).collect()}
+    down = {(r.g, r.t): r.total for r in running_sums(df, "g", "t", {"total": "n"}, descending=True).collect()}
+    assert len(up) == len(down) == 500
+    for g, t, _ in data:
+        assert up[g, t] == sum(n for h, u, n in data if h == g and u <= t)
+        assert down[g, t] == sum(n for h, u, n in data if h == g and u >= t)
