@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["telephony", "packing", "chat", "simhash", "decontamination", "ppm", "language_id", "secrets", "pii", "substring_dedup", "merkle"]
+MODULES = ["telephony", "packing", "chat", "simhash", "decontamination", "ppm", "language_id", "secrets", "pii", "substring_dedup", "merkle", "vector_codes", "mixing"]
 
 
 def _gather(name: str) -> dict:
