@@ -120,7 +120,7 @@ def manifest(docs: DataFrame, columns=COLUMNS, id_col: str = "doc_id", group_col
     plain = {c: F.col(c) for c in columns}
     changed = F.when(altered[0], leaf(plain | altered[1])) if altered else F.lit(None).cast("string")
     leaves = docs.select(F.col(group_col).alias("tree"), leaf(plain).alias("node"), F.col(id_col).alias("id"), changed.alias("altered_leaf"))
-    groups = Tree(leaves, [F.col("id").asc_nulls_first(), "node"], fanout)
+    groups = Tree(C.staged(leaves, "leaves"), [F.col("id").asc_nulls_first(), "node"], fanout)
     subroots = groups.tops.select(F.lit(0).alias("tree"), "node", F.col("tree").alias("group"))
     over = Tree(subroots, [F.col("group").asc_nulls_first()], fanout)
     root = over.tops.select("tree", F.col("node").alias("root"), F.array().cast(_STEP).alias("path"))
