@@ -9,17 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import as_list, existing, need_order, sort_key
+from .scan import Running, scan
 from .storage import staged
 
 
-def _over(by, order_by) -> Window:
-    return Window.partitionBy(*as_list(by)).orderBy(*need_order(order_by))
-
-
-def _upto(by, order_by) -> Window:
-    return _over(by, order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def dealt(df: DataFrame, keys) -> DataFrame:
     """``df`` in ranges of ``keys``, written once, with the number of each row's range in ``__part``."""
     return staged(df.repartitionByRange(*as_list(keys)).withColumn("__part", F.spark_partition_id()), "dealt")
@@ -41,45 +34,41 @@ def running_sums(df: DataFrame, by, at: str, sums: dict[str, str], descending: b
 
 def retain_sum(df: DataFrame, x, by, order_by, init: float = 0, name: str = "total") -> DataFrame:
     """Running total from ``init``; nulls add nothing."""
-    x = F.col(x) if isinstance(x, str) else x
-    return df.withColumn(name, F.lit(init) + F.coalesce(F.sum(x).over(_upto(by, order_by)), F.lit(0)))
+    return scan(df, by, order_by, {name: Running("sum", x)}).withColumn(name, F.lit(init) + F.coalesce(name, F.lit(0)))
 
 
 def carry_forward(df: DataFrame, x: str, by, order_by, name: str) -> DataFrame:
     """The last value seen that is not null."""
-    return df.withColumn(name, F.last(x, ignorenulls=True).over(_upto(by, order_by)))
+    return scan(df, by, order_by, {name: Running("last", x)})
 
 
 def carry_backward(df: DataFrame, x: str, by, order_by, name: str) -> DataFrame:
     """The next value that is not null: the last one seen from the end, so that each row is visited once."""
-    back = Window.partitionBy(*as_list(by)).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = df.withColumn("__at", F.row_number().over(_over(by, order_by)))
-    return numbered.withColumn(name, F.last(x, ignorenulls=True).over(back)).drop("__at")
+    return scan(df, by, order_by, behind={name: Running("last", x)})
 
 
 def running(df: DataFrame, x: str, by, order_by, low: str = "low", high: str = "high") -> DataFrame:
     """Running minimum and maximum."""
-    w = _upto(by, order_by)
-    return df.withColumns({low: F.min(x).over(w), high: F.max(x).over(w)})
+    return scan(df, by, order_by, {low: Running("min", x), high: Running("max", x)})
 
 
 def lag(df: DataFrame, x: str, by, order_by, n: int = 1, name: str = "lag") -> DataFrame:
-    return df.withColumn(name, F.lag(x, n).over(_over(by, order_by)))
+    return scan(df, by, order_by, {name: Running("lag", x, n)})
 
 
 def dif(df: DataFrame, x: str, by, order_by, n: int = 1, name: str = "dif") -> DataFrame:
-    return df.withColumn(name, F.col(x) - F.lag(x, n).over(_over(by, order_by)))
+    return scan(df, by, order_by, {"__lag": Running("lag", x, n)}).withColumn(name, F.col(x) - F.col("__lag")).drop("__lag")
 
 
 def first_last(df: DataFrame, by, order_by) -> DataFrame:
     """Flags is_first and is_last (0/1) within each BY group."""
-    w = _over(by, order_by)
-    return df.withColumns({"is_first": F.lag(F.lit(1)).over(w).isNull().cast("int"), "is_last": F.lead(F.lit(1)).over(w).isNull().cast("int")})
+    out = scan(df, by, order_by, {"is_first": Running("lag", F.lit(1))}, {"is_last": Running("lag", F.lit(1))})
+    return out.withColumns({c: F.isnull(c).cast("int") for c in ("is_first", "is_last")})
 
 
 def sequence_in(df: DataFrame, by, order_by, name: str = "seq") -> DataFrame:
     """1, 2, 3, … within each BY group."""
-    return df.withColumn(name, F.row_number().over(_over(by, order_by)))
+    return scan(df, by, order_by, {name: Running("sum", F.lit(1))})
 
 
 def row_n(df: DataFrame, order_by, name: str = "_n_") -> DataFrame:
@@ -99,12 +88,10 @@ def row_n(df: DataFrame, order_by, name: str = "_n_") -> DataFrame:
 
 def interpolate(df: DataFrame, x: str, at: str, by, name: str) -> DataFrame:
     """Linear interpolation between the neighbours along numeric ``at`` that have a value."""
-    up = _upto(by, at)
-    down = Window.partitionBy(*as_list(by)).orderBy(F.col(at).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = F.when(F.col(x).isNotNull(), F.col(at))
-    x0, x1 = F.last(x, ignorenulls=True).over(up), F.last(x, ignorenulls=True).over(down)
-    t0, t1 = F.last(known, ignorenulls=True).over(up), F.last(known, ignorenulls=True).over(down)
-    return df.withColumn(name, F.coalesce(F.col(x), x0 + (x1 - x0) * (F.col(at) - t0) / (t1 - t0)))
+    known = F.when(F.col(x).isNotNull(), F.struct(F.col(at).alias("t"), F.col(x).alias("x")))
+    out = scan(df, by, at, {"__up": Running("last", known)}, {"__down": Running("last", known)})
+    x0, x1, t0, t1 = F.col("__up.x"), F.col("__down.x"), F.col("__up.t"), F.col("__down.t")
+    return out.withColumn(name, F.coalesce(F.col(x), x0 + (x1 - x0) * (F.col(at) - t0) / (t1 - t0))).drop("__up", "__down")
 
 
 def sort(df: DataFrame, keys, sas_order: bool = False) -> DataFrame:

@@ -67,14 +67,14 @@ def has_hot_group(df: DataFrame, by: list[str], rows: int = GROUP_ROWS) -> bool:
 def scan(df: DataFrame, by, order_by, ahead: dict[str, Running] | None = None, behind: dict[str, Running] | None = None, by_ranges: bool | None = None) -> DataFrame:
     """``df`` with running values, name → Running: ``ahead`` along ``order_by`` in each BY group, ``behind`` from its end.
 
-    Null levels are a group; without ``by`` the table is one. Ties in the order are broken one way for all
+    Null levels are a group; without ``by`` the table is one, and counted as one. Ties in the order are broken one way for all
     values of a call. ``by_ranges``: None takes the scan by ranges where a group has over ``GROUP_ROWS``
     rows and plain windows elsewhere; both give the same rows. An empty table gives an empty table. Names
     of new columns replace columns of that name.
     """
     by, keys, ahead, behind = as_list(by), need_order(order_by), ahead or {}, behind or {}
     if by_ranges is None:
-        by_ranges = not by or has_hot_group(df, by)
+        by_ranges = has_hot_group(df, by)
     values = {f"__v_{k}": F.col(r.value) if isinstance(r.value, str) else r.value for k, r in (ahead | behind).items()}
     left = [c for c in df.columns if c not in ahead and c not in behind]
     df = df.withColumns(values)
@@ -84,11 +84,12 @@ def scan(df: DataFrame, by, order_by, ahead: dict[str, Running] | None = None, b
 
 
 def _windows(df: DataFrame, by: list[str], keys: list[Column], ahead: dict[str, Running], behind: dict[str, Running]) -> DataFrame:
-    if behind:  # numbered, so that both ways agree on ties
-        df = df.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
-        keys = [F.col("__at").asc()]
-    out = df.withColumns({k: r.over(Window.partitionBy(*by).orderBy(*keys), F.col(f"__v_{k}")) for k, r in ahead.items()})
-    return out.withColumns({k: r.over(Window.partitionBy(*by).orderBy(F.desc("__at")), F.col(f"__v_{k}")) for k, r in behind.items()})
+    w = Window.partitionBy(*by).orderBy(*keys)
+    new = {k: r.over(w, F.col(f"__v_{k}")) for k, r in ahead.items()}
+    if behind:  # numbered by the same sort, so that both ways agree on ties
+        new["__at"] = F.row_number().over(w)
+    back = Window.partitionBy(*by).orderBy(F.desc("__at"))
+    return df.withColumns(new).withColumns({k: r.over(back, F.col(f"__v_{k}")) for k, r in behind.items()})
 
 
 def ranges(df: DataFrame, by: list[str], keys: list[Column], label: str = "ranges") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .quantile import add_order_stats
 from .rules import as_list, numeric_cols
+from .scan import Running, scan
+from .storage import staged
 
 STATS = {
     "n": lambda c: F.count(c),
@@ -57,16 +59,20 @@ def means_long(df: DataFrame, vars=None, stats: list[str] | None = None) -> Data
 def freq(df: DataFrame, tables, missing: bool = False, cumulative: bool = True) -> DataFrame:
     """FREQ: count and percent of each level or combination, by value; cumulatives follow that order.
 
-    The running sums are over the aggregated table, which has a row per level.
+    Running counts are taken over the written table of levels, of any type: by ranges of their order where it
+    has more levels than a task should hold.
     """
     tables = as_list(tables)
     df = df if missing else df.na.drop(subset=tables)
     counts = df.groupBy(*tables).agg(F.count(F.lit(1)).alias("count"))
+    running = cumulative and len(tables) == 1
+    counts = staged(counts, "levels") if running else counts
     total = counts.agg(F.sum("count").alias("__t"))
-    out = counts.crossJoin(F.broadcast(total)).withColumn("percent", 100 * F.col("count") / F.col("__t"))
-    if cumulative and len(tables) == 1:
-        w = Window.orderBy(F.col(tables[0]).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("cum_count", F.sum("count").over(w)).withColumn("cum_percent", 100 * F.col("cum_count") / F.col("__t"))
+    if running:
+        counts = scan(counts, [], tables[0], {"cum_count": Running("sum", "count")})
+    out = counts.crossJoin(F.broadcast(total)).withColumn("percent", 100 * F.col("count") / F.col("__t"))  # one row
+    if running:
+        out = out.withColumn("cum_percent", 100 * F.col("cum_count") / F.col("__t")).select(*tables, "count", "percent", "cum_count", "cum_percent")
     return out.drop("__t")
 
 
