@@ -61,6 +61,7 @@ def queues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text).cast("binary")), 1, 16)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    rows = C.staged(rows, "sizes")
     return C.staged(scan(rows, "source", ["key", "id", "size"], {"upto": Running("sum", "size")}, by_ranges=True).drop("key"), "queues")
 
 
