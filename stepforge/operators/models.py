@@ -13,9 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .factors import CrossProducts, within
+from .gram import cross_products
 from .order import dealt, running_sums
 from .rules import as_list
-from .storage import staged
+from .special import sum_inverse, sum_inverse_square, sum_log
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:
@@ -82,13 +84,8 @@ def tukey_tail(q: float, k: int, df: float) -> float:
 
 def _moments(df: DataFrame, cols: list[Column]) -> tuple[int, np.ndarray]:
     """n and the cross-product matrix of (1, cols) over complete rows, in one aggregate."""
-    cells = [F.lit(1.0), *[c.cast("double") for c in cols]]
-    pairs = [(i, j) for i in range(len(cells)) for j in range(i, len(cells))]
     complete = df.where(reduce(lambda a, b: a & b, [c.isNotNull() for c in cols]))
-    row = complete.agg(*[F.sum(cells[i] * cells[j]).alias(f"m{k}") for k, (i, j) in enumerate(pairs)]).first()
-    m = np.zeros((len(cells), len(cells)))
-    for k, (i, j) in enumerate(pairs):
-        m[i, j] = m[j, i] = row[k] or 0.0
+    m, _ = cross_products(complete, [F.lit(1.0), *cols])
     return int(m[0, 0]), m
 
 
@@ -132,38 +129,49 @@ def reg(df: DataFrame, y: str, xs) -> Linear:
     return Linear(df.sparkSession, ["intercept", *xs], n, m)
 
 
-def _dummies(df: DataFrame, factor: str) -> list[tuple[str, Column]]:
-    levels = [r[0] for r in df.select(factor).where(F.col(factor).isNotNull()).distinct().orderBy(factor).collect()]
-    return [(f"{factor}={v}", (F.col(factor) == F.lit(v)).cast("double")) for v in levels[1:]]
+class Absorbed:
+    """A least-squares fit of slopes within the levels of an absorbed factor."""
+
+    def __init__(self, spark, terms: list[str], n: int, levels: int, m: np.ndarray, sst: float):
+        self.spark, self.terms, self.n, self.levels, self.left = spark, terms, n, levels, n - levels - len(terms)
+        xx, xy = m[:-1, :-1], m[:-1, -1]
+        if self.left <= 0 or np.linalg.matrix_rank(xx) < len(terms):
+            raise ValueError("the design is singular or has too few rows")
+        self.coef = np.linalg.solve(xx, xy)
+        self.sse, self.sst = float(m[-1, -1] - self.coef @ xy), sst
+        self.mse = self.sse / self.left
+        self.cov = np.linalg.inv(xx) * self.mse
+
+    def coefficients(self) -> DataFrame:
+        """term, estimate, se, t, p_value."""
+        se = np.sqrt(np.diag(self.cov))
+        rows = [(t, float(b), float(s), float(b / s), t_tail(b / s, self.left)) for t, b, s in zip(self.terms, self.coef, se)]
+        return self.spark.createDataFrame(rows, "term string, estimate double, se double, t double, p_value double")
+
+    def statistics(self) -> DataFrame:
+        """n, levels, root_mse, r2 (of all terms, the factor too)."""
+        return self.spark.createDataFrame([(self.n, self.levels, math.sqrt(self.mse), 1 - self.sse / self.sst)], "n long, levels long, root_mse double, r2 double")
+
+
+def reg_absorb(df: DataFrame, y: str, xs, absorb) -> Absorbed:
+    """REG with ABSORB: least squares of ``xs`` beside a factor of any number of levels (null levels and incomplete rows are left out)."""
+    return Absorbed(df.sparkSession, as_list(xs), *within(df, y, xs, absorb))
 
 
 def anova(df: DataFrame, y: str, terms: list[str]) -> DataFrame:
-    """term, df, ss, ms, f, p_value: sequential sums of squares; "a*b" is an interaction, string columns are factors."""
-    kinds, blocks, all_cols = dict(df.dtypes), [], []
-
-    def columns(term: str) -> list[Column]:
-        parts = [[c for _, c in _dummies(df, t)] if kinds[t] == "string" else [F.col(t)] for t in term.split("*")]
-        return reduce(lambda a, b: [x * z for x in a for z in b], parts)
-
-    for term in terms:
-        cols = columns(term)
-        blocks.append((term, len(cols)))
-        all_cols += cols
-    n, m = _moments(df, [*all_cols, F.col(y)])
-    mean = m[0] / n
-    c = (m - n * np.outer(mean, mean))[1:, 1:]
-    sse, before, rows, used = [float(c[-1, -1])], 0, [], 0
-    for term, k in blocks:
-        used += k
-        a = c[:used, :used]
-        rank = int(np.linalg.matrix_rank(a))
-        sse.append(float(c[-1, -1] - c[:used, -1] @ np.linalg.lstsq(a, c[:used, -1], rcond=None)[0]))
-        rows.append([term, rank - before, sse[-2] - sse[-1]])
-        before = rank
-    left = n - 1 - before
-    ms = sse[-1] / left
-    out = [(t, d, s, s / d, s / d / ms, f_tail(s / d / ms, d, left)) for t, d, s in rows if d]
-    out.append(("residuals", left, sse[-1], ms, None, None))
+    """term, df, ss, ms, f, p_value: sequential sums of squares; "a*b" is an interaction, string columns are factors of any number of levels that the dense part can hold (``factors.DENSE``)."""
+    sums = CrossProducts(df, y, terms)
+    fits = sums.fits()
+    left = sums.n - fits[-1][0]
+    if left <= 0:
+        raise ValueError("the design has as many columns as rows")
+    sse = fits[-1][1]
+    ms, out = sse / left, []
+    for term, (r0, s0), (r1, s1) in zip(terms, fits, fits[1:]):
+        if d := r1 - r0:
+            f = (s0 - s1) / d / ms
+            out.append((term, d, s0 - s1, (s0 - s1) / d, f, f_tail(f, d, left)))
+    out.append(("residuals", left, sse, ms, None, None))
     return df.sparkSession.createDataFrame(out, "term string, df long, ss double, ms double, f double, p_value double")
 
 
@@ -181,21 +189,98 @@ def tukey(df: DataFrame, y: str, group: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, diff double, q double, p_value double")
 
 
+#: Levels of a factor that a logistic model may have: each is a column of its system.
+LEVELS = 400
+
+
+def _design(df: DataFrame, formula: str) -> tuple[str, list[str], DataFrame, list[Column]]:
+    """The response, the names of the columns, the complete rows and the columns of ``y ~ a + b + a:b``; ``a*b`` is short for all three.
+
+    String columns are factors: a column for each level but the first. Intercept last.
+    """
+    y, right = (x.strip() for x in formula.split("~"))
+    terms: list[str] = []
+    for t in (x.strip() for x in right.split("+")):
+        parts = [x.strip() for x in t.split("*")]
+        terms += [*parts, ":".join(parts)] if len(parts) > 1 else [t.replace(" ", "")]
+    terms = list(dict.fromkeys(terms))
+    names = list(dict.fromkeys(v for t in terms for v in t.split(":")))
+    kinds, rows = dict(df.dtypes), df.na.drop(subset=[y, *names])
+    one: dict[str, list[tuple[str, Column]]] = {}
+    for v in names:
+        if kinds[v] != "string":
+            one[v] = [(v, F.col(v).cast("double"))]
+            continue
+        levels = [r[0] for r in rows.select(v).distinct().orderBy(v).limit(LEVELS + 1).collect()]
+        if len(levels) > LEVELS:
+            raise ValueError(f"{v} has more than {LEVELS} levels")
+        one[v] = [(f"{v}_{x}", (F.col(v) == F.lit(x)).cast("double")) for x in levels[1:]]
+    cols = [c for t in terms for c in reduce(lambda a, b: [(f"{n}:{m}", x * z) for n, x in a for m, z in b], [one[v] for v in t.split(":")])]
+    return y, [*[n for n, _ in cols], "intercept"], rows, [*[c for _, c in cols], F.lit(1.0)]
+
+
+class Logistic:
+    """A fitted logistic regression."""
+
+    def __init__(self, spark, terms, coef, cov, loglik, n, events, rounds):
+        self.spark, self.terms, self.coef, self.cov, self.loglik, self.n, self.events, self.rounds = spark, terms, coef, cov, loglik, n, events, rounds
+
+    def coefficients(self) -> DataFrame:
+        """term, estimate, se, z, p_value, odds_ratio, wald_low, wald_high."""
+        se = np.sqrt(np.diag(self.cov))
+        rows = [(t, float(b), float(e), float(b / e), normal_tail(b / e), _exp(b), _exp(b - 1.959964 * e), _exp(b + 1.959964 * e)) for t, b, e in zip(self.terms, self.coef, se)]
+        return self.spark.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double, odds_ratio double, wald_low double, wald_high double")
+
+    def statistics(self) -> DataFrame:
+        """n, events, loglik, null_loglik, aic, chi2 (likelihood ratio against the intercept alone), df, p_value."""
+        p = self.events / self.n
+        null = self.events * math.log(p) + (self.n - self.events) * math.log(1 - p)
+        k = len(self.terms) - 1
+        chi2 = 2 * (self.loglik - null)
+        row = (self.n, self.events, self.loglik, null, 2 * (k + 1) - 2 * self.loglik, chi2, k, chi2_tail(chi2, k) if k else 1.0)
+        return self.spark.createDataFrame([row], "n long, events long, loglik double, null_loglik double, aic double, chi2 double, df long, p_value double")
+
+
+def logistic_fit(df: DataFrame, formula: str, max_iter: int = 40) -> Logistic:
+    """LOGISTIC: maximum likelihood by Newton steps, each one aggregate over the rows; ``y`` is 0 or 1 (or boolean), incomplete rows are left out.
+
+    Where a combination of terms tells the events from the others (separation, complete or not), there is no
+    maximum: the steps then run along that combination, and a pass shows that no row lies on its wrong side.
+    ValueError names its terms. A singular design is a ValueError too.
+    """
+    y, terms, rows, cols = _design(df, formula)
+    p, y = len(terms), F.col(y).cast("double")
+    beta, step, last = np.zeros(p), np.zeros(p), -math.inf
+    score = lambda b: reduce(lambda u, v: u + v, [F.lit(float(b[j])) * cols[j] for j in range(p)])
+    for rounds in range(1, max_iter + 1):
+        eta = score(beta)
+        mu = 1 / (1 + F.exp(-eta))
+        # log(1 + exp(eta)) without overflow
+        loglik = F.sum(y * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta))))
+        side = (2 * y - 1) * score(step)
+        extra = [F.sum(cols[j] * (y - mu)) for j in range(p)] + [loglik, F.min(side), F.max(side), F.count(F.lit(1)), F.sum(y)]
+        info, more = cross_products(rows, cols, mu * (1 - mu), extra)
+        grad, (value, low, high, n, events) = np.array([v or 0.0 for v in more[:p]]), more[p:]
+        if not events or events == n:
+            raise ValueError("the response has one value only")
+        if rounds == 1 and np.linalg.matrix_rank(info) < p:
+            raise ValueError("the design is singular")
+        if value < last and np.abs(step).max() > 1e-8:
+            step = step / 2
+            beta = beta - step
+            continue
+        if rounds > 6 and high > 0 and low >= -1e-6 * high:
+            raise ValueError("separation by " + ", ".join(t for t, s in zip(terms, step) if abs(s) > 1e-3 * np.abs(step).max()))
+        if value - last <= 1e-12 * (abs(value) + 1):
+            return Logistic(df.sparkSession, terms, beta, np.linalg.inv(info), value, n, int(events), rounds)
+        last, step = value, np.linalg.lstsq(info, grad, rcond=None)[0]
+        beta = beta + step
+    raise RuntimeError("the Newton steps did not settle")
+
+
 def logistic(df: DataFrame, formula: str) -> DataFrame:
     """term, estimate, se, z, p_value, odds_ratio, wald_low, wald_high of ``y ~ terms`` (string columns are factors)."""
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    data = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc").fit(df).transform(df)
-    model = GeneralizedLinearRegression(family="binomial", maxIter=50).fit(data)
-    attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
-    names = [a["name"] for a in sorted((a for kind in attrs.values() for a in kind), key=lambda a: a["idx"])]
-    s = model.summary
-    terms, coef = [*names, "intercept"], [*model.coefficients.toArray().tolist(), model.intercept]
-    rows = []
-    for t, b, e in zip(terms, coef, s.coefficientStandardErrors):
-        rows.append((t, float(b), float(e), float(b / e), normal_tail(b / e), _exp(b), _exp(b - 1.959964 * e), _exp(b + 1.959964 * e)))
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double, odds_ratio double, wald_low double, wald_high double")
+    return logistic_fit(df, formula).coefficients()
 
 
 class Mixed:
@@ -209,7 +294,7 @@ class Mixed:
         return self.spark.createDataFrame([(t, float(b), float(s), float(b / s), normal_tail(b / s)) for t, b, s in zip(self.terms, self.coef, se)], "term string, estimate double, se double, z double, p_value double")
 
     def variances(self) -> DataFrame:
-        return self.spark.createDataFrame([(self.sigma2, self.tau2, self.n, self.groups)], "residual double, intercept double, n long, subjects long")
+        return self.spark.createDataFrame([(float(self.sigma2), float(self.tau2), self.n, self.groups)], "residual double, intercept double, n long, subjects long")
 
     def estimate(self, **weights: float) -> DataFrame:
         """A linear combination of coefficients, as LSMEANS, ESTIMATE and CONTRAST give them."""
@@ -262,14 +347,20 @@ def mixed(df: DataFrame, y: str, xs, subject: str) -> Mixed:
         ll = -0.5 * ((n - p) * math.log(rss) + float((many * np.log1p(sizes * lam)).sum()) + np.linalg.slogdet(xx)[1])
         return ll, b, xx, rss / (n - p)
 
+    def slope(lam: float) -> float:
+        """Minus twice the derivative of the restricted likelihood: zero at its estimate."""
+        _, b, xx, s2 = at(lam)
+        fall = np.tensordot(1 / (1 + sizes * lam) ** 2, cross, 1)
+        r = np.append(-b, 1.0)
+        return float(-(r @ fall @ r) / s2 + (many * sizes / (1 + sizes * lam)).sum() - np.trace(np.linalg.solve(xx, fall[:p, :p])))
+
     grid = np.concatenate([[0.0], np.exp(np.linspace(-14, 6, 81))])
     best = int(np.argmax([at(g)[0] for g in grid]))
     lo, hi = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        x1, x2 = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-        lo, hi = (lo, x2) if at(x1)[0] >= at(x2)[0] else (x1, hi)
-    lam = (lo + hi) / 2 if at((lo + hi) / 2)[0] >= at(0.0)[0] else 0.0
+    for _ in range(100):
+        middle = (lo + hi) / 2
+        lo, hi = (lo, middle) if slope(middle) > 0 else (middle, hi)
+    lam = (lo + hi) / 2 if at((lo + hi) / 2)[0] > at(0.0)[0] else 0.0
     _, b, xx, s2 = at(lam)
     return Mixed(df.sparkSession, ["intercept", *xs], b, np.linalg.inv(xx) * s2, s2, lam * s2, n, int(many.sum()))
 
@@ -295,6 +386,37 @@ class Cox:
         return self.spark.createDataFrame(out, "term string, rho double, chi2 double, p_value double")
 
 
+def _whole(cells: dict[str, Column], table: DataFrame, p: int) -> DataFrame:
+    return table.agg(*[F.sum(c).alias(k) for k, c in cells.items()], F.sum("lw").alias("lw"), *[F.sum(f"x{j}").alias(f"x{j}") for j in range(p)])
+
+
+def _breslow(table: DataFrame, p: int, pairs) -> DataFrame:
+    """Sums over event times of the partial likelihood's parts, all events of a time facing the whole risk set."""
+    d, r = F.col("d").cast("double"), lambda k: F.col("r" + k) / F.col("r0")
+    cells = {"ld": d * F.log("r0")} | {f"g{j}": d * r(f"1_{j}") for j in range(p)} | {f"h{i}_{j}": d * (r(f"2_{i}_{j}") - r(f"1_{i}") * r(f"1_{j}")) for i, j in pairs}
+    return _whole(cells, table, p)
+
+
+def _efron(table: DataFrame, p: int, pairs) -> DataFrame:
+    """The same by Efron: the l-th of d tied events faces the risk set less l / d of the tied rows.
+
+    With A = d r0 / e0 the risk sets are e0 / d (A - l), so their logarithms, reciprocals and squared
+    reciprocals are sums over A, A - 1, …, A - d + 1, which have closed forms: no row for each tied event.
+    """
+    d, r0, e0 = F.col("d").cast("double"), F.col("r0"), F.col("e0")
+    top = d * r0 / e0
+    low = F.greatest(top - d + 1, F.lit(1.0))
+    t = table.withColumns({"__a": top, "__k": d / e0, "__l": sum_log(low, d), "__1": sum_inverse(low, d), "__2": sum_inverse_square(low, d)})
+    a, k, s1, s2 = F.col("__a"), F.col("__k"), F.col("__1"), F.col("__2")
+    first = lambda i: (F.col(f"r1_{i}") - a / d * F.col(f"e1_{i}"), F.col(f"e1_{i}"))
+    cells = {"ld": F.col("__l") - d * F.log(k)} | {f"g{j}": k * (first(j)[0] * s1 + first(j)[1]) for j in range(p)}
+    for i, j in pairs:
+        (ci, ei), (cj, ej), e2 = first(i), first(j), F.col(f"e2_{i}_{j}")
+        second = k * ((F.col(f"r2_{i}_{j}") - a / d * e2) * s1 + e2)
+        cells[f"h{i}_{j}"] = second - k * k * (ci * cj * s2 + (ci * ej + cj * ei) * s1 / d + ei * ej / d)
+    return _whole(cells, t, p)
+
+
 def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efron", max_iter: int = 25) -> Cox:
     """PHREG by Newton steps; each is an aggregate to event times and sums over the risk sets of that small table.
 
@@ -305,7 +427,7 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
     keep = [F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(xs)]
     data = dealt(df.na.drop(subset=[time, event, *xs]).select(*strata, F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"), *keep), [*strata, "time"])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    beta, last = np.zeros(p), -math.inf
+    beta = np.zeros(p)
     for rounds in range(1, max_iter + 1):
         risk = F.exp(reduce(lambda a, b: a + b, [F.lit(float(beta[j])) * F.col(f"v{j}") for j in range(p)]))
         hit = F.col("event") == 1
@@ -315,13 +437,7 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
         aggs += [F.sum("event").alias("d"), F.coalesce(F.sum(F.when(hit, F.log("w"))), F.lit(0.0)).alias("lw")] + [F.coalesce(F.sum(F.when(hit, F.col(f"v{j}"))), F.lit(0.0)).alias(f"x{j}") for j in range(p)]
         by_time = base.groupBy(*strata, "time", "__part").agg(*aggs)
         at_risk = running_sums(by_time, strata, "time", {"r" + k[1:]: k for k in sums}, descending=True).where("d > 0")
-        part = at_risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
-        share = F.col("l") / F.col("d") if ties == "efron" else F.lit(0.0)
-        r = lambda k: F.col("r" + k) - share * F.col("e" + k)
-        cells = [F.sum(F.log(r("0"))).alias("ld")] + [F.sum(r(f"1_{j}") / r("0")).alias(f"g{j}") for j in range(p)]
-        cells += [F.sum(r(f"2_{i}_{j}") / r("0") - r(f"1_{i}") * r(f"1_{j}") / r("0") / r("0")).alias(f"h{i}_{j}") for i, j in pairs]
-        once = lambda c: F.sum(F.when(F.col("l") == 0, F.col(c))).alias(c)
-        a = part.agg(*cells, once("lw"), *[once(f"x{j}") for j in range(p)]).first()
+        a = (_efron if ties == "efron" else _breslow)(at_risk, p, pairs).first()
         if a["ld"] is None:
             raise ValueError("no events")
         loglik = a["lw"] - a["ld"]
@@ -329,10 +445,10 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
         info = np.zeros((p, p))
         for i, j in pairs:
             info[i, j] = info[j, i] = a[f"h{i}_{j}"]
-        if abs(loglik - last) < 1e-9 * (abs(last) + 1):
+        step = np.linalg.solve(info, grad)
+        if step @ grad < 1e-12:  # a step below a millionth of the standard error
             break
-        last = loglik
-        beta = beta + np.linalg.solve(info, grad)
+        beta = beta + step
     else:
         raise RuntimeError("the Newton steps did not settle")
     return Cox(df.sparkSession, xs, beta, np.linalg.inv(info), loglik, rounds, at_risk)

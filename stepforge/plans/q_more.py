@@ -17,7 +17,8 @@ from ..operators import summary as A
 from ..operators.rules import numeric_cols
 from ..operators.storage import shared_dir
 from ..sources import readers as S
-from .q_models import _surv
+from . import solve_sql
+from .q_models import _COX, _surv
 from .q_programs import _E, _UP, _edges
 from .registry import Registry
 
@@ -152,12 +153,16 @@ def _(t):
     return K.readiness(_edges(t), uploaded).groupBy("health").agg(F.count(F.lit(1)).alias("programs"))
 
 
-@q("m6_odds_ratios")
+_TOXIC = "SELECT CAST(toxic AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) / 1000 AS x0, 1.0::DOUBLE AS x1 FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL AND n_chars IS NOT NULL"
+
+
+@q("m6_odds_ratios", f"WITH d AS MATERIALIZED ({_TOXIC}), {solve_sql.logistic('d', 2)}, o AS (SELECT 'k' AS term, b0 AS b, sqrt(v0_0) AS s FROM b JOIN e USING (k) UNION ALL SELECT 'intercept', b1, sqrt(v1_1) FROM b JOIN e USING (k)) SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959964 * s), 6) AS wald_low, round(exp(b + 1.959964 * s), 6) AS wald_high FROM o")
 def _(t):
     df = t.labels.join(t.documents.select("doc_id", (F.col("n_chars") / 1000).alias("k")), "doc_id")
-    return M.logistic(df, "toxic ~ k").select("term", "odds_ratio", "wald_low", "wald_high")
+    return M.logistic(df, "toxic ~ k").select("term", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "wald_low", "wald_high")])
 
 
-@q("m11_hazard_ratio")
+@q("m11_hazard_ratio", f"WITH s AS MATERIALIZED ({_COX.format(seg=1)}), {solve_sql.cox('s')} SELECT 'x' AS term, round(exp(b), 6) AS hazard_ratio, round(exp(b - 1.959964 / sqrt(h)), 6) AS wald_low, round(exp(b + 1.959964 / sqrt(h)), 6) AS wald_high FROM e")
 def _(t):
-    return M.cox(_surv(t).withColumn("x", F.col("c_acctbal") / 1000), "time", "event", "x").coefficients().select("term", "hazard_ratio", "wald_low", "wald_high")
+    fit = M.cox(_surv(t).withColumn("x", F.col("c_acctbal") / 1000), "time", "event", "x").coefficients()
+    return fit.select("term", *[F.round(c, 6).alias(c) for c in ("hazard_ratio", "wald_low", "wald_high")])
