@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from .rules import as_list
 
 
-def _unique(df: DataFrame, by: list[str]) -> None:
-    if df.groupBy(*by).count().where("count > 1").limit(1).count():
-        raise ValueError(f"more than one row for a key of {by}")
+def unique_rows(df: DataFrame, by, cols: list[str] | None = None) -> DataFrame:
+    """The key columns and ``cols`` (all others) of ``df``; a key with more than one row fails the job that meets it.
+
+    The check is part of the plan: nothing runs before the action, and the aggregate by key, which combines before
+    its exchange, deals the rows as a join on the key needs them.
+    """
+    by = as_list(by)
+    cols = [c for c in df.columns if c not in by] if cols is None else cols
+    row = F.struct(F.lit(1).alias("__n"), *[F.col(c) for c in cols])
+    one = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__count"), F.first(row).alias("__row"))
+    checked = F.when(F.col("__count") == 1, F.col("__row")).otherwise(F.raise_error(f"more than one row for a key of {by}").cast(one.schema["__row"].dataType))
+    return one.select(*by, checked.alias("__row")).select(*by, *[F.col("__row")[c].alias(c) for c in cols])
 
 
 def merge(a: DataFrame, b: DataFrame, by, how: str = "left", keep_if: str | None = None, overlay: bool = True, flags: tuple[str, str] | None = None, validate: str | None = None) -> DataFrame:
@@ -20,13 +29,14 @@ def merge(a: DataFrame, b: DataFrame, by, how: str = "left", keep_if: str | None
 
     ``keep_if``: "a", "b", "a and b", "not b" (rows of a alone), "not a", as the IN= subsetting IF does.
     Shared columns: the later table wins on matched rows; without ``overlay`` they get .x and .y.
+    ``validate``: "1:m" or "m:1", the side whose keys must be unique; a double key fails the job that meets it.
     ``flags``: names of 0/1 columns that say which side a row came from.
     """
     by = as_list(by)
     if validate == "1:m":
-        _unique(a, by)
+        a = unique_rows(a, by).select(*a.columns)
     elif validate == "m:1":
-        _unique(b, by)
+        b = unique_rows(b, by).select(*b.columns)
     if keep_if == "not b":
         return a.join(b, by, "left_anti")
     if keep_if == "not a":
@@ -69,8 +79,7 @@ def lookup(df: DataFrame, ref: DataFrame, key, cols: list[str]) -> DataFrame:
     Spark broadcasts the reference where its size is known to be small, and shuffles both sides otherwise.
     """
     key = as_list(key)
-    _unique(ref, key)
-    return df.join(ref.select(*key, *cols), key, "left")
+    return df.join(unique_rows(ref, key, cols), key, "left")
 
 
 def update(master: DataFrame, trans: DataFrame, by) -> DataFrame:

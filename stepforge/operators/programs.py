@@ -215,19 +215,22 @@ def step_edges(scripts: DataFrame) -> DataFrame:
 def dependency_depth(steps: DataFrame) -> DataFrame:
     """id, dataset, depth: the longest chain of steps before a dataset; null where a cycle of two or more datasets is among them.
 
-    Depths grow until none does. A chain has no more steps than its program has datasets, so what still grows then comes after a cycle.
+    Datasets without open inputs are peeled off, with the steps that they begin; each round works on what its predecessor
+    opened and on the steps left. There are as many rounds as the longest chain has datasets; what is never opened is in or behind a cycle.
     """
     nodes = steps.select("id", F.col("src").alias("dataset")).union(steps.select("id", "dst")).distinct()
-    sizes = nodes.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    nodes = staged(nodes.join(sizes, "id").select("id", "dataset", "size", F.lit(0).alias("depth")), "depth")
-    real = staged(steps.where("src <> dst").select("id", F.col("src").alias("dataset"), "dst"), "steps")
-    growing = True
-    while growing:
-        reach = nodes.where("depth < size").join(real, ["id", "dataset"]).groupBy("id", F.col("dst").alias("dataset")).agg((F.max("depth") + 1).alias("d"))
-        grown = nodes.join(reach, ["id", "dataset"], "left").select("id", "dataset", "size", F.greatest("depth", "d").alias("depth"), F.coalesce(F.col("d") > F.col("depth"), F.lit(False)).alias("grew"))
-        grown = staged(grown, "depth")
-        nodes, growing = grown.drop("grew"), not grown.where("grew").isEmpty()
-    return nodes.select("id", "dataset", F.when(F.col("depth") < F.col("size"), F.col("depth")).alias("depth"))
+    left = staged(steps.where("src <> dst").select("id", "src", "dst").distinct(), "steps")
+    opened = [staged(nodes.join(left.select("id", F.col("dst").alias("dataset")), ["id", "dataset"], "left_anti").withColumn("depth", F.lit(0)), "open")]
+    while not left.isEmpty():
+        last = opened[-1].select("id", F.col("dataset").alias("src"))
+        rest = staged(left.join(last, ["id", "src"], "left_anti").select("id", "src", "dst"), "steps")
+        begun = left.join(last, ["id", "src"], "left_semi").select("id", F.col("dst").alias("dataset")).distinct()
+        new = staged(begun.join(rest.select("id", F.col("dst").alias("dataset")), ["id", "dataset"], "left_anti").withColumn("depth", F.lit(len(opened))), "open")
+        if new.isEmpty():
+            break
+        opened.append(new)
+        left = rest
+    return nodes.join(reduce(DataFrame.unionByName, opened), ["id", "dataset"], "left").select("id", "dataset", "depth")
 
 
 def self_cycles(steps: DataFrame) -> DataFrame:

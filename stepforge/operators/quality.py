@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import held_pairs, similar_pairs, similarity
 from .order import carry_backward, carry_forward, interpolate
 from .quantile import add_order_stats
 from .rules import as_list, need_order, type_class
+from .storage import staged
 
 # Name patterns of roles, dataset classes and importance, in the order in which they are tried.
 ROLES = {
@@ -56,11 +58,27 @@ def check_schema(catalog: DataFrame, required: DataFrame) -> DataFrame:
     return both.select("table", "name", F.when(F.col("h").isNull(), "missing").when(F.col("w").isNull(), "extra").otherwise("found").alias("status"))
 
 
+#: Standard error of the sketches that rule out keys; a candidate is ruled out from ten of them on.
+SKETCH_ERROR = 0.01
+
+
 def infer_key(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
-    """rank, columns, is_key: which candidate column lists are unique and without nulls, all in one aggregate."""
-    total = F.count(F.lit(1))
-    cells = [F.struct(F.lit(i + 1).alias("rank"), F.lit(",".join(c)).alias("columns"), (F.count_distinct(*c) == total).alias("is_key")).alias(f"k{i}") for i, c in enumerate(candidates)]
-    return df.agg(*cells).select(F.inline(F.array(*[f"k{i}" for i in range(len(cells))])))
+    """rank, columns, is_key: which candidate column lists are unique and without nulls.
+
+    One pass counts nulls and sketches the distinct values of all candidates; those with a null, or ten standard
+    errors short of the rows, are no keys. Each of the others is proved by counting its values, as 128 bits, alone.
+    """
+    null = lambda c: reduce(lambda a, b: a | b, [F.col(x).isNull() for x in c])
+    seen = df.agg(F.count(F.lit(1)), *[v for c in candidates for v in (F.count_if(null(c)), F.approx_count_distinct(F.struct(*c), SKETCH_ERROR))]).first()
+    rows = []
+    for i, c in enumerate(candidates):
+        nulls, distinct = seen[1 + 2 * i], seen[2 + 2 * i]
+        is_key = not nulls and distinct >= (1 - 10 * SKETCH_ERROR) * seen[0]
+        if is_key:
+            counted = df.groupBy(F.xxhash64(*c).alias("h1"), F.xxhash64(F.lit("second"), *c).alias("h2")).agg(F.count(F.lit(1)).alias("n"))
+            is_key = (counted.agg(F.max("n")).first()[0] or 0) <= 1
+        rows.append((i + 1, ",".join(c), is_key))
+    return df.sparkSession.createDataFrame(rows, "rank int, columns string, is_key boolean")
 
 
 def duplicates(df: DataFrame, keys=None) -> DataFrame:
@@ -145,23 +163,9 @@ def impute_ordered(df: DataFrame, x: str, by, order_by: str, how: str) -> DataFr
     return fill(df, x, by, order_by, "__v").withColumn(x, F.coalesce(x, "__v")).drop("__v")
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """How many letters of a occur in b."""
-    return F.size(F.filter(F.split(a, ""), lambda c: (c != "") & F.contains(b, c)))
-
-
-def similarity(a: Column, b: Column, longer: str = "swap") -> Column:
-    """1 if equal, 0.85 if one holds the other, else the share of letters in common.
-
-    "swap" counts the shorter name's letters in the longer one (the first name counts as the shorter
-    of two equally long ones), "first" the first name's letters in the second.
-    """
-    a, b = F.lower(a), F.lower(b)
-    if longer == "swap":
-        hits = F.when(F.length(a) > F.length(b), _shared(b, a)).otherwise(_shared(a, b))
-    else:
-        hits = _shared(a, b)
-    return F.when(a == b, 1.0).when(F.contains(b, a) | F.contains(a, b), 0.85).otherwise(F.try_divide(hits.cast("double"), F.greatest(F.length(a), F.length(b))))
+def _named(found: DataFrame) -> DataFrame:
+    """One row for each name of a catalog but for case: its lower case, the first by position, and that position."""
+    return found.where("name is not null").groupBy(F.lower("name").alias("b")).agg(F.min_by("name", F.struct("position", "name")).alias("name"), F.min("position").alias("position"))
 
 
 def map_variables(found: DataFrame, required: DataFrame, least: float = 0.7) -> DataFrame:
@@ -169,37 +173,47 @@ def map_variables(found: DataFrame, required: DataFrame, least: float = 0.7) ->
 
     Both are tables of names; ties go to the earlier ``position``.
     """
-    want = required.join(found.select("name"), "name", "left_anti").select(F.col("name").alias("required"))
-    pairs = found.crossJoin(want).withColumn("score", similarity(F.col("required"), F.col("name"))).where(F.col("score") > least)
-    best = F.max_by(F.struct("name", "score"), F.struct("score", -F.col("position")))
-    return pairs.groupBy("required").agg(best.alias("b")).select("required", F.col("b.name").alias("best"), F.col("b.score").alias("score"))
+    want = required.join(found.select("name"), "name", "left_anti").where("name is not null").select(F.col("name").alias("required"), F.lower("name").alias("a"))
+    have = staged(_named(found), "found")
+    pairs = similar_pairs(want.select("a").distinct(), have, least).join(have, "b")
+    best = pairs.groupBy("a").agg(F.max_by(F.struct("name", "score"), F.struct("score", -F.col("position"))).alias("m"))
+    return want.join(best, "a").select("required", F.col("m.name").alias("best"), F.col("m.score").alias("score"))
 
 
 def map_first(found: DataFrame, required: DataFrame, least: float = 0.7) -> DataFrame:
     """required, match, score: the first found name by position that is similar enough."""
-    want = required.select(F.col("name").alias("required"))
-    pairs = found.crossJoin(want).withColumn("score", similarity(F.col("required"), F.col("name"), "first")).where(F.col("score") > least)
-    return pairs.groupBy("required").agg(F.min_by(F.struct("name", "score"), "position").alias("b")).select("required", F.col("b.name").alias("match"), F.col("b.score").alias("score"))
+    want = required.where("name is not null").select(F.col("name").alias("required"), F.lower("name").alias("a"))
+    have = staged(_named(found), "found")
+    pairs = similar_pairs(want.select("a").distinct(), have, least, "first").join(have, "b")
+    first = pairs.groupBy("a").agg(F.min_by(F.struct("name", "score"), "position").alias("m"))
+    return want.join(first, "a").select("required", F.col("m.name").alias("match"), F.col("m.score").alias("score"))
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of rows (required, name, position, score) the best of each required name by (score, position), of these the best of each name by (score, required)."""
+    best = pairs.groupBy("required").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("position"), F.col("name"))).alias("m")).select("required", "m.name", "m.score")
+    return best.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "required")).alias("m")).select("m.required", F.col("name").alias("match"), (-F.col("m.s")).alias("score"))
 
 
 def map_three_pass(found: DataFrame, required: DataFrame) -> DataFrame:
     """required, match, score, how: exact names, then similarity over 0.75, then the same role (0.75); each found name once.
 
-    Within a pass a name goes to its best required name by (score, position), and back.
+    Within a pass a name goes to its best required name by (score, position), and back; ties go to the earlier name.
+    In the last pass all names of a role are alike, so the first found and the first required of a role are the pair.
     """
-    left_f, left_r, parts = found, required.select(F.col("name").alias("required")), []
+    left_f, left_r, parts = found.where("name is not null"), required.where("name is not null").select(F.col("name").alias("required")), []
     for how in ("exact", "fuzzy", "role"):
-        pairs = left_f.crossJoin(left_r)
-        a, b = F.lower("required"), F.lower("name")
+        f, r = left_f.withColumn("b", F.lower("name")), left_r.withColumn("a", F.lower("required"))
         if how == "exact":
-            pairs = pairs.where(a == b).withColumn("score", F.lit(1.0))
+            pairs = f.join(r, F.col("a") == F.col("b")).withColumn("score", F.lit(1.0))
         elif how == "fuzzy":
-            pairs = pairs.withColumn("score", similarity(F.col("required"), F.col("name"))).where("score > 0.75")
+            near = similar_pairs(r.select("a").distinct(), f.select("b").distinct(), 0.75)
+            pairs = near.join(r, "a").join(f.groupBy("b").agg(F.min(F.struct("position", "name")).alias("n")).select("b", "n.*"), "b")
         else:
-            pairs = pairs.where((role(a) == role(b)) & (role(a) != "unknown")).withColumn("score", F.lit(0.75))
-        one = pairs.withColumn("r", F.row_number().over(Window.partitionBy("required").orderBy(F.desc("score"), "position"))).where("r = 1")
-        one = one.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "required"))).where("r = 1")
-        done = one.select("required", F.col("name").alias("match"), "score", F.lit(how).alias("how"))
+            f = f.groupBy(role(F.col("name")).alias("role")).agg(F.min(F.struct("position", "name")).alias("n"))
+            r = r.groupBy(role(F.col("required")).alias("role")).agg(F.min("required").alias("required"))
+            pairs = f.join(r, "role").where("role <> 'unknown'").select("required", "n.*", F.lit(0.75).alias("score"))
+        done = staged(_one_each(pairs).withColumn("how", F.lit(how)), how)
         parts.append(done)
         left_f = left_f.join(done.select(F.col("match").alias("name")), "name", "left_anti")
         left_r = left_r.join(done.select("required"), "required", "left_anti")
@@ -303,15 +317,28 @@ def schema_score(mapped: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def match_datasets(expected: DataFrame, catalog: DataFrame, least: float = 0.6) -> DataFrame:
-    """expected, table, confidence for rows (expected, role) against the tables of a catalog."""
+    """expected, table, confidence for rows (expected, role) against the tables of a catalog.
+
+    0.3 where one name holds the other, 0.2 for a subject id, 0.2 for demographic columns (0.1 where the expected
+    role is another), 0.2 for over five columns. Names that hold one another are found by their pieces; without,
+    a table reaches the limit by its own facts, and then for all expected of a role alike.
+    """
     n = F.lower("name")
     facts = catalog.groupBy("table").agg(F.bool_or(n.isin("usubjid", "subjid")).alias("i"), F.bool_or(n.isin("age", "sex", "race", "weight")).alias("d"), F.count(F.lit(1)).alias("k"))
-    a, b = F.lower("expected"), F.lower("table")
-    score = (
-        F.when(F.contains(b, a) | F.contains(a, b), 0.3).otherwise(0.0) + F.when(F.col("i"), 0.2).otherwise(0.0)
-        + F.when(F.col("d"), F.when(F.col("role") == "demographics", 0.2).otherwise(0.1)).otherwise(0.0) + F.when(F.col("k") > 5, 0.2).otherwise(0.0)
-    )
-    return facts.crossJoin(expected).withColumn("confidence", F.round(F.least(score, F.lit(1.0)), 6)).where(F.col("confidence") > least).select("expected", "table", "confidence")
+    own = F.when(F.col("i"), 0.2).otherwise(0.0) + F.when(F.col("d"), F.when(F.col("same"), 0.2).otherwise(0.1)).otherwise(0.0) + F.when(F.col("k") > 5, 0.2).otherwise(0.0)
+    both = facts.withColumn("same", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("own", own)
+    both = staged(both.select("table", F.lower("table").alias("t"), "same", "own"), "facts")
+    want = staged(expected.where("expected is not null").select("expected", F.lower("expected").alias("e"), F.coalesce(F.col("role") == "demographics", F.lit(False)).alias("same")), "expected")
+    e, t = want.select("e").distinct(), both.where("t is not null").select("t").distinct()
+    inner = held_pairs(e.withColumnRenamed("e", "part"), t.withColumnRenamed("t", "whole")).select(F.col("part").alias("e"), F.col("whole").alias("t"))
+    outer = held_pairs(t.withColumnRenamed("t", "part"), e.withColumnRenamed("e", "whole")).select(F.col("whole").alias("e"), F.col("part").alias("t"))
+    named = inner.union(outer).distinct()
+    rated = lambda df, more: df.withColumn("confidence", F.round(F.least(F.col("own") + more, F.lit(1.0)), 6)).where(F.col("confidence") > least)
+    out = rated(named.join(want, "e").join(both, ["t", "same"]), 0.3).select("e", "t", "expected", "table", "confidence")
+    if least < 0.6:  # every row of this join is a result, but for those already named
+        alone = rated(both, 0.0).join(want, "same").join(named, ["e", "t"], "left_anti")
+        out = out.unionByName(alone.select("e", "t", "expected", "table", "confidence"))
+    return out.select("expected", "table", "confidence")
 
 
 def missing_required(usage: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -338,11 +365,23 @@ def compliance(catalog: DataFrame, standard: DataFrame) -> DataFrame:
 
 
 def variable_usage(scripts: DataFrame, names: DataFrame) -> DataFrame:
-    """script, name, join_key, statistical, grouping, reporting for scripts (id, text) and names (name)."""
+    """How scripts (id, text) use variables (name): id, name, join_key, statistical, grouping, reporting.
+
+    A row for each name that a script has right after BY, CLASS or VAR, and a row with a null name for each
+    script whose own words (MERGE ON, PROC MEANS, CLASS, PROC REPORT) mark whatever it uses; those marks are
+    on its other rows as well. Nothing is compared with every name: what follows a key word is cut at each length that
+    names have, and the cuts are looked up. Case does not matter.
+    """
+    known = staged(names.where("name is not null").select("name", F.upper("name").alias("key")).distinct(), "names")
+    lengths = [r[0] for r in known.select(F.length("key").alias("n")).distinct().orderBy("n").collect()]  # no more than the longest name has letters
     t = F.upper("text")
-    has = lambda *parts: F.contains(t, F.concat(*parts))
-    name = F.upper("name")
-    return scripts.crossJoin(names).select(
-        "id", "name", (has(F.lit("BY "), name) | has(F.lit("MERGE ON"))).alias("join_key"), (has(F.lit("CLASS "), name) | has(F.lit("VAR "), name) | has(F.lit("PROC MEANS"))).alias("statistical"),
-        has(F.lit("CLASS")).alias("grouping"), has(F.lit("PROC REPORT")).alias("reporting"),
-    )
+    has = lambda word: F.coalesce(F.contains(t, F.lit(word)), F.lit(False))
+    marks = {"m_join": has("MERGE ON"), "m_stat": has("PROC MEANS"), "grouping": has("CLASS"), "reporting": has("PROC REPORT")}
+    after = lambda words: F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?:{words}) (?=(.{{0,{max(lengths, default=0)}}}))"), F.lit(1)))
+    cut = lambda tails: F.array_distinct(F.flatten(F.transform(tails, lambda x: F.array(*[F.substring(x, 1, n) for n in lengths]))))
+    read = scripts.select("id", *[c.alias(k) for k, c in marks.items()], *([cut(after("BY")).alias("by"), cut(after("CLASS|VAR")).alias("stat")] if lengths else []))
+    own = read.where("m_join or m_stat or grouping or reporting").select("id", F.lit(None).cast("string").alias("name"), F.col("m_join").alias("join_key"), F.col("m_stat").alias("statistical"), "grouping", "reporting")
+    if not lengths:
+        return own
+    each = read.select("id", *marks, F.explode(F.array_union("by", "stat")).alias("key"), "by", "stat").select("id", *marks, "key", (F.col("m_join") | F.array_contains("by", F.col("key"))).alias("join_key"), (F.col("m_stat") | F.array_contains("stat", F.col("key"))).alias("statistical"))
+    return each.join(known, "key").select("id", "name", "join_key", "statistical", "grouping", "reporting").unionByName(own)

@@ -45,7 +45,12 @@ def _(t):
     return S.read_csv(t.spark, path, schema="o_orderkey bigint, o_custkey bigint", mode="DROPMALFORMED").select("o_orderkey", "o_custkey")
 
 
-@q("s6_sample")
+@q("s6_sample", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10000")
+def _(t):
+    return S.sample(t.orders, 10_000, order_by="o_orderkey")
+
+
+@q("s6_spread_sample")
 def _(t):
     return S.sample(t.orders, fraction=0.1)
 

@@ -124,9 +124,29 @@ def _(t):
     return Q.map_first(_names(t), _words(t)).withColumn("score", F.round("score", 6))
 
 
-@q("q15_map_three_pass")
+def _role_sql(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"""contains({name}, '{w}')""" for w in words)} THEN '{r}'" for r, words in Q.ROLES.items()) + " ELSE 'unknown' END"
+
+
+def _pass_sql(i: int, pairs: str) -> str:
+    """The pairs of a pass, each name once, and the names left."""
+    return f"""p{i} AS (SELECT * FROM ({pairs})), o{i} AS (SELECT * FROM p{i} QUALIFY row_number() OVER (PARTITION BY required ORDER BY score DESC, position, n) = 1),
+m{i} AS MATERIALIZED (SELECT required, n, score FROM o{i} QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, required) = 1),
+f{i} AS MATERIALIZED (SELECT * FROM f{i - 1} WHERE name NOT IN (SELECT n FROM m{i})), r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} WHERE name NOT IN (SELECT required FROM m{i}))"""
+
+
+_PASSES = [
+    "SELECT r.name AS required, f.name AS n, position, 1.0 AS score FROM f0 f JOIN r0 r ON f.name = r.name",
+    f"SELECT * FROM (SELECT r.name AS required, f.name AS n, position, {_SIM} AS score FROM f1 f, r1 r) WHERE score > 0.75",
+    f"SELECT r.name AS required, f.name AS n, position, 0.75 AS score FROM f2 f JOIN r2 r ON {_role_sql('r.name')} = {_role_sql('f.name')} AND {_role_sql('r.name')} <> 'unknown'",
+]
+
+
+@q("q15_map_three_pass", f"WITH cat AS ({_CAT}), f0 AS ({_NAMES}), r0 AS (SELECT unnest(string_split(name, ' ')) AS name FROM ({_WORDS}) UNION SELECT 'dose_' || name FROM ({_WORDS}) UNION SELECT p || CAST(length(name) AS VARCHAR) FROM ({_WORDS}), (VALUES ('age'), ('visit')) v(p)), {', '.join(_pass_sql(i + 1, p) for i, p in enumerate(_PASSES))} " + " UNION ALL ".join(f"SELECT required, n AS match, CAST(round(score, 6) AS DOUBLE) AS score, '{how}' AS how FROM m{i + 1}" for i, how in enumerate(("exact", "fuzzy", "role"))))
 def _(t):
-    return Q.map_three_pass(_names(t), _words(t))
+    w = _words(t)
+    more = w.select(F.explode(F.split("name", " ")).alias("name")).union(w.select(F.concat(F.lit("dose_"), "name"))).union(w.select(F.explode(F.array(*[F.concat(F.lit(p), F.length("name").cast("string")) for p in ("age", "visit")]))))
+    return Q.map_three_pass(_names(t), more.distinct()).withColumn("score", F.round("score", 6))
 
 
 _W1 = "SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS w FROM documents"
@@ -232,6 +252,13 @@ def _(t):
     return Q.compliance(_catalog(t), _words(t))
 
 
-@q("q31_variable_usage", "SELECT doc_id AS id, lower(p_type) AS name, contains(upper(text), 'BY ' || upper(p_type)) OR contains(upper(text), 'MERGE ON') AS join_key, contains(upper(text), 'CLASS ' || upper(p_type)) OR contains(upper(text), 'VAR ' || upper(p_type)) OR contains(upper(text), 'PROC MEANS') AS statistical, contains(upper(text), 'CLASS') AS grouping, contains(upper(text), 'PROC REPORT') AS reporting FROM documents, (SELECT DISTINCT p_type FROM part)")
+# the second words of all texts, looked for in all texts
+_USED = """n AS (SELECT DISTINCT split_part(text, ' ', 2) AS name FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, upper(text) AS u FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, contains(u, 'MERGE ON') AS a, contains(u, 'PROC MEANS') AS b, contains(u, 'CLASS') AS grouping, contains(u, 'PROC REPORT') AS reporting FROM d)"""
+
+
+@q("q31_variable_usage", f"""WITH {_USED}, h AS (SELECT doc_id AS id, name, a OR contains(u, 'BY ' || upper(name)) AS join_key, b OR contains(u, 'CLASS ' || upper(name)) OR contains(u, 'VAR ' || upper(name)) AS statistical, grouping, reporting, contains(u, 'BY ' || upper(name)) OR contains(u, 'CLASS ' || upper(name)) OR contains(u, 'VAR ' || upper(name)) AS hit FROM m, n)
+SELECT id, name, join_key, statistical, grouping, reporting FROM h WHERE hit UNION ALL SELECT doc_id, NULL, a, b, grouping, reporting FROM m WHERE a OR b OR grouping OR reporting""")
 def _(t):
-    return Q.variable_usage(t.documents.select(F.col("doc_id").alias("id"), "text"), _words(t))
+    words = t.documents.select(F.split_part("text", F.lit(" "), F.lit(2)).alias("name"))
+    return Q.variable_usage(t.documents.select(F.col("doc_id").alias("id"), "text"), words)

@@ -65,9 +65,14 @@ def _(t):
     return S.put_lines(t.orders, ["order", "@o_orderkey", "is", "@o_orderstatus"]).select("o_orderkey", "line")
 
 
-@q("s16_file_integrity")
-def _(t):
-    return S.file_integrity(t.spark, f"{t.dir}/nation.parquet").drop("path")
+@q("s16_file_integrity", "SELECT o_orderpriority, CAST(strlen(t) AS BIGINT) AS size, 'txt' AS format, sha256(t) AS sha256, 'utf-8' AS encoding, false AS is_empty FROM (SELECT o_orderpriority, string_agg(o_orderkey || chr(10), '' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 20, '0')) AS t FROM orders GROUP BY 1)")
+def _(t):
+    # a text file of the orders of each priority
+    folder = f"{shared_dir(t.spark)}/priorities-{uuid.uuid4().hex}"
+    lines = t.orders.select("o_orderpriority", F.col("o_orderkey").cast("string").alias("value"), F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("at"))
+    lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "at").drop("at").write.partitionBy("o_orderpriority").text(folder)
+    files = S.file_integrity(t.spark, f"{folder}/*/*.txt")
+    return files.select(F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]*)", 1)).alias("o_orderpriority"), "size", "format", "sha256", "encoding", "is_empty")
 
 
 @q("p1_assign", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge FROM lineitem")

@@ -55,9 +55,13 @@ def read_xpt(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return _stat_files(spark, glob, "xport", schema)
 
 
-def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """The first n rows, or a spread sample."""
-    return df.limit(n) if n is not None else df.sample(fraction=fraction, seed=seed)
+def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 42, order_by=None) -> DataFrame:
+    """The first n rows (of ``order_by``, where given), or a spread sample."""
+    if n is None:
+        return df.sample(fraction=fraction, seed=seed)
+    from ..operators.rules import need_order
+
+    return (df if order_by is None else df.orderBy(*need_order(order_by))).limit(n)
 
 
 def split_fields(df: DataFrame, columns: list[tuple[str, str]], text_col: str = "value") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import time
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stepforge.functions import dates, numeric, strings
@@ -57,8 +58,9 @@ def test_merge_rules(spark):
     assert sorted(rows(combine.merge(a, b, "k", keep_if="a and b"))) == [(2, "y", 20)]
     assert sorted(rows(combine.merge(a, b, "k", keep_if="a")), key=str) == [(1, "x", 1), (2, "y", 20), (None, "n", 0)]
     assert sorted(rows(combine.merge(a, b, "k", keep_if="not a")), key=str) == [(3, 30), (None, 9)]
-    with pytest.raises(ValueError):
-        combine.lookup(a, b.union(b), "k", ["v"])
+    doubled = combine.lookup(a, b.union(b).withColumnRenamed("v", "w"), "k", ["w"])  # fails when it runs, not before
+    with pytest.raises(PySparkException, match="more than one row for a key"):
+        doubled.collect()
     assert sorted(rows(combine.update(a, spark.createDataFrame([(1, None), (5, 5)], "k int, v int"), "k")), key=str) == [(1, "x", 1), (2, "y", 2), (5, None, 5), (None, "n", 0)]
 
 
