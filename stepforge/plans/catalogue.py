@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import combine, order, step, summary
 from .registry import Tables
 
-GROUPS = ["q_steps", "q_tables", "q_functions", "q_quality", "q_programs", "q_models", "q_more"]
+GROUPS = ["q_steps", "q_tables", "q_functions", "q_scalar", "q_quality", "q_programs", "q_models", "q_more"]
 
 
 def _gather(what: str) -> dict:
