@@ -19,7 +19,7 @@ from ..operators.storage import shared_dir
 from ..sources import readers as S
 from . import solve_sql
 from .q_models import _COX, _surv
-from .q_programs import _E, _UP, _edges
+from .q_programs import _E, _UP, _edges, uploads
 from .registry import Registry
 
 R = Registry()
@@ -154,8 +154,7 @@ def _(t):
 
 @q("k12_health", f"WITH {_E}, u AS ({_UP}), n AS (SELECT id, 100.0 * count(*) FILTER (WHERE dataset IN (SELECT dataset FROM u)) / count(*) AS h FROM x GROUP BY 1), d AS (SELECT i.id, coalesce(h, 100.0) AS h FROM (SELECT DISTINCT id FROM e) i LEFT JOIN n ON i.id = n.id) SELECT CASE WHEN h > 90 THEN 'Excellent' WHEN h > 75 THEN 'Good' WHEN h > 50 THEN 'Fair' ELSE 'Poor' END AS health, CAST(count(*) AS BIGINT) AS programs FROM d GROUP BY 1")
 def _(t):
-    uploaded = t.documents.where("doc_id % 3 = 0").select(F.concat(F.lit("raw."), "source").alias("dataset"))
-    return K.readiness(_edges(t), uploaded).groupBy("health").agg(F.count(F.lit(1)).alias("programs"))
+    return K.readiness(_edges(t), uploads(t)).groupBy("health").agg(F.count(F.lit(1)).alias("programs"))
 
 
 _TOXIC = "SELECT CAST(toxic AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) / 1000 AS x0, 1.0::DOUBLE AS x1 FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL AND n_chars IS NOT NULL"

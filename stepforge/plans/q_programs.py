@@ -12,13 +12,15 @@ from .registry import Registry
 R = Registry()
 q = R.query
 
-# orders against a changed copy
-_B = "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 0.5 * o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0)"
+# orders against a changed copy, one in eleven under another key
+_B = "(SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 0.5 * o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders)"
 
 
 def _ab(t):
     a = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    return a, a.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice")))
+    k = F.col("o_orderkey")
+    changed = {"o_totalprice": F.when(k % 7 == 0, F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice")), "o_orderkey": F.when(k % 11 == 0, -k).otherwise(k)}
+    return a, a.withColumns(changed)
 
 
 @q("c1_compare_shape", f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders) AS rows_a, (SELECT CAST(count(*) AS BIGINT) FROM {_B}) AS rows_b, 4 AS columns_a, 4 AS columns_b, (SELECT count(*) FROM orders) = (SELECT count(*) FROM {_B}) AS equal")
@@ -280,12 +282,17 @@ def _(t):
     return K.self_cycles(K.step_edges(_scripts(t)))
 
 
-_UP = "SELECT DISTINCT 'raw.' || source AS dataset FROM documents WHERE doc_id % 3 = 0"
+_UP = "SELECT DISTINCT 'raw.' || source || CASE WHEN hash_of % 3 = 0 THEN '' ELSE '_old' END AS dataset FROM (SELECT source, CAST(ascii(right(source, 1)) AS BIGINT) AS hash_of FROM documents)"
+
+
+def uploads(t):
+    """A dataset for each source; two in three have another name than the programs ask for."""
+    return t.documents.select(F.concat(F.lit("raw."), "source", F.when(F.ascii(F.right("source", F.lit(1))) % 3 == 0, "").otherwise("_old")).alias("dataset"))
 
 
 @q("k11_readiness", f"WITH {_E}, u AS ({_UP}), n AS (SELECT id, CAST(count(*) AS BIGINT) AS required, CAST(count(*) FILTER (WHERE dataset NOT IN (SELECT dataset FROM u)) AS BIGINT) AS missing FROM x GROUP BY 1), d AS (SELECT i.id, coalesce(required, 0) AS required, coalesce(missing, 0) AS missing, CASE WHEN required IS NULL THEN 100.0 ELSE 100.0 * (required - missing) / required END AS data FROM (SELECT DISTINCT id FROM e) i LEFT JOIN n ON i.id = n.id) SELECT id, required, missing, round(data, 6) AS data, CASE WHEN data = 100 THEN true ELSE 0.5 * data + 44 >= 80 END AS ready, CASE WHEN data > 90 THEN 'Excellent' WHEN data > 75 THEN 'Good' WHEN data > 50 THEN 'Fair' ELSE 'Poor' END AS health, CASE WHEN missing > required * 0.3 THEN 'HIGH' WHEN missing > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM d")
 def _(t):
-    uploaded = t.documents.where("doc_id % 3 = 0").select(F.concat(F.lit("raw."), "source").alias("dataset"))
+    uploaded = uploads(t)
     return K.readiness(_edges(t), uploaded).select("id", "required", "missing", F.round("data", 6).alias("data"), "ready", "health", "risk")
 
 
@@ -349,7 +356,7 @@ def _(t):
     return K.line_counts(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@q("k22_match_names", f"WITH {_E}, f AS (SELECT DISTINCT source AS b FROM documents WHERE doc_id % 2 = 0) SELECT id, CAST(count(f.b) AS BIGINT) AS satisfied, CAST(count(*) AS BIGINT) AS total FROM x LEFT JOIN f ON f.b = regexp_replace(x.dataset, '^.*\\.', '') GROUP BY 1")
+@q("k22_match_names", f"WITH {_E}, f AS (SELECT DISTINCT CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN source ELSE 'old_' || source END AS b FROM documents) SELECT id, CAST(count(f.b) AS BIGINT) AS satisfied, CAST(count(*) AS BIGINT) AS total FROM x LEFT JOIN f ON f.b = regexp_replace(x.dataset, '^.*\\.', '') GROUP BY 1")
 def _(t):
-    files = t.documents.where("doc_id % 2 = 0").select(F.concat("source", F.lit(".CSV")).alias("file"))
+    files = t.documents.select(F.concat(F.when(F.ascii(F.right("source", F.lit(1))) % 2 == 0, "").otherwise("old_"), "source", F.lit(".CSV")).alias("file"))
     return K.match_names(K.external_inputs(_edges(t)), files)

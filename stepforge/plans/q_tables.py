@@ -13,14 +13,15 @@ from .registry import Registry
 R = Registry()
 q = R.query
 
-# Customers and totals that each lack keys of the other.
-_A = "(SELECT c_custkey AS k, c_name, c_acctbal AS amount FROM customer WHERE c_custkey % 3 <> 0)"
-_B = "(SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS orders, round(max(o_totalprice), 2) AS amount FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)"
+# All customers and all totals, some under keys that the other side has not.
+_A = "(SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name, c_acctbal AS amount FROM customer)"
+_B = "(SELECT CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey - 1000000000 END AS k, CAST(count(*) AS BIGINT) AS orders, round(max(o_totalprice), 2) AS amount FROM orders GROUP BY 1)"
 
 
 def _ab(t):
-    a = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), "c_name", F.col("c_acctbal").alias("amount"))
-    b = t.orders.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.max("o_totalprice"), 2).alias("amount"))
+    ka, kb = F.col("c_custkey"), F.col("o_custkey")
+    a = t.customer.select(F.when(ka % 3 == 0, -ka).otherwise(ka).alias("k"), "c_name", F.col("c_acctbal").alias("amount"))
+    b = t.orders.groupBy(F.when(kb % 2 == 0, kb).otherwise(-kb - 1_000_000_000).alias("k")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.max("o_totalprice"), 2).alias("amount"))
     return a, b
 
 
@@ -85,11 +86,11 @@ def _(t):
     return J.lookup(t.customer, ref, "c_nationkey", ["n_name", "n_regionkey"]).select("c_custkey", "n_name", "n_regionkey")
 
 
-_TRANS = "(SELECT c_custkey + 40 AS c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'T' || c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey % 5 = 0)"
+_TRANS = "(SELECT c_custkey + 40 AS c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'T' || c_name END AS c_name, c_nationkey FROM customer)"
 
 
 def _trans(t):
-    return t.customer.where("c_custkey % 5 = 0").select((F.col("c_custkey") + 40).alias("c_custkey"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("T"), "c_name")).alias("c_name"), "c_nationkey")
+    return t.customer.select((F.col("c_custkey") + 40).alias("c_custkey"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("T"), "c_name")).alias("c_name"), "c_nationkey")
 
 
 @q("j10_update", f"SELECT coalesce(m.c_custkey, t.c_custkey) AS c_custkey, coalesce(t.c_name, m.c_name) AS c_name, coalesce(t.c_nationkey, m.c_nationkey) AS c_nationkey, c_acctbal, c_mktsegment FROM customer m FULL JOIN {_TRANS} t ON m.c_custkey = t.c_custkey")
@@ -109,15 +110,20 @@ def _(t):
     return J.merge_all([a, b, t.nation.select(F.col("n_nationkey").alias("k"), "n_name")], "k")
 
 
-@q("j13_orphans", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0)")
+def _parents(t):
+    """All orders, one in eleven under a key that no line has."""
+    k = F.col("o_orderkey")
+    return t.orders.select(F.when(k % 11 == 0, -k - 1).otherwise(k).alias("l_orderkey"))
+
+
+@q("j13_orphans", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END FROM orders)")
 def _(t):
-    parent = t.orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return J.orphans(t.lineitem, parent, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
+    return J.orphans(t.lineitem, _parents(t), "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @q("j13_integrity_score", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE l_orderkey % 11 <> 0) AS BIGINT) AS matched, round(100.0 * count(*) FILTER (WHERE l_orderkey % 11 <> 0) / count(*), 4) AS score FROM lineitem")
 def _(t):
-    return J.integrity_score(t.lineitem, t.orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    return J.integrity_score(t.lineitem, _parents(t), "l_orderkey")
 
 
 @q("u1_set", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
@@ -131,10 +137,10 @@ def _(t):
     return J.union_distinct(t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select("s_nationkey"))
 
 
-@q("u4_remove_duplicates", "SELECT o_orderkey, o_orderstatus FROM orders")
+@q("u4_remove_duplicates", "SELECT DISTINCT o_custkey, o_orderstatus FROM orders UNION SELECT o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'again' ELSE o_orderstatus END FROM orders")
 def _(t):
-    df = t.orders.select("o_orderkey", "o_orderstatus")
-    return W.dedup(df.unionByName(df.where("o_orderkey % 10 = 0")))
+    df = t.orders.select("o_custkey", "o_orderstatus")
+    return W.dedup(df.unionByName(t.orders.select("o_custkey", F.when(F.col("o_orderkey") % 10 == 0, "again").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))))
 
 
 @q("u4_first_by_key", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
