@@ -4,17 +4,16 @@ Equal texts (by their words, A-Z lower-cased) stand together from the start. Eve
 has a sketch, the ``SKETCH`` least fingerprints of its shingles; the least of two texts' union are
 a random sample of it, so texts that agree to 0.8 share ``needed`` members or more, but for one
 pair in a million. Members in one text only cannot be shared, so a text with too many of them has
-no partner and is done; nearly all texts are. The others are filed under the rarest members of
-their sketches, as many as leave fewer than ``needed`` out (what all texts have in common files
-nobody).
-
-In each file all texts meet a few pivots, the most central ones, whose sketches are compared first
-and whole shingle sets after that. A text leaves a file with the first pivot that it resembles;
-those unlike all meet new pivots, more of them as fewer texts are left, until none is left: no list
-of all pairs, no limit on a file's size and no false link. What it does not find: a link between a
-text that resembles a pivot and one that resembles no pivot it meets, where nothing else joins
-their groups. Finding these too (by the differences of each member from its pivot) was tried and
-did not end in time on large groups of copies that agree to about 0.7 with one another.
+no partner and is done; nearly all texts are.
+
+The others are filed ``FILES`` times, each time under the least of its shingles by another hash: two
+texts that agree to 0.8 lie in one file of nine but for one pair in two million. In a file of up to
+``SMALL`` texts all meet. In a larger one all meet its most central text, the pivot; those like it
+are one group and need no more of each other. Those unlike it meet all texts of the file, in blocks:
+a task holds a block of each side, of some ``BLOCK`` shingles, counts all intersections by an
+inverted list, and returns no more edges than it takes to join what it found. So no link is lost
+behind a pivot, no pairs are listed, and no limit is set on a file; the work of the blocks grows
+with the texts unlike the pivot times those of the file.
 
 Defined results: a text of fewer than five words is one shingle; null and blank texts are equal;
 ids must tell rows apart, and rows without one are not linked; other columns are ignored.
@@ -24,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +34,12 @@ from . import common as C
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCH = 64
+#: Hashes by which the texts are filed.
+FILES = 9
+#: Texts of a file that all meet one another.
+SMALL = 16
+#: Shingles of a block.
+BLOCK = 1 << 20
 #: Standard deviations below the mean of a sample's shared members that still count as candidates.
 SLACK = 4.9
 
@@ -66,8 +70,9 @@ def _listed(values: np.ndarray, begin: np.ndarray, most: int | None) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(kept.view(np.int64)))
 
 
-def _members(shingle: int, most: int | None):
-    """id, two fingerprints of the words, the number of distinct shingles, and the least of them (all where ``most`` is None)."""
+def _members(shingle: int, most: int | None, files: int = 0):
+    """id, two fingerprints of the words, the number of distinct shingles, and the least of them (all where ``most`` is None); the least by each of ``files`` other hashes."""
+    salts = C.mix(np.arange(1, files + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -75,7 +80,10 @@ def _members(shingle: int, most: int | None):
                 for at, to, w in C.word_chunks(batch.column("text"), lower=True):
                     g, begin, one, two = _shingles(w, shingle)
                     columns = [batch.column("id").slice(at, to - at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(begin).astype(np.int32)), _listed(g, begin, most)]
-                    yield pa.record_batch(columns, ["id", "one", "two", "n", "members"])
+                    if files:
+                        least = [C.mix(np.minimum.reduceat(C.mix(g ^ s), begin[:-1]) + s) for s in salts]
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1, dtype=np.int32) * files), pa.array(np.column_stack(least).ravel().view(np.int64))))
+                    yield pa.record_batch(columns, ["id", "one", "two", "n", "members"] + ["files"] * bool(files))
 
     return run
 
@@ -102,25 +110,75 @@ def _alike(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: f
     return C.staged(met(C.staged(close, "close"), sets).where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "alike")
 
 
-def resembling(filed: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
-    """Edges (a, b) from nodes to pivots of a file they share.
+def joined(u: list[np.ndarray], m: list[np.ndarray], same: np.ndarray, place: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): edges between sets of ``u`` and of ``m`` that agree to ``similarity``, enough to join all that such pairs join.
+
+    ``same``: which of ``m`` are one group already; ``place``: where in ``m`` each of ``u`` is itself, or -1.
+    """
+    size = np.array([len(x) for x in m])
+    token = np.concatenate(m) if len(m) else np.zeros(0, np.int64)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], np.repeat(np.arange(len(m)), size)[order]
+    group, out = np.arange(len(m)), []
+    group[same] = np.flatnonzero(same)[0] if same.any() else 0
+    for i, x in enumerate(u):
+        low, high = np.searchsorted(token, x), np.searchsorted(token, x, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        both = np.bincount(owner[at], minlength=len(m))
+        like = both >= similarity * (len(x) + size - both)
+        like &= np.arange(len(m)) != place[i]
+        found, where = np.unique(group[like], return_index=True)
+        if place[i] >= 0:  # what it is joined to already needs no edge
+            keep = found != group[place[i]]
+            found, where = found[keep], where[keep]
+        out += [(i, j) for j in np.flatnonzero(like)[where].tolist()]
+        if len(found):
+            group[np.isin(group, np.append(found, group[place[i]]) if place[i] >= 0 else found)] = found[0]
+    return out
+
+
+def _block(similarity: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = lambda t: [x.to_numpy(zero_copy_only=False) for x in (v.values for v in t.column("members").combine_chunks())]
+        a, b = left.column("node").to_numpy(), right.column("node").to_numpy()
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        by = np.argsort(b)
+        at = by[np.minimum(np.searchsorted(b, a, sorter=by), len(b) - 1)]
+        edges = joined(lists(left), lists(right), right.column("like").to_numpy(zero_copy_only=False).astype(bool), np.where(b[at] == a, at, -1), similarity)
+        return pa.table({"a": pa.array([a[i] for i, _ in edges], pa.int64()), "b": pa.array([b[j] for _, j in edges], pa.int64())})
+
+    return run
+
+
+def resembling(filed: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that join all nodes of a file whose sets agree to ``similarity``, directly or by others.
 
-    Rows (g, node, w) of ``filed``: a file's key, a node in it and its weight, the heaviest being the first pivots; sketches and sets: node,
-    members.
+    Rows (g, node, w, n) of ``filed``: a file's key, a node in it, its weight (the heaviest is the pivot) and the size of its set; sketches and
+    sets: node, members.
     """
-    out, rows = [], filed
-    work = left = rows.count()
-    while left:
-        parts = max(1 << len(out), work // left)  # a file of texts that all differ ends after rounds as many as its size has digits
-        heaviest = F.max(F.struct("w", F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))).alias("p")
-        pivots = C.staged(rows.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(heaviest).select("g", "p.pivot"), "pivots")
-        met = rows.join(pivots, "g").where("node <> pivot").select("g", "w", F.col("node").alias("a"), F.col("pivot").alias("b"))
-        alike = _alike(met.select("a", "b").distinct(), sketches, sets, similarity, size)
-        out.append(alike)
-        unlike = met.join(alike.withColumn("yes", F.lit(1)), ["a", "b"], "left").groupBy("g", F.col("a").alias("node"), "w").agg(F.max("yes").alias("yes")).where("yes is null").drop("yes")
-        rows = C.staged(unlike.join(pivots.withColumnRenamed("pivot", "node"), ["g", "node"], "left_anti"), "rows")
-        left = rows.count()
-    return reduce(DataFrame.unionByName, out).distinct() if out else filed.sparkSession.createDataFrame([], "a long, b long")
+    heaviest = F.max(F.struct("w", F.xxhash64("node").alias("h"), F.col("node").alias("pivot")))["pivot"].alias("pivot")
+    files = filed.groupBy("g").agg(F.count(F.lit(1)).alias("k"), heaviest, F.sum("n").alias("whole")).where("k > 1")
+    rows = C.staged(filed.join(files, "g").select("g", "node", "n", "k", "pivot", "whole"), "rows")
+    few = rows.where(F.col("k") <= small).select("g", "node")
+    every = few.select("g", F.col("node").alias("a")).join(few.select("g", F.col("node").alias("b")), "g").where("a < b").select("a", "b")
+    many = rows.where(F.col("k") > small)
+    central = many.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    alike = _alike(every.unionByName(central).distinct(), sketches, sets, similarity, size)
+    told = many.join(alike.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("yes")), ["node", "pivot"], "left")
+    told = C.staged(told.select("g", "node", "n", "whole", (F.coalesce("yes", F.lit(False)) | (F.col("node") == F.col("pivot"))).alias("like")), "told")
+    apart = told.where("not like").groupBy("g").agg(F.sum("n").alias("others"))
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    told = told.join(apart, "g").withColumns({"us": parts("others"), "ms": parts("whole")})
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = told.where("not like").select("g", "node", own("us").alias("u"), upto("ms").alias("m")).join(sets, "node")
+    right = told.select("g", "node", "like", own("ms").alias("m"), upto("us").alias("u")).join(sets, "node")
+    keys = ["g", "u", "m"]
+    fresh = lambda df, *more: df.select(*[F.col(c).alias(c) for c in (*keys, "node", "members", *more)])  # noqa: E731  both come of the same tables
+    met = fresh(left).groupBy(*keys).cogroup(fresh(right, "like").groupBy(*keys)).applyInArrow(_block(similarity), "a long, b long")
+    return alike.unionByName(met)
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
@@ -134,11 +192,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     known = members.join(often, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("known"))
     least = _least_shared(F.col("n"), similarity, size)
     weight = F.aggregate("known", F.lit(0).cast("long"), lambda t, k: t + k["often"]) / F.least(F.col("n"), F.lit(size))
-    rare = known.where(F.size("known") >= least).select("node", weight.alias("w"), F.explode(F.slice("known", F.lit(1), F.size("known") - least + 1)).alias("k"))
-    filed = C.staged(rare.select(F.col("k.g").alias("g"), "node", "w"), "filed")
-    asked = filed.select("node").distinct()
+    asked = C.staged(known.where(F.size("known") >= least).select("node", weight.alias("w")), "asked")
     short = F.transform("members", lambda g: F.shiftright(g, 32).cast("int"))  # enough to tell members of two sketches apart
     sketches = C.staged(texts.join(asked, "node", "left_semi").select("node", short.alias("members")), "sketches")
-    whole = given.join(asked.withColumnRenamed("node", "id"), "id", "left_semi").mapInArrow(_members(shingle, None), shape)
-    sets = C.staged(whole.select(F.col("id").alias("node"), "members"), "sets")
-    return resembling(filed, sketches, sets, similarity, size)
+    chosen = given.join(asked.select(F.col("node").alias("id")), "id", "left_semi")
+    sets = C.staged(chosen.mapInArrow(_members(shingle, None, FILES), shape + ", files array<long>").select(F.col("id").alias("node"), "n", "members", "files"), "sets")
+    filed = sets.select("node", "n", F.explode("files").alias("g")).join(asked, "node")
+    return resembling(filed, sketches, sets.select("node", "members"), similarity, size)
