@@ -119,3 +119,12 @@ def test_noise_is_told_from_languages_at_a_limit_read_off_unseen_texts(spark):
     assert len(kept) >= docs.where(held).count() * 0.995
     assert {r.lang_pred for r in L.identify(told, net).collect()} <= {"aa", "bb", "cc", "und"}
     assert L.noise([], 5) == [] and L.noise_limit(docs.limit(0), net) == 1.0
+
+
+def test_the_sample_is_bounded_at_any_size():
+    for n in (1, 300, 10**6, 10**10, 10**13):
+        drawn = n * L.hash_limit(n, 250) / 2**63
+        assert drawn <= min(n, 376) and (n <= 375 or drawn > 374)
+    rows = [(lang, h, f"t{h}") for lang in "ab" for h in range(900)] + [("c", 5, "only")]
+    got = L.smallest(iter(rows), 250)
+    assert got == [r for r in sorted(rows) if r[1] < 250] and len(L.smallest([], 250)) == 0
