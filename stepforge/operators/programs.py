@@ -10,64 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .program_tables import COMPLEXITY, CREATED, DEMO, DOMAINS, FEATURES, GOALS, INPUTS, NOT_CLINICAL, PAIRED, PENALTIES, SEVEN, TIERS
 from .storage import staged
 
-# Points of procedures, and patterns with the points of a single hit (K5), all on upper-case text.
-PROC_POINTS = {
-    "print": 2, "contents": 2, "sort": 3, "freq": 3, "format": 3, "import": 4, "export": 4, "means": 5, "summary": 5, "transpose": 5, "sql": 8, "report": 8, "compare": 8, "tabulate": 8,
-    "univariate": 8, "lifetest": 12, "phreg": 12, "mixed": 12, "glimmix": 12, "logistic": 10, "genmod": 10,
-}
-PROC_POINTS_SEVEN = {
-    "print": 1, "contents": 1, "sort": 2, "freq": 2, "format": 2, "import": 2, "export": 2, "sql": 5, "means": 4, "summary": 4, "report": 5, "tabulate": 5, "transpose": 4, "compare": 5,
-    "lifetest": 7, "phreg": 8, "mixed": 8, "glimmix": 8, "logistic": 7, "genmod": 7,
-}
-FEATURES = [
-    (r"\bDATA\s+\w+", 1), (r"\bSET\s+\w+", 1), (r"\bPROC\s+MEANS\b", 1), (r"\bPROC\s+FREQ\b", 1), (r"\bPROC\s+SORT\b", 1), (r"\bPROC\s+PRINT\b", 1), (r"\bIF\s+.+THEN\b", 1), (r"\bKEEP\b", 1),
-    (r"\bDROP\b", 1), (r"\bPROC\s+SQL\b", 4), (r"\bMERGE\s+\w+", 3), (r"\bFORMAT\b", 1), (r"\bLABEL\b", 1), (r"\bLENGTH\b", 1), (r"\bOUTPUT\b", 1), (r"\bRENAME\b", 1), (r"\bIN=\w+", 2),
-    (r"%MACRO\b", 6), (r"&[A-Z_]\w*", 3), (r"\bARRAY\b", 4), (r"\bRETAIN\b", 3), (r"\bPROC\s+TRANSPOSE\b", 3), (r"\b(FIRST|LAST)\.\w+", 3), (r"\bDO\s+[A-Z_]\w*\s*=", 2), (r"\bPROC\s+REG\b", 3),
-    (r"\bPROC\s+UNIVARIATE\b", 3), (r"\b(USUBJID|SUBJID|VISIT\b|VISITNUM|AVISITN|PARAMCD|DOMAIN)", 6), (r"\b(AVAL|BASE|CHG|DTYPE|ANL01FL|BASEFL)\b", 6),
-    (r"\b(SAFFL|ITTFL|PPROTFL|COMPLFL|RANDFL|ENRLFL)\b", 5), (r"\b(ADSL|ADAE|ADLB|ADTTE|ADRS|ADVS)\b", 7), (r"\bODS\s+(OUTPUT|HTML|PDF)\b", 3), (r"\bPROC\s+REPORT\b", 4),
-    (r"\bPROC\s+TABULATE\b", 4), (r"\b(CDISC|SDTM|ADAM)\b", 5), (r"\b(YRDIF|INTCK|INTNX)\b", 3), (r"\b(IS8601DT|DATE9)\b", 2), (r"\bPROC\s+MIXED\b", 12), (r"\bPROC\s+PHREG\b", 12),
-    (r"\bPROC\s+LIFETEST\b", 10), (r"\bPROC\s+LOGISTIC\b", 9), (r"\bPROC\s+GENMOD\b", 9), (r"\bLSMEANS\b", 5), (r"\bHAZARDRATIO\b", 5), (r"\bDDFM\s*=\s*KR\b", 5), (r"\bBASELINE\s+OUT\s*=", 4),
-    (r"\bPROC\s+STDRATE\b", 6),
-]
-PAIRED = [((r"\bINPUT\b", r"\b(DATALINES|CARDS)\b"), 1), ((r"\bSELECT\s*\(", r"\bWHEN\s*\("), 2), ((r"\bREPEATED\b", r"\bSUBJECT\s*="), 6), ((r"\bESTIMATE\b", r"\bCL\b"), 4)]
-TIERS = [(30, 5), (18, 4), (9, 3), (4, 2)]
-DOMAINS = {
-    "clinical": [
-        "patient", "heartrate", "temperature", "blood", "pressure", "dose", "treatment", "subject", "visit", "adverse", "event", "protocol", "sdtm", "adam",
-        "usubjid", "subjid", "fever", "diagnosis", "symptom", "clinical", "hospital", "drug", "placebo", "endpoint", "baseline", "efficacy", "safety",
-        "randomize", "cohort", "pharmacokinetics", "pharmacodynamics",
-    ],
-    "financial": [
-        "revenue", "profit", "sales", "cost", "expense", "income", "budget", "forecast", "quarterly", "annual", "margin", "roi", "investment", "portfolio",
-        "price", "stock", "equity", "asset", "liability", "balance", "ledger", "transaction", "fiscal",
-    ],
-    "retail": [
-        "product", "category", "store", "region", "sales", "customer", "order", "quantity", "inventory", "sku", "promotion", "discount", "shelf", "brand",
-        "supplier", "shipment",
-    ],
-    "hr": [
-        "employee", "salary", "department", "hire", "position", "grade", "performance", "headcount", "turnover", "manager", "payroll", "benefits", "leave",
-        "attendance", "appraisal",
-    ],
-    "survey": [
-        "response", "question", "rating", "score", "survey", "likert", "respondent", "agree", "disagree", "strongly", "neutral", "questionnaire", "interview",
-    ],
-    "manufacturing": [
-        "batch", "yield", "defect", "quality", "process", "machine", "unit", "production", "inspection", "tolerance", "spec",
-    ],
-}
-DEMO = ["demo", "test", "example", "sample", "function"]
-GOALS = {
-    "dataset_creation": r"\bdata\s+\w+\s*;.*?\b(input|datalines|cards)\b", "data_transformation": r"\bdata\s+\w+\s*;.*?\b(set|merge)\b|\bif\b.+?\bthen\b|\bretain\b|\barray\b",
-    "statistical_analysis": r"\bproc\s+(means|freq|corr|univariate)\b", "regression_modeling": r"\bproc\s+(reg|glm|logistic|mixed)\b", "survival_analysis": r"\bproc\s+(phreg|lifetest)\b",
-    "data_reporting": r"\bproc\s+(print|report|tabulate)\b", "data_export": r"\bproc\s+export\b", "database_operations": r"\bproc\s+sql\b",
-    "classification": r"\bif\b.+?[<>]\s*\d+.+?\bthen\b|\bcase_when\b", "data_sorting": r"\bproc\s+sort\b", "data_reshaping": r"\bproc\s+transpose\b",
-}
-INPUTS, CREATED = r"\b(?:SET|MERGE|UPDATE|MODIFY|FROM|JOIN|DATA=)\s*([A-Z_][\w.]*)", r"(?:\bDATA\s+|\bOUT=\s*|\bCREATE\s+TABLE\s+)([A-Z_][\w.]*)"
-
-
 def _count(u: Column, pattern: str) -> Column:
     return F.regexp_count(u, F.lit(pattern))
 
@@ -90,23 +35,44 @@ def construct_counts(scripts: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return scripts.select("id", *[F.regexp_count("text", F.lit(f"(?i){p}")).alias(k) for k, p in patterns.items()])
 
 
+def rule_points(rules: list[tuple], text: Column) -> Column:
+    """Sum of the points that rules give a program; a fourth entry is a rule's limit.
+
+    "each": points for every match; "beyond the first": for every match but one; "each but definitions": for every match
+    less the macro definitions; "distinct": for every different match ("as written": without regard to upper case); "hit",
+    "several", "exactly one", "over": once for a match, for two different ones, for a single one, for more than the limit
+    over several patterns; "word", "words", "without": once if one, all, none of the words occur; "procedure": once if one
+    of the procedures occurs; "procedures": by a table, with the points for those that it has not; "no procedure": once.
+    """
+    u = F.upper(text)
+    procs = _procs(u)
+    different = lambda t, p: F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0))))
+    held = lambda words: [F.contains(u, F.lit(w)) for w in words]
+    some = lambda words: reduce(lambda a, b: a | b, held(words))
+    amounts = {
+        "each": lambda p: _count(u, p), "beyond the first": lambda p: F.greatest(_count(u, p) - 1, F.lit(0)), "each but definitions": lambda p: _count(u, p) - _count(u, r"%MACRO\b"),
+        "distinct": lambda p: different(u, p), "distinct as written": lambda p: different(text, p),
+    }
+    conditions = {
+        "hit": lambda p: F.rlike(u, F.lit(p)), "several": lambda p: different(u, p) > 1, "exactly one": lambda p: _count(u, p) == 1, "word": some, "without": lambda words: ~some(words),
+        "words": lambda words: reduce(lambda a, b: a & b, held(words)), "procedure": lambda names: F.arrays_overlap(procs, F.array(*map(F.lit, names))), "no procedure": lambda _: F.size(procs) == 0,
+    }
+
+    def one(kind: str, what, points: int, limit: int | None = None) -> Column:
+        if kind == "over":
+            return F.when(reduce(lambda a, b: a + b, [_count(u, p) for p in what]) > limit, points).otherwise(0)
+        if kind in conditions:
+            return F.when(conditions[kind](what), points).otherwise(0)
+        out = _points(procs, what, points) if kind == "procedures" else amounts[kind](what) * points
+        return out if limit is None else F.least(out, F.lit(limit))
+
+    return reduce(lambda a, b: a + b, [one(*r) for r in rules])
+
+
 def complexity(scripts: DataFrame) -> DataFrame:
     """id, score (at most 100), level, level_name by weighted constructs."""
-    u = F.upper("text")
-    n = lambda p, w=1, cap=None: (F.least(_count(u, p) * w, F.lit(cap)) if cap else _count(u, p) * w)
-    unique = lambda p: F.size(F.array_distinct(F.regexp_extract_all(u, F.lit(p), F.lit(0))))
-    steps, outputs = n(r"\bDATA\s+\w+"), n(r"\bDATA\s+[\w.]+")
-    macro_vars = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"&[A-Za-z_]\w*"), F.lit(0))))
-    parts = [
-        steps * 2 + F.when(steps > 10, 5).otherwise(0), _points(_procs(u), PROC_POINTS, 5), n(r"%MACRO\b", 8), n(r"%[A-Z_]\w*\s*\(", 2), F.least(macro_vars, F.lit(10)), _has(u, r"(?s)%MACRO.*%MACRO\b") * 5,
-        n(r"\bCALL\s+EXECUTE\b", 10), unique(r"\bSDTM\.|USUBJID|VISITNUM|PARAMCD|DOMAIN") * 5, unique(r"\bADAM\.|AVAL|BASE|CHG|ANL01FL") * 5, _has(u, r"\bPROC\s+(REPORT|TABULATE)\b") * 6,
-        _has(u, r"\bPROC\s+REPORT\b") * 5, _has(u, r"\bPROC\s+COMPARE\b") * 5, n(r"\b(?:TRT|TRTPN|ARM|ARMN)\b", 2, 10), n(r"\b(?:SAFFL|ITTFL|PPROTFL|COMPLFL|RANDFL)\b", 2, 10),
-        _has(u, r"\bODS\s+(OUTPUT|HTML|PDF|RTF)\b") * 3, n(r"\b(?:SET|MERGE|UPDATE|FROM|JOIN)\s+\w+"), outputs, F.greatest(outputs - 1, F.lit(0)) * 2, n(r"\bIF\b"), n(r"\bIF\b.*\bIF\b", 2), n(r"\bDO\b", 2),
-        n(r"\bDO\b.*\bDO\b", 4), n(r"\bARRAY\b", 5), n(r"\bRETAIN\b", 2), n(r"\bMERGE\b", 3), n(r"\bUPDATE\b", 3), n(r"\bMODIFY\b", 4), _has(u, r"\bPROC\s+TEMPLATE\b") * 5, _has(u, r"\bODS\s+PDF\b") * 2,
-        _has(u, r"\b(EXCEL|EXCELXP)\b") * 2, _has(u, r"\bODS\s+RTF\b") * 2,
-    ]
-    score = F.least(reduce(lambda a, b: a + b, parts), F.lit(100))
-    return scripts.select("id", score.alias("score")).select("id", "score", level(F.col("score")).alias("level"), level_name(level(F.col("score"))).alias("level_name"))
+    scored = scripts.select("id", F.least(rule_points(COMPLEXITY, F.col("text")), F.lit(100)).alias("score"))
+    return scored.select("id", "score", level(F.col("score")).alias("level"), level_name(level(F.col("score"))).alias("level_name"))
 
 
 def level(score: Column) -> Column:
@@ -120,35 +86,11 @@ def level_name(n: Column) -> Column:
 
 def seven_dimensions(scripts: DataFrame) -> DataFrame:
     """id, the seven capped scores, bonus, penalty and total (0 to 100)."""
-    u = F.upper("text")
-    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(u, F.lit(w)) for w in words])
-    pt = lambda cond, points: F.when(cond, points).otherwise(0)
-    hit = lambda p: F.rlike(u, F.lit(p))
-    cap = lambda parts, top: F.least(reduce(lambda a, b: a + b, parts), F.lit(top))
-    procs, steps, inputs, outputs = _procs(u), _count(u, r"\bDATA\s+\w+"), _count(u, r"\b(?:SET|MERGE|FROM|JOIN)\s+[\w.]+"), _count(u, r"\bDATA\s+[\w.]+")
-    macros = _count(u, r"%MACRO\b")
-    is_in = lambda *names: F.arrays_overlap(procs, F.array(*map(F.lit, names)))
-    unique = lambda p: F.size(F.array_distinct(F.regexp_extract_all(u, F.lit(p), F.lit(0))))
-    constructs = [
-        steps * 2, pt(steps > 10, 5), pt(has("RETAIN"), 1), pt(has("ARRAY"), 3), pt(has("DO"), 2), pt(hit(r"(?s)\bDO\b.*\bDO\b"), 4), pt(has("IF") & has("ELSE"), 1), pt(hit(r"(?s)\bIF\b.*\bIF\b"), 2), pt(has("MERGE"), 3),
-        pt(has("UPDATE"), 3), pt(has("MODIFY"), 4), pt(has("DECLARE") & has("HASH"), 5), F.least(_points(procs, PROC_POINTS_SEVEN, 2), F.lit(20)),
-    ]
-    clinical = [
-        pt(has("SDTM", "USUBJID", "VISITNUM", "PARAMCD", "DOMAIN"), 4), pt(has("ADAM", "AVAL", "BASE", "CHG", "ANL01FL", "ADSL"), 4), pt(has("PROC REPORT", "PROC TABULATE"), 4), pt(has("PROC REPORT"), 2),
-        pt(has("PROC COMPARE"), 2), pt(has("QC.", "QC_", "COMPARE"), 2), pt(has("STUDYID", "USUBJID"), 2),
-    ]
-    execution = [
-        pt(inputs > 5, 2), pt(outputs > 6, 4), pt(outputs > 3, 2), pt(_count(u, r"\bJOIN\b") > 1, 3), pt(hit(r"\(\s*SELECT\b"), 2), pt(has("CASE") & has("WHEN"), 2), pt(_count(u, r"\bIF\b") > 3, 3), pt(inputs + outputs > 5, 2),
-    ]
-    data = [F.least(inputs, F.lit(5)), pt(hit(r"\bBY\b"), 2), pt(unique(r"\b\w+\.\w+\b") > 1, 2), pt(has("LOOKUP", "REF", "MAP", "CODE"), 2), pt(has("FORMAT ", "PROC FORMAT"), 2), pt(has("INFORMAT"), 2)]
-    macro = [pt(macros > 0, 3), F.least(_count(u, r"%\w+") - macros, F.lit(3)), pt(hit(r"(?s)%MACRO.*%MACRO\b"), 3), pt(macros > 2, 5), pt(has("CALL EXECUTE"), 5), F.least(unique(r"&\w+"), F.lit(3))]
-    stats = [pt(is_in("means", "summary", "freq", "univariate"), 1), pt(is_in("reg", "glm", "logistic", "genmod"), 2), pt(is_in("lifetest", "phreg"), 3), pt(is_in("mixed", "glimmix"), 3), pt(has("BAYES", "MCMC"), 4)]
-    reports = [pt(is_in("report"), 2), pt(is_in("template"), 2), pt(has("ODS"), 1), pt(has("PDF", "RTF", "EXCEL", "XLSX"), 1)]
-    bonus = [pt(has("CALL EXECUTE"), 2), pt(has("CALL SYMPUT"), 2), pt(has("DICTIONARY.COLUMNS", "DICTIONARY.TABLES"), 1), pt(has("PROC FORMAT"), 2)]
-    dims = {"constructs": cap(constructs, 25), "clinical": cap(clinical, 20), "execution": cap(execution, 20), "data": cap(data, 15), "macro": cap(macro, 10), "statistical": cap(stats, 5), "reporting": cap(reports, 5), "bonus": cap(bonus, 5)}
-    out = scripts.select("id", *[v.alias(k) for k, v in dims.items()], (pt(steps == 1, 3) + pt(F.size(procs) == 0, 5) + pt(~has("%"), 2) + pt(inputs == 1, 2)).alias("p"))
-    out = out.select("id", *dims, (F.col("p") + pt(F.col("clinical") == 0, 3)).alias("penalty"))
-    return out.withColumn("total", F.greatest(F.lit(0), F.least(F.lit(100), reduce(lambda a, b: a + b, [F.col(k) for k in dims]) - F.col("penalty"))))
+    dims = [F.least(rule_points(rules, F.col("text")), F.lit(most)).alias(name) for name, (most, rules) in SEVEN.items()]
+    out = scripts.select("id", *dims, rule_points(PENALTIES, F.col("text")).alias("p"))
+    out = out.select("id", *SEVEN, (F.col("p") + F.when(F.col("clinical") == 0, NOT_CLINICAL).otherwise(0)).alias("penalty"))
+    total = reduce(lambda a, b: a + b, [F.col(k) for k in SEVEN]) - F.col("penalty")
+    return out.withColumn("total", F.greatest(F.lit(0), F.least(F.lit(100), total)))
 
 
 def tiers(scripts: DataFrame) -> DataFrame:
@@ -277,7 +219,7 @@ def domain(scripts: DataFrame) -> DataFrame:
 
 def goals(scripts: DataFrame) -> DataFrame:
     """id, primary, goals: tags whose pattern occurs, in the order of the table; data_analysis if none does."""
-    found = F.filter(F.array(*[F.when(F.rlike("text", F.lit(f"(?is){p}")), F.lit(g)) for g, p in GOALS.items()]), lambda g: g.isNotNull())
+    found = F.filter(F.array(*[F.when(F.rlike("text", F.lit(f"(?is){'|'.join(ps)}")), F.lit(g)) for g, ps in GOALS.items()]), lambda g: g.isNotNull())
     found = F.when(F.size(found) == 0, F.array(F.lit("data_analysis"))).otherwise(found)
     return scripts.select("id", found[0].alias("primary"), F.array_join(found, ",").alias("goals"))
 

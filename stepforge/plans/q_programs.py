@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clinical as D
 from ..operators import compare as C
+from ..operators import program_tables as T
 from ..operators import programs as K
 from .registry import Registry
 
@@ -168,7 +169,7 @@ def _weights(table, default):
 _U = lambda p: f"len(list_distinct(regexp_extract_all(upper(text), '{p}')))"
 _H = lambda p: f"regexp_matches(upper(text), '{p}')::INT"
 _K2 = " + ".join([
-    f"2 * {_n(chr(92) + 'bDATA' + chr(92) + 's+' + chr(92) + 'w+')}", f"CASE WHEN {_n(chr(92) + 'bDATA' + chr(92) + 's+' + chr(92) + 'w+')} > 10 THEN 5 ELSE 0 END", _weights(K.PROC_POINTS, 5), f"8 * {_n(r'%MACRO\b')}", f"2 * {_n(r'%[A-Z_]\w*\s*\(')}",
+    f"2 * {_n(chr(92) + 'bDATA' + chr(92) + 's+' + chr(92) + 'w+')}", f"CASE WHEN {_n(chr(92) + 'bDATA' + chr(92) + 's+' + chr(92) + 'w+')} > 10 THEN 5 ELSE 0 END", _weights(T.PROC_POINTS, 5), f"8 * {_n(r'%MACRO\b')}", f"2 * {_n(r'%[A-Z_]\w*\s*\(')}",
     r"least(10, len(list_distinct(regexp_extract_all(text, '&[A-Za-z_]\w*'))))", f"5 * {_H(r'(?s)%MACRO.*%MACRO\b')}", f"5 * {_U(r'\bSDTM\.|USUBJID|VISITNUM|PARAMCD|DOMAIN')}", f"5 * {_U(r'\bADAM\.|AVAL|BASE|CHG|ANL01FL')}",
     f"11 * {_H(r'\bPROC\s+REPORT\b')}", f"least(10, 2 * {_n(r'\b(?:TRT|TRTPN|ARM|ARMN)\b')})", f"5 * {_H(r'\bODS\s+PDF\b')}", _n(r"\b(?:SET|MERGE|UPDATE|FROM|JOIN)\s+\w+"), _n(r"\bDATA\s+[\w.]+"), f"2 * greatest(0, {_n(r'\bDATA\s+[\w.]+')} - 1)",
     _n(r"\bIF\b"), f"2 * {_n(r'\bDO\b')}", f"5 * {_n(r'\bARRAY\b')}", f"2 * {_n(r'\bRETAIN\b')}", f"3 * {_n(r'\bMERGE\b')}",
@@ -206,7 +207,7 @@ def _proc(*names):
 
 _IN, _OUTP, _STEP, _MAC = _c(r"\b(?:SET|MERGE|FROM|JOIN)\s+[\w.]+"), _c(r"\bDATA\s+[\w.]+"), _c(r"\bDATA\s+\w+"), _c(r"%MACRO\b")
 _SEVEN = {
-    "constructs": (25, [f"2 * {_STEP}", _pt(f"{_STEP} > 10", 5), _pt(_any("RETAIN"), 1), _pt(_any("ARRAY"), 3), _pt(_any("DO"), 2), _pt(_hit(r"(?s)\bDO\b.*\bDO\b"), 4), _pt(_any("IF") + " AND " + _any("ELSE"), 1), _pt(_hit(r"(?s)\bIF\b.*\bIF\b"), 2), _pt(_any("MERGE"), 3), _pt(_any("UPDATE"), 3), _pt(_any("MODIFY"), 4), _pt(_any("DECLARE") + " AND " + _any("HASH"), 5), f"least(20, {_weights(K.PROC_POINTS_SEVEN, 2).replace('upper(text)', 'u')})"]),
+    "constructs": (25, [f"2 * {_STEP}", _pt(f"{_STEP} > 10", 5), _pt(_any("RETAIN"), 1), _pt(_any("ARRAY"), 3), _pt(_any("DO"), 2), _pt(_hit(r"(?s)\bDO\b.*\bDO\b"), 4), _pt(_any("IF") + " AND " + _any("ELSE"), 1), _pt(_hit(r"(?s)\bIF\b.*\bIF\b"), 2), _pt(_any("MERGE"), 3), _pt(_any("UPDATE"), 3), _pt(_any("MODIFY"), 4), _pt(_any("DECLARE") + " AND " + _any("HASH"), 5), f"least(20, {_weights(T.PROC_POINTS_SEVEN, 2).replace('upper(text)', 'u')})"]),
     "clinical": (20, [_pt(_any("SDTM", "USUBJID", "VISITNUM", "PARAMCD", "DOMAIN"), 4), _pt(_any("ADAM", "AVAL", "BASE", "CHG", "ANL01FL", "ADSL"), 4), _pt(_any("PROC REPORT", "PROC TABULATE"), 4), _pt(_any("PROC REPORT"), 2), _pt(_any("PROC COMPARE"), 2), _pt(_any("QC.", "QC_", "COMPARE"), 2), _pt(_any("STUDYID", "USUBJID"), 2)]),
     "execution": (20, [_pt(f"{_IN} > 5", 2), _pt(f"{_OUTP} > 6", 4), _pt(f"{_OUTP} > 3", 2), _pt(_c(r"\bJOIN\b") + " > 1", 3), _pt(_hit(r"\(\s*SELECT\b"), 2), _pt(_any("CASE") + " AND " + _any("WHEN"), 2), _pt(_c(r"\bIF\b") + " > 3", 3), _pt(f"{_IN} + {_OUTP} > 5", 2)]),
     "data": (15, [f"least(5, {_IN})", _pt(_hit(r"\bBY\b"), 2), _pt(_uq(r"\b\w+\.\w+\b") + " > 1", 2), _pt(_any("LOOKUP", "REF", "MAP", "CODE"), 2), _pt(_any("FORMAT ", "PROC FORMAT"), 2), _pt(_any("INFORMAT"), 2)]),
@@ -225,7 +226,7 @@ def _(t):
     return K.seven_dimensions(_scripts(t))
 
 
-_K5 = " + ".join([f"{w} * {_H(p)}" for p, w in K.FEATURES] + [f"{w} * ({_H(a)} * {_H(b)})" for (a, b), w in K.PAIRED])
+_K5 = " + ".join([f"{w} * {_H(p)}" for p, w in T.FEATURES] + [f"{w} * ({_H(a)} * {_H(b)})" for (a, b), w in T.PAIRED])
 
 
 @q("k5_tiers", f"WITH s AS ({_S}), c AS (SELECT id, CAST({_K5} AS INTEGER) AS score FROM s) SELECT id, score, CASE WHEN score >= 30 THEN 5 WHEN score >= 18 THEN 4 WHEN score >= 9 THEN 3 WHEN score >= 4 THEN 2 ELSE 1 END AS tier FROM c")
@@ -234,7 +235,7 @@ def _(t):
 
 
 _E = f"""s AS ({_S}), e AS (SELECT DISTINCT id, lower(u.d) AS dataset, u.kind FROM (
-SELECT id, unnest(regexp_extract_all(upper(text), '{K.INPUTS}', 1)) AS d, 'required' AS kind FROM s UNION ALL SELECT id, unnest(regexp_extract_all(upper(text), '{K.CREATED}', 1)), 'created' FROM s) u WHERE NOT starts_with(u.d, '_')),
+SELECT id, unnest(regexp_extract_all(upper(text), '{T.INPUTS}', 1)) AS d, 'required' AS kind FROM s UNION ALL SELECT id, unnest(regexp_extract_all(upper(text), '{T.CREATED}', 1)), 'created' FROM s) u WHERE NOT starts_with(u.d, '_')),
 x AS (SELECT id, dataset FROM e WHERE kind = 'required' AND (id, dataset) NOT IN (SELECT (id, dataset) FROM e WHERE kind = 'created')),
 roles AS (SELECT id, dataset, CASE WHEN bool_or(kind = 'required') AND bool_or(kind = 'created') THEN 'intermediate' WHEN bool_or(kind = 'required') THEN 'source' ELSE 'output' END AS role FROM e GROUP BY 1, 2)"""
 
@@ -310,12 +311,12 @@ def _hits(words):
     return f"len(list_distinct(regexp_extract_all(t, '\\b(?:{'|'.join(words)})\\b')))"
 
 
-@q("k15_domain", "WITH d AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents), h AS (SELECT id, " + ", ".join(f"{_hits(w)} AS {d}" for d, w in K.DOMAINS.items()) + f", regexp_matches(left(t, 200), '\\b(?:{'|'.join(K.DEMO)})\\b') AS demo FROM d), b AS (SELECT *, greatest({', '.join(K.DOMAINS)}) AS n FROM h) SELECT id, CASE WHEN (demo AND clinical < 3) OR n < 2 THEN 'general' " + " ".join(f"WHEN {d} = n THEN '{d}'" for d in K.DOMAINS) + " END AS domain, CASE WHEN demo AND clinical < 3 THEN 0.6 WHEN n = 0 THEN 0.5 WHEN n < 2 THEN 0.4 ELSE least(n / 5, 1.0) END AS confidence FROM b")
+@q("k15_domain", "WITH d AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents), h AS (SELECT id, " + ", ".join(f"{_hits(w)} AS {d}" for d, w in T.DOMAINS.items()) + f", regexp_matches(left(t, 200), '\\b(?:{'|'.join(T.DEMO)})\\b') AS demo FROM d), b AS (SELECT *, greatest({', '.join(T.DOMAINS)}) AS n FROM h) SELECT id, CASE WHEN (demo AND clinical < 3) OR n < 2 THEN 'general' " + " ".join(f"WHEN {d} = n THEN '{d}'" for d in T.DOMAINS) + " END AS domain, CASE WHEN demo AND clinical < 3 THEN 0.6 WHEN n = 0 THEN 0.5 WHEN n < 2 THEN 0.4 ELSE least(n / 5, 1.0) END AS confidence FROM b")
 def _(t):
     return K.domain(t.documents.select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text")))
 
 
-@q("k16_goals", f"WITH s AS ({_S}), g AS (SELECT id, list_filter_null AS v FROM (SELECT id, [x for x in [" + ", ".join(f"CASE WHEN regexp_matches(text, '(?is){p}') THEN '{g}' END" for g, p in K.GOALS.items()) + "] if x IS NOT NULL] AS list_filter_null FROM s)) SELECT id, coalesce(v[1], 'data_analysis') AS \"primary\", coalesce(nullif(array_to_string(v, ','), ''), 'data_analysis') AS goals FROM g")
+@q("k16_goals", f"WITH s AS ({_S}), g AS (SELECT id, list_filter_null AS v FROM (SELECT id, [x for x in [" + ", ".join(f"CASE WHEN regexp_matches(text, '(?is){'|'.join(p)}') THEN '{g}' END" for g, p in T.GOALS.items()) + "] if x IS NOT NULL] AS list_filter_null FROM s)) SELECT id, coalesce(v[1], 'data_analysis') AS \"primary\", coalesce(nullif(array_to_string(v, ','), ''), 'data_analysis') AS goals FROM g")
 def _(t):
     return K.goals(_scripts(t))
 
