@@ -473,18 +473,15 @@ def km(df: DataFrame, time: str, event: str, strata=None) -> DataFrame:
 
 
 def logrank_table(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    """group, n, observed, expected of the log-rank test."""
-    total = _risk_table(df, time, event, []).where("events > 0").select(F.col(time).alias("time"), F.col("events").alias("d"), F.col("at_risk").alias("r"))
-    known = df.na.drop(subset=[time, event])
-    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("observed"))
-    # a group's risk set at a time: its rows of that time and later
-    own = known.groupBy(group, F.col(time).alias("time")).agg(F.count(F.lit(1)).alias("k"))
-    none = F.lit(None).cast("long")
-    grid = total.crossJoin(sizes.select(group)).select(group, "time", "d", "r", F.lit(0).cast("long").alias("k")).unionByName(own.select(group, "time", none.alias("d"), none.alias("r"), "k"))
-    times = grid.groupBy(group, "time").agg(F.max("d").alias("d"), F.max("r").alias("r"), F.sum("k").alias("k"))
-    at = running_sums(dealt(times, [group, "time"]), group, "time", {"at_risk": "k"}, descending=True).where("d is not null")
-    expected = at.groupBy(group).agg(F.sum(F.col("d") * F.col("at_risk") / F.col("r")).alias("expected"))
-    return sizes.join(expected, group)
+    """group, n, observed, expected of the log-rank test.
+
+    A row is at risk at all event times up to its own, so what a group expects is the sum of its rows' cumulative hazards:
+    one running sum over the event times, met by the groups' counts at each time.
+    """
+    hazard = _risk_table(df, time, event, []).withColumn("__h", F.col("events") / F.col("at_risk"))
+    upto = running_sums(hazard, [], time, {"__hazard": "__h"}).select(F.col(time).alias("__t"), "__hazard")
+    own = df.na.drop(subset=[time, event]).groupBy(group, F.col(time).alias("__t")).agg(F.count(F.lit(1)).alias("__k"), F.sum(F.col(event).cast("long")).alias("__e"))
+    return own.join(upto, "__t").groupBy(group).agg(F.sum("__k").alias("n"), F.sum("__e").alias("observed"), F.sum(F.col("__k") * F.col("__hazard")).alias("expected"))
 
 
 def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:

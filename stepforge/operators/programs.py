@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .program_tables import COMPLEXITY, CREATED, DEMO, DOMAINS, FEATURES, GOALS, INPUTS, NOT_CLINICAL, PAIRED, PENALTIES, SEVEN, TIERS
-from .storage import staged
+from .storage import drop, staged
 
 def _count(u: Column, pattern: str) -> Column:
     return F.regexp_count(u, F.lit(pattern))
@@ -171,6 +171,7 @@ def dependency_depth(steps: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         opened.append(new)
+        drop(left)
         left = rest
     return nodes.join(reduce(DataFrame.unionByName, opened), ["id", "dataset"], "left").select("id", "dataset", "depth")
 
