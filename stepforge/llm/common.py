@@ -6,13 +6,13 @@ strings. A word is a run of bytes other than space and the five ASCII control bl
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..operators.storage import drop, scratch, shared_dir, staged  # noqa: F401  for the operators of this subpackage
 
 U64 = np.uint64
 BLANK = np.zeros(256, bool)
@@ -26,25 +26,6 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset and Spark runs on one machine."""
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b) with a > b."""
+    """One star step over edges (a, b) with a > b, written; what it read is deleted."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -21,8 +21,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     near = both.join(least, "u")
     if large:
-        return near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        stars = near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        stars = near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    out = staged(stars.where("a <> b").distinct(), "edges")
+    drop(edges, both, least)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -39,5 +43,5 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = tuple(mark)
         for large in (True, False):
-            now = staged(_star(now, large).where("a <> b").distinct(), "edges")
+            now = _star(now, large)
     raise RuntimeError("components did not settle")

@@ -105,9 +105,12 @@ def _alike(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: f
         left, right = members.select(F.col("node").alias("a"), F.col("members").alias("x")), members.select(F.col("node").alias("b"), F.col("members").alias("y"))
         return some.join(left, "a").join(right, "b")
 
-    close = met(C.staged(pairs, "pairs"), sketches).where(F.size(F.array_intersect("x", "y")) >= _least_shared(F.greatest(F.size("x"), F.size("y")), similarity, size)).select("a", "b")
     both = F.size(F.array_intersect("x", "y"))
-    return C.staged(met(C.staged(close, "close"), sets).where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "alike")
+    given = C.staged(pairs, "pairs")
+    close = C.staged(met(given, sketches).where(both >= _least_shared(F.greatest(F.size("x"), F.size("y")), similarity, size)).select("a", "b"), "close")
+    alike = C.staged(met(close, sets).where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "alike")
+    C.drop(given, close)
+    return alike
 
 
 def joined(u: list[np.ndarray], m: list[np.ndarray], same: np.ndarray, place: np.ndarray, similarity: float) -> list[tuple[int, int]]:
