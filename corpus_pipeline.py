@@ -32,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = common.new_name(docs, "row")
     numbered = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     groups = simhash.near_duplicates(numbered, id_col=row, more=near_copies.links(numbered, id_col=row))
-    member = groups.join(numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id").select("component_id", F.struct(F.isnull("id"), "id", F.col("doc_id").alias("row")).alias("m"))
+    rows = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
+    member = groups.join(rows, "doc_id").select("component_id", F.struct(F.isnull("id"), "id", F.col("doc_id").alias("row")).alias("m"))
     member = common.staged(member, "members")
     first = member.groupBy("component_id").agg(F.min("m").alias("first"))
     dropped = common.staged(member.join(first, "component_id").where("m > first").select(F.col("m.row").alias(row)), "dropped")
@@ -69,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        with common.scratch(spark) as keep:  # what the stage itself has written goes once its result is written
+            docs = keep(common.staged(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
