@@ -94,7 +94,10 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     source = gathered.select("conv_id", F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("formatted", render(F.col("source"), False)).withColumn("turns", parse(F.col("formatted"), False))
     same = F.coalesce(F.col("turns") == F.col("source"), F.lit(False))
-    again = plain.select("conv_id", "source", (~same).alias("escaped"), F.when(same, F.col("formatted")).otherwise(render(F.col("source"), True)).alias("formatted"), F.when(same, F.col("turns")).alias("turns"))
+    again = plain.select(
+        "conv_id", "source", (~same).alias("escaped"), F.when(same, F.col("formatted")).otherwise(render(F.col("source"), True)).alias("formatted"),
+        F.when(same, F.col("turns")).alias("turns")
+    )
     back = again.withColumn("turns", F.when(F.col("escaped"), parse(F.col("formatted"), True)).otherwise(F.col("turns")))
     failed = F.raise_error(F.lit("a conversation does not come back from its rendering")).cast("boolean")
     return back.where(F.when(F.col("turns") == F.col("source"), F.lit(True)).otherwise(failed)).select("conv_id", "formatted", "escaped", "turns")
@@ -112,12 +115,18 @@ def _let(value: Column, use) -> Column:
 def _starts(sizes: Column, first: Column) -> Column:
     """Running sums of an array of sizes before each element, from ``first`` on."""
     none, nones = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
-    inside = lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("list")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list")))
+    inside = lambda block: F.aggregate(
+        block, F.struct(F.lit(0).alias("at"), none.alias("list")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list"))
+    )
     blocks = _let(sizes, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), lambda k: inside(F.slice(s, k * _BLOCK + 1, _BLOCK))))
     shifted = F.aggregate(
         blocks,
         F.struct(first.cast("int").alias("at"), nones.alias("list")),
-        lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["list"], F.array(F.zip_with(b["list"], F.array_repeat(acc["at"], F.size(b["list"])), lambda x, at: x + at))).alias("list")),
+        lambda acc, b: F.struct(
+            (acc["at"] + b["at"]).alias("at"),
+            F.concat(acc["list"], F.array(F.zip_with(b["list"], F.array_repeat(acc["at"], F.size(b["list"])), lambda x, at: x + at))).alias("list")
+        ),
     )
     return F.flatten(shifted["list"])
 
@@ -128,7 +137,10 @@ def with_loss_mask(formatted: DataFrame) -> DataFrame:
     An assistant turn counts with its text, any other with nothing (start is end). Linear in the turns.
     """
     pieces = turn_texts(F.col("formatted"), F.col("escaped"))
-    sizes = F.zip_with(pieces, "turns", lambda p, t: F.struct(F.length(p).alias("n"), F.length(_open(t["role"])).alias("o"), F.length(_close(t["role"])).alias("c"), (t["role"] == "assistant").alias("a")))
+    sizes = F.zip_with(
+        pieces, "turns",
+        lambda p, t: F.struct(F.length(p).alias("n"), F.length(_open(t["role"])).alias("o"), F.length(_close(t["role"])).alias("c"), (t["role"] == "assistant").alias("a"))
+    )
     first = F.when(F.col("escaped"), F.lit(len(ESCAPED))).otherwise(F.lit(len(PLAIN)))
     span = lambda at, z: F.struct((at + z["o"]).alias("start"), (at + F.when(z["a"], z["n"] - z["c"]).otherwise(z["o"])).alias("end"), z["o"].alias("offset"))
     return formatted.withColumn("loss", _let(sizes, lambda s: F.zip_with(_starts(F.transform(s, lambda z: z["n"]), first), s, span)))

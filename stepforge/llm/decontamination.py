@@ -128,7 +128,10 @@ def _probes(seed: int, least: float) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         words = table.column("item_words")[0].as_py()
-        rows = sorted(zip(table.column("n").to_pylist(), table.column("h1").to_pylist(), table.column("h2").to_pylist(), table.column("i").to_pylist(), range(table.num_rows)), key=lambda r: (-r[0], *r[1:3]))
+        rows = sorted(
+            zip(table.column("n").to_pylist(), table.column("h1").to_pylist(), table.column("h2").to_pylist(), table.column("i").to_pylist(), range(table.num_rows)),
+            key=lambda r: (-r[0], *r[1:3])
+        )
         covered, spared = np.zeros(words, bool), 0
         for *_, places, _ in rows:
             for p in places:
@@ -181,7 +184,10 @@ def _bitmap(sought: DataFrame) -> Broadcast:
     return sought.sparkSession.sparkContext.broadcast((bits, size))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED,
+    coverage: float = COVERAGE
+) -> DataFrame:
     """One row per document and item of which the document holds at least ``coverage``.
 
     Columns: doc_id, text_hash, item_id, n_tiles, longest_tile, covered_words, item_words, coverage.

@@ -66,7 +66,10 @@ class Network:
 def new_network(languages: list[str], hidden: int = HIDDEN, seed: int = 1) -> Network:
     rng = np.random.default_rng(seed)
     draw = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-    return Network(languages, [draw(3 * hidden, 257) for _ in range(2)], [draw(3 * hidden, hidden) for _ in range(2)], draw(len(languages), 2 * hidden), np.zeros((len(languages), 1), np.float32))
+    return Network(
+        languages, [draw(3 * hidden, 257) for _ in range(2)], [draw(3 * hidden, hidden) for _ in range(2)], draw(len(languages), 2 * hidden),
+        np.zeros((len(languages), 1), np.float32)
+    )
 
 
 def _forward(table: np.ndarray, u: np.ndarray, x: np.ndarray, live: np.ndarray, order: range, keep: list | None = None) -> np.ndarray:
@@ -296,7 +299,10 @@ def _predict(net: Network | None, text_col: str, window: int):
         for batch in batches:
             names, score, share, size, unlike = _predictions(net, batch.column(text_col), batch.column("__letters").to_numpy(zero_copy_only=False), window)
             kept = [c for c in batch.schema.names if c != "__letters"]
-            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(size), pa.array(unlike)], [*kept, "__lang", "__score", "__share", "__bytes", "__noise"])
+            yield pa.record_batch(
+                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(share), pa.array(size), pa.array(unlike)],
+                [*kept, "__lang", "__score", "__share", "__bytes", "__noise"]
+            )
 
     return run
 
@@ -326,7 +332,10 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred, score (mean probability), share (of positions labelled so) and n_bytes of every row."""
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return _labelled(rows, "text", net, window).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__share").alias("share"), F.col("__bytes").alias("n_bytes"))
+    return _labelled(rows, "text", net, window).select(
+        "doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__share").alias("share"),
+        F.col("__bytes").alias("n_bytes")
+    )
 
 
 def op7_language_id(spark, sf_dir):

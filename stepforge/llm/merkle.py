@@ -133,7 +133,10 @@ def op11_merkle_manifest(spark, sf_dir):
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     out = manifest(docs, altered=(hit, {"text": F.expr(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")}))
     out = out.withColumn("folded_root", folded(F.coalesce("altered_leaf", "leaf"), F.col("path")))
-    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", h(proof(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    return out.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", h(proof(F.col("path"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified")
+    )
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -81,12 +81,17 @@ def schedule(queued: DataFrame, aims: DataFrame, cap: int = CAP, precision: floa
     return placed.withColumn("place", place).withColumn("words", F.least(F.col("words"), F.floor("budget") - place)).where("words > 0").drop("through", "budget")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, precision: float = PRECISION) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
+    precision: float = PRECISION
+) -> DataFrame:
     """id, source, size, source_size, target and taken (words, repeats counted) of every document."""
     queued = queues(docs, id_col, text_col, source_col)
     aims = C.staged(targets(queued.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     served = schedule(queued, aims, cap, precision).groupBy("source").agg(F.sum("words").alias("done"))
-    known = aims.alias("a").join(served.alias("s"), F.expr("a.source <=> s.source"), "left").select(F.col("a.source").alias("of"), "source_size", "target", F.coalesce("done", F.lit(0)).alias("done"))
+    known = aims.alias("a").join(served.alias("s"), F.expr("a.source <=> s.source"), "left").select(
+        F.col("a.source").alias("of"), "source_size", "target", F.coalesce("done", F.lit(0)).alias("done")
+    )
     out = queued.join(C.staged(known, "served"), F.col("source").eqNullSafe(F.col("of")))
     taken = sum((_served(F.col("upto") + turn * F.col("source_size"), F.col("size"), F.col("done")) for turn in range(1, cap)), _served(F.col("upto"), F.col("size"), F.col("done")))
     return out.select("id", "source", "size", "source_size", "target", taken.alias("taken"))

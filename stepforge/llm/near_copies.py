@@ -79,7 +79,10 @@ def _members(shingle: int, most: int | None, files: int = 0):
             for batch in batches:
                 for at, to, w in C.word_chunks(batch.column("text"), lower=True):
                     g, begin, one, two = _shingles(w, shingle)
-                    columns = [batch.column("id").slice(at, to - at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(begin).astype(np.int32)), _listed(g, begin, most)]
+                    columns = [
+                        batch.column("id").slice(at, to - at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                        pa.array(np.diff(begin).astype(np.int32)), _listed(g, begin, most)
+                    ]
                     if files:
                         least = [C.mix(np.minimum.reduceat(C.mix(g ^ s), begin[:-1]) + s) for s in salts]
                         columns.append(pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1, dtype=np.int32) * files), pa.array(np.column_stack(least).ravel().view(np.int64))))

@@ -111,7 +111,10 @@ def _pack_shard(capacities: tuple[int, ...], bin_cost: float) -> Callable[[pa.Ta
     return run
 
 
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, shard: int = SHARD) -> DataFrame:
+def best_fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES,
+    bin_cost: float = BIN_COST, shard: int = SHARD
+) -> DataFrame:
     """doc_id, row, piece, start, n_tokens, bin_id, capacity and offset of every piece of every row.
 
     ``tokens``: a column expression for a row's length, where words and an end mark are not wanted.

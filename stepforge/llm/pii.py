@@ -75,7 +75,10 @@ def candidates(rows: DataFrame) -> DataFrame:
         m = F.col("m")[KINDS[number]]
         listed = F.transform(
             F.arrays_zip(m["hits"].alias("hits"), m["between"].alias("between"), F.slice(m["between"], F.lit(2), F.greatest(F.size(m["between"]) - 1, F.lit(0))).alias("next")),
-            lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("at"), F.length(x["between"]).alias("gap"), x["hits"].alias("match"), F.right(x["between"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(1)).alias("after")),
+            lambda x, i: F.struct(
+                F.lit(number).alias("kind"), i.alias("at"), F.length(x["between"]).alias("gap"), x["hits"].alias("match"),
+                F.right(x["between"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(1)).alias("after")
+            ),
         )
         return F.coalesce(F.filter(listed, lambda x: x["match"].isNotNull()), F.array().cast("array<struct<kind:int,at:int,gap:int,match:string,before:string,after:string>>"))
 
@@ -181,7 +184,10 @@ def redact(docs: DataFrame, text_col: str = "text", model: tuple[boosting.Model,
     joined = numbered.join(spans, "__row", "left")
     names, text = F.array(*map(F.lit, KINDS)), F.col(text_col)
     reached = lambda i: F.coalesce(F.array_max(F.transform(F.slice("__spans", F.lit(1), i), lambda s: s["end"])), F.lit(0))
-    piece = lambda s, i: F.when(s["start"] >= reached(i), F.concat(F.substring(text, reached(i) + 1, s["start"] - reached(i)), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))).otherwise("")
+    piece = lambda s, i: F.when(
+        s["start"] >= reached(i),
+        F.concat(F.substring(text, reached(i) + 1, s["start"] - reached(i)), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
+    ).otherwise("")
     last = reached(F.size("__spans"))
     changed = F.concat(F.array_join(F.transform("__spans", piece), ""), F.substring(text, last + 1, F.length(text)))
     return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(changed)).select(*docs.columns)

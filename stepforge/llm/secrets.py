@@ -34,7 +34,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-ENDPOINT = re.compile(r"(?:https?|wss?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]{1,63}\.)+(?:amazonaws\.com|azure\.com|googleapis\.com)")
+ENDPOINT = re.compile(
+    r"(?:https?|wss?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]{1,63}\.)+(?:amazonaws\.com|azure\.com|googleapis\.com)"
+)
 WORDS = ("passw", "secret", "token", "api")
 
 
@@ -90,7 +92,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
             weaks.append([{"start": a, "kind": k, "end": b} for a, k, b in weak])
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("row"), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(3)), pa.array(digests), pa.array(bases, pa.list_(span)), pa.array(weaks, pa.list_(span))],
+            [
+                batch.column("doc_id"), batch.column("row"), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(3)), pa.array(digests),
+                pa.array(bases, pa.list_(span)), pa.array(weaks, pa.list_(span))
+            ],
             ["doc_id", "row", "n_assign", "n_access", "n_hex", "base_sha256", "base", "weak"],
         )
 

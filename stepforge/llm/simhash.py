@@ -108,7 +108,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = links(fps.select(F.col("fp").alias("node"), "fp"), radius)
     if more is not None:
         name = marked.where("doc_id is not null").distinct()
-        edges = edges.unionByName(more.join(name.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        edges = edges.unionByName(
+            more.join(name.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        )
     joined = components(edges).withColumnRenamed("node", "fp")
     held = C.staged(fps.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
     named = C.staged(held.select("fp", "component").join(held.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), "named")

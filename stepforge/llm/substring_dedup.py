@@ -101,7 +101,9 @@ def _finish(w: C.Words, gone: np.ndarray) -> tuple[int, int, str]:
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-_OPEN = pa.schema([*_RESULT, ("row", pa.string()), ("text", pa.string()), ("sure", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
+_OPEN = pa.schema(
+    [*_RESULT, ("row", pa.string()), ("text", pa.string()), ("sure", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))]
+)
 
 
 def _decide(window: int, k: int, keep_text: bool):
@@ -184,7 +186,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = rows.select("text").mapInArrow(_emit_anchors(window, k, True), "kmer long, into long, out long")
     ends = [F.min("into").alias("i0"), F.max("into").alias("i1"), F.min("out").alias("o0"), F.max("out").alias("o1")]
     repeated = C.staged(
-        edges.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1").select("kmer", F.expr("i0 = i1 and i0 <> 0").alias("back"), F.expr("o0 = o1 and o0 <> 0").alias("onward")),
+        edges.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1").select(
+            "kmer", F.expr("i0 = i1 and i0 <> 0").alias("back"), F.expr("o0 = o1 and o0 <> 0").alias("onward")
+        ),
         "anchors",
     )
     places = rows.mapInArrow(_emit_anchors(window, k, False), "kmer long, id long, text_hash long, pos int")
@@ -203,7 +207,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = left.select("row", F.explode(F.arrays_zip("first", "h1", "h2")).alias("w")).select("row", "w.first", "w.h1", "w.h2")
     twice = C.staged(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
     found = windows.join(twice, ["h1", "h2"]).groupBy("row").agg(F.collect_list("first").alias("found"))
-    rest = left.select("row", "doc_id", "text", "sure").join(found, "row", "left").mapInArrow(_close(window, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rest = left.select("row", "doc_id", "text", "sure").join(found, "row", "left").mapInArrow(
+        _close(window, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    )
     out = done.unionByName(rest)
     return out if keep_text else out.drop("kept_text")
 

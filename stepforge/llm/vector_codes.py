@@ -98,7 +98,10 @@ def _tally(books: Codebooks):
         part, entry = np.nonzero(counts)
         if len(part):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array(entry, pa.int32()), pa.array(counts[part, entry]), pa.array(sums[part, entry].tolist(), pa.list_(pa.int64()))], names=["part", "entry", "n", "s"]
+                [
+                    pa.array(part, pa.int32()), pa.array(entry, pa.int32()), pa.array(counts[part, entry]),
+                    pa.array(sums[part, entry].tolist(), pa.list_(pa.int64()))
+                ], names=["part", "entry", "n", "s"]
             )
 
     return run

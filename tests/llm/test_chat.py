@@ -11,13 +11,19 @@ SCHEMA = "conv_id long, turn long, role string, text string, formatted string, t
 
 def test_round_trip_of_hostile_texts(spark):
     rng = random.Random(8)
-    bits = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN 61]", "[/TURN]", "<|plain|>", "<|escaped|>", "&amp;", "&lt;", "&lsqb;", "&", "\\", "\n", " ", "é", "$1", "[", "<", "x", "\0"]
+    bits = [
+        "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN 61]", "[/TURN]", "<|plain|>", "<|escaped|>", "&amp;", "&lt;", "&lsqb;", "&", "\\",
+        "\n", " ", "é", "$1", "[", "<", "x", "\0"
+    ]
     roles = ["user", "assistant", "system", "tool", "", None, "é]", "User"]
     rows = []
     for c in range(120):
         for t in range(rng.randrange(1, 6)):
             rows.append((c, t, rng.choice(roles), "".join(rng.choice(bits) for _ in range(rng.randrange(8))) if rng.random() > 0.05 else None, "f", "t"))
-    rows += [(200, 0, "user", "plain text " * 20000, "", ""), (200, 1, "assistant", "[/INST] " * 9000, "", ""), (201, 0, "assistant", "</s>" * 9000, "", ""), (None, None, None, None, None, None)]
+    rows += [
+        (200, 0, "user", "plain text " * 20000, "", ""), (200, 1, "assistant", "[/INST] " * 9000, "", ""), (201, 0, "assistant", "</s>" * 9000, "", ""),
+        (None, None, None, None, None, None)
+    ]
     rows += [(202, 1, "user", "b", "", ""), (202, 1, "user", "a", "", ""), (202, 1, "user", "b", "", ""), (202, 0, "assistant", "z", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     out = chat.with_loss_mask(chat.format_conversations(df)).collect()
@@ -30,12 +36,17 @@ def test_round_trip_of_hostile_texts(spark):
         for plain, entity in reversed(chat.ENTITIES):
             under = [u.replace(entity, plain) if r.escaped else u for u in under]
         assert under == [(x[3] or "") * (x[2] == "assistant") for x in source]
-        assert [(s.offset, s.end > s.start) for s in r.loss] == [(len(chat.MARKS[x[2]][0]) if x[2] in chat.MARKS else 7 + 2 * len((x[2] or "").encode()), x[2] == "assistant" and bool(x[3])) for x in source]
+        assert [(s.offset, s.end > s.start) for s in r.loss] == [
+            (len(chat.MARKS[x[2]][0]) if x[2] in chat.MARKS else 7 + 2 * len((x[2] or "").encode()), x[2] == "assistant" and bool(x[3])) for x in source
+        ]
     assert len(out) == len({x[0] for x in rows})
 
 
 def test_a_conversation_of_many_turns_takes_no_longer_by_turn(spark):
-    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn <s> é "), "id").alias("text"))
+    rows = spark.range(100_000).select(
+        F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("turn <s> é "), "id").alias("text")
+    )
     began = time.monotonic()
     done = chat.with_loss_mask(chat.format_conversations(rows))
     r = done.select(F.size("turns").alias("n"), F.md5(chat.under_loss(done)).alias("h"), F.element_at("loss", -1).alias("last"), F.length("formatted").alias("size")).first()

@@ -55,7 +55,10 @@ def test_documents(spark):
         None, "", items[0], text(200), f"{text(90)} {items[1].upper()}\n{text(20)}", " ".join(halves[15:] + ["x"] + halves[:15]), " ".join(items[2].split()[:15]),
         " ".join(items[2].split()[:20]) + " " + text(4000), f"{items[3]} {items[3]} {items[4]}", "a " * 3000,
     ]
-    got = contaminated(spark.createDataFrame([(i, d, "x", "y") for i, d in enumerate(docs)], DOCS), spark.createDataFrame([(i, t, "q") for i, t in enumerate(items)], "item_id long, text string, d string"))
+    got = contaminated(
+        spark.createDataFrame([(i, d, "x", "y") for i, d in enumerate(docs)], DOCS),
+        spark.createDataFrame([(i, t, "q") for i, t in enumerate(items)], "item_id long, text string, d string")
+    )
     found = {(r.doc_id, r.item_id): (r.covered_words, r.coverage) for r in got.collect()}
     assert set(found) == {(2, 0), (2, 7), (4, 1), (5, 1), (7, 2), (8, 3), (8, 4)}
     for (d, i), (covered, _) in found.items():
@@ -97,7 +100,10 @@ def test_random_texts_of_few_words_against_brute_force(spark):
         whole = rng.choice(items)
         at = rng.randrange(len(d) + 1)
         d[at:at] = whole[rng.randrange(3) : rng.randrange(8, 30)]
-    got = contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    got = contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    )
     found = {(r.doc_id, r.item_id): (r.n_tiles, r.longest_tile, r.covered_words) for r in got.collect()}
     want = {}
     for d, doc in enumerate(docs):

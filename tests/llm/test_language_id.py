@@ -42,7 +42,10 @@ def test_windows_hold_every_byte_once():
 def test_held_out_accuracy_and_edges(spark):
     rng = random.Random(1)
     rows = [(i, sentence(rng, lang := rng.choice(list(SYLLABLES))), lang, 0.5, "s") for i in range(500)]
-    rows += [(1000, None, "aa", 0, "s"), (1001, "", "aa", 0, "s"), (1002, "12 ++ 3", "bb", 0, "s"), (None, sentence(rng, "bb"), None, 0, "s"), (1003, sentence(rng, "cc", 60000), "cc", 0, "s"), (1, rows[1][1], None, 0, "s")]
+    rows += [
+        (1000, None, "aa", 0, "s"), (1001, "", "aa", 0, "s"), (1002, "12 ++ 3", "bb", 0, "s"), (None, sentence(rng, "bb"), None, 0, "s"),
+        (1003, sentence(rng, "cc", 60000), "cc", 0, "s"), (1, rows[1][1], None, 0, "s")
+    ]
     docs = spark.createDataFrame([(a, b, c, float(d), e) for a, b, c, d, e in rows], "doc_id long, text string, lang string, score double, letters string")
     held = L.fold("doc_id", 5) == 0
     net = L.train(docs.where(~held), epochs=4)

@@ -49,7 +49,10 @@ def found(df, fanout):
 @pytest.mark.parametrize("fanout", [2, 3, 16])
 def test_trees_and_proofs(spark, fanout):
     rows = [(i, f"s{i % 3}", "en", i, f"Text {i}") for i in range(70)]
-    rows += [(None, None, None, None, None), (None, "s0", None, None, ""), (5, "é", "x", 1, "long " * 9000), (7, "s0", "en", 7, "same"), (7, "s0", "en", 7, "same"), (7, "s0", "en", 7, "other"), (8, "", None, 0, "ß\U0001f600")]
+    rows += [
+        (None, None, None, None, None), (None, "s0", None, None, ""), (5, "é", "x", 1, "long " * 9000), (7, "s0", "en", 7, "same"), (7, "s0", "en", 7, "same"),
+        (7, "s0", "en", 7, "other"), (8, "", None, 0, "ß\U0001f600")
+    ]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("tree", "node", "__at", "path")})
     assert found(df, fanout) == brute(rows, fanout)
 
@@ -75,7 +78,10 @@ def test_a_change_shows_in_its_own_row_only(spark):
 
 
 def test_a_hot_group_lies_in_many_ranges(spark):
-    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit("en").alias("lang"), F.col("id").alias("n_chars"), F.col("id").cast("string").alias("text"))
+    rows = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit("en").alias("lang"), F.col("id").alias("n_chars"),
+        F.col("id").cast("string").alias("text")
+    )
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         out = merkle.manifest(rows)

@@ -65,7 +65,10 @@ def test_against_a_loop(spark, precision):
 
 
 def test_sources_come_near_their_targets(spark):
-    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + pow(hash(id) % 40, 2) as int))").alias("text"), F.expr("if(id % 3 = 0, 'hot', concat('s', id % 7))").alias("source"))
+    rows = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + pow(hash(id) % 40, 2) as int))").alias("text"),
+        F.expr("if(id % 3 = 0, 'hot', concat('s', id % 7))").alias("source")
+    )
     out = mixing.mix(rows).collect()
     budget = 1.5 * sum(r.size for r in out)
     assert sum(r.taken for r in out) == int(budget) and all(r.taken <= 2 * r.size for r in out)

@@ -92,7 +92,10 @@ def test_long_texts_common_passages_and_empty_tables(spark):
             copy[at] = "changed"
         rows[200 + i] = copy
     rows[300], rows[301], rows[302] = rows[100], [], None
-    docs = spark.createDataFrame([(i, None if t is None else " ".join(t), "x", "y") for i, t in rows.items()] + [(None, "a b", "x", "y")], "doc_id long, text string, node string, members string")
+    docs = spark.createDataFrame(
+        [(i, None if t is None else " ".join(t), "x", "y") for i, t in rows.items()] + [(None, "a b", "x", "y")],
+        "doc_id long, text string, node string, members string"
+    )
     near = {(max(a, b), min(a, b)) for a, b in near_copies.links(docs).collect()}
     assert near == {(200 + i, 100 + i) for i in range(10)}
     assert near_copies.links(docs.limit(0)).count() == 0

@@ -15,7 +15,10 @@ def test_stages_and_run(spark, tmp_path):
     rows = [(i, sentence(rng, lang := rng.choice("ab") * 2, rng.randrange(80, 200)), lang, "s") for i in range(150)]
     texts = {i: t for i, t, *_ in rows}
     rows += [(200, texts[3], "aa", "s"), (201, texts[3] + " ka", "aa", "s"), (202, "12 34", "aa", "s"), (203, None, "aa", "s"), (204, "", None, "s")]
-    rows += [(205, texts[5] + " " + item, "bb", None), (206, sentence(rng, "bb", 90) + ' token = "abcdef123456" ver', None, "s"), (None, sentence(rng, "aa", 99), "aa", "s"), (7, sentence(rng, "aa", 50), "aa", "s")]
+    rows += [
+        (205, texts[5] + " " + item, "bb", None), (206, sentence(rng, "bb", 90) + ' token = "abcdef123456" ver', None, "s"),
+        (None, sentence(rng, "aa", 99), "aa", "s"), (7, sentence(rng, "aa", 50), "aa", "s")
+    ]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

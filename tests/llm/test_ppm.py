@@ -69,7 +69,9 @@ def test_against_the_definition(spark, order, share):
     counts = Counter(x for t in train for x in tokens(t))
     n, v = sum(counts.values()), len(counts)
     expected = sorted(
-        ((i if i is not None else -1, out[i], len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), n), sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens(t)), slow.score(t)) for i, t in pairs
+        (
+            (i if i is not None else -1, out[i], len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), n), sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens(t)), slow.score(t)
+        ) for i, t in pairs
     )
     got = sorted(((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens), r.base_score, r.score) for r in rows)
     assert [g[0] for g in got] == [e[0] for e in expected]

@@ -13,7 +13,10 @@ def brute(text, reach):
     """All pairs of parts, by the definition."""
     text = text or ""
     base = []
-    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text):
+    for m in re.finditer(
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""",
+        text
+    ):
         if len(m[2]) >= 6:
             base.append((m.start(), 0, m.end()))
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -48,7 +51,10 @@ def test_against_pairs(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, f"é {AWS} {WEAK} end", "r", "w", 9), (2, "clean", "r", None, 5), (2, "clean", "r", None, 5), (3, None, None, None, None), (None, "token=abcdef x", "", "", 14)], SCHEMA)
+    docs = spark.createDataFrame(
+        [(1, f"é {AWS} {WEAK} end", "r", "w", 9), (2, "clean", "r", None, 5), (2, "clean", "r", None, 5), (3, None, None, None, None), (None, "token=abcdef x", "", "", 14)],
+        SCHEMA
+    )
     out = S.redact(docs)
     assert out.columns == docs.columns
     got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in out.collect())

@@ -56,7 +56,10 @@ def test_against_whole_loops(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, 1), (2, [1.0, None, 0.0, 0.0], 1), (3, [float("nan")] * 4, 1), (4, [float("inf")] * 4, 2), (5, [], None), (6, [-0.25, 1.5, 2.0], 1), (None, [1.0] * 5, 2), (6, [9.0, -9.0], 3), (7, [-1e-9], 3)]
+    rows = [
+        (1, None, 1), (2, [1.0, None, 0.0, 0.0], 1), (3, [float("nan")] * 4, 1), (4, [float("inf")] * 4, 2), (5, [], None), (6, [-0.25, 1.5, 2.0], 1),
+        (None, [1.0] * 5, 2), (6, [9.0, -9.0], 3), (7, [-1e-9], 3)
+    ]
     check(spark, rows)
     check(spark, [(1, [], None)])
 
@@ -72,7 +75,10 @@ def test_no_vectors_and_too_large(spark):
 
 
 @settings(max_examples=120, deadline=None)
-@given(st.lists(st.lists(st.integers(-4, 4), min_size=3, max_size=3), max_size=30), st.lists(st.lists(st.integers(-4, 4), min_size=3, max_size=3), min_size=1, max_size=9), st.sampled_from([4, 1 << 20]))
+@given(
+    st.lists(st.lists(st.integers(-4, 4), min_size=3, max_size=3), max_size=30),
+    st.lists(st.lists(st.integers(-4, 4), min_size=3, max_size=3), min_size=1, max_size=9), st.sampled_from([4, 1 << 20])
+)
 def test_trie_finds_the_nearest(parts, book, largest):
     parts, book = np.array(parts, np.int64).reshape(-1, 3), np.array(book, np.int64)
     index, distance = V.nearest(parts, book, largest)
