@@ -24,7 +24,10 @@ def unique_rows(df: DataFrame, by, cols: list[str] | None = None) -> DataFrame:
     return one.select(*by, checked.alias("__row")).select(*by, *[F.col("__row")[c].alias(c) for c in cols])
 
 
-def merge(a: DataFrame, b: DataFrame, by, how: str = "left", keep_if: str | None = None, overlay: bool = True, flags: tuple[str, str] | None = None, validate: str | None = None) -> DataFrame:
+def merge(
+    a: DataFrame, b: DataFrame, by, how: str = "left", keep_if: str | None = None, overlay: bool = True, flags: tuple[str, str] | None = None,
+    validate: str | None = None
+) -> DataFrame:
     """MERGE a b; BY ….
 
     ``keep_if``: "a", "b", "a and b", "not b" (rows of a alone), "not a", as the IN= subsetting IF does.

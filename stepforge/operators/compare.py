@@ -38,7 +38,12 @@ def compare(a: DataFrame, b: DataFrame, keys, tol: float = 1e-4) -> DataFrame:
     for c in shared:
         x, y = F.col(f"__a_{c}"), F.col(f"__b_{c}")
         same = agrees(x.cast("double"), y.cast("double"), tol) if isinstance(kinds[c], NUMERIC) else x.eqNullSafe(y)
-        cells.append(F.struct(F.lit(c).alias("column"), F.count_if(in_both & same).alias("matched"), F.count_if(in_both & ~same).alias("differing"), F.count_if(F.col("__b").isNull()).alias("only_a"), F.count_if(F.col("__a").isNull()).alias("only_b")).alias(f"__{c}"))
+        cells.append(
+            F.struct(
+                F.lit(c).alias("column"), F.count_if(in_both & same).alias("matched"), F.count_if(in_both & ~same).alias("differing"),
+                F.count_if(F.col("__b").isNull()).alias("only_a"), F.count_if(F.col("__a").isNull()).alias("only_b")
+            ).alias(f"__{c}")
+        )
     return both.agg(*cells).select(F.inline(F.array(*[f"__{c}" for c in shared])))
 
 
@@ -80,11 +85,15 @@ def _earned() -> Column:
 def scorecard(scenarios: DataFrame, by=None) -> DataFrame:
     """category, score, passed, total for rows (category, status, impact); a category without rows scores 100."""
     by = as_list(by)
-    got = scenarios.groupBy(*by, "category").agg(F.sum(_earned()).alias("e"), F.sum("impact").alias("i"), F.count_if(F.col("status") == "passed").alias("passed"), F.count(F.lit(1)).alias("total"))
+    got = scenarios.groupBy(*by, "category").agg(
+        F.sum(_earned()).alias("e"), F.sum("impact").alias("i"), F.count_if(F.col("status") == "passed").alias("passed"), F.count(F.lit(1)).alias("total")
+    )
     cats = F.explode(F.array(*map(F.lit, WEIGHTS))).alias("category")
     frame = scenarios.select(*by).distinct().select(*by, cats) if by else scenarios.sparkSession.range(1).select(cats)
     score = F.when(F.col("total").isNull(), 100.0).otherwise(F.round(F.coalesce(F.try_divide(100.0 * F.col("e"), "i"), F.lit(0.0)), 1))
-    return frame.join(got, [*by, "category"], "left").select(*by, "category", score.alias("score"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("total", F.lit(0)).alias("total"))
+    return frame.join(got, [*by, "category"], "left").select(
+        *by, "category", score.alias("score"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("total", F.lit(0)).alias("total")
+    )
 
 
 def overall(card: DataFrame, by=None) -> DataFrame:

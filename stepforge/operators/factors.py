@@ -50,7 +50,13 @@ class CrossProducts:
         values = [t.value() - F.lit(means[2 + plain.index(t)] or 0.0) if t in plain else t.value() for t in self.terms] + [F.col(y).cast("double") - F.lit(means[1] or 0.0)]
         factors = sorted({f for t in self.terms for f in t.factors})
         pairs = list(combinations_with_replacement(range(len(values)), 2))
-        self.cells = staged(rows.groupBy(*factors).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(values)], *[F.sum(values[i] * values[j]).alias(f"p{i}_{j}") for i, j in pairs]), "cells")
+        self.cells = staged(
+            rows.groupBy(*factors).agg(
+                F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(values)],
+                *[F.sum(values[i] * values[j]).alias(f"p{i}_{j}") for i, j in pairs]
+            ),
+            "cells"
+        )
         self.y = len(self.terms)
         for i, t in enumerate(self.terms):
             t.index = {k: j for j, k in enumerate(sorted(k for k, _ in self._by(t.factors, f"p{i}_{i}")))}

@@ -291,7 +291,10 @@ class Mixed:
 
     def coefficients(self) -> DataFrame:
         se = np.sqrt(np.diag(self.cov))
-        return self.spark.createDataFrame([(t, float(b), float(s), float(b / s), normal_tail(b / s)) for t, b, s in zip(self.terms, self.coef, se)], "term string, estimate double, se double, z double, p_value double")
+        return self.spark.createDataFrame(
+            [(t, float(b), float(s), float(b / s), normal_tail(b / s)) for t, b, s in zip(self.terms, self.coef, se)],
+            "term string, estimate double, se double, z double, p_value double"
+        )
 
     def variances(self) -> DataFrame:
         return self.spark.createDataFrame([(float(self.sigma2), float(self.tau2), self.n, self.groups)], "residual double, intercept double, n long, subjects long")
@@ -434,7 +437,9 @@ def cox(df: DataFrame, time: str, event: str, xs, strata=None, ties: str = "efro
         base = data.withColumn("w", risk)
         sums = {"s0": F.col("w")} | {f"s1_{j}": F.col("w") * F.col(f"v{j}") for j in range(p)} | {f"s2_{i}_{j}": F.col("w") * F.col(f"v{i}") * F.col(f"v{j}") for i, j in pairs}
         aggs = [F.sum(v).alias(k) for k, v in sums.items()] + [F.coalesce(F.sum(F.when(hit, v)), F.lit(0.0)).alias("e" + k[1:]) for k, v in sums.items()]
-        aggs += [F.sum("event").alias("d"), F.coalesce(F.sum(F.when(hit, F.log("w"))), F.lit(0.0)).alias("lw")] + [F.coalesce(F.sum(F.when(hit, F.col(f"v{j}"))), F.lit(0.0)).alias(f"x{j}") for j in range(p)]
+        aggs += [
+            F.sum("event").alias("d"), F.coalesce(F.sum(F.when(hit, F.log("w"))), F.lit(0.0)).alias("lw")
+        ] + [F.coalesce(F.sum(F.when(hit, F.col(f"v{j}"))), F.lit(0.0)).alias(f"x{j}") for j in range(p)]
         by_time = base.groupBy(*strata, "time", "__part").agg(*aggs)
         at_risk = running_sums(by_time, strata, "time", {"r" + k[1:]: k for k in sums}, descending=True).where("d > 0")
         a = (_efron if ties == "efron" else _breslow)(at_risk, p, pairs).first()
@@ -466,7 +471,9 @@ def km(df: DataFrame, time: str, event: str, strata=None) -> DataFrame:
     strata = as_list(strata)
     d, n = F.col("events"), F.col("at_risk")
     # a product of factors 1 - d / n: the logarithms of those above zero, and how many are zero
-    table = _risk_table(df, time, event, strata).withColumns({"__log": F.when(d < n, F.log(1 - d / n)).otherwise(0.0), "__zero": (d == n).cast("int"), "__g": F.coalesce(F.try_divide(d, n * (n - d)), F.lit(0.0))})
+    table = _risk_table(df, time, event, strata).withColumns(
+        {"__log": F.when(d < n, F.log(1 - d / n)).otherwise(0.0), "__zero": (d == n).cast("int"), "__g": F.coalesce(F.try_divide(d, n * (n - d)), F.lit(0.0))}
+    )
     sums = running_sums(table, strata, time, {"__logs": "__log", "__zeros": "__zero", "__gs": "__g"})
     out = sums.withColumn("survival", F.when(F.col("__zeros") > 0, 0.0).otherwise(F.exp("__logs"))).withColumn("se", F.col("survival") * F.sqrt("__gs"))
     return out.select(*strata, F.col(time).alias("time"), "events", "censored", "at_risk", "survival", "se")

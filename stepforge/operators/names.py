@@ -79,7 +79,10 @@ def _sharing(probe: DataFrame, other: DataFrame, least: float, longest: bool) ->
     """
     spread = other.select("o", F.array_distinct(F.filter(F.split("o", ""), lambda c: c != "")).alias("letters"))
     common = [r[0] for r in spread.select(F.explode("letters").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(COMMON).collect()]
-    index = spread.select("o", F.length("o").alias("size"), F.explode(F.concat(F.transform("letters", lambda c: F.concat(F.lit("1"), c)), F.transform(_pairs(F.col("letters"), True), lambda k: F.concat(F.lit("2"), k)))).alias("key"))
+    index = spread.select(
+        "o", F.length("o").alias("size"),
+        F.explode(F.concat(F.transform("letters", lambda c: F.concat(F.lit("1"), c)), F.transform(_pairs(F.col("letters"), True), lambda k: F.concat(F.lit("2"), k)))).alias("key")
+    )
     sizes = index.select("size").distinct().withColumnRenamed("size", "at")
     n = F.length("p")
     # hits <= n, so the longer length lies below n / least

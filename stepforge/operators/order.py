@@ -27,7 +27,10 @@ def running_sums(df: DataFrame, by, at: str, sums: dict[str, str], descending: b
     inside = Window.partitionBy("__part", *by).orderBy(turn(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*by).orderBy(turn("__part")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy("__part", *by).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
-    before = sizes.select(F.col("__part").alias("__p"), *[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__a_{n}") for n in sums])
+    before = sizes.select(
+        F.col("__part").alias("__p"), *[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)],
+        *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__a_{n}") for n in sums]
+    )
     same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"__b{i}")) for i, b in enumerate(by)], F.col("__part") == F.col("__p"))
     return df.join(before, same).select(*df.columns, *[(F.col(f"__a_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()])
 

@@ -106,7 +106,11 @@ def tiers(scripts: DataFrame) -> DataFrame:
 def edges(scripts: DataFrame) -> DataFrame:
     """id, dataset, kind (required or created), distinct and in lower case."""
     u = F.upper("text")
-    lists = [F.transform(F.regexp_extract_all(u, F.lit(p), F.lit(1)), lambda x: F.struct(F.lower(x).alias("dataset"), F.lit(k).alias("kind"))) for k, p in (("required", INPUTS), ("created", CREATED))]
+    lists = [
+        F.transform(
+            F.regexp_extract_all(u, F.lit(p), F.lit(1)), lambda x: F.struct(F.lower(x).alias("dataset"), F.lit(k).alias("kind"))
+        ) for k, p in (("required", INPUTS), ("created", CREATED))
+    ]
     return scripts.select("id", F.inline(F.concat(*lists))).where(~F.col("dataset").startswith("_")).distinct()
 
 
@@ -144,14 +148,20 @@ def upload_decisions(e: DataFrame) -> DataFrame:
     roles = lineage_roles(e)
     sources, made = roles.where("role = 'source'"), e.where("kind = 'created'").select("id", F.col("dataset").alias("made"))
     alike = sources.join(made, "id").where(similar_name(F.col("dataset"), F.col("made"))).groupBy("id", "dataset").agg(F.sort_array(F.collect_set("made")).alias("alternatives"))
-    return roles.join(alike, ["id", "dataset"], "left").select("id", "dataset", (F.col("role") == "source").alias("upload"), F.array_join(F.coalesce("alternatives", F.array().cast("array<string>")), ",").alias("alternatives"))
+    return roles.join(alike, ["id", "dataset"], "left").select(
+        "id", "dataset", (F.col("role") == "source").alias("upload"),
+        F.array_join(F.coalesce("alternatives", F.array().cast("array<string>")), ",").alias("alternatives")
+    )
 
 
 def step_edges(scripts: DataFrame) -> DataFrame:
     """id, src, dst: datasets that a DATA step reads and writes, one row per pair."""
     steps = scripts.select("id", F.explode(F.regexp_extract_all(F.upper("text"), F.lit(r"(?s)\bDATA\s+[A-Z_][\w.]*\s*;.*?\bRUN\s*;"), F.lit(0))).alias("step"))
     dst = F.lower(F.regexp_extract("step", r"\bDATA\s+([A-Z_][\w.]*)", 1))
-    return steps.select("id", F.explode(F.transform(F.regexp_extract_all("step", F.lit(r"\b(?:SET|MERGE|UPDATE|MODIFY)\s+([A-Z_][\w.]*)"), F.lit(1)), F.lower)).alias("src"), dst.alias("dst")).distinct()
+    return steps.select(
+        "id", F.explode(F.transform(F.regexp_extract_all("step", F.lit(r"\b(?:SET|MERGE|UPDATE|MODIFY)\s+([A-Z_][\w.]*)"), F.lit(1)), F.lower)).alias("src"),
+        dst.alias("dst")
+    ).distinct()
 
 
 def dependency_depth(steps: DataFrame) -> DataFrame:
@@ -233,7 +243,10 @@ def macro_variables(scripts: DataFrame) -> DataFrame:
     """id, used, unresolved: names of macro variables, and those that no %let or parameter list defines."""
     t = F.lower("text")
     used = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&([a-z_]\w*)"), F.lit(1)))
-    given = F.concat(F.regexp_extract_all(t, F.lit(r"%let\s+([a-z_]\w*)"), F.lit(1)), F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"%macro\s+\w+\s*\(([^)]*)\)"), F.lit(1)), lambda p: F.split(F.replace(p, F.lit(" "), F.lit("")), ","))))
+    given = F.concat(
+        F.regexp_extract_all(t, F.lit(r"%let\s+([a-z_]\w*)"), F.lit(1)),
+        F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"%macro\s+\w+\s*\(([^)]*)\)"), F.lit(1)), lambda p: F.split(F.replace(p, F.lit(" "), F.lit("")), ",")))
+    )
     return scripts.select("id", F.array_join(F.sort_array(used), ",").alias("used"), F.array_join(F.sort_array(F.array_except(used, given)), ",").alias("unresolved"))
 
 
@@ -247,7 +260,10 @@ def lint(scripts: DataFrame) -> DataFrame:
     """id, line, issue: semicolon (a bare RUN, QUIT, …), comment (//), blanks at the end."""
     lines = scripts.select("id", F.posexplode(F.split("text", "\n")).alias("at", "s"))
     bare = F.upper(F.trim("s")).isin("RUN", "QUIT", "DATA", "PROC SORT")
-    found = F.filter(F.array(F.when(bare, F.lit("semicolon")), F.when(F.startswith(F.trim("s"), F.lit("//")), F.lit("comment")), F.when(F.rlike("s", F.lit("[ \\t]+$")), F.lit("trailing_blanks"))), lambda x: x.isNotNull())
+    found = F.filter(
+        F.array(F.when(bare, F.lit("semicolon")), F.when(F.startswith(F.trim("s"), F.lit("//")), F.lit("comment")), F.when(F.rlike("s", F.lit("[ \\t]+$")), F.lit("trailing_blanks"))),
+        lambda x: x.isNotNull()
+    )
     return lines.select("id", (F.col("at") + 1).alias("line"), F.explode(found).alias("issue"))
 
 

@@ -45,7 +45,12 @@ def _any(c: Column, words: list[str]) -> Column:
 
 def contents(df: DataFrame) -> DataFrame:
     """position, name, type, class and n (rows of the frame): one row per column."""
-    cells = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(type_class(f.dataType)).alias("class")) for i, f in enumerate(df.schema.fields)]
+    cells = [
+        F.struct(
+            F.lit(i + 1).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.lit(type_class(f.dataType)).alias("class")
+        ) for i, f in enumerate(df.schema.fields)
+    ]
     return df.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(*cells)), "n")
 
 
@@ -115,7 +120,12 @@ def missing_pattern(df: DataFrame, vars: list[str], order_by) -> DataFrame:
     cells = []
     for i, v in enumerate(vars):
         c = F.col(v)
-        cells.append(F.struct(F.lit(v).alias("variable"), F.count_if(c.isNull()).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.when(c.isNotNull(), at)).alias("last"), F.min(F.when(c.isNull(), at)).alias("gap")).alias(f"c{i}"))
+        cells.append(
+            F.struct(
+                F.lit(v).alias("variable"), F.count_if(c.isNull()).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.when(c.isNotNull(), at)).alias("last"),
+                F.min(F.when(c.isNull(), at)).alias("gap")
+            ).alias(f"c{i}")
+        )
     flat = df.agg(*cells).select(F.inline(F.array(*[f"c{i}" for i in range(len(cells))])))
     p = 100.0 * F.col("m") / F.col("n")
     pattern = F.when(F.col("m") == 0, "none").when(F.col("m") == F.col("n"), "monotone").when(p > 50, "systematic").otherwise("random")
@@ -245,7 +255,9 @@ def classify(catalog: DataFrame) -> DataFrame:
 def classify_by_prefix(catalog: DataFrame) -> DataFrame:
     """table, class by column prefixes: SDTM, ADaM, TLF, else Raw."""
     n = F.lower("name")
-    flags = catalog.groupBy("table").agg(F.bool_or(F.startswith(n, F.lit("ae"))).alias("s"), F.bool_or(_any(n, ["ady", "aval"])).alias("a"), F.bool_or(_any(n, ["table", "figure"])).alias("t"))
+    flags = catalog.groupBy("table").agg(
+        F.bool_or(F.startswith(n, F.lit("ae"))).alias("s"), F.bool_or(_any(n, ["ady", "aval"])).alias("a"), F.bool_or(_any(n, ["table", "figure"])).alias("t")
+    )
     return flags.select("table", F.when(F.col("s"), "SDTM").when(F.col("a"), "ADaM").when(F.col("t"), "TLF").otherwise("Raw").alias("class"))
 
 
@@ -328,7 +340,10 @@ def match_datasets(expected: DataFrame, catalog: DataFrame, least: float = 0.6)
     own = F.when(F.col("i"), 0.2).otherwise(0.0) + F.when(F.col("d"), F.when(F.col("same"), 0.2).otherwise(0.1)).otherwise(0.0) + F.when(F.col("k") > 5, 0.2).otherwise(0.0)
     both = facts.withColumn("same", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("own", own)
     both = staged(both.select("table", F.lower("table").alias("t"), "same", "own"), "facts")
-    want = staged(expected.where("expected is not null").select("expected", F.lower("expected").alias("e"), F.coalesce(F.col("role") == "demographics", F.lit(False)).alias("same")), "expected")
+    want = staged(
+        expected.where("expected is not null").select("expected", F.lower("expected").alias("e"), F.coalesce(F.col("role") == "demographics", F.lit(False)).alias("same")),
+        "expected"
+    )
     e, t = want.select("e").distinct(), both.where("t is not null").select("t").distinct()
     inner = held_pairs(e.withColumnRenamed("e", "part"), t.withColumnRenamed("t", "whole")).select(F.col("part").alias("e"), F.col("whole").alias("t"))
     outer = held_pairs(t.withColumnRenamed("t", "part"), e.withColumnRenamed("e", "whole")).select(F.col("whole").alias("e"), F.col("part").alias("t"))
@@ -354,14 +369,18 @@ def quality_dimensions(df: DataFrame, rules: dict[str, Column] | None = None) ->
     """dimension, percent: completeness, uniqueness, and the pass rate of each rule given."""
     cells = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
     one = df.agg(
-        (100.0 - 100.0 * cells / (F.count(F.lit(1)) * len(df.columns))).alias("completeness"), *[(100.0 * F.avg(F.coalesce(r, F.lit(False)).cast("int"))).alias(k) for k, r in (rules or {}).items()]
+        (100.0 - 100.0 * cells / (F.count(F.lit(1)) * len(df.columns))).alias("completeness"), *[
+            (100.0 * F.avg(F.coalesce(r, F.lit(False)).cast("int"))).alias(k) for k, r in (rules or {}).items()
+        ]
     ).crossJoin(duplicates(df).select((100.0 - F.col("percent")).alias("uniqueness")))
     return one.unpivot([], one.columns, "dimension", "percent")
 
 
 def compliance(catalog: DataFrame, standard: DataFrame) -> DataFrame:
     """table, expected, found, percent against a standard's names."""
-    return check_schema(catalog, standard).groupBy("table").agg(F.count_if(F.col("status") != "extra").alias("expected"), F.count_if(F.col("status") == "found").alias("found")).withColumn("percent", F.round(F.try_divide(100.0 * F.col("found"), "expected"), 4))
+    return check_schema(catalog, standard).groupBy("table").agg(
+        F.count_if(F.col("status") != "extra").alias("expected"), F.count_if(F.col("status") == "found").alias("found")
+    ).withColumn("percent", F.round(F.try_divide(100.0 * F.col("found"), "expected"), 4))
 
 
 def variable_usage(scripts: DataFrame, names: DataFrame) -> DataFrame:
@@ -380,8 +399,13 @@ def variable_usage(scripts: DataFrame, names: DataFrame) -> DataFrame:
     after = lambda words: F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?:{words}) (?=(.{{0,{max(lengths, default=0)}}}))"), F.lit(1)))
     cut = lambda tails: F.array_distinct(F.flatten(F.transform(tails, lambda x: F.array(*[F.substring(x, 1, n) for n in lengths]))))
     read = scripts.select("id", *[c.alias(k) for k, c in marks.items()], *([cut(after("BY")).alias("by"), cut(after("CLASS|VAR")).alias("stat")] if lengths else []))
-    own = read.where("m_join or m_stat or grouping or reporting").select("id", F.lit(None).cast("string").alias("name"), F.col("m_join").alias("join_key"), F.col("m_stat").alias("statistical"), "grouping", "reporting")
+    own = read.where("m_join or m_stat or grouping or reporting").select(
+        "id", F.lit(None).cast("string").alias("name"), F.col("m_join").alias("join_key"), F.col("m_stat").alias("statistical"), "grouping", "reporting"
+    )
     if not lengths:
         return own
-    each = read.select("id", *marks, F.explode(F.array_union("by", "stat")).alias("key"), "by", "stat").select("id", *marks, "key", (F.col("m_join") | F.array_contains("by", F.col("key"))).alias("join_key"), (F.col("m_stat") | F.array_contains("stat", F.col("key"))).alias("statistical"))
+    each = read.select("id", *marks, F.explode(F.array_union("by", "stat")).alias("key"), "by", "stat").select(
+        "id", *marks, "key", (F.col("m_join") | F.array_contains("by", F.col("key"))).alias("join_key"),
+        (F.col("m_stat") | F.array_contains("stat", F.col("key"))).alias("statistical")
+    )
     return each.join(known, "key").select("id", "name", "join_key", "statistical", "grouping", "reporting").unionByName(own)

@@ -92,7 +92,9 @@ def tabulate(df: DataFrame, by: str, numeric: list[str], categorical: list[str])
     for v in numeric:
         median, q1, q3 = (num(F.col(f"{s}_{v}")) for s in ("median", "q1", "q3"))
         text = F.concat(median, F.lit(" ("), q1, F.lit(", "), q3, F.lit(")"))
-        parts.append(means(df, v, ["median", "q1", "q3"], by, True).select(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("level"), F.col(by).alias("group"), text.alias("text")))
+        parts.append(
+            means(df, v, ["median", "q1", "q3"], by, True).select(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("level"), F.col(by).alias("group"), text.alias("text"))
+        )
     for v in categorical:
         n = df.groupBy(F.col(by).alias("group"), F.col(v).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
         share = 100 * F.col("n") / F.sum("n").over(Window.partitionBy("group"))
@@ -139,7 +141,9 @@ def corr_tests(df: DataFrame, vars=None) -> DataFrame:
     cells = []
     for i, a in enumerate(vars):
         for b in vars[i + 1 :]:
-            cells.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"), F.corr(a, b).alias("r")).alias(f"__{len(cells)}"))
+            cells.append(
+                F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"), F.corr(a, b).alias("r")).alias(f"__{len(cells)}")
+            )
     out = df.agg(*cells).select(F.inline(F.array(*[f"__{i}" for i in range(len(cells))])))
     return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 

@@ -16,7 +16,10 @@ _SURV = "SELECT o_custkey, CAST(date_diff('day', min(o_orderdate)::DATE, max(o_o
 
 
 def _surv(t):
-    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("double").alias("time"), (F.max_by("o_orderstatus", "o_orderkey") == "F").cast("int").alias("event"))
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("double").alias("time"),
+        (F.max_by("o_orderstatus", "o_orderkey") == "F").cast("int").alias("event")
+    )
     return o.join(t.customer.select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("seg")), "c_custkey")
 
 
@@ -29,12 +32,20 @@ def _terms(names, of) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS term, {of(i)}" for i, n in enumerate(names))
 
 
-@q("m1_reg", "SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(1 - (1 - regr_r2(l_extendedprice, l_quantity)) * (count(*) - 1) / (count(*) - 2), 6) AS adj_r2, round(sqrt((regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2)), 3) AS root_mse FROM lineitem")
+@q(
+    "m1_reg",
+    "SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(1 - (1 - regr_r2(l_extendedprice, l_quantity)) * (count(*) - 1) / (count(*) - 2), 6) AS adj_r2, round(sqrt((regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2)), 3) AS root_mse FROM lineitem"
+)
 def _(t):
-    return M.reg(t.lineitem, "l_extendedprice", "l_quantity").statistics().select("n", F.round("r2", 6).alias("r2"), F.round("adj_r2", 6).alias("adj_r2"), F.round("root_mse", 3).alias("root_mse"))
+    return M.reg(t.lineitem, "l_extendedprice", "l_quantity").statistics().select(
+        "n", F.round("r2", 6).alias("r2"), F.round("adj_r2", 6).alias("adj_r2"), F.round("root_mse", 3).alias("root_mse")
+    )
 
 
-@q("m1_reg_coefficients", "SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 3) AS estimate FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem")
+@q(
+    "m1_reg_coefficients",
+    "SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 3) AS estimate FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem"
+)
 def _(t):
     return M.reg(t.lineitem, "l_extendedprice", "l_quantity").coefficients().select("term", F.round("estimate", 3).alias("estimate"))
 
@@ -42,7 +53,10 @@ def _(t):
 _FIT = "SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_avgx(l_extendedprice, l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, (regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2) AS mse FROM lineitem"
 
 
-@q("m2_reg_inference", f"WITH f AS ({_FIT}) SELECT 'intercept' AS term, round(sqrt(mse * (1 / n + mx * mx / sxx)), 4) AS se, round(a / sqrt(mse * (1 / n + mx * mx / sxx)), 4) AS t FROM f UNION ALL SELECT 'l_quantity', round(sqrt(mse / sxx), 4), round(b / sqrt(mse / sxx), 4) FROM f")
+@q(
+    "m2_reg_inference",
+    f"WITH f AS ({_FIT}) SELECT 'intercept' AS term, round(sqrt(mse * (1 / n + mx * mx / sxx)), 4) AS se, round(a / sqrt(mse * (1 / n + mx * mx / sxx)), 4) AS t FROM f UNION ALL SELECT 'l_quantity', round(sqrt(mse / sxx), 4), round(b / sqrt(mse / sxx), 4) FROM f"
+)
 def _(t):
     return M.reg(t.lineitem, "l_extendedprice", "l_quantity").coefficients().select("term", F.round("se", 4).alias("se"), F.round("t", 4).alias("t"))
 
@@ -54,7 +68,12 @@ n AS MATERIALIZED (SELECT 0 AS k, count(*) AS n, sum(y * y) AS yy, any_value(bas
 f AS (SELECT *, (yy - s0 * g0 - s1 * g1 - s2 * g2 - s3 * g3) / (n - 4) AS mse FROM n JOIN e USING (k))"""
 
 
-@q("m2_reg_multiple", f"WITH {_NORMAL}, o AS ({_terms(['intercept', 'l_quantity', 'l_discount', 'l_tax'], lambda i: f's{i}' + (' + base' if not i else '') + f' AS b, sqrt(mse * v{i}_{i}) AS s, n - 4 AS v FROM f')}) SELECT term, round(b, 3) AS estimate, round(s, 4) AS se, round(b / s, 5) AS t, round({S.tail('b / s', 'v')}, 5) AS p_value FROM o")
+@q(
+    "m2_reg_multiple",
+    f"WITH {_NORMAL}, o AS ({
+        _terms(['intercept', 'l_quantity', 'l_discount', 'l_tax'], lambda i: f's{i}' + (' + base' if not i else '') + f' AS b, sqrt(mse * v{i}_{i}) AS s, n - 4 AS v FROM f')
+    }) SELECT term, round(b, 3) AS estimate, round(s, 4) AS se, round(b / s, 5) AS t, round({S.tail('b / s', 'v')}, 5) AS p_value FROM o"
+)
 def _(t):
     return _rounded(M.reg(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).coefficients(), estimate=3, se=4, t=5, p_value=5)
 
@@ -107,7 +126,12 @@ def _(t):
 _LABELLED = "SELECT CAST(quality AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) / 1000 AS x0, CAST(lang = 'en' AS DOUBLE) AS x1, CAST(lang = 'es' AS DOUBLE) AS x2, CAST(lang = 'fr' AS DOUBLE) AS x3, 1.0::DOUBLE AS x4 FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL"
 
 
-@q("m5_logistic", f"WITH d AS MATERIALIZED ({_LABELLED}), {S.logistic('d', 5)}, o AS ({_terms(['k', 'lang_en', 'lang_es', 'lang_fr', 'intercept'], lambda i: f'b{i} AS b, sqrt(v{i}_{i}) AS s FROM b JOIN e USING (k)')}) SELECT term, round(b, 6) AS estimate, round(s, 6) AS se, round(b / s, 5) AS z, round({S.tail('b / s')}, 6) AS p_value, round(exp(b), 5) AS odds_ratio FROM o")
+@q(
+    "m5_logistic",
+    f"WITH d AS MATERIALIZED ({_LABELLED}), {S.logistic('d', 5)}, o AS ({
+        _terms(['k', 'lang_en', 'lang_es', 'lang_fr', 'intercept'], lambda i: f'b{i} AS b, sqrt(v{i}_{i}) AS s FROM b JOIN e USING (k)')
+    }) SELECT term, round(b, 6) AS estimate, round(s, 6) AS se, round(b / s, 5) AS z, round({S.tail('b / s')}, 6) AS p_value, round(exp(b), 5) AS odds_ratio FROM o"
+)
 def _(t):
     fit = M.logistic(t.labels.join(t.documents.select("doc_id", "lang", (F.col("n_chars") / 1000).alias("k")), "doc_id"), "quality ~ k + lang")
     return _rounded(fit.drop("wald_low", "wald_high"), estimate=6, se=6, z=5, p_value=6, odds_ratio=5)
@@ -117,23 +141,37 @@ _M = "l_extendedprice", "l_quantity", "l_suppkey"
 _MIXED = "d AS (SELECT l_suppkey AS grp, 1.0::DOUBLE AS x0, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_extendedprice AS DOUBLE) AS x2 FROM lineitem)"
 
 
-@q("m7_mixed", f"WITH {_MIXED}, {S.mixed('d', 2)}, o AS ({_terms(['intercept', 'l_quantity'], lambda i: f's{i} AS b, sqrt(mse * v{i}_{i}) AS s FROM fit')}) SELECT term, round(b, 4) AS estimate, round(s, 4) AS se, round(b / s, 4) AS z, round({S.tail('b / s')}, 5) AS p_value FROM o")
+@q(
+    "m7_mixed",
+    f"WITH {_MIXED}, {S.mixed('d', 2)}, o AS ({
+        _terms(['intercept', 'l_quantity'], lambda i: f's{i} AS b, sqrt(mse * v{i}_{i}) AS s FROM fit')
+    }) SELECT term, round(b, 4) AS estimate, round(s, 4) AS se, round(b / s, 4) AS z, round({S.tail('b / s')}, 5) AS p_value FROM o"
+)
 def _(t):
     return _rounded(M.mixed(t.lineitem, *_M).coefficients(), estimate=4, se=4, z=4, p_value=5)
 
 
-@q("m7_mixed_variances", f"WITH d AS (SELECT o_custkey AS grp, 1.0::DOUBLE AS x0, ln(o_totalprice + 1) + o_custkey % 7 AS x1 FROM orders), {S.mixed('d', 1)} SELECT round(mse, 6) AS residual, round(lam * mse, 5) AS intercept, (SELECT count(*) FROM d) AS n, (SELECT count(DISTINCT grp) FROM d) AS subjects FROM fit")
+@q(
+    "m7_mixed_variances",
+    f"WITH d AS (SELECT o_custkey AS grp, 1.0::DOUBLE AS x0, ln(o_totalprice + 1) + o_custkey % 7 AS x1 FROM orders), {S.mixed('d', 1)} SELECT round(mse, 6) AS residual, round(lam * mse, 5) AS intercept, (SELECT count(*) FROM d) AS n, (SELECT count(DISTINCT grp) FROM d) AS subjects FROM fit"
+)
 def _(t):
     df = t.orders.select("o_custkey", (F.log(F.col("o_totalprice") + 1) + F.col("o_custkey") % 7).alias("y"))
     return _rounded(M.mixed(df, "y", [], "o_custkey").variances(), residual=6, intercept=5)
 
 
-@q("m8_lsmeans", f"WITH {_MIXED}, {S.mixed('d', 2)} SELECT label, round(s0 + level * s1, 4) AS estimate, round(sqrt(mse * (v0_0 + 2 * level * v0_1 + level * level * v1_1)), 4) AS se FROM fit, (VALUES ('ten', 10.0::DOUBLE), ('forty', 40.0::DOUBLE)) v(label, level)")
+@q(
+    "m8_lsmeans",
+    f"WITH {_MIXED}, {S.mixed('d', 2)} SELECT label, round(s0 + level * s1, 4) AS estimate, round(sqrt(mse * (v0_0 + 2 * level * v0_1 + level * level * v1_1)), 4) AS se FROM fit, (VALUES ('ten', 10.0::DOUBLE), ('forty', 40.0::DOUBLE)) v(label, level)"
+)
 def _(t):
     return _rounded(M.lsmeans(M.mixed(t.lineitem, *_M), [{"l_quantity": 10.0}, {"l_quantity": 40.0}], ["ten", "forty"]), estimate=4, se=4)
 
 
-@q("m9_estimate", f"WITH {_MIXED.replace('AS x2', 'AS x3, CAST(l_tax AS DOUBLE) AS x2')}, {S.mixed('d', 3)}, o AS (SELECT 5 * s1 - 0.01 * s2 AS b, sqrt(mse * (25 * v1_1 - 0.1 * v1_2 + 0.0001 * v2_2)) AS s FROM fit) SELECT round(b, 4) AS estimate, round(s, 4) AS se, round(b / s, 4) AS z, round({S.tail('b / s')}, 5) AS p_value FROM o")
+@q(
+    "m9_estimate",
+    f"WITH {_MIXED.replace('AS x2', 'AS x3, CAST(l_tax AS DOUBLE) AS x2')}, {S.mixed('d', 3)}, o AS (SELECT 5 * s1 - 0.01 * s2 AS b, sqrt(mse * (25 * v1_1 - 0.1 * v1_2 + 0.0001 * v2_2)) AS s FROM fit) SELECT round(b, 4) AS estimate, round(s, 4) AS se, round(b / s, 4) AS z, round({S.tail('b / s')}, 5) AS p_value FROM o"
+)
 def _(t):
     return _rounded(M.mixed(t.lineitem, "l_extendedprice", ["l_quantity", "l_tax"], "l_suppkey").estimate(l_quantity=5.0, l_tax=-0.01), estimate=4, se=4, z=4, p_value=5)
 
@@ -141,13 +179,19 @@ def _(t):
 _COX = _SURV.replace("any_value(c_mktsegment) AS seg", "{seg} AS seg, CAST(any_value(c_acctbal) AS DOUBLE) / 1000 AS x")
 
 
-@q("m10_cox", f"WITH s AS MATERIALIZED ({_COX.format(seg='any_value(c_mktsegment)')}), {S.cox('s')} SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(h), 6) AS se, round(b * sqrt(h), 4) AS z, round({S.tail('b * sqrt(h)')}, 5) AS p_value, round(exp(b), 6) AS hazard_ratio FROM e")
+@q(
+    "m10_cox",
+    f"WITH s AS MATERIALIZED ({_COX.format(seg='any_value(c_mktsegment)')}), {S.cox('s')} SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(h), 6) AS se, round(b * sqrt(h), 4) AS z, round({S.tail('b * sqrt(h)')}, 5) AS p_value, round(exp(b), 6) AS hazard_ratio FROM e"
+)
 def _(t):
     fit = M.cox(_surv(t).withColumn("x", F.col("c_acctbal") / 1000), "time", "event", "x", "seg").coefficients()
     return _rounded(fit.drop("wald_low", "wald_high"), estimate=6, se=6, z=4, p_value=5, hazard_ratio=6)
 
 
-@q("m12_ph_test", f"WITH s AS MATERIALIZED ({_COX.format(seg=1)}), {S.cox('s')}, c AS (SELECT corr(time, x / d - r1 / r0) AS rho, count(*) AS n FROM r WHERE d > 0) SELECT 'x' AS term, round(rho, 5) AS rho, round(n * rho * rho, 4) AS chi2, round({S.tail('sqrt(n) * rho')}, 5) AS p_value FROM c")
+@q(
+    "m12_ph_test",
+    f"WITH s AS MATERIALIZED ({_COX.format(seg=1)}), {S.cox('s')}, c AS (SELECT corr(time, x / d - r1 / r0) AS rho, count(*) AS n FROM r WHERE d > 0) SELECT 'x' AS term, round(rho, 5) AS rho, round(n * rho * rho, 4) AS chi2, round({S.tail('sqrt(n) * rho')}, 5) AS p_value FROM c"
+)
 def _(t):
     return _rounded(M.cox(_surv(t).withColumn("x", F.col("c_acctbal") / 1000), "time", "event", "x").ph_test(), rho=5, chi2=4, p_value=5)
 
@@ -169,6 +213,9 @@ def _(t):
     return M.logrank_table(_surv(t), "time", "event", "seg").withColumn("expected", F.round("expected", 5))
 
 
-@q("m14_logrank", f"SELECT round(sum(pow(observed - expected, 2) / expected), 4) AS chi2, CAST(count(*) - 1 AS BIGINT) AS df FROM ({_LOGRANK.replace('round(sum(d * k / r), 5)', 'sum(d * k / r)')})")
+@q(
+    "m14_logrank",
+    f"SELECT round(sum(pow(observed - expected, 2) / expected), 4) AS chi2, CAST(count(*) - 1 AS BIGINT) AS df FROM ({_LOGRANK.replace('round(sum(d * k / r), 5)', 'sum(d * k / r)')})"
+)
 def _(t):
     return M.logrank(_surv(t), "time", "event", "seg").select(F.round("chi2", 4).alias("chi2"), "df")

@@ -97,7 +97,10 @@ def _(t):
     return df.select("l_orderkey", "l_linenumber", F.round(sum_of(*P.array_cols("v1-v2")), 6).alias("total"))
 
 
-@q("p25_default_var_list", "SELECT CAST(count(s_suppkey) AS BIGINT) AS n_s_suppkey, CAST(count(s_nationkey) AS BIGINT) AS n_s_nationkey, CAST(count(s_acctbal) AS BIGINT) AS n_s_acctbal FROM supplier")
+@q(
+    "p25_default_var_list",
+    "SELECT CAST(count(s_suppkey) AS BIGINT) AS n_s_suppkey, CAST(count(s_nationkey) AS BIGINT) AS n_s_nationkey, CAST(count(s_acctbal) AS BIGINT) AS n_s_acctbal FROM supplier"
+)
 def _(t):
     return A.means(t.supplier, numeric_cols(t.supplier), ["n"])
 
@@ -107,7 +110,10 @@ def _(t):
     return A.summary(t.customer, "c_acctbal", ["mean"], "c_mktsegment").withColumn("mean_c_acctbal", F.round("mean_c_acctbal", 6))
 
 
-@q("a13_shape", "SELECT 'o_totalprice' AS variable, round(avg(pow(o_totalprice - m, 3)) / pow(avg(pow(o_totalprice - m, 2)), 1.5), 6) AS skewness, round(avg(pow(o_totalprice - m, 4)) / pow(avg(pow(o_totalprice - m, 2)), 2), 6) AS kurtosis FROM orders, (SELECT avg(o_totalprice) AS m FROM orders)")
+@q(
+    "a13_shape",
+    "SELECT 'o_totalprice' AS variable, round(avg(pow(o_totalprice - m, 3)) / pow(avg(pow(o_totalprice - m, 2)), 1.5), 6) AS skewness, round(avg(pow(o_totalprice - m, 4)) / pow(avg(pow(o_totalprice - m, 2)), 2), 6) AS kurtosis FROM orders, (SELECT avg(o_totalprice) AS m FROM orders)"
+)
 def _(t):
     return A.univariate(t.orders, "o_totalprice").select("variable", F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"))
 
@@ -142,17 +148,26 @@ def _(t):
     return D.population(t.customer.withColumn("ITTFL", F.when(F.col("c_nationkey") < 10, "Y").otherwise("N")), "ITTFL").select("c_custkey")
 
 
-@q("q22_decision", "SELECT o_orderkey, CASE WHEN o_orderkey % 101 >= 90 THEN 'accepted' WHEN o_orderkey % 101 >= 70 THEN 'accepted_with_warning' WHEN o_orderkey % 101 >= 50 THEN 'needs_review' ELSE 'rejected' END AS decision FROM orders")
+@q(
+    "q22_decision",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 101 >= 90 THEN 'accepted' WHEN o_orderkey % 101 >= 70 THEN 'accepted_with_warning' WHEN o_orderkey % 101 >= 50 THEN 'needs_review' ELSE 'rejected' END AS decision FROM orders"
+)
 def _(t):
     return t.orders.select("o_orderkey", Q.decision(F.col("o_orderkey") % 101).alias("decision"))
 
 
-@q("k3_level", "SELECT o_orderkey, CASE WHEN o_orderkey % 101 <= 20 THEN 'Basic' WHEN o_orderkey % 101 <= 40 THEN 'Simple' WHEN o_orderkey % 101 <= 60 THEN 'Intermediate' WHEN o_orderkey % 101 <= 80 THEN 'Advanced Clinical' ELSE 'Enterprise' END AS level_name FROM orders")
+@q(
+    "k3_level",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 101 <= 20 THEN 'Basic' WHEN o_orderkey % 101 <= 40 THEN 'Simple' WHEN o_orderkey % 101 <= 60 THEN 'Intermediate' WHEN o_orderkey % 101 <= 80 THEN 'Advanced Clinical' ELSE 'Enterprise' END AS level_name FROM orders"
+)
 def _(t):
     return t.orders.select("o_orderkey", K.level_name(K.level(F.col("o_orderkey") % 101)).alias("level_name"))
 
 
-@q("k12_health", f"WITH {_E}, u AS ({_UP}), n AS (SELECT id, 100.0 * count(*) FILTER (WHERE dataset IN (SELECT dataset FROM u)) / count(*) AS h FROM x GROUP BY 1), d AS (SELECT i.id, coalesce(h, 100.0) AS h FROM (SELECT DISTINCT id FROM e) i LEFT JOIN n ON i.id = n.id) SELECT CASE WHEN h > 90 THEN 'Excellent' WHEN h > 75 THEN 'Good' WHEN h > 50 THEN 'Fair' ELSE 'Poor' END AS health, CAST(count(*) AS BIGINT) AS programs FROM d GROUP BY 1")
+@q(
+    "k12_health",
+    f"WITH {_E}, u AS ({_UP}), n AS (SELECT id, 100.0 * count(*) FILTER (WHERE dataset IN (SELECT dataset FROM u)) / count(*) AS h FROM x GROUP BY 1), d AS (SELECT i.id, coalesce(h, 100.0) AS h FROM (SELECT DISTINCT id FROM e) i LEFT JOIN n ON i.id = n.id) SELECT CASE WHEN h > 90 THEN 'Excellent' WHEN h > 75 THEN 'Good' WHEN h > 50 THEN 'Fair' ELSE 'Poor' END AS health, CAST(count(*) AS BIGINT) AS programs FROM d GROUP BY 1"
+)
 def _(t):
     return K.readiness(_edges(t), uploads(t)).groupBy("health").agg(F.count(F.lit(1)).alias("programs"))
 
@@ -160,13 +175,19 @@ def _(t):
 _TOXIC = "SELECT CAST(toxic AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) / 1000 AS x0, 1.0::DOUBLE AS x1 FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL AND n_chars IS NOT NULL"
 
 
-@q("m6_odds_ratios", f"WITH d AS MATERIALIZED ({_TOXIC}), {solve_sql.logistic('d', 2)}, o AS (SELECT 'k' AS term, b0 AS b, sqrt(v0_0) AS s FROM b JOIN e USING (k) UNION ALL SELECT 'intercept', b1, sqrt(v1_1) FROM b JOIN e USING (k)) SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959964 * s), 6) AS wald_low, round(exp(b + 1.959964 * s), 6) AS wald_high FROM o")
+@q(
+    "m6_odds_ratios",
+    f"WITH d AS MATERIALIZED ({_TOXIC}), {solve_sql.logistic('d', 2)}, o AS (SELECT 'k' AS term, b0 AS b, sqrt(v0_0) AS s FROM b JOIN e USING (k) UNION ALL SELECT 'intercept', b1, sqrt(v1_1) FROM b JOIN e USING (k)) SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959964 * s), 6) AS wald_low, round(exp(b + 1.959964 * s), 6) AS wald_high FROM o"
+)
 def _(t):
     df = t.labels.join(t.documents.select("doc_id", (F.col("n_chars") / 1000).alias("k")), "doc_id")
     return M.logistic(df, "toxic ~ k").select("term", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "wald_low", "wald_high")])
 
 
-@q("m11_hazard_ratio", f"WITH s AS MATERIALIZED ({_COX.format(seg=1)}), {solve_sql.cox('s')} SELECT 'x' AS term, round(exp(b), 6) AS hazard_ratio, round(exp(b - 1.959964 / sqrt(h)), 6) AS wald_low, round(exp(b + 1.959964 / sqrt(h)), 6) AS wald_high FROM e")
+@q(
+    "m11_hazard_ratio",
+    f"WITH s AS MATERIALIZED ({_COX.format(seg=1)}), {solve_sql.cox('s')} SELECT 'x' AS term, round(exp(b), 6) AS hazard_ratio, round(exp(b - 1.959964 / sqrt(h)), 6) AS wald_low, round(exp(b + 1.959964 / sqrt(h)), 6) AS wald_high FROM e"
+)
 def _(t):
     fit = M.cox(_surv(t).withColumn("x", F.col("c_acctbal") / 1000), "time", "event", "x").coefficients()
     return fit.select("term", *[F.round(c, 6).alias(c) for c in ("hazard_ratio", "wald_low", "wald_high")])

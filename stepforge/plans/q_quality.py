@@ -16,7 +16,10 @@ _HOLES = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL
 
 def _holes(t):
     k = F.col("o_orderkey")
-    return t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("st"), F.when(k % 3 != 0, F.col("o_totalprice")).alias("price"), F.when(k <= 10000, F.col("o_custkey")).alias("tail"))
+    return t.orders.select(
+        "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("st"),
+        F.when(k % 3 != 0, F.col("o_totalprice")).alias("price"), F.when(k <= 10000, F.col("o_custkey")).alias("tail")
+    )
 
 
 _CAT = "SELECT lower(p_brand) AS \"table\", lower(replace(p_name, ' ', '_')) AS name, CAST(min(p_partkey) AS BIGINT) AS position FROM part GROUP BY 1, 2"
@@ -38,28 +41,43 @@ def _words(t):
     return t.part.select(F.lower("p_type").alias("name")).distinct()
 
 
-@q("q1_contents", "SELECT * FROM (VALUES (1, 'o_orderkey', 'bigint', 'numeric'), (2, 'o_orderdate', 'timestamp_ntz', 'datetime')) v(position, name, type, class), (SELECT CAST(count(*) AS BIGINT) AS n FROM orders)")
+@q(
+    "q1_contents",
+    "SELECT * FROM (VALUES (1, 'o_orderkey', 'bigint', 'numeric'), (2, 'o_orderdate', 'timestamp_ntz', 'datetime')) v(position, name, type, class), (SELECT CAST(count(*) AS BIGINT) AS n FROM orders)"
+)
 def _(t):
     return Q.contents(t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate")))
 
 
-@q("q2_check_schema", f"WITH cat AS ({_CAT}), want AS ({_WORDS}), w AS (SELECT DISTINCT \"table\", want.name FROM cat, want) SELECT coalesce(c.\"table\", w.\"table\") AS \"table\", coalesce(c.name, w.name) AS name, CASE WHEN c.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'extra' ELSE 'found' END AS status FROM cat c FULL JOIN w ON c.\"table\" = w.\"table\" AND c.name = w.name")
+@q(
+    "q2_check_schema",
+    f"WITH cat AS ({_CAT}), want AS ({_WORDS}), w AS (SELECT DISTINCT \"table\", want.name FROM cat, want) SELECT coalesce(c.\"table\", w.\"table\") AS \"table\", coalesce(c.name, w.name) AS name, CASE WHEN c.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'extra' ELSE 'found' END AS status FROM cat c FULL JOIN w ON c.\"table\" = w.\"table\" AND c.name = w.name"
+)
 def _(t):
     return Q.check_schema(_catalog(t), _words(t))
 
 
-@q("q3_infer_key", "SELECT 1 AS rank, 'l_orderkey' AS columns, false AS is_key UNION ALL SELECT 2, 'l_orderkey,l_linenumber', count(*) = count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem")
+@q(
+    "q3_infer_key",
+    "SELECT 1 AS rank, 'l_orderkey' AS columns, false AS is_key UNION ALL SELECT 2, 'l_orderkey,l_linenumber', count(*) = count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem"
+)
 def _(t):
     return Q.infer_key(t.lineitem, [["l_orderkey"], ["l_orderkey", "l_linenumber"]])
 
 
-@q("q4_duplicate_rows", "SELECT CAST(2 * count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE o_orderkey % 10 = 0) AS BIGINT) AS duplicates, round(100.0 * count(*) FILTER (WHERE o_orderkey % 10 = 0) / (2 * count(*)), 6) AS percent FROM orders")
+@q(
+    "q4_duplicate_rows",
+    "SELECT CAST(2 * count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE o_orderkey % 10 = 0) AS BIGINT) AS duplicates, round(100.0 * count(*) FILTER (WHERE o_orderkey % 10 = 0) / (2 * count(*)), 6) AS percent FROM orders"
+)
 def _(t):
     k = F.col("o_orderkey")  # a second copy of all rows, nine in ten of them changed
     return Q.duplicates(t.orders.unionByName(t.orders.withColumn("o_orderkey", F.when(k % 10 == 0, k).otherwise(-k)))).withColumn("percent", F.round("percent", 6))
 
 
-@q("q5_duplicate_keys", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS duplicates, round(100.0 * (count(*) - count(DISTINCT (l_orderkey, l_linenumber))) / count(*), 6) AS percent FROM lineitem")
+@q(
+    "q5_duplicate_keys",
+    "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS duplicates, round(100.0 * (count(*) - count(DISTINCT (l_orderkey, l_linenumber))) / count(*), 6) AS percent FROM lineitem"
+)
 def _(t):
     return Q.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"]).withColumn("percent", F.round("percent", 6))
 
@@ -68,17 +86,26 @@ def _profile_sql(c):
     return f"SELECT '{c}' AS variable, CAST(count(*) - count({c}) AS BIGINT) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 6) AS percent FROM d"
 
 
-@q("q6_missing_profile", f"WITH d AS ({_HOLES}), p AS ({' UNION ALL '.join(map(_profile_sql, ['st', 'price', 'tail']))}) SELECT *, CASE WHEN percent > 50 THEN 'high' WHEN percent > 20 THEN 'medium' ELSE 'low' END AS criticality FROM p WHERE missing > 0")
+@q(
+    "q6_missing_profile",
+    f"WITH d AS ({_HOLES}), p AS ({' UNION ALL '.join(map(_profile_sql, ['st', 'price', 'tail']))}) SELECT *, CASE WHEN percent > 50 THEN 'high' WHEN percent > 20 THEN 'medium' ELSE 'low' END AS criticality FROM p WHERE missing > 0"
+)
 def _(t):
     return Q.missing_profile(_holes(t)).withColumn("percent", F.round("percent", 6))
 
 
-@q("q7_missing_overall", f"WITH d AS ({_HOLES}) SELECT round(100.0 * (5 * count(*) - count(o_orderkey) - count(o_custkey) - count(st) - count(price) - count(tail)) / (5 * count(*)), 6) AS percent FROM d")
+@q(
+    "q7_missing_overall",
+    f"WITH d AS ({_HOLES}) SELECT round(100.0 * (5 * count(*) - count(o_orderkey) - count(o_custkey) - count(st) - count(price) - count(tail)) / (5 * count(*)), 6) AS percent FROM d"
+)
 def _(t):
     return Q.missing_overall(_holes(t))
 
 
-@q("q8_missing_pattern", f"WITH d AS ({_HOLES}), p AS (SELECT 'price' AS variable, 100.0 * (count(*) - count(price)) / count(*) AS p, max(CASE WHEN price IS NOT NULL THEN o_orderkey END) < min(CASE WHEN price IS NULL THEN o_orderkey END) AS t FROM d UNION ALL SELECT 'tail', 100.0 * (count(*) - count(tail)) / count(*), max(CASE WHEN tail IS NOT NULL THEN o_orderkey END) < min(CASE WHEN tail IS NULL THEN o_orderkey END) FROM d) SELECT variable, round(p, 6) AS percent, CASE WHEN p = 0 THEN 'none' WHEN p = 100 THEN 'monotone' WHEN p > 50 THEN 'systematic' ELSE 'random' END AS pattern, p > 0 AND coalesce(t, false) AS tail_missing FROM p")
+@q(
+    "q8_missing_pattern",
+    f"WITH d AS ({_HOLES}), p AS (SELECT 'price' AS variable, 100.0 * (count(*) - count(price)) / count(*) AS p, max(CASE WHEN price IS NOT NULL THEN o_orderkey END) < min(CASE WHEN price IS NULL THEN o_orderkey END) AS t FROM d UNION ALL SELECT 'tail', 100.0 * (count(*) - count(tail)) / count(*), max(CASE WHEN tail IS NOT NULL THEN o_orderkey END) < min(CASE WHEN tail IS NULL THEN o_orderkey END) FROM d) SELECT variable, round(p, 6) AS percent, CASE WHEN p = 0 THEN 'none' WHEN p = 100 THEN 'monotone' WHEN p > 50 THEN 'systematic' ELSE 'random' END AS pattern, p > 0 AND coalesce(t, false) AS tail_missing FROM p"
+)
 def _(t):
     return Q.missing_pattern(_holes(t), ["price", "tail"], "o_orderkey").withColumn("percent", F.round("percent", 6))
 
@@ -88,15 +115,26 @@ def _(t):
     return Q.imputation_advice(Q.missing_pattern(_holes(t), ["price", "tail"], "o_orderkey")).select("variable", "strategy")
 
 
-@q("q10_handling_advice", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN 'reject' WHEN o_orderkey % 100 >= 30 THEN 'leave_missing' WHEN o_orderstatus = 'F' THEN 'mode' ELSE 'mean' END AS strategy, CASE WHEN o_orderpriority LIKE '5%' THEN 'critical' WHEN o_orderkey % 100 > 50 THEN 'high' WHEN o_orderkey % 100 > 20 THEN 'medium' ELSE 'low' END AS criticality FROM orders")
+@q(
+    "q10_handling_advice",
+    "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN 'reject' WHEN o_orderkey % 100 >= 30 THEN 'leave_missing' WHEN o_orderstatus = 'F' THEN 'mode' ELSE 'mean' END AS strategy, CASE WHEN o_orderpriority LIKE '5%' THEN 'critical' WHEN o_orderkey % 100 > 50 THEN 'high' WHEN o_orderkey % 100 > 20 THEN 'medium' ELSE 'low' END AS criticality FROM orders"
+)
 def _(t):
-    df = t.orders.select("o_orderkey", (F.col("o_orderkey") % 100).alias("percent"), F.when(F.col("o_orderstatus") == "F", "CHAR").otherwise("num").alias("datatype"), F.when(F.col("o_orderpriority").like("5%"), "CLASS x").otherwise("PRINT").alias("usage"))
+    df = t.orders.select(
+        "o_orderkey", (F.col("o_orderkey") % 100).alias("percent"), F.when(F.col("o_orderstatus") == "F", "CHAR").otherwise("num").alias("datatype"),
+        F.when(F.col("o_orderpriority").like("5%"), "CLASS x").otherwise("PRINT").alias("usage")
+    )
     return Q.handling_advice(df).select("o_orderkey", "strategy", "criticality")
 
 
-@q("q11_impute", f"WITH d AS ({_HOLES}) SELECT o_orderkey, round(coalesce(price, (SELECT median(price) FROM d)), 6) AS price, round(coalesce(tail, (SELECT avg(tail) FROM d)), 6) AS tail FROM d")
+@q(
+    "q11_impute",
+    f"WITH d AS ({_HOLES}) SELECT o_orderkey, round(coalesce(price, (SELECT median(price) FROM d)), 6) AS price, round(coalesce(tail, (SELECT avg(tail) FROM d)), 6) AS tail FROM d"
+)
 def _(t):
-    return Q.impute(_holes(t).withColumn("tail", F.col("tail").cast("double")), {"price": "median", "tail": "mean"}).select("o_orderkey", F.round("price", 6).alias("price"), F.round("tail", 6).alias("tail"))
+    return Q.impute(
+        _holes(t).withColumn("tail", F.col("tail").cast("double")), {"price": "median", "tail": "mean"}
+    ).select("o_orderkey", F.round("price", 6).alias("price"), F.round("tail", 6).alias("tail"))
 
 
 @q("q11_impute_by_group", f"WITH d AS ({_HOLES}) SELECT o_orderkey, round(coalesce(price, avg(price) OVER (PARTITION BY o_custkey)), 6) AS price FROM d")
@@ -115,7 +153,10 @@ _SIM1 = f"CASE WHEN r.name = f.name THEN 1.0 WHEN contains(f.name, r.name) OR co
 _MAP = f"WITH cat AS ({_CAT}), f AS ({_NAMES}), r AS ({_WORDS}), s AS (SELECT r.name AS required, f.name AS n, f.position, {_SIM} AS score, {_SIM1} AS first FROM f, r)"
 
 
-@q("q13_map_variables", f"{_MAP} SELECT required, arg_max(n, (round(score, 9), -position)) AS best, round(max(score), 6) AS score FROM s WHERE score > 0.7 AND required NOT IN (SELECT name FROM f) GROUP BY 1")
+@q(
+    "q13_map_variables",
+    f"{_MAP} SELECT required, arg_max(n, (round(score, 9), -position)) AS best, round(max(score), 6) AS score FROM s WHERE score > 0.7 AND required NOT IN (SELECT name FROM f) GROUP BY 1"
+)
 def _(t):
     return Q.map_variables(_names(t), _words(t)).withColumn("score", F.round("score", 6))
 
@@ -143,10 +184,17 @@ _PASSES = [
 ]
 
 
-@q("q15_map_three_pass", f"WITH cat AS ({_CAT}), f0 AS ({_NAMES}), r0 AS (SELECT unnest(string_split(name, ' ')) AS name FROM ({_WORDS}) UNION SELECT 'dose_' || name FROM ({_WORDS}) UNION SELECT p || CAST(length(name) AS VARCHAR) FROM ({_WORDS}), (VALUES ('age'), ('visit')) v(p)), {', '.join(_pass_sql(i + 1, p) for i, p in enumerate(_PASSES))} " + " UNION ALL ".join(f"SELECT required, n AS match, CAST(round(score, 6) AS DOUBLE) AS score, '{how}' AS how FROM m{i + 1}" for i, how in enumerate(("exact", "fuzzy", "role"))))
+@q(
+    "q15_map_three_pass",
+    f"WITH cat AS ({_CAT}), f0 AS ({_NAMES}), r0 AS (SELECT unnest(string_split(name, ' ')) AS name FROM ({_WORDS}) UNION SELECT 'dose_' || name FROM ({_WORDS}) UNION SELECT p || CAST(length(name) AS VARCHAR) FROM ({_WORDS}), (VALUES ('age'), ('visit')) v(p)), {', '.join(_pass_sql(i + 1, p) for i, p in enumerate(_PASSES))} " + " UNION ALL ".join(
+        f"SELECT required, n AS match, CAST(round(score, 6) AS DOUBLE) AS score, '{how}' AS how FROM m{i + 1}" for i, how in enumerate(("exact", "fuzzy", "role"))
+    )
+)
 def _(t):
     w = _words(t)
-    more = w.select(F.explode(F.split("name", " ")).alias("name")).union(w.select(F.concat(F.lit("dose_"), "name"))).union(w.select(F.explode(F.array(*[F.concat(F.lit(p), F.length("name").cast("string")) for p in ("age", "visit")]))))
+    more = w.select(F.explode(F.split("name", " ")).alias("name")).union(w.select(F.concat(F.lit("dose_"), "name"))).union(
+        w.select(F.explode(F.array(*[F.concat(F.lit(p), F.length("name").cast("string")) for p in ("age", "visit")])))
+    )
     return Q.map_three_pass(_names(t), more.distinct()).withColumn("score", F.round("score", 6))
 
 
@@ -175,12 +223,18 @@ def _sources(t):
     return words.select("table", F.lower("w").alias("name")).distinct()
 
 
-@q("q17_classify", f"WITH c AS ({_SRC}), a AS (SELECT \"table\", count(DISTINCT name) FILTER (WHERE name IN ('usubjid', 'visit', 'visitnum', 'visitdat')) AS s, count(DISTINCT name) FILTER (WHERE name IN ('usubjid', 'ady', 'avisit', 'avisitn')) AS d, count(DISTINCT name) FILTER (WHERE name IN ('table', 'figure', 'listing', 'page')) AS f, bool_or(contains(name, 'usubjid') OR contains(name, 'visit') OR contains(name, 'avisit') OR contains(name, 'ady') OR contains(name, 'dmy')) AS k FROM c GROUP BY 1), b AS (SELECT \"table\", round(s / 4 * 0.4 + k::INT * 0.1, 6) AS s, round(d / 4 * 0.4 + k::INT * 0.1, 6) AS d, round(f / 4 * 0.4, 6) AS f FROM a) SELECT \"table\", CASE WHEN greatest(s, d, f) = 0 THEN 'Unknown' WHEN s >= d AND s >= f THEN 'SDTM' WHEN d >= f THEN 'ADaM' ELSE 'TLF' END AS class, greatest(s, d, f) AS score FROM b")
+@q(
+    "q17_classify",
+    f"WITH c AS ({_SRC}), a AS (SELECT \"table\", count(DISTINCT name) FILTER (WHERE name IN ('usubjid', 'visit', 'visitnum', 'visitdat')) AS s, count(DISTINCT name) FILTER (WHERE name IN ('usubjid', 'ady', 'avisit', 'avisitn')) AS d, count(DISTINCT name) FILTER (WHERE name IN ('table', 'figure', 'listing', 'page')) AS f, bool_or(contains(name, 'usubjid') OR contains(name, 'visit') OR contains(name, 'avisit') OR contains(name, 'ady') OR contains(name, 'dmy')) AS k FROM c GROUP BY 1), b AS (SELECT \"table\", round(s / 4 * 0.4 + k::INT * 0.1, 6) AS s, round(d / 4 * 0.4 + k::INT * 0.1, 6) AS d, round(f / 4 * 0.4, 6) AS f FROM a) SELECT \"table\", CASE WHEN greatest(s, d, f) = 0 THEN 'Unknown' WHEN s >= d AND s >= f THEN 'SDTM' WHEN d >= f THEN 'ADaM' ELSE 'TLF' END AS class, greatest(s, d, f) AS score FROM b"
+)
 def _(t):
     return Q.classify(_sources(t))
 
 
-@q("q18_classify_by_prefix", f"WITH c AS ({_SRC}) SELECT \"table\", CASE WHEN bool_or(starts_with(name, 'ae')) THEN 'SDTM' WHEN bool_or(contains(name, 'ady') OR contains(name, 'aval')) THEN 'ADaM' WHEN bool_or(contains(name, 'table') OR contains(name, 'figure')) THEN 'TLF' ELSE 'Raw' END AS class FROM c GROUP BY 1")
+@q(
+    "q18_classify_by_prefix",
+    f"WITH c AS ({_SRC}) SELECT \"table\", CASE WHEN bool_or(starts_with(name, 'ae')) THEN 'SDTM' WHEN bool_or(contains(name, 'ady') OR contains(name, 'aval')) THEN 'ADaM' WHEN bool_or(contains(name, 'table') OR contains(name, 'figure')) THEN 'TLF' ELSE 'Raw' END AS class FROM c GROUP BY 1"
+)
 def _(t):
     return Q.classify_by_prefix(_sources(t))
 
@@ -190,7 +244,10 @@ def _(t):
     return _first_word(t).select("doc_id", Q.dataset_role(F.col("w")).alias("role"))
 
 
-@q("q20_importance", f"WITH d AS ({_W1}) SELECT CASE WHEN {_has(Q.CRITICAL)} THEN 'critical' WHEN {_has(Q.IMPORTANT)} THEN 'important' ELSE 'optional' END AS importance, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY 1")
+@q(
+    "q20_importance",
+    f"WITH d AS ({_W1}) SELECT CASE WHEN {_has(Q.CRITICAL)} THEN 'critical' WHEN {_has(Q.IMPORTANT)} THEN 'important' ELSE 'optional' END AS importance, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY 1"
+)
 def _(t):
     return _first_word(t).groupBy(Q.importance(F.col("w")).alias("importance")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -200,16 +257,25 @@ _FACTS = "SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS required, CAST(cou
 
 def _facts(t):
     s = F.col("o_orderstatus")
-    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("required"), F.count_if(s == "F").alias("missing"), F.count_if(s == "O").alias("extra"), F.count_if(F.col("o_totalprice") > 300000).alias("high_missing")).withColumn("pct", F.col("id") % 70)
+    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(
+        F.count(F.lit(1)).alias("required"), F.count_if(s == "F").alias("missing"), F.count_if(s == "O").alias("extra"),
+        F.count_if(F.col("o_totalprice") > 300000).alias("high_missing")
+    ).withColumn("pct", F.col("id") % 70)
 
 
-@q("q21_score_a", f"WITH f AS ({_FACTS}), s AS (SELECT id, greatest(0, least(100, 100 - 5 * missing - 2 * extra)) AS a, greatest(0, 100 - 100.0 * missing / (required + missing)) AS b, 100 - least(50, pct) AS c, greatest(0, 80 - 10 * high_missing) AS d, 100 - 0.5 * pct AS e FROM f) SELECT id, CASE WHEN (a + b + c + d + e) / 5 >= 90 THEN 'accepted' WHEN (a + b + c + d + e) / 5 >= 70 THEN 'accepted_with_warning' WHEN (a + b + c + d + e) / 5 >= 50 THEN 'needs_review' ELSE 'rejected' END AS decision, round(b, 6) AS variables FROM s")
+@q(
+    "q21_score_a",
+    f"WITH f AS ({_FACTS}), s AS (SELECT id, greatest(0, least(100, 100 - 5 * missing - 2 * extra)) AS a, greatest(0, 100 - 100.0 * missing / (required + missing)) AS b, 100 - least(50, pct) AS c, greatest(0, 80 - 10 * high_missing) AS d, 100 - 0.5 * pct AS e FROM f) SELECT id, CASE WHEN (a + b + c + d + e) / 5 >= 90 THEN 'accepted' WHEN (a + b + c + d + e) / 5 >= 70 THEN 'accepted_with_warning' WHEN (a + b + c + d + e) / 5 >= 50 THEN 'needs_review' ELSE 'rejected' END AS decision, round(b, 6) AS variables FROM s"
+)
 def _(t):
     f = _facts(t).withColumns({"duplicate_percent": F.col("pct"), "clinical": F.lit(True), "average_missing": F.col("pct")})
     return Q.score_a(f).select("id", "decision", F.round("variables", 6).alias("variables"))
 
 
-@q("q23_score_b", f"WITH f AS ({_FACTS}), s AS (SELECT id, pct, missing > 2 AS dup, (100 + 100.0 * (required - missing) / required + 95 + 90 + 85 + 100 - pct) / 6 AS o FROM f) SELECT id, o >= 80 AS ready, dup::INT + (pct > 30)::INT AS issues, (pct > 20)::INT + dup::INT AS advice, CASE WHEN o < 80 THEN 'needs_review' WHEN dup OR pct > 30 THEN 'accepted_with_warning' ELSE 'accepted' END AS status FROM s")
+@q(
+    "q23_score_b",
+    f"WITH f AS ({_FACTS}), s AS (SELECT id, pct, missing > 2 AS dup, (100 + 100.0 * (required - missing) / required + 95 + 90 + 85 + 100 - pct) / 6 AS o FROM f) SELECT id, o >= 80 AS ready, dup::INT + (pct > 30)::INT AS issues, (pct > 20)::INT + dup::INT AS advice, CASE WHEN o < 80 THEN 'needs_review' WHEN dup OR pct > 30 THEN 'accepted_with_warning' ELSE 'accepted' END AS status FROM s"
+)
 def _(t):
     f = _facts(t).withColumns({"columns": F.lit(9), "found": F.col("required") - F.col("missing"), "missing_percent": F.col("pct"), "has_duplicates": F.col("missing") > 2})
     return Q.score_b(f).select("id", "ready", "issues", "advice", "status")
@@ -225,30 +291,45 @@ def _(t):
     return Q.readable(t.events)
 
 
-@q("q26_schema_score", f"{_MAP} SELECT round(100.0 * (SELECT count(*) FROM (SELECT required, arg_min(first, position) AS f FROM s WHERE first > 0.7 GROUP BY 1) WHERE f > 0.8) / (SELECT count(*) FROM r), 6) AS schema_score")
+@q(
+    "q26_schema_score",
+    f"{_MAP} SELECT round(100.0 * (SELECT count(*) FROM (SELECT required, arg_min(first, position) AS f FROM s WHERE first > 0.7 GROUP BY 1) WHERE f > 0.8) / (SELECT count(*) FROM r), 6) AS schema_score"
+)
 def _(t):
     return Q.schema_score(Q.map_first(_names(t), _words(t)), _words(t)).withColumn("schema_score", F.round("schema_score", 6))
 
 
-@q("q27_match_datasets", f"WITH c AS ({_SRC}), a AS (SELECT \"table\", bool_or(name IN ('age', 'sex', 'race', 'weight')) AS d, count(*) AS k FROM c GROUP BY 1), e AS (SELECT DISTINCT 'x' || source AS expected FROM documents), s AS (SELECT expected, \"table\", round(CASE WHEN contains(\"table\", expected) OR contains(expected, \"table\") THEN 0.3 ELSE 0.0 END + CASE WHEN d THEN 0.1 ELSE 0.0 END + CASE WHEN k > 5 THEN 0.2 ELSE 0.0 END, 6) AS confidence FROM a, e) SELECT * FROM s WHERE confidence > 0.4")
+@q(
+    "q27_match_datasets",
+    f"WITH c AS ({_SRC}), a AS (SELECT \"table\", bool_or(name IN ('age', 'sex', 'race', 'weight')) AS d, count(*) AS k FROM c GROUP BY 1), e AS (SELECT DISTINCT 'x' || source AS expected FROM documents), s AS (SELECT expected, \"table\", round(CASE WHEN contains(\"table\", expected) OR contains(expected, \"table\") THEN 0.3 ELSE 0.0 END + CASE WHEN d THEN 0.1 ELSE 0.0 END + CASE WHEN k > 5 THEN 0.2 ELSE 0.0 END, 6) AS confidence FROM a, e) SELECT * FROM s WHERE confidence > 0.4"
+)
 def _(t):
     expected = t.documents.select(F.concat(F.lit("x"), "source").alias("expected"), F.lit("outcome").alias("role")).distinct()
     return Q.match_datasets(expected, _sources(t), 0.4)
 
 
-@q("q28_missing_required", f"WITH c AS ({_SRC}), u AS (SELECT source AS \"table\", lower(regexp_extract(text, '^[A-Za-z]+')) AS variable, CASE WHEN doc_id % 3 = 0 THEN 'MEANS' ELSE 'DATA' END || (doc_id % 7) AS step FROM documents) SELECT u.\"table\", variable, CAST(count(DISTINCT step) AS BIGINT) AS uses, CASE WHEN count(DISTINCT step) > 2 THEN 'critical' WHEN bool_or(contains(step, 'MEANS')) THEN 'high' ELSE 'medium' END AS severity FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.\"table\" = u.\"table\" AND c.name = u.variable) GROUP BY 1, 2")
+@q(
+    "q28_missing_required",
+    f"WITH c AS ({_SRC}), u AS (SELECT source AS \"table\", lower(regexp_extract(text, '^[A-Za-z]+')) AS variable, CASE WHEN doc_id % 3 = 0 THEN 'MEANS' ELSE 'DATA' END || (doc_id % 7) AS step FROM documents) SELECT u.\"table\", variable, CAST(count(DISTINCT step) AS BIGINT) AS uses, CASE WHEN count(DISTINCT step) > 2 THEN 'critical' WHEN bool_or(contains(step, 'MEANS')) THEN 'high' ELSE 'medium' END AS severity FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.\"table\" = u.\"table\" AND c.name = u.variable) GROUP BY 1, 2"
+)
 def _(t):
     step = F.concat(F.when(F.col("doc_id") % 3 == 0, "MEANS").otherwise("DATA"), (F.col("doc_id") % 7).cast("string"))
     usage = t.documents.select(F.col("source").alias("table"), F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("variable"), step.alias("step"))
     return Q.missing_required(usage, _sources(t))
 
 
-@q("q29_quality_dimensions", f"WITH d AS ({_HOLES}) SELECT 'completeness' AS dimension, round(100 - 100.0 * (5 * count(*) - count(o_orderkey) - count(o_custkey) - count(st) - count(price) - count(tail)) / (5 * count(*)), 6) AS percent FROM d UNION ALL SELECT 'validity', round(100.0 * count(*) FILTER (WHERE price > 1000) / count(*), 6) FROM d UNION ALL SELECT 'uniqueness', 100.0")
+@q(
+    "q29_quality_dimensions",
+    f"WITH d AS ({_HOLES}) SELECT 'completeness' AS dimension, round(100 - 100.0 * (5 * count(*) - count(o_orderkey) - count(o_custkey) - count(st) - count(price) - count(tail)) / (5 * count(*)), 6) AS percent FROM d UNION ALL SELECT 'validity', round(100.0 * count(*) FILTER (WHERE price > 1000) / count(*), 6) FROM d UNION ALL SELECT 'uniqueness', 100.0"
+)
 def _(t):
     return Q.quality_dimensions(_holes(t), {"validity": F.col("price") > 1000}).withColumn("percent", F.round("percent", 6))
 
 
-@q("q30_compliance", f"WITH cat AS ({_CAT}), want AS ({_WORDS}) SELECT \"table\", (SELECT CAST(count(*) AS BIGINT) FROM want) AS expected, CAST(count(*) FILTER (WHERE name IN (SELECT name FROM want)) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE name IN (SELECT name FROM want)) / (SELECT count(*) FROM want), 4) AS percent FROM cat GROUP BY 1")
+@q(
+    "q30_compliance",
+    f"WITH cat AS ({_CAT}), want AS ({_WORDS}) SELECT \"table\", (SELECT CAST(count(*) AS BIGINT) FROM want) AS expected, CAST(count(*) FILTER (WHERE name IN (SELECT name FROM want)) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE name IN (SELECT name FROM want)) / (SELECT count(*) FROM want), 4) AS percent FROM cat GROUP BY 1"
+)
 def _(t):
     return Q.compliance(_catalog(t), _words(t))
 

@@ -24,7 +24,10 @@ def _(t):
     return df.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@q("s8_typed_input", "SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS id, o_orderstatus AS st, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS price, CAST(NULL AS VARCHAR) AS extra FROM orders")
+@q(
+    "s8_typed_input",
+    "SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS id, o_orderstatus AS st, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS price, CAST(NULL AS VARCHAR) AS extra FROM orders"
+)
 def _(t):
     price = F.when(F.col("o_orderkey") % 5 == 0, F.lit(".")).otherwise(F.round("o_totalprice", 2).cast("string"))
     lines = t.orders.select("o_orderkey", F.concat_ws("  ", F.col("o_orderkey").cast("string"), "o_orderstatus", price).alias("value"))
@@ -65,7 +68,10 @@ def _(t):
     return S.put_lines(t.orders, ["order", "@o_orderkey", "is", "@o_orderstatus"]).select("o_orderkey", "line")
 
 
-@q("s16_file_integrity", "SELECT o_orderpriority, CAST(strlen(t) AS BIGINT) AS size, 'txt' AS format, sha256(t) AS sha256, 'utf-8' AS encoding, false AS is_empty FROM (SELECT o_orderpriority, string_agg(o_orderkey || chr(10), '' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 20, '0')) AS t FROM orders GROUP BY 1)")
+@q(
+    "s16_file_integrity",
+    "SELECT o_orderpriority, CAST(strlen(t) AS BIGINT) AS size, 'txt' AS format, sha256(t) AS sha256, 'utf-8' AS encoding, false AS is_empty FROM (SELECT o_orderpriority, string_agg(o_orderkey || chr(10), '' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 20, '0')) AS t FROM orders GROUP BY 1)"
+)
 def _(t):
     # a text file of the orders of each priority
     folder = f"{shared_dir(t.spark)}/priorities-{uuid.uuid4().hex}"
@@ -75,7 +81,10 @@ def _(t):
     return files.select(F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]*)", 1)).alias("o_orderpriority"), "size", "format", "sha256", "encoding", "is_empty")
 
 
-@q("p1_assign", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge FROM lineitem")
+@q(
+    "p1_assign",
+    "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge FROM lineitem"
+)
 def _(t):
     s = P.Step(t.lineitem).assign(revenue=F.col("l_extendedprice") * (1 - F.col("l_discount")), charge=F.col("revenue") * (1 + F.col("l_tax")))
     s = s.assign(revenue=F.round("revenue", 4), charge=F.round("charge", 7))
@@ -99,13 +108,21 @@ def _(t):
     return s.keep("l_orderkey", "l_linenumber", "cut").frame()
 
 
-@q("p8_if_chain", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'Low' WHEN l_quantity < 30 THEN 'Mid' ELSE 'High' END AS size, CASE WHEN l_quantity < 5 THEN 'tiny' END AS tiny FROM lineitem")
+@q(
+    "p8_if_chain",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'Low' WHEN l_quantity < 30 THEN 'Mid' ELSE 'High' END AS size, CASE WHEN l_quantity < 5 THEN 'tiny' END AS tiny FROM lineitem"
+)
 def _(t):
     n = F.col("l_quantity")
-    return P.Step(t.lineitem).assign(size=P.if_chain([(n < 10, "Low"), (n < 30, "Mid")], "High"), tiny=P.if_chain([(n < 5, "tiny")])).keep("l_orderkey", "l_linenumber", "size", "tiny").frame()
+    return P.Step(t.lineitem).assign(
+        size=P.if_chain([(n < 10, "Low"), (n < 30, "Mid")], "High"), tiny=P.if_chain([(n < 5, "tiny")])
+    ).keep("l_orderkey", "l_linenumber", "size", "tiny").frame()
 
 
-@q("p9_if_do", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+@q(
+    "p9_if_do",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderpriority END AS o_orderpriority FROM orders"
+)
 def _(t):
     return P.Step(t.orders).if_do(F.col("o_orderstatus") == "F", {"done": 1, "o_orderpriority": "closed"}, {"done": 0}).keep("o_orderkey", "done", "o_orderpriority").frame()
 
@@ -120,7 +137,10 @@ def _(t):
     return t.orders.select("o_orderkey", P.ifn(F.col("o_totalprice") > 150000, 1, 0).alias("big"), P.ifc(F.col("o_orderstatus") == "F", "y", "n").alias("f"))
 
 
-@q("p12_comparisons", "SELECT CAST(count(*) FILTER (WHERE l_quantity = 10) AS BIGINT) AS eq, CAST(count(*) FILTER (WHERE l_quantity <> 10) AS BIGINT) AS ne, CAST(count(*) FILTER (WHERE l_quantity < 10 AND NOT l_tax >= 0.05) AS BIGINT) AS lt, CAST(count(*) FILTER (WHERE l_quantity BETWEEN 5 AND 7 OR l_returnflag IN ('R')) AS BIGINT) AS bt FROM lineitem")
+@q(
+    "p12_comparisons",
+    "SELECT CAST(count(*) FILTER (WHERE l_quantity = 10) AS BIGINT) AS eq, CAST(count(*) FILTER (WHERE l_quantity <> 10) AS BIGINT) AS ne, CAST(count(*) FILTER (WHERE l_quantity < 10 AND NOT l_tax >= 0.05) AS BIGINT) AS lt, CAST(count(*) FILTER (WHERE l_quantity BETWEEN 5 AND 7 OR l_returnflag IN ('R')) AS BIGINT) AS bt FROM lineitem"
+)
 def _(t):
     n = F.col("l_quantity")
     both = n.between(5, 7) | F.col("l_returnflag").isin("R")
@@ -165,7 +185,10 @@ def _(t):
     return df
 
 
-@q("p21_do_while", "SELECT o_orderkey, CAST(CASE WHEN o_totalprice >= 100000 THEN 0 ELSE ceil(log(100000 / o_totalprice) / log(1.5) - 1e-12) END AS BIGINT) AS years FROM orders WHERE o_totalprice > 0")
+@q(
+    "p21_do_while",
+    "SELECT o_orderkey, CAST(CASE WHEN o_totalprice >= 100000 THEN 0 ELSE ceil(log(100000 / o_totalprice) / log(1.5) - 1e-12) END AS BIGINT) AS years FROM orders WHERE o_totalprice > 0"
+)
 def _(t):
     start = F.struct(F.col("o_totalprice").alias("v"), F.lit(0).cast("bigint").alias("n"))
     grown = P.fold_while(start, lambda a: a["v"] < 100000, lambda a: F.struct((a["v"] * 1.5).alias("v"), (a["n"] + 1).alias("n")), 60)

@@ -93,17 +93,26 @@ def _trans(t):
     return t.customer.select((F.col("c_custkey") + 40).alias("c_custkey"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("T"), "c_name")).alias("c_name"), "c_nationkey")
 
 
-@q("j10_update", f"SELECT coalesce(m.c_custkey, t.c_custkey) AS c_custkey, coalesce(t.c_name, m.c_name) AS c_name, coalesce(t.c_nationkey, m.c_nationkey) AS c_nationkey, c_acctbal, c_mktsegment FROM customer m FULL JOIN {_TRANS} t ON m.c_custkey = t.c_custkey")
+@q(
+    "j10_update",
+    f"SELECT coalesce(m.c_custkey, t.c_custkey) AS c_custkey, coalesce(t.c_name, m.c_name) AS c_name, coalesce(t.c_nationkey, m.c_nationkey) AS c_nationkey, c_acctbal, c_mktsegment FROM customer m FULL JOIN {_TRANS} t ON m.c_custkey = t.c_custkey"
+)
 def _(t):
     return J.update(t.customer, _trans(t), "c_custkey")
 
 
-@q("j11_modify", f"SELECT m.c_custkey, coalesce(t.c_name, m.c_name) AS c_name, coalesce(t.c_nationkey, m.c_nationkey) AS c_nationkey, c_acctbal, c_mktsegment FROM customer m LEFT JOIN {_TRANS} t ON m.c_custkey = t.c_custkey")
+@q(
+    "j11_modify",
+    f"SELECT m.c_custkey, coalesce(t.c_name, m.c_name) AS c_name, coalesce(t.c_nationkey, m.c_nationkey) AS c_nationkey, c_acctbal, c_mktsegment FROM customer m LEFT JOIN {_TRANS} t ON m.c_custkey = t.c_custkey"
+)
 def _(t):
     return J.modify(t.customer, _trans(t), "c_custkey")
 
 
-@q("j12_merge_many", "SELECT c_nationkey AS k, c.n AS customers, s.n AS suppliers, n_name FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1) c LEFT JOIN (SELECT s_nationkey, CAST(count(*) AS BIGINT) AS n FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+@q(
+    "j12_merge_many",
+    "SELECT c_nationkey AS k, c.n AS customers, s.n AS suppliers, n_name FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1) c LEFT JOIN (SELECT s_nationkey, CAST(count(*) AS BIGINT) AS n FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey LEFT JOIN nation ON c_nationkey = n_nationkey"
+)
 def _(t):
     a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
     b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
@@ -116,12 +125,18 @@ def _parents(t):
     return t.orders.select(F.when(k % 11 == 0, -k - 1).otherwise(k).alias("l_orderkey"))
 
 
-@q("j13_orphans", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END FROM orders)")
+@q(
+    "j13_orphans",
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END FROM orders)"
+)
 def _(t):
     return J.orphans(t.lineitem, _parents(t), "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@q("j13_integrity_score", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE l_orderkey % 11 <> 0) AS BIGINT) AS matched, round(100.0 * count(*) FILTER (WHERE l_orderkey % 11 <> 0) / count(*), 4) AS score FROM lineitem")
+@q(
+    "j13_integrity_score",
+    "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE l_orderkey % 11 <> 0) AS BIGINT) AS matched, round(100.0 * count(*) FILTER (WHERE l_orderkey % 11 <> 0) / count(*), 4) AS score FROM lineitem"
+)
 def _(t):
     return J.integrity_score(t.lineitem, _parents(t), "l_orderkey")
 
@@ -163,33 +178,51 @@ def _r(df, *keep):
     return df.select(*[F.round(c, 6).alias(c) if k in ("double", "float") and c not in keep else F.col(c) for c, k in df.dtypes])
 
 
-@q("a1_means", "SELECT CAST(count(l_quantity) AS BIGINT) AS n_l_quantity, round(avg(l_quantity), 6) AS mean_l_quantity, round(stddev_samp(l_quantity), 6) AS std_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, median(l_quantity) AS median_l_quantity, round(var_samp(l_quantity), 6) AS var_l_quantity, round(sum(l_quantity), 6) AS sum_l_quantity, CAST(0 AS BIGINT) AS nmiss_l_quantity FROM lineitem")
+@q(
+    "a1_means",
+    "SELECT CAST(count(l_quantity) AS BIGINT) AS n_l_quantity, round(avg(l_quantity), 6) AS mean_l_quantity, round(stddev_samp(l_quantity), 6) AS std_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, median(l_quantity) AS median_l_quantity, round(var_samp(l_quantity), 6) AS var_l_quantity, round(sum(l_quantity), 6) AS sum_l_quantity, CAST(0 AS BIGINT) AS nmiss_l_quantity FROM lineitem"
+)
 def _(t):
     return _r(A.means(t.lineitem, "l_quantity", ["n", "mean", "std", "min", "max", "median", "var", "sum", "nmiss"]))
 
 
-@q("a2_means_class", "SELECT l_returnflag, l_linestatus, CAST(count(l_discount) AS BIGINT) AS n_l_discount, round(avg(l_discount), 6) AS mean_l_discount, round(stddev_samp(l_tax), 6) AS std_l_tax, CAST(count(l_tax) AS BIGINT) AS n_l_tax, round(avg(l_tax), 6) AS mean_l_tax, round(stddev_samp(l_discount), 6) AS std_l_discount FROM lineitem GROUP BY ALL")
+@q(
+    "a2_means_class",
+    "SELECT l_returnflag, l_linestatus, CAST(count(l_discount) AS BIGINT) AS n_l_discount, round(avg(l_discount), 6) AS mean_l_discount, round(stddev_samp(l_tax), 6) AS std_l_tax, CAST(count(l_tax) AS BIGINT) AS n_l_tax, round(avg(l_tax), 6) AS mean_l_tax, round(stddev_samp(l_discount), 6) AS std_l_discount FROM lineitem GROUP BY ALL"
+)
 def _(t):
     return _r(A.means(t.lineitem, ["l_discount", "l_tax"], ["n", "mean", "std"], ["l_returnflag", "l_linestatus"]))
 
 
-@q("a2_means_missing_level", "SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS st, CAST(count(*) AS BIGINT) AS n_o_totalprice, round(avg(o_totalprice), 6) AS mean_o_totalprice FROM orders GROUP BY 1")
+@q(
+    "a2_means_missing_level",
+    "SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS st, CAST(count(*) AS BIGINT) AS n_o_totalprice, round(avg(o_totalprice), 6) AS mean_o_totalprice FROM orders GROUP BY 1"
+)
 def _(t):
     df = t.orders.withColumn("st", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
     return _r(A.means(df, "o_totalprice", ["n", "mean"], "st", missing=True))
 
 
-@q("a3_more_statistics", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q1_l_quantity, round(quantile_cont(l_quantity, 0.75), 6) AS q3_l_quantity, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS stderr_l_quantity, round(100 * stddev_samp(l_quantity) / avg(l_quantity), 6) AS cv_l_quantity, max(l_quantity) - min(l_quantity) AS range_l_quantity FROM lineitem GROUP BY 1")
+@q(
+    "a3_more_statistics",
+    "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q1_l_quantity, round(quantile_cont(l_quantity, 0.75), 6) AS q3_l_quantity, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS stderr_l_quantity, round(100 * stddev_samp(l_quantity) / avg(l_quantity), 6) AS cv_l_quantity, max(l_quantity) - min(l_quantity) AS range_l_quantity FROM lineitem GROUP BY 1"
+)
 def _(t):
     return _r(A.means(t.lineitem, "l_quantity", ["q1", "q3", "stderr", "cv", "range"], "l_returnflag"))
 
 
-@q("a3_mode", "SELECT l_returnflag, min(l_quantity) AS mode_l_quantity FROM (SELECT l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1 GROUP BY 1")
+@q(
+    "a3_mode",
+    "SELECT l_returnflag, min(l_quantity) AS mode_l_quantity FROM (SELECT l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1 GROUP BY 1"
+)
 def _(t):
     return A.means(t.lineitem, "l_quantity", ["mode"], "l_returnflag")
 
 
-@q("a5_means_long", "SELECT * FROM (SELECT 'l_quantity' AS variable, CAST(count(*) AS DOUBLE) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'l_tax', CAST(count(*) AS DOUBLE), round(avg(l_tax), 6) FROM lineitem)")
+@q(
+    "a5_means_long",
+    "SELECT * FROM (SELECT 'l_quantity' AS variable, CAST(count(*) AS DOUBLE) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'l_tax', CAST(count(*) AS DOUBLE), round(avg(l_tax), 6) FROM lineitem)"
+)
 def _(t):
     return _r(A.means_long(t.lineitem.withColumn("gone", F.lit(None).cast("double")), ["l_quantity", "l_tax", "gone"], ["n", "mean"]))
 
@@ -202,7 +235,10 @@ def _(t):
     return _r(A.freq(t.orders, "o_orderpriority"))
 
 
-@q("a7_freq_two_way", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS count, round(100.0 * count(*) / (SELECT count(*) FROM lineitem), 6) AS percent FROM lineitem GROUP BY 1, 2")
+@q(
+    "a7_freq_two_way",
+    "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS count, round(100.0 * count(*) / (SELECT count(*) FROM lineitem), 6) AS percent FROM lineitem GROUP BY 1, 2"
+)
 def _(t):
     return _r(A.freq(t.lineitem, ["l_returnflag", "l_linestatus"]))
 
@@ -212,12 +248,18 @@ def _(t):
     return A.freq_out(t.customer, "c_mktsegment")
 
 
-@q("a9_crosstab", "SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS F, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS BIGINT) AS O FROM lineitem GROUP BY 1")
+@q(
+    "a9_crosstab",
+    "SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS F, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS BIGINT) AS O FROM lineitem GROUP BY 1"
+)
 def _(t):
     return A.crosstab(t.lineitem, "l_returnflag", "l_linestatus", ["F", "O"])
 
 
-@q("a10_tabulate", "SELECT 'o_orderstatus' AS variable, o_orderstatus AS level, o_orderpriority AS \"group\", count(*) || ' (' || printf('%.1f', round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 1)) || '%)' AS text FROM orders GROUP BY 2, 3 UNION ALL SELECT 'o_custkey', NULL, o_orderpriority, printf('%.1f (%.1f, %.1f)', round(quantile_cont(o_custkey, 0.5), 1), round(quantile_cont(o_custkey, 0.25), 1), round(quantile_cont(o_custkey, 0.75), 1)) FROM orders GROUP BY 3")
+@q(
+    "a10_tabulate",
+    "SELECT 'o_orderstatus' AS variable, o_orderstatus AS level, o_orderpriority AS \"group\", count(*) || ' (' || printf('%.1f', round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 1)) || '%)' AS text FROM orders GROUP BY 2, 3 UNION ALL SELECT 'o_custkey', NULL, o_orderpriority, printf('%.1f (%.1f, %.1f)', round(quantile_cont(o_custkey, 0.5), 1), round(quantile_cont(o_custkey, 0.25), 1), round(quantile_cont(o_custkey, 0.75), 1)) FROM orders GROUP BY 3"
+)
 def _(t):
     return A.tabulate(t.orders, "o_orderpriority", ["o_custkey"], ["o_orderstatus"])
 
@@ -233,7 +275,10 @@ def _(t):
     return _r(A.univariate(t.lineitem, "l_quantity"))
 
 
-@q("a14_normality", "SELECT n, round(n / 6.0 * (s * s + k * k / 4), 4) AS jb, round(exp(-n / 12.0 * (s * s + k * k / 4)), 6) AS p_value FROM (SELECT CAST(count(*) AS BIGINT) AS n, avg(pow(c_acctbal - m, 3)) / pow(avg(pow(c_acctbal - m, 2)), 1.5) AS s, avg(pow(c_acctbal - m, 4)) / pow(avg(pow(c_acctbal - m, 2)), 2) - 3 AS k FROM customer, (SELECT avg(c_acctbal) AS m FROM customer))")
+@q(
+    "a14_normality",
+    "SELECT n, round(n / 6.0 * (s * s + k * k / 4), 4) AS jb, round(exp(-n / 12.0 * (s * s + k * k / 4)), 6) AS p_value FROM (SELECT CAST(count(*) AS BIGINT) AS n, avg(pow(c_acctbal - m, 3)) / pow(avg(pow(c_acctbal - m, 2)), 1.5) AS s, avg(pow(c_acctbal - m, 4)) / pow(avg(pow(c_acctbal - m, 2)), 2) - 3 AS k FROM customer, (SELECT avg(c_acctbal) AS m FROM customer))"
+)
 def _(t):
     return A.normality(t.customer, "c_acctbal").select("n", F.round("jb", 4).alias("jb"), F.round("p_value", 6).alias("p_value"))
 
@@ -247,14 +292,23 @@ def _(t):
     return A.corr_matrix(t.lineitem, _V)
 
 
-@q("a16_corr_tests", "SELECT 'l_quantity' AS var1, 'l_extendedprice' AS var2, CAST(count(*) AS BIGINT) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r, round(corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - pow(corr(l_quantity, l_extendedprice), 2))), 4) AS t FROM lineitem")
+@q(
+    "a16_corr_tests",
+    "SELECT 'l_quantity' AS var1, 'l_extendedprice' AS var2, CAST(count(*) AS BIGINT) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r, round(corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - pow(corr(l_quantity, l_extendedprice), 2))), 4) AS t FROM lineitem"
+)
 def _(t):
     return A.corr_tests(t.lineitem, ["l_quantity", "l_extendedprice"]).select("var1", "var2", "n", F.round("r", 6).alias("r"), F.round("t", 4).alias("t"))
 
 
-@q("a17_sql_aggregates", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1")
+@q(
+    "a17_sql_aggregates",
+    "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1"
+)
 def _(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    return t.orders.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"),
+        F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
+    )
 
 
 @q("a18_count_distinct", "SELECT l_returnflag, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY 1")
@@ -273,7 +327,10 @@ def _(t):
     return A.top_groups(t.orders, "o_custkey", 10)
 
 
-@q("a21_kpis", "SELECT CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS big, round(avg(value), 6) AS mean FROM events")
+@q(
+    "a21_kpis",
+    "SELECT CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS big, round(avg(value), 6) AS mean FROM events"
+)
 def _(t):
     return _r(A.kpis(t.events, {"clicks": F.col("event_type") == "click", "big": F.col("value") > 50}, {"mean": F.col("value")}))
 
@@ -283,7 +340,10 @@ def _(t):
     return A.success_rate(t.labels, F.col("quality"))
 
 
-@q("a23_severity_counts", "SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS F, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS O FROM orders GROUP BY 1")
+@q(
+    "a23_severity_counts",
+    "SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS F, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS O FROM orders GROUP BY 1"
+)
 def _(t):
     return A.severity_counts(t.orders, "o_custkey", "o_orderstatus", ["F", "O"])
 
@@ -338,7 +398,10 @@ def _(t):
     return _r(W.dif(_events(t), "value", "user_id", _KEY).select("event_id", "dif"))
 
 
-@q("w6_first_last", f"SELECT event_id, CASE WHEN row_number() OVER ({_EV}) = 1 THEN 1 ELSE 0 END AS is_first, CASE WHEN lead(1) OVER ({_EV}) IS NULL THEN 1 ELSE 0 END AS is_last FROM events")
+@q(
+    "w6_first_last",
+    f"SELECT event_id, CASE WHEN row_number() OVER ({_EV}) = 1 THEN 1 ELSE 0 END AS is_first, CASE WHEN lead(1) OVER ({_EV}) IS NULL THEN 1 ELSE 0 END AS is_last FROM events"
+)
 def _(t):
     return W.first_last(_events(t), "user_id", _KEY).select("event_id", "is_first", "is_last")
 
@@ -353,7 +416,10 @@ def _(t):
     return W.row_n(t.events.select("event_id", "ts"), _KEY).select("event_id", "_n_")
 
 
-@q("w10_locf_nocb", f"SELECT event_id, last_value({_VAL} IGNORE NULLS) OVER ({_EV} ROWS UNBOUNDED PRECEDING) AS locf, first_value({_VAL} IGNORE NULLS) OVER ({_EV} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nocb FROM events")
+@q(
+    "w10_locf_nocb",
+    f"SELECT event_id, last_value({_VAL} IGNORE NULLS) OVER ({_EV} ROWS UNBOUNDED PRECEDING) AS locf, first_value({_VAL} IGNORE NULLS) OVER ({_EV} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nocb FROM events"
+)
 def _(t):
     df = W.carry_forward(_events(t), "x", "user_id", _KEY, "locf")
     return W.carry_backward(df, "x", "user_id", _KEY, "nocb").select("event_id", "locf", "nocb")
@@ -386,7 +452,10 @@ def _(t):
     return W.first_k(t.orders.select("o_orderkey", "o_orderdate"), 20, [("o_orderdate", True), "o_orderkey"])
 
 
-@q("r1_transpose", "SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 4) AS st_F, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 4) AS st_O FROM lineitem GROUP BY 1")
+@q(
+    "r1_transpose",
+    "SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 4) AS st_F, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 4) AS st_O FROM lineitem GROUP BY 1"
+)
 def _(t):
     long = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 4).alias("qty"))
     return X.transpose(long, "l_returnflag", "l_linestatus", "qty", "st_", ["F", "O"])

@@ -9,7 +9,9 @@ def solved(name: str, source: str, p: int) -> str:
     Columns of ``source`` called ``k`` are kept: one system for each row.
     """
     wide = 2 * p + 1
-    start = [f"h{min(i, j)}_{max(i, j)} AS m{i}_{j}" for i in range(p) for j in range(p)] + [f"g{i} AS m{i}_{p}" for i in range(p)] + [f"{1.0 if i == j else 0.0} AS m{i}_{p + 1 + j}" for i in range(p) for j in range(p)]
+    start = [f"h{min(i, j)}_{max(i, j)} AS m{i}_{j}" for i in range(p) for j in range(p)] + [f"g{i} AS m{i}_{p}" for i in range(p)] + [
+        f"{1.0 if i == j else 0.0} AS m{i}_{p + 1 + j}" for i in range(p) for j in range(p)
+    ]
     out = [f"{name}x0 AS MATERIALIZED (SELECT k, {', '.join(start)} FROM {source})"]
     for c in range(p):
         cells = [f"m{i}_{j} {f'/ m{c}_{c}' if i == c else f'- m{i}_{c} * m{c}_{j} / m{c}_{c}'} AS m{i}_{j}" for i in range(p) for j in range(c + 1, wide)]
@@ -49,7 +51,9 @@ def cox(data: str, rounds: int = 8) -> str:
         risk = f"r{'' if last else f'_{i}'}"
         out.append(f"{risk} AS MATERIALIZED (SELECT *, {', '.join(f'sum(s{j}) OVER (PARTITION BY seg ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS r{j}' for j in range(3))} FROM t_{i})")
         tied = f"(SELECT *, l / d AS f FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM {risk} WHERE d > 0))"
-        out.append(f"e{'' if last else f'_{i}'} AS MATERIALIZED (SELECT any_value(b) AS b, sum((r2 - f * e2) / (r0 - f * e0) - pow((r1 - f * e1) / (r0 - f * e0), 2)) AS h, (SELECT sum(x) FROM {risk} WHERE d > 0) - sum((r1 - f * e1) / (r0 - f * e0)) AS g FROM {tied})")
+        out.append(
+            f"e{'' if last else f'_{i}'} AS MATERIALIZED (SELECT any_value(b) AS b, sum((r2 - f * e2) / (r0 - f * e0) - pow((r1 - f * e1) / (r0 - f * e0), 2)) AS h, (SELECT sum(x) FROM {risk} WHERE d > 0) - sum((r1 - f * e1) / (r0 - f * e0)) AS g FROM {tied})"
+        )
         if not last:
             out.append(f"b_{i + 1} AS MATERIALIZED (SELECT b + g / h AS b FROM e_{i})")
     return ",\n".join(out)
@@ -71,7 +75,9 @@ def mixed(data: str, p: int, rounds: int = 8, steps: int = 40) -> str:
     for r in range(rounds + 1):
         last = r == rounds
         sums = ", ".join(f"any_value(w{i}_{j}) - sum(k / (1 + size * k) * c{i}_{j}) AS a{i}_{j}, sum(c{i}_{j} / pow(1 + size * k, 2)) AS f{i}_{j}" for i, j in cells)
-        out.append(f"a_{r} AS MATERIALIZED (SELECT k, any_value(n) AS n, sum(many * ln(1 + size * k)) AS spread, sum(many * size / (1 + size * k)) AS turn, {sums} FROM k_{r}, sized, whole GROUP BY k)")
+        out.append(
+            f"a_{r} AS MATERIALIZED (SELECT k, any_value(n) AS n, sum(many * ln(1 + size * k)) AS spread, sum(many * size / (1 + size * k)) AS turn, {sums} FROM k_{r}, sized, whole GROUP BY k)"
+        )
         named = [f"a{i}_{j} AS h{i}_{j}" for i in range(p) for j in range(i, p)] + [f"a{i}_{p} AS g{i}" for i in range(p)]
         out.append(f"h_{r} AS (SELECT k, {', '.join(named)} FROM a_{r})")
         out.append(solved(f"e_{r}", f"h_{r}", p))
@@ -84,7 +90,9 @@ def mixed(data: str, p: int, rounds: int = 8, steps: int = 40) -> str:
         )
         if r == 0:
             out.append(f"o_0 AS MATERIALIZED (SELECT arg_min(k, loss) AS best, (SELECT loss FROM l_0 WHERE k = 0) AS none FROM l_0)")
-            out.append(f"i_0 AS MATERIALIZED (SELECT coalesce((SELECT max(k) FROM l_0, o_0 WHERE k < best), 0) AS lo, coalesce((SELECT min(k) FROM l_0, o_0 WHERE k > best), (SELECT best FROM o_0)) AS hi)")
+            out.append(
+                f"i_0 AS MATERIALIZED (SELECT coalesce((SELECT max(k) FROM l_0, o_0 WHERE k < best), 0) AS lo, coalesce((SELECT min(k) FROM l_0, o_0 WHERE k > best), (SELECT best FROM o_0)) AS hi)"
+            )
         elif not last:
             out.append(f"i_{r} AS MATERIALIZED (SELECT coalesce(max(k) FILTER (WHERE slope <= 0), min(k)) AS lo, coalesce(min(k) FILTER (WHERE slope > 0), max(k)) AS hi FROM l_{r})")
         if r < rounds - 1:
@@ -92,7 +100,9 @@ def mixed(data: str, p: int, rounds: int = 8, steps: int = 40) -> str:
         elif r == rounds - 1:
             out.append(f"k_{r + 1} AS MATERIALIZED (SELECT (lo + hi) / 2 AS k FROM i_{r} UNION SELECT 0.0)")
     keep = f"(SELECT k FROM l_{rounds} ORDER BY loss, k LIMIT 1)"
-    out.append(f"fit AS MATERIALIZED (SELECT k AS lam, mse, {', '.join(f's{i}' for i in range(p))}, {', '.join(f'v{i}_{j}' for i in range(p) for j in range(i, p))} FROM e_{rounds} JOIN l_{rounds} USING (k) WHERE k = {keep})")
+    out.append(
+        f"fit AS MATERIALIZED (SELECT k AS lam, mse, {', '.join(f's{i}' for i in range(p))}, {', '.join(f'v{i}_{j}' for i in range(p) for j in range(i, p))} FROM e_{rounds} JOIN l_{rounds} USING (k) WHERE k = {keep})"
+    )
     return ",\n".join(out)
 
 

@@ -76,7 +76,10 @@ def brute_usage(scripts, known):
 
 
 def test_variable_usage(spark):
-    scripts = [(1, "proc sort; by age agegr1; run; proc means; class sex; var weight height;"), (2, None), (3, ""), (4, "standby a\nmerge on"), (5, "by\nage"), (6, "class by var sex by " + "x " * 3000), (7, "BY a.b* BY (c)")]
+    scripts = [
+        (1, "proc sort; by age agegr1; run; proc means; class sex; var weight height;"), (2, None), (3, ""), (4, "standby a\nmerge on"), (5, "by\nage"),
+        (6, "class by var sex by " + "x " * 3000), (7, "BY a.b* BY (c)")
+    ]
     known = ["age", "AGE", "agegr1", "sex", "by var", "x", "weight", "height", "a.b*", "(c)", "zz", "sex by"]
     got = quality.variable_usage(spark.createDataFrame(scripts, "id int, text string"), frame(spark, [*known, None, "sex"], "name"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_usage(scripts, known)
@@ -86,7 +89,10 @@ def test_variable_usage(spark):
 
 
 def test_datasets_matched_below_what_a_name_gives(spark):
-    catalog = spark.createDataFrame([("dm_x", c, i) for i, c in enumerate(["usubjid", "age", "a", "b", "c", "d"])] + [("ae", "x", 1), ("lb", "usubjid", 1)], "table string, name string, position int")
+    catalog = spark.createDataFrame(
+        [("dm_x", c, i) for i, c in enumerate(["usubjid", "age", "a", "b", "c", "d"])] + [("ae", "x", 1), ("lb", "usubjid", 1)],
+        "table string, name string, position int"
+    )
     expected = spark.createDataFrame([("dm", "demographics"), ("ae", "outcome"), ("zz", None)], "expected string, role string")
     facts = {"dm_x": (1, 1, 1), "ae": (0, 0, 0), "lb": (1, 0, 0)}
     for least in (0.6, 0.3, 0.1):

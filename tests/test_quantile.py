@@ -29,7 +29,10 @@ def test_quantiles_and_modes_of_groups_against_numpy(spark):
 
 def test_quantiles_of_hard_values(spark):
     inf, nan = float("inf"), float("nan")
-    df = spark.createDataFrame([("a", None, 1, "u"), ("i", inf, 1, "u"), ("i", inf, 1, "u"), ("n", 1.0, 1, "u"), ("n", 2.0, 1, "u"), ("n", nan, 1, "u"), ("z", -0.0, 1, "u"), ("z", 0.0, 1, "u")], SHAPE)
+    df = spark.createDataFrame(
+        [("a", None, 1, "u"), ("i", inf, 1, "u"), ("i", inf, 1, "u"), ("n", 1.0, 1, "u"), ("n", 2.0, 1, "u"), ("n", nan, 1, "u"), ("z", -0.0, 1, "u"), ("z", 0.0, 1, "u")],
+        SHAPE
+    )
     got = {r.g: r.median_x for r in A.means(df, "x", ["median"], "g").collect()}
     assert got == {"a": None, "i": inf, "n": 2.0, "z": 0.0}
     none = df.limit(0)

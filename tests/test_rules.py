@@ -91,13 +91,20 @@ def test_strings(spark):
     assert rows(df.select(strings.propcase(F.trim("s")), strings.catx("-", "s", "e", F.lit(" "), F.lit("z")), strings.scan("s", -1, " ("), strings.scan("s", 9), strings.index("s", "?"), strings.length("e"), strings.anydigit("s"))) == [
         ("O'neil-Smith/Jr (Md)", "o'neil-smith/jr (md)-z", "md)", None, 0, 1, 0)
     ]
-    d = spark.createDataFrame([("01JAN2024", "2024-02-30")], "a string, b string").select(strings.input_("a", "date9."), strings.input_("b", "yymmdd10."), strings.put(strings.input_("a", "date9."), "date9."))
+    d = spark.createDataFrame([("01JAN2024", "2024-02-30")], "a string, b string").select(
+        strings.input_("a", "date9."), strings.input_("b", "yymmdd10."), strings.put(strings.input_("a", "date9."), "date9.")
+    )
     assert rows(d) == [(dt.date(2024, 1, 1), None, "01JAN2024")]
 
 
 def test_numbers(spark):
     df = spark.createDataFrame([(2.5, None, -7)], "a double, b double, c int")
-    got = rows(df.select(numeric.round_("a"), numeric.sum_of("a", "b"), numeric.sum_of("b"), numeric.mean_of("a", "b"), numeric.mod("c", 3), numeric.mod_floor("c", 3), numeric.int_(F.lit(-2.7)), numeric.divide("a", F.lit(0)), numeric.var_of("a", "b"), numeric.median_of("a", "c")))
+    got = rows(
+        df.select(
+            numeric.round_("a"), numeric.sum_of("a", "b"), numeric.sum_of("b"), numeric.mean_of("a", "b"), numeric.mod("c", 3), numeric.mod_floor("c", 3),
+            numeric.int_(F.lit(-2.7)), numeric.divide("a", F.lit(0)), numeric.var_of("a", "b"), numeric.median_of("a", "c")
+        )
+    )
     assert got == [(3.0, 2.5, None, 2.5, -1, 2, -2, None, None, -2.25)]
 
 
@@ -204,7 +211,11 @@ def _xpt(rows):
     when, zero = b"01JAN24:00:00:00", "0" * 30
     out = head("LIBRARY", zero) + pad(b"SAS     SAS     SASLIB  9.1     bsd4.2  " + b" " * 24 + when) + pad(when)
     out += head("MEMBER", "000000000000000001600000000140") + head("DSCRPTR", zero) + pad(b"SAS     T       SASDATA 9.1     bsd4.2  " + b" " * 24 + when) + pad(when)
-    names = b"".join(struct.pack(">hhhh8s40s8shhh2s8shhl52s", kind, 0, 8, i + 1, name, b" " * 40, b" " * 8, 0, 0, 0, b"\0\0", b" " * 8, 0, 0, 8 * i, b"\0" * 52) for i, (kind, name) in enumerate([(1, b"ID      "), (2, b"NAME    ")]))
+    names = b"".join(
+        struct.pack(
+            ">hhhh8s40s8shhh2s8shhl52s", kind, 0, 8, i + 1, name, b" " * 40, b" " * 8, 0, 0, 0, b"\0\0", b" " * 8, 0, 0, 8 * i, b"\0" * 52
+        ) for i, (kind, name) in enumerate([(1, b"ID      "), (2, b"NAME    ")])
+    )
     data = b"".join(_ibm(i) + s.ljust(8).encode() for i, s in rows)
     return out + head("NAMESTR", "000000000200000000000000000000") + pad(names) + head("OBS", zero) + pad(data)
 

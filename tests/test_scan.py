@@ -10,7 +10,10 @@ from stepforge.operators import order, scan, summary
 from stepforge.operators.scan import Running
 
 def ahead():
-    return {"total": Running("sum", "x"), "low": Running("min", "x"), "high": Running("max", "x"), "last": Running("last", "x"), "lag1": Running("lag", "x"), "lag4": Running("lag", "x", 4), "seq": Running("sum", F.lit(1))}
+    return {
+        "total": Running("sum", "x"), "low": Running("min", "x"), "high": Running("max", "x"), "last": Running("last", "x"), "lag1": Running("lag", "x"),
+        "lag4": Running("lag", "x", 4), "seq": Running("sum", F.lit(1))
+    }
 
 
 BEHIND = {"next": Running("last", "x"), "lead2": Running("lag", "x", 2), "rest": Running("sum", "x")}
