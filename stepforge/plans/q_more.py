@@ -50,9 +50,9 @@ def _(t):
     return S.sample(t.orders, 10_000, order_by="o_orderkey")
 
 
-@q("s6_spread_sample")
+@q("s6_spread_sample", "SELECT * FROM orders WHERE CAST('0x' || left(md5(CAST(o_orderkey AS VARCHAR)), 8) AS BIGINT) < 429496729")
 def _(t):
-    return S.sample(t.orders, fraction=0.1)
+    return S.sample(t.orders, fraction=0.1, key="o_orderkey")
 
 
 @q("s7_inline_rows", "SELECT o_orderstatus, word FROM orders LEFT JOIN (VALUES ('F', 'final'), ('O', NULL)) v(st, word) ON st = o_orderstatus")

@@ -55,13 +55,19 @@ def read_xpt(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return _stat_files(spark, glob, "xport", schema)
 
 
-def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 42, order_by=None) -> DataFrame:
-    """The first n rows (of ``order_by``, where given), or a spread sample."""
-    if n is None:
-        return df.sample(fraction=fraction, seed=seed)
+def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 42, order_by=None, key: str | None = None) -> DataFrame:
+    """The first n rows (of ``order_by``, where given), or a spread sample.
+
+    With ``key`` the rows are drawn by a hash of that column: the same rows in every run, also where a part of it is run again.
+    """
     from ..operators.rules import need_order
 
-    return (df if order_by is None else df.orderBy(*need_order(order_by))).limit(n)
+    if n is not None:
+        return (df if order_by is None else df.orderBy(*need_order(order_by))).limit(n)
+    if key is None:
+        return df.sample(fraction=fraction, seed=seed)
+    drawn = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.where(drawn < int(fraction * 2**32))
 
 
 def split_fields(df: DataFrame, columns: list[tuple[str, str]], text_col: str = "value") -> DataFrame:
