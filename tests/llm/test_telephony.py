@@ -54,18 +54,52 @@ def test_round_trip(spark):
         after = np.append(law[1:], law[-1])
         pcm = np.stack([law, (law + after) >> 1], 1).ravel().astype("<i2").tobytes()
         assert r.feature.endswith(f"pcm16k={zlib.crc32(pcm):08x}")
+        stored = T.wav(pcm, "pcm16", 16000)
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        other = T.TABLES["alaw"][np.frombuffer(padded, np.uint8)].astype(int)
+        wide = [v for j in range(0, len(padded), 64) for v in one_block(padded[j : j + 64])] if len(padded) < 9999 else T.adpcm_decode(np.frombuffer(padded, np.uint8).reshape(-1, 64)).astype(int).ravel().tolist()
+        assert f";alaw={(other**2).sum() // len(other)};adpcm={sum(v * v for v in wide) // len(wide)};peak={abs(law).max()};" in r.feature
         assert f";ulaw={(law**2).sum() // len(law)};" in r.feature
         assert f";zc={((law[1:] < 0) != (law[:-1] < 0)).sum()};" in r.feature
     assert got[2].feature == got[6].feature
 
 
-def test_stored_and_expanded(spark):
+def test_stored_and_expanded(spark, monkeypatch):
     raw = bytes(range(256))
-    df = spark.createDataFrame([(1, raw), (2, None), (3, b"")], "id long, payload binary")
-    for codec in ("ulaw", "alaw", "ima_adpcm"):
+    df = spark.createDataFrame([(1, raw, 0), (2, None, 0), (3, b"", 0), (None, raw * 3, 0)], "id long, payload binary, media int")
+    for codec in ("ulaw", "alaw", "ima_adpcm", "pcm16"):
         out = {r.id: r.pcm for r in T.expand_recordings(T.store_samples(df, codec=codec)).collect()}
         kind, rate, pcm = T.unwav(out[1])
         assert (kind, rate, len(T.unwav(out[3])[2])) == ("pcm16", 16000, 0)
-        expected = T.TABLES[codec][np.frombuffer(raw, np.uint8)] if codec in T.TABLES else np.ravel([one_block(raw[i : i + 64]) for i in range(0, 256, 64)])
-        assert np.frombuffer(pcm, "<i2")[::2].tolist() == expected.tolist()
+        law = T.TABLES.get(codec)
+        expected = np.frombuffer(raw, "<i2") if codec == "pcm16" else law[np.frombuffer(raw, np.uint8)] if law is not None else np.ravel([one_block(raw[i : i + 64]) for i in range(0, 256, 64)])
+        assert np.frombuffer(pcm, "<i2")[::2].tolist() == expected.tolist() and np.frombuffer(pcm, "<i2")[-1] == expected[-1]
+        assert np.frombuffer(T.unwav(out[None])[2], "<i2")[::2].tolist() == expected.tolist() * 3
     assert T.text_recordings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_files_of_all_kinds_are_decoded_together(monkeypatch):
+    rng = np.random.default_rng(2)
+    files, want = [], []
+    for i in range(40):
+        codec, rate = list(T.FORMATS)[i % 4], 8000 + i
+        raw = rng.integers(0, 256, 64 * int(rng.integers(0, 4)) + (i % 3 if codec != "ulaw" else 0)).astype(np.uint8).tobytes()
+        files.append(T.wav(raw, codec, rate))
+        want.append(T.expanded([files[-1]])[0])
+        assert T.unwav(want[-1][0])[1] == 2 * rate
+    assert T.expanded(files) == want
+
+
+def test_malformed_files(spark):
+    good = T.wav(b"abcd" * 16, "ulaw")
+    stereo, foreign, wide = bytearray(good), bytearray(good), bytearray(good)
+    stereo[22], foreign[20], wide[34] = 2, 85, 16
+    odd = T.wav(b"abcde", "pcm16")
+    files = [None, b"", b"RIFF", b"not a wav file at all", good[:30], good[:-9], bytes(stereo), bytes(foreign), bytes(wide), good[:12], odd, good]
+    df = spark.createDataFrame([(i, f, "x") for i, f in enumerate(files)], "id long, media binary, pcm string")
+    got = [(r.pcm is not None, r.problem) for r in T.expand_recordings(df).orderBy("id").collect()]
+    assert got == [
+        (False, None), (False, "not a WAV file"), (False, "not a WAV file"), (False, "not a WAV file"), (False, "the file ends early"), (False, "the file ends early"), (False, "more than one channel"),
+        (False, "unknown format"), (False, "samples of another size"), (False, "no samples in the file"), (True, None), (True, None),
+    ]
+    assert len(T.unwav(T.expanded([odd])[0][0])[2]) == 8
