@@ -91,12 +91,12 @@ def fit(table: list[tuple[dict, int, float]], features: list[str], rounds: int =
     return model
 
 
-def threshold(table: list[tuple[dict, int, float]], model: Model, precision: float) -> float:
-    """The least score from which on the weighted precision over ``table`` is at least ``precision`` (2.0: none is)."""
-    scored = sorted(((1 / (1 + math.exp(-model.margin(r))), y, w) for r, y, w in table), key=lambda x: -x[0])
+def threshold(scored: list[tuple[float, int, float]], precision: float) -> float:
+    """The least probability from which on the weighted precision of (margin, label, weight) is at least ``precision`` (2.0: none is)."""
+    ranked = sorted(((1 / (1 + math.exp(-m)), y, w) for m, y, w in scored), key=lambda x: -x[0])
     best, good, total = 2.0, 0.0, 0.0
-    for i, (p, y, w) in enumerate(scored):
+    for i, (p, y, w) in enumerate(ranked):
         good, total = good + y * w, total + w
-        if (i + 1 == len(scored) or scored[i + 1][0] < p) and good >= precision * total:
+        if (i + 1 == len(ranked) or ranked[i + 1][0] < p) and good >= precision * total:
             best = p
     return best

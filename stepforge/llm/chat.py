@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 PLAIN, ESCAPED = "<|plain|>", "<|escaped|>"
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[TURN ", "[/TURN]")
@@ -103,34 +105,6 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     return back.where(F.when(F.col("turns") == F.col("source"), F.lit(True)).otherwise(failed)).select("conv_id", "formatted", "escaped", "turns")
 
 
-#: Turns whose running lengths are gathered together: arrays grow by copies, so long ones are put together from these.
-_BLOCK = 256
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, also where it is used for each element of an array."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _starts(sizes: Column, first: Column) -> Column:
-    """Running sums of an array of sizes before each element, from ``first`` on."""
-    none, nones = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
-    inside = lambda block: F.aggregate(
-        block, F.struct(F.lit(0).alias("at"), none.alias("list")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list"))
-    )
-    blocks = _let(sizes, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), lambda k: inside(F.slice(s, k * _BLOCK + 1, _BLOCK))))
-    shifted = F.aggregate(
-        blocks,
-        F.struct(first.cast("int").alias("at"), nones.alias("list")),
-        lambda acc, b: F.struct(
-            (acc["at"] + b["at"]).alias("at"),
-            F.concat(acc["list"], F.array(F.zip_with(b["list"], F.array_repeat(acc["at"], F.size(b["list"])), lambda x, at: x + at))).alias("list")
-        ),
-    )
-    return F.flatten(shifted["list"])
-
-
 def with_loss_mask(formatted: DataFrame) -> DataFrame:
     """``formatted`` with loss: for each turn the code points (start, end) of the rendering that count, end exclusive, and offset, where they begin in the turn.
 
@@ -143,7 +117,7 @@ def with_loss_mask(formatted: DataFrame) -> DataFrame:
     )
     first = F.when(F.col("escaped"), F.lit(len(ESCAPED))).otherwise(F.lit(len(PLAIN)))
     span = lambda at, z: F.struct((at + z["o"]).alias("start"), (at + F.when(z["a"], z["n"] - z["c"]).otherwise(z["o"])).alias("end"), z["o"].alias("offset"))
-    return formatted.withColumn("loss", _let(sizes, lambda s: F.zip_with(_starts(F.transform(s, lambda z: z["n"]), first), s, span)))
+    return formatted.withColumn("loss", C.let(sizes, lambda s: F.zip_with(C.prefixes(F.transform(s, lambda z: z["n"]), first, lambda a, b: a + b), s, span)))
 
 
 def under_loss(masked: DataFrame) -> Column:

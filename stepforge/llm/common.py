@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.storage import drop, scratch, shared_dir, staged  # noqa: F401  for the operators of this subpackage
 
@@ -26,6 +27,27 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63
 CHUNK_BYTES = 1 << 20
 
 
+#: Elements whose prefixes are gathered together: arrays grow by copies, so long ones are put together from these.
+_PREFIX = 256
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where it is used for each element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def prefixes(values: Column, first: Column, join) -> Column:
+    """The fold of an array of ints before each element, from ``first`` on; ``join`` is associative. Work grows with the array, not with its square."""
+    none, nones = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    both = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(join(a, b))
+    state = lambda at, kept: F.struct(at.cast("int").alias("at"), kept.alias("kept"))
+    inside = lambda block: F.aggregate(block, state(F.lit(None), none), lambda acc, n: state(both(acc["at"], n), F.concat(acc["kept"], F.array(acc["at"]))))
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _PREFIX).cast("int")), lambda k: inside(F.slice(s, k * _PREFIX + 1, _PREFIX)))
+    ahead = lambda at, kept: F.zip_with(kept, F.array_repeat(at, F.size(kept)), lambda x, a: both(a, x))
+    whole = F.aggregate(let(values, cut), state(first, nones), lambda acc, b: state(both(acc["at"], b["at"]), F.concat(acc["kept"], F.array(ahead(acc["at"], b["kept"])))))
+    return F.flatten(whole["kept"])
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}
