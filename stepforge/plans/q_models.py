@@ -123,18 +123,17 @@ def _(t):
     return M.tukey(t.orders, "o_totalprice", "o_orderpriority").select("a", "b", F.round("diff", 4).alias("diff"), F.round("q", 6).alias("q"))
 
 
-_LABELLED = "SELECT CAST(quality AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) / 1000 AS x0, CAST(lang = 'en' AS DOUBLE) AS x1, CAST(lang = 'es' AS DOUBLE) AS x2, CAST(lang = 'fr' AS DOUBLE) AS x3, 1.0::DOUBLE AS x4 FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL"
+_PRIORITIES = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]  # beside the first, 1-URGENT
+_FINAL = f"""SELECT CAST(o_orderstatus = 'F' AS DOUBLE) AS y, CAST(o_totalprice AS DOUBLE) / 100000 AS x0, {", ".join(f"CAST(o_orderpriority = '{p}' AS DOUBLE) AS x{i + 1}" for i, p in enumerate(_PRIORITIES))},
+1.0::DOUBLE AS x5 FROM orders WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL"""
+_FINAL_TERMS = ["k", *[f"o_orderpriority_{p}" for p in _PRIORITIES], "intercept"]
 
 
-@q(
-    "m5_logistic",
-    f"WITH d AS MATERIALIZED ({_LABELLED}), {S.logistic('d', 5)}, o AS ({
-        _terms(['k', 'lang_en', 'lang_es', 'lang_fr', 'intercept'], lambda i: f'b{i} AS b, sqrt(v{i}_{i}) AS s FROM b JOIN e USING (k)')
-    }) SELECT term, round(b, 6) AS estimate, round(s, 6) AS se, round(b / s, 5) AS z, round({S.tail('b / s')}, 6) AS p_value, round(exp(b), 5) AS odds_ratio FROM o"
-)
+@q("m5_logistic", f"""WITH d AS MATERIALIZED ({_FINAL}), {S.logistic('d', 6)}, o AS ({_terms(_FINAL_TERMS, lambda i: f'b{i} AS b, sqrt(v{i}_{i}) AS s FROM b JOIN e USING (k)')})
+SELECT term, round(b, 6) AS estimate, round(s, 6) AS se, round(b / s, 5) AS z, round({S.tail('b / s')}, 6) AS p_value, round(exp(b), 5) AS odds_ratio FROM o""")
 def _(t):
-    fit = M.logistic(t.labels.join(t.documents.select("doc_id", "lang", (F.col("n_chars") / 1000).alias("k")), "doc_id"), "quality ~ k + lang")
-    return _rounded(fit.drop("wald_low", "wald_high"), estimate=6, se=6, z=5, p_value=6, odds_ratio=5)
+    df = t.orders.select((F.col("o_orderstatus") == "F").alias("y"), "o_orderpriority", (F.col("o_totalprice") / 100000).alias("k"))
+    return _rounded(M.logistic(df, "y ~ k + o_orderpriority").drop("wald_low", "wald_high"), estimate=6, se=6, z=5, p_value=6, odds_ratio=5)
 
 
 _M = "l_extendedprice", "l_quantity", "l_suppkey"
