@@ -23,7 +23,7 @@ def test_filter_and_columns_reach_the_scan(spark, tmp_path):
 
 def test_one_pass_profiles(spark, tmp_path):
     df = table(spark, tmp_path)
-    for out in (quality.missing_profile(df, True), summary.means(df, ["x"], ["n", "mean", "std"]), summary.corr_matrix(df, ["id", "g", "x"]), quality.infer_key(df, [["id"]])):
+    for out in (quality.missing_profile(df, True), summary.means(df, ["x"], ["n", "mean", "std"]), summary.corr_matrix(df, ["id", "g", "x"])):
         assert plan(out).count("FileScan") == 1
 
 
