@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import common, decontamination, language_id, near_copies, packing, secrets, simhash
 
+#: Rows of a batch that goes to a Python worker: a batch holds whole texts, and these may be long.
+BATCH_ROWS = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """This program's own setting for all its stages: small batches keep executors' memory low."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; the predicted language takes the place of a missing one.
 
     Texts without a letter go, and those that look like noise: more so than the labelled documents kept out of the training do.
     """
+    _bounded(spark)
     taught = language_id.fold("doc_id", 5) != 0
     net = language_id.train(docs.where(taught), with_noise=True)
     limit = language_id.noise_limit(docs.where(~taught & F.col("lang").isNotNull()), net)
@@ -29,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Near-duplicates: fingerprints within two bits, or sets of five-word shingles that agree to 0.8 or more.
     Rows are told apart by a number of their own, so those that share a doc_id, or have none, are linked by their texts alone.
     """
+    _bounded(spark)
     row = common.new_name(docs, "row")
     numbered = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     groups = simhash.near_duplicates(numbered, id_col=row, more=near_copies.links(numbered, id_col=row))
@@ -42,16 +53,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _bounded(spark)
     return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets and linked credentials replaced in their texts."""
+    _bounded(spark)
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes: bins of permitted lengths."""
+    _bounded(spark)
     return packing.best_fit(docs).drop("row")
 
 
