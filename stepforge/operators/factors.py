@@ -2,13 +2,13 @@
 
 The design of a factor is a table of zeros with one 1 a row, so its cross-products are counts and sums by
 pairs of levels: one group-by to the cells of all factors, then one of the cells for each pair of terms.
-The largest factor of a model is absorbed: its block is diagonal, so it is eliminated level by level and
-only the other terms' columns make up a dense system.
+The largest factor of a model is absorbed: its block is diagonal, so Spark eliminates it level by level, by
+joins on the level, and only the other terms' columns make up a dense system on the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .rules import as_list
 from .storage import staged
 
-#: Cells of the dense part: levels of the absorbed factor times columns of the other terms.
+#: Cells of the dense part: the square of the columns of all terms but the absorbed factor.
 DENSE = 50_000_000
 
 
@@ -29,7 +29,7 @@ class _Term:
         self.name, parts = name, name.split("*") if name else []
         self.factors = sorted(p for p in parts if kinds[p] == "string")
         self.numbers = [p for p in parts if kinds[p] != "string"]
-        self.index: dict[tuple, int] = {}
+        self.index: dict[tuple, int] | None = None
 
     def value(self) -> Column:
         return reduce(lambda a, b: a * b, [F.col(x).cast("double") for x in self.numbers], F.lit(1.0))
@@ -58,27 +58,37 @@ class CrossProducts:
             "cells"
         )
         self.y = len(self.terms)
-        for i, t in enumerate(self.terms):
-            t.index = {k: j for j, k in enumerate(sorted(k for k, _ in self._by(t.factors, f"p{i}_{i}")))}
+        held = {tuple(t.factors): F.count_distinct(*t.factors) for t in self.terms if t.factors}
+        self.sizes = dict(zip(held, self.cells.agg(*held.values()).first())) if held else {}
 
     def _by(self, factors: list[str], what: str) -> list[tuple[tuple, float]]:
         """One row for each combination of levels: as many as the cross-product has cells that are not zero."""
         return [(tuple(r[:-1]), r[-1] or 0.0) for r in self.cells.groupBy(*factors).agg(F.sum(what)).collect()]
 
+    def factors(self, i: int) -> list[str]:
+        return [] if i == self.y else self.terms[i].factors
+
     def size(self, i: int) -> int:
-        return 1 if i == self.y else len(self.terms[i].index)
+        return self.sizes.get(tuple(self.factors(i)), 1)
+
+    def index(self, i: int) -> dict[tuple, int]:
+        """Columns of a term of the dense part by their levels; never asked for the absorbed factor."""
+        t = self.terms[i]
+        if t.index is None:
+            t.index = {k: j for j, k in enumerate(sorted(k for k, _ in self._by(t.factors, f"p{i}_{i}")))}
+        return t.index
 
     def block(self, i: int, j: int) -> np.ndarray:
         """Cross-product of the columns of terms i and j (``self.y`` is y)."""
         if i > j:
             return self.block(j, i).T
-        a, b = ([], []) if j == self.y else (self.terms[j].factors, [self.terms[j].index])
-        own = self.terms[i].factors if i < self.y else []
+        a, b = ([], []) if j == self.y else (self.terms[j].factors, [self.index(j)])
+        own = self.factors(i)
         both = sorted({*own, *a})
         at = {f: k for k, f in enumerate(both)}
         out = np.zeros((self.size(i), self.size(j)))
         for key, v in self._by(both, f"p{i}_{j}"):
-            row = self.terms[i].index[tuple(key[at[f]] for f in own)] if i < self.y else 0
+            row = self.index(i)[tuple(key[at[f]] for f in own)] if i < self.y else 0
             out[row, b[0][tuple(key[at[f]] for f in a)] if b else 0] += v
         return out
 
@@ -88,39 +98,51 @@ class CrossProducts:
             return np.array([self._by([], f"s{i}")[0][1]])
         out = np.zeros(self.size(i))
         for key, v in self._by(self.terms[i].factors, f"s{i}"):
-            out[self.terms[i].index[key]] = v
+            out[self.index(i)[key]] = v
+        return out
+
+    def explained(self, big: int, i: int, j: int) -> np.ndarray:
+        """The part of ``block(i, j)`` that the levels of a factor explain: over its levels, the sum of the products of both terms' sums by the level's rows."""
+        if i > j:
+            return self.explained(big, j, i).T
+        level = F.col(self.terms[big].factors[0]).alias("level")
+        plain = [k for k in (i, j) if not self.factors(k)]
+        frame = self.cells.groupBy(level).agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in dict.fromkeys(plain)])
+        at, values = [], []
+        for side, k in (("a", i), ("b", j)):
+            if own := self.factors(k):
+                frame = frame.join(self.cells.groupBy(level, F.array(*own).alias(f"of_{side}")).agg(F.sum(f"s{k}").alias(side)), "level")
+                at.append(f"of_{side}")
+            values.append(F.col(side if own else f"s{k}"))
+        out = np.zeros((self.size(i), self.size(j)))
+        for r in frame.groupBy(*at).agg(F.sum(values[0] * values[1] / F.col("n")).alias("v")).collect():
+            row, col = (self.index(k)[tuple(r[f"of_{side}"])] if self.factors(k) else 0 for side, k in (("a", i), ("b", j)))
+            out[row, col] = r["v"] or 0.0
         return out
 
     def fits(self) -> list[tuple[int, float]]:
         """(rank, residual sum of squares) with no term, the first, the first two, and so on; the intercept is in all."""
-        blocks: dict[tuple[int, int], np.ndarray] = {}
-
-        def block(i: int, j: int) -> np.ndarray:
-            if (i, j) not in blocks:
-                blocks[i, j] = self.block(i, j)
-            return blocks[i, j]
-
+        block, explained = cache(self.block), cache(self.explained)
         out = []
         for k in range(len(self.terms) + 1):
             main = [i for i in range(k) if len(self.terms[i].factors) == 1 and not self.terms[i].numbers]
             big = max(main, key=self.size, default=None)
             rest = [*[i for i in range(k) if i != big], self.y]
-            sizes = [self.size(i) for i in rest]
-            levels = 1 if big is None else self.size(big)
-            if levels * sum(sizes) > DENSE or sum(sizes) ** 2 > DENSE:
-                raise ValueError(f"{levels} levels by {sum(sizes)} columns are more than the dense part may hold")
+            columns = sum(self.size(i) for i in rest)
+            if columns**2 > DENSE:
+                raise ValueError(f"{columns} columns are more than the dense part may hold")
             whole = np.block([[block(i, j) for j in rest] for i in rest])
             if big is None:
-                count, across = np.array([float(self.n)]), np.concatenate([self.sums(i) for i in rest])[None, :]
+                sums = np.concatenate([self.sums(i) for i in rest])
+                left = whole - np.outer(sums, sums) / float(self.n or 1)
             else:
-                count, across = np.diag(block(big, big)), np.hstack([block(big, j) for j in rest])
-            left = whole - across.T @ (across / count[:, None])
+                left = whole - np.block([[explained(big, i, j) for j in rest] for i in rest])
             xx, xy, yy = left[:-1, :-1], left[:-1, -1], left[-1, -1]
             scale = np.sqrt(np.where(np.diag(whole)[:-1] > 0, np.diag(whole)[:-1], 1))
             value, vector = np.linalg.eigh(xx / np.outer(scale, scale)) if len(scale) else (np.zeros(0), np.zeros((0, 0)))
             held = value > 1e-9
             part = vector[:, held].T @ (xy / scale)
-            out.append((levels + int(held.sum()), float(yy - (part * part / value[held]).sum())))
+            out.append(((1 if big is None else self.size(big)) + int(held.sum()), float(yy - (part * part / value[held]).sum())))
         return out
 
 

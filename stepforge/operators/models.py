@@ -159,7 +159,7 @@ def reg_absorb(df: DataFrame, y: str, xs, absorb) -> Absorbed:
 
 
 def anova(df: DataFrame, y: str, terms: list[str]) -> DataFrame:
-    """term, df, ss, ms, f, p_value: sequential sums of squares; "a*b" is an interaction, string columns are factors of any number of levels that the dense part can hold (``factors.DENSE``)."""
+    """term, df, ss, ms, f, p_value: sequential sums of squares; "a*b" is an interaction, string columns are factors. The largest may have any number of levels, the other columns what the dense part can hold (``factors.DENSE``)."""
     sums = CrossProducts(df, y, terms)
     fits = sums.fits()
     left = sums.n - fits[-1][0]

@@ -2,12 +2,13 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepforge.operators import gram, models, special
+from stepforge.operators import factors, gram, models, special
 
 
 def test_sums_without_a_loop(spark):
@@ -112,6 +113,21 @@ def test_anova_of_two_thousand_levels(spark):
         models.anova(df.limit(2), "y", ["f", "x"])
 
 
+def test_anova_holds_no_levels_of_the_absorbed_factor_on_the_driver(spark, monkeypatch):
+    df = spark.range(60_000).select(F.concat(F.lit("l"), F.col("id") % 20_000).alias("f"), (F.col("id") % 3).cast("string").alias("g"), F.randn(1).alias("x"), F.randn(2).alias("y"))
+    monkeypatch.setattr(factors, "DENSE", 100)
+    tracemalloc.start()
+    try:
+        got = {r.term: r.df for r in models.anova(df, "y", ["f", "g", "x"]).collect()}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == {"f": 19_999, "g": 2, "x": 1, "residuals": 60_000 - 20_003}
+    assert peak < 5_000_000  # 20,000 levels as Python rows alone are more; their square is 3.2 GB
+    with pytest.raises(ValueError):
+        models.anova(df.withColumn("g", (F.col("y") * 5).cast("int").cast("string")), "y", ["f", "g"])
+
+
 def test_absorbed_slopes_equal_those_beside_dummies(spark):
     rnd = random.Random(3)
     rows = [(f"s{rnd.randrange(30)}", 50 + rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(0, 1)) for _ in range(300)]
