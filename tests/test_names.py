@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stepforge.operators import combine, names, programs, quality
+from stepforge.plans import catalogue
 
 
 def similar(a, b, longer):
@@ -88,6 +89,29 @@ def test_variable_usage(spark):
     assert sorted((tuple(r) for r in none.collect()), key=str) == brute_usage(scripts, [])
 
 
+def test_usage_has_a_row_for_every_script_and_name(spark):
+    scripts = [(1, "by age; class sex; var x" + " by" * 2000), (1, "no use"), (2, None), (3, "merge on proc report"), (4, "Proc Means; VAR AGE")]
+    sought = ["age", "sex", None, "x", "age"]
+    got = quality.variable_usage_pairs(spark.createDataFrame(scripts, "id int, text string"), frame(spark, sought, "name"))
+    either = lambda a, b: True if a or b else None if a is None or b is None else False
+    want = []
+    for i, text in scripts:
+        u = None if text is None else text.upper()
+        has = lambda w: None if u is None or w is None else w in u
+        for n in {*sought}:
+            by, cl, var = (n and f"{w} {n.upper()}" for w in ("BY", "CLASS", "VAR"))
+            want.append((i, n, either(has(by), has("MERGE ON")), either(either(has(cl), has(var)), has("PROC MEANS")), has("CLASS"), has("PROC REPORT")))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    none = quality.variable_usage_pairs(spark.createDataFrame(scripts, "id int, text string"), frame(spark, [None], "name"))
+    assert sorted((tuple(r) for r in none.collect()), key=str) == sorted((w for w in want if w[1] is None), key=str)
+
+
+def test_usage_query_leaves_no_pair_out(spark):
+    data = "/root/testdata/sf0.001"
+    types = spark.read.parquet(f"{data}/part.parquet").select("p_type").distinct().count()
+    assert catalogue.queries()["q31_variable_usage"](spark, data).count() == types * spark.read.parquet(f"{data}/documents.parquet").count()
+
+
 def test_datasets_matched_below_what_a_name_gives(spark):
     catalog = spark.createDataFrame(
         [("dm_x", c, i) for i, c in enumerate(["usubjid", "age", "a", "b", "c", "d"])] + [("ae", "x", 1), ("lb", "usubjid", 1)],
