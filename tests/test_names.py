@@ -1,6 +1,8 @@
 """Name mapping by indexes against comparing every name with every other, and what else looks names up."""
 
+import itertools
 import random
+import string
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -112,6 +114,18 @@ def test_usage_query_leaves_no_pair_out(spark):
     assert catalogue.queries()["q31_variable_usage"](spark, data).count() == types * spark.read.parquet(f"{data}/documents.parquet").count()
 
 
+def test_missing_required_names_variables_that_the_whole_catalog_lacks(spark):
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text").collect()
+    first = [(d, s, "".join(itertools.takewhile(lambda c: c in string.ascii_letters, t or "")).lower()) for d, s, t in rows]
+    want = {(s, v) for _, s, v in first if len(v) > 6 or not v}
+    got = {(r["table"], r.variable): r for r in catalogue.queries()["q28_missing_required"](spark, data).collect()}
+    assert set(got) == want and any(v for _, v in want)
+    for (s, v), r in got.items():
+        steps = {("MEANS" if d % 3 == 0 else "DATA") + str(d % 7) for d, x, w in first if (x, w) == (s, v)}
+        assert (r.uses, r.severity) == (len(steps), "critical" if len(steps) > 2 else "high" if any("MEANS" in x for x in steps) else "medium")
+
+
 def test_datasets_matched_below_what_a_name_gives(spark):
     catalog = spark.createDataFrame(
         [("dm_x", c, i) for i, c in enumerate(["usubjid", "age", "a", "b", "c", "d"])] + [("ae", "x", 1), ("lb", "usubjid", 1)],
